@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from headwise.functions.clock import hour_utc
 from headwise.functions.scoring import clamp_score, severity_band
 from headwise.operators.filters import is_scored, is_unscored, positive_headway, recent_window_filter
-from headwise.operators.quantiles import GROUP_LIMIT, exact_quantiles
+from headwise.operators.quantiles import GROUP_LIMIT, exact_median_mad, exact_quantiles
 from headwise.schema import ANOMALY_SCORE, HIGH_ANOMALY_SCORE
 
 
@@ -19,17 +19,7 @@ def headway_median_mad(rows, group_limit=GROUP_LIMIT):
     """Median and median absolute deviation of positive headways per route, stop, UTC hour."""
     keys = ["route_id", "stop_id", "hour"]
     rows = positive_headway(rows).withColumn("hour", hour_utc(F.col("observed_ts")))
-    rows = rows.select(*keys, "headway_sec")
-    medians = exact_quantiles(rows, keys, "headway_sec", [0.5], group_limit).select(
-        *keys, "n", F.col("quantiles")[0].alias("median")
-    )
-    deviations = rows.join(medians, keys).select(
-        *keys, F.abs(F.col("headway_sec") - F.col("median")).alias("deviation")
-    )
-    mads = exact_quantiles(deviations, keys, "deviation", [0.5], group_limit).select(
-        *keys, F.col("quantiles")[0].alias("mad")
-    )
-    return medians.drop("n").join(mads, keys)
+    return exact_median_mad(rows, keys, "headway_sec", group_limit)
 
 
 def window_counts(scores):

@@ -20,10 +20,9 @@ def exact_quantiles(rows, keys, value, probs, group_limit=GROUP_LIMIT):
     and finally the distinct values of those fine bins. Every step is a
     counting aggregate with map-side combine, so no task sees a whole group.
     """
-    rows = rows.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    rows = _valued(rows, keys, value)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= group_limit:
+    if largest_group(sizes) <= group_limit:
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         return rows.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"), F.percentile("_x", wanted).alias("quantiles")
@@ -31,6 +30,45 @@ def exact_quantiles(rows, keys, value, probs, group_limit=GROUP_LIMIT):
     return _quantiles_by_histogram(rows, list(keys), sizes, probs)
 
 
+def exact_median_mad(rows, keys, value, group_limit=GROUP_LIMIT):
+    """Per group: median, and median absolute deviation from it.
+
+    With small groups one aggregate collects the values and both medians come
+    from the sorted array; with a large group both are exact quantile searches.
+    """
+    rows = _valued(rows, keys, value)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if largest_group(sizes) <= group_limit:
+        values = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
+        medians = values.withColumn("median", _middle(F.col("_xs")))
+        gaps = F.sort_array(F.transform("_xs", lambda x: F.abs(x - F.col("median"))))
+        return medians.withColumn("_xs", gaps).select(*keys, "median", _middle(F.col("_xs")).alias("mad"))
+    medians = write_and_read(
+        _quantiles_by_histogram(rows, list(keys), sizes, [0.5]).select(*keys, F.col("quantiles")[0].alias("median")),
+        "medians",
+    )
+    gaps = rows.join(medians, keys).select(*keys, F.abs(F.col("_x") - F.col("median")).alias("_x"))
+    mads = _quantiles_by_histogram(gaps, list(keys), sizes, [0.5])
+    return medians.join(mads.select(*keys, F.col("quantiles")[0].alias("mad")), keys)
+
+
+def _valued(rows, keys, value):
+    x = F.col(value).cast("double")
+    return rows.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull())
+
+
+def largest_group(sizes):
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def _middle(ordered):
+    """Median of a sorted, non-empty array."""
+    n = F.size(ordered)
+    below = F.element_at(ordered, F.floor((n + 1) / 2).cast("int"))
+    above = F.element_at(ordered, F.floor(n / 2).cast("int") + 1)
+    return (below + above) / 2
+
+
 def _order_code(x):
     """Integer that grows with x: signed logarithm at 2^-21 octave resolution."""
     magnitude = F.floor(F.log2(F.abs(x)) * _FINE_PER_OCTAVE) + F.lit(_CODE_OFFSET)

@@ -18,8 +18,7 @@ class RollingQuantiles:
         low = int(place)
         x = self.ordered[low]
         if low + 1 < len(self.ordered):
-            share = place - low
-            x = x * (1.0 - share) + self.ordered[low + 1] * share
+            x += (self.ordered[low + 1] - x) * (place - low)
         return x
 
     def push(self, x):

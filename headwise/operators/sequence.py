@@ -2,7 +2,7 @@
 from pyspark.sql import Window, functions as F
 
 from headwise.operators.joins import join_measured
-from headwise.session import ensure_checkpoint_dir
+from headwise.session import write_and_read
 
 _ROW_BITS = 33
 
@@ -13,29 +13,26 @@ def number_rows(df, keys, order):
     A window over the key would put a hot key into one task. Here rows are
     range-partitioned by (keys, order), so a hot key spreads over many tasks;
     each partition numbers its own rows and a small table of partition counts
-    supplies the offsets. Range bounds are sampled, hence the checkpoint: both
-    later reads must see one and the same placement. ``order`` must be unique
-    within a key.
+    supplies the offsets. Range bounds are sampled, hence the table written in
+    between: both later reads must see one and the same placement. ``order``
+    must be unique within a key.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = (
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = write_and_read(
         df.repartitionByRange(parts, *keys, *order)
         .sortWithinPartitions(*keys, *order)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .checkpoint()
-    )
-    placed = placed.withColumn("_part", F.shiftright("_at", _ROW_BITS))
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "numbered",
+    ).withColumn("_part", F.shiftright("_at", _ROW_BITS))
     counts = placed.groupBy("_part", *keys).agg(
         F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
     ordered = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
+    offsets = write_and_read(counts.select(
         "_part", *keys, "_first",
         F.coalesce(F.sum("_n").over(ordered), F.lit(0)).alias("_offset"),
         F.sum("_n").over(Window.partitionBy(*keys)).alias("key_rows"),
-    ).checkpoint()
+    ), "offsets")
     numbered = join_measured(placed, offsets, ["_part", *keys])
     return numbered.withColumn("seq", F.col("_at") - F.col("_first") + F.col("_offset")).drop(
         "_at", "_part", "_first", "_offset"

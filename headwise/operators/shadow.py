@@ -19,6 +19,7 @@ FEATURES = [
     "hour_sin", "hour_cos", "minute_sin", "minute_cos", "route_hash", "stop_hash",
 ]
 MIN_ROWS = 256
+ROWS_PER_TASK = 16_384
 MODEL_NAME = "denoising_autoencoder_v1"
 
 
@@ -35,6 +36,20 @@ def shadow_features(scored_rows):
     )
 
 
+def training_table(scored_rows):
+    """Features materialised once (training reads them several times) and their count.
+
+    A small table is spread so that every task still has enough rows for useful
+    local training; a large one keeps the partitions of its scan.
+    """
+    features = shadow_features(scored_rows)
+    tasks = features.sparkSession.sparkContext.defaultParallelism
+    samples = features.count()
+    if samples < tasks * ROWS_PER_TASK:
+        features = features.repartition(max(1, samples // ROWS_PER_TASK), "id")
+    return write_and_read(features, "shadow-features"), samples
+
+
 def standardise_matrix(features):
     """z-scores with the population deviation; a constant feature is divided by 1.
 
@@ -102,8 +117,7 @@ def shadow_autoencoder(matrix, weights=None, epochs=autoencoder.EPOCHS, seed=7):
 
 def telemetry_shadow(scored_rows, last_run_utc, weights=None, epochs=autoencoder.EPOCHS, group_limit=GROUP_LIMIT):
     """One-row shadow telemetry over the given scored rows."""
-    features = write_and_read(shadow_features(scored_rows), "shadow-features")
-    samples = features.count()
+    features, samples = training_table(scored_rows)
     one = features.sparkSession.range(1)
     if samples < MIN_ROWS:
         none = "array<struct<route_id:string,stop_id:string,stop_name:string,dl_error:double,online_score:double>>"

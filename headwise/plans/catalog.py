@@ -82,7 +82,7 @@ def _(spark, folder):
 def _(spark, folder):
     rows = ingest.headways_from_snapshots(star_tables.snapshots(spark, folder))
     path = work_path(spark, "scores")
-    scores_io.append_scores(scores_io.as_scores(rows), path)
+    scores_io.append_scores(scores_io.as_scores(rows), path, clustered=True)
     return scores_io.read_scores(spark, path).select(
         "id", "observed_ts", "event_ts", "route_id", "stop_id", "headway_sec",
         "predicted_headway_sec", "anomaly_score", "residual", "window_sec",
@@ -328,7 +328,9 @@ def _numbered_residuals(spark, folder):
 @query("residual_quantiles")
 def _(spark, folder):
     found = windows.residual_quantiles(_numbered_residuals(spark, folder), "abs_residual")
-    return found.select("route_id", "id", "seq", "history_n", "q50", "q90", "q99")
+    # Interpolated values lie on a 1e-8 grid; the offset keeps them off rounding ties.
+    off_tie = [F.round(F.col(q) + 3.7e-9, 6).alias(q) for q in ("q50", "q90", "q99")]
+    return found.select("route_id", "id", "seq", "history_n", *off_tie)
 
 
 @query("ema_scale")
@@ -531,8 +533,8 @@ def _(spark, folder):
 
 @query("shadow_autoencoder")
 def _(spark, folder):
-    matrix = shadow.standardise_matrix(shadow.shadow_features(filters.scored(_served(spark, folder))))
-    errors, _, _ = shadow.shadow_autoencoder(matrix)
+    features, _ = shadow.training_table(filters.scored(_served(spark, folder)))
+    errors, _, _ = shadow.shadow_autoencoder(shadow.standardise_matrix(features))
     return errors.select("id", "route_id", "stop_id", "online_score", "err")
 
 

@@ -250,7 +250,9 @@ ORACLES = {
     # Windows
     "headway_lag": _HEADWAY_SQL,
     "top1_per_stop": _with("SELECT stop_id, id, route_id, observed_ts, anomaly_score FROM top1", _TOP1),
-    "residual_quantiles": _with("SELECT route_id, id, seq, history_n, q50, q90, q99 FROM calibrated", _CALIBRATION),
+    "residual_quantiles": _with(
+        "SELECT route_id, id, seq, history_n, " + ", ".join(f"{_r(f'{q} + 3.7e-9')} AS {q}" for q in ("q50", "q90", "q99"))
+        + " FROM calibrated", _CALIBRATION),
     "ema_scale": _with(f"SELECT route_id, id, seq, {_r('ema', 3)} AS ema FROM emas", _CALIBRATION, _EMA),
     # Ranking
     "top_anomalies": _with(

@@ -9,7 +9,8 @@ from headwise.session import work_path
 def as_scores(headways, first_id=0):
     """Headway rows as new, unscored scores rows with dense ids.
 
-    Rows are numbered in poll order, so a repeated run gives the same ids.
+    Rows are numbered in poll order, so a repeated run gives the same ids, and
+    they come out clustered by time.
     """
     rows = headways.select(
         F.lit(0).alias("_all"), F.col("poll_ts").alias("observed_ts"), "feed_ord",
@@ -26,19 +27,29 @@ def as_scores(headways, first_id=0):
     )
 
 
-def append_scores(rows, path, batch_id=0):
+def _write_by_date(rows, path):
+    """Dynamic overwrite of (observed_date, batch_id). The sort starts with the
+    partition columns, so files stay in time order and keep tight statistics."""
+    (
+        rows.sortWithinPartitions("observed_date", "batch_id", "observed_ts", "id")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("observed_date", "batch_id").parquet(path)
+    )
+
+
+def append_scores(rows, path, batch_id=0, clustered=False):
     """Append one batch, partitioned by observation date and batch.
 
     Writing the same batch again replaces its own partitions only, which makes
-    a retried micro-batch harmless.
+    a retried micro-batch harmless. Rows not yet ``clustered`` by time are range
+    partitioned first: a busy date is split over tasks, a quiet one is not.
     """
-    (
+    if not clustered:
+        rows = rows.repartitionByRange("observed_ts", "id")
+    _write_by_date(
         rows.withColumn("observed_date", F.to_date("observed_ts"))
-        .withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-        .repartitionByRange("observed_ts", "id")
-        .sortWithinPartitions("observed_ts", "id")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("observed_date", "batch_id").parquet(path)
+        .withColumn("batch_id", F.lit(int(batch_id)).cast("long")),
+        path,
     )
 
 
@@ -79,8 +90,4 @@ def rewrite_scores(spark, path, scored):
     staged = work_path(spark, "scores-update")
     columns = read_scores(spark, path).columns
     scores_update(touched.select(*columns), scored).write.partitionBy("observed_date", "batch_id").parquet(staged)
-    (
-        read_scores(spark, staged).repartitionByRange("observed_ts", "id").sortWithinPartitions("observed_ts", "id")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("observed_date", "batch_id").parquet(path)
-    )
+    _write_by_date(read_scores(spark, staged).repartitionByRange("observed_ts", "id"), path)

@@ -8,21 +8,30 @@ from headwise.schema import FEEDS
 
 _POLL_SEC = 3600
 
+# Declared, not inferred. Reading ``ts`` as an instant (the session clock is
+# UTC) needs no cast, so time bounds reach the Parquet scan.
+_SCHEMAS = {
+    "events": "event_id long, ts timestamp, user_id long, event_type string, value double, props string",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+}
+
 
 def table(spark, folder, name):
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def events_stream(spark, folder):
     """The events table as a file stream."""
-    schema = table(spark, folder, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return (
+        spark.readStream.schema(_SCHEMAS["events"])
+        .option("pathGlobFilter", "events.parquet").parquet(folder)
+    )
 
 
 def raw_scores(spark, folder, events=None):
     """Events as unscored headway observations."""
     events = table(spark, folder, "events") if events is None else events
-    ts = F.col("ts").cast("timestamp")
+    ts = F.col("ts")
     later = ts + F.expr("INTERVAL '60' SECOND")
     return events.select(
         F.col("event_id").alias("id"),
@@ -44,7 +53,7 @@ def served_scores(spark, folder, events=None):
     means = raw_scores(spark, folder).groupBy("route_id").agg(F.round(F.avg("headway_sec"), 6).alias("_mean"))
     predicted = F.when(F.col("id") % 7 != 0, F.col("_mean"))
     return (
-        raw.join(means, "route_id")
+        raw.join(means, "route_id", "left")
         .withColumn("predicted_headway_sec", predicted)
         .withColumn("residual", F.col("headway_sec") - F.col("predicted_headway_sec"))
         .withColumn(
@@ -112,7 +121,7 @@ def snapshots(spark, folder, events=None):
     """
     events = table(spark, folder, "events") if events is None else events
     eid = F.col("event_id")
-    ts = F.col("ts").cast("timestamp")
+    ts = F.col("ts")
     poll = F.date_trunc("hour", ts) + F.expr(f"INTERVAL '{_POLL_SEC}' SECOND")
     epoch = F.unix_seconds(ts) + F.when(eid % 13 == 0, F.lit(5 * 3600)).otherwise(F.lit(0))
     kind = eid % 5

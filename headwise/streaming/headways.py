@@ -1,6 +1,5 @@
 """Incremental headways with the last arrival of each key as durable state."""
-import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from headwise.operators.windows import feed_order
@@ -24,21 +23,20 @@ class LastArrival(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timer_values):
         earliest = {}
-        for frame in rows:
-            least = frame.groupby(["poll_ts", "feed_ord", "feed"])["arrival"].min()
-            for poll, arrival in least.items():
-                earliest[poll] = min(arrival, earliest.get(poll, arrival))
-        previous = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for (poll_ts, feed_ord, feed), arrival in sorted(earliest.items()):
-            step = None if previous is None else arrival - previous
-            headway = float(step) if step is not None and step > 0 else None
-            out.append((poll_ts, feed, feed_ord, key[0], key[1], int(arrival), previous, headway))
-            previous = int(arrival)
+        for row in rows:
+            poll = (row["poll_ts"], row["feed_ord"], row["feed"])
+            earliest[poll] = min(row["arrival"], earliest.get(poll, row["arrival"]))
+        state = self.last.get()
+        previous = state[0] if state else None
+        for poll_ts, feed_ord, feed in sorted(earliest):
+            arrival = earliest[poll_ts, feed_ord, feed]
+            ahead = previous is not None and arrival > previous
+            yield Row(
+                poll_ts=poll_ts, feed=feed, feed_ord=feed_ord, route_id=key[0], stop_id=key[1],
+                arrival=arrival, prev_arrival=previous, headway_sec=float(arrival - previous) if ahead else None,
+            )
+            previous = arrival
         self.last.update((previous,))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
-        frame["prev_arrival"] = frame["prev_arrival"].astype("Int64")
-        yield frame
 
     def close(self):
         pass
@@ -47,6 +45,6 @@ class LastArrival(StatefulProcessor):
 def stream_headway(arrivals):
     """Streaming (poll_ts, feed, route_id, stop_id, arrival) rows to headways."""
     ordered = arrival_horizon_filter(arrivals).withColumn("feed_ord", feed_order(F.col("feed")))
-    return ordered.groupBy("route_id", "stop_id").transformWithStateInPandas(
+    return ordered.groupBy("route_id", "stop_id").transformWithState(
         LastArrival(), outputStructType=_OUT, outputMode="Append", timeMode="None"
     )

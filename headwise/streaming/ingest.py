@@ -17,5 +17,5 @@ def headways_from_snapshots(snapshots):
 def scores_sink(path):
     """``foreachBatch`` writer of headway rows; a repeated batch replaces itself."""
     def write(rows, batch_id):
-        append_scores(as_scores(rows, first_id=batch_id << _ID_BITS), path, batch_id)
+        append_scores(as_scores(rows, first_id=batch_id << _ID_BITS), path, batch_id, clustered=True)
     return write
