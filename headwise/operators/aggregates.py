@@ -113,13 +113,15 @@ def error_quantiles(errors, column="err", group_limit=GROUP_LIMIT):
 
 
 def score_correlation(errors, column="err", score="online_score"):
-    """Pearson correlation; 0 when either side is constant."""
+    """Pearson correlation; 0 when either side is constant.
+
+    Built from the covariance: ``corr`` itself divides by zero on a constant side.
+    """
     spread = lambda name: F.coalesce(F.stddev_pop(name), F.lit(0.0))
-    return errors.agg(
-        F.when(
-            (spread(column) > 1e-8) & (spread(score) > 1e-8), F.corr(column, score)
-        ).otherwise(F.lit(0.0)).alias("corr_with_online_score")
-    )
+    varies = (spread(column) > 1e-8) & (spread(score) > 1e-8)
+    product = F.nullif(spread(column) * spread(score), F.lit(0.0))
+    correlation = F.when(varies, F.covar_pop(column, score) / product)
+    return errors.agg(F.coalesce(correlation, F.lit(0.0)).alias("corr_with_online_score"))
 
 
 def distinct_routes(scores, static_routes, as_of=None):

@@ -115,24 +115,27 @@ def shadow_autoencoder(matrix, weights=None, epochs=autoencoder.EPOCHS, seed=7):
     return matrix.mapInPandas(score, schema), weights, loss
 
 
-def telemetry_shadow(scored_rows, last_run_utc, weights=None, epochs=autoencoder.EPOCHS, group_limit=GROUP_LIMIT):
-    """One-row shadow telemetry over the given scored rows."""
+def _telemetry_without_training(spark, samples, last_run_utc):
+    events = "array<struct<route_id:string,stop_id:string,stop_name:string,dl_error:double,online_score:double>>"
+    zeros = ("loss_last", "recon_error_p90", "recon_error_p99", "recon_error_max")
+    return spark.range(1).select(
+        F.lit("unavailable").alias("status"), F.lit(MODEL_NAME).alias("model"), F.lit("cpu").alias("device"),
+        F.lit(samples).cast("long").alias("samples_used"), F.lit(0).alias("train_epochs"),
+        *[F.lit(0.0).alias(c) for c in zeros],
+        F.lit(0).cast("long").alias("shadow_alerts_high"), F.lit(0.0).alias("corr_with_online_score"),
+        F.array().cast(events).alias("top_shadow_events"), last_run_utc.alias("last_run_utc"),
+        F.lit("insufficient_scored_rows").alias("note"),
+    )
+
+
+def run_shadow(scored_rows, last_run_utc, weights=None, epochs=autoencoder.EPOCHS, group_limit=GROUP_LIMIT):
+    """(one-row telemetry, trained weights); weights are None with too few rows."""
     features, samples = training_table(scored_rows)
-    one = features.sparkSession.range(1)
     if samples < MIN_ROWS:
-        none = "array<struct<route_id:string,stop_id:string,stop_name:string,dl_error:double,online_score:double>>"
-        return one.select(
-            F.lit("unavailable").alias("status"), F.lit(MODEL_NAME).alias("model"), F.lit("cpu").alias("device"),
-            F.lit(samples).cast("long").alias("samples_used"), F.lit(0).alias("train_epochs"),
-            *[F.lit(0.0).alias(c) for c in ("loss_last", "recon_error_p90", "recon_error_p99", "recon_error_max")],
-            F.lit(0).cast("long").alias("shadow_alerts_high"), F.lit(0.0).alias("corr_with_online_score"),
-            F.array().cast(none).alias("top_shadow_events"), last_run_utc.alias("last_run_utc"),
-            F.lit("insufficient_scored_rows").alias("note"),
-        )
-    errors, _, loss = shadow_autoencoder(standardise_matrix(features), weights, epochs)
+        return _telemetry_without_training(features.sparkSession, samples, last_run_utc), None
+    errors, weights, loss = shadow_autoencoder(standardise_matrix(features), weights, epochs)
     # Errors are read several times below; the model must not run again for each.
     errors = write_and_read(errors, "shadow-errors")
-    limits = error_quantiles(errors, group_limit=group_limit)
     worst_first = F.reverse(F.array_sort(F.collect_list(
         F.struct("dl_error", "route_id", "stop_id", "stop_name", "online_score")
     )))
@@ -141,12 +144,18 @@ def telemetry_shadow(scored_rows, last_run_utc, weights=None, epochs=autoencoder
             *[e[c].alias(c) for c in ("route_id", "stop_id", "stop_name", "dl_error", "online_score")]
         )).alias("top")
     ).scalar()
-    return limits.select(
+    telemetry = error_quantiles(errors, group_limit=group_limit).select(
         F.lit("available").alias("status"), F.lit(MODEL_NAME).alias("model"), F.lit("cpu").alias("device"),
         F.lit(samples).cast("long").alias("samples_used"), F.lit(max(1, epochs)).alias("train_epochs"),
-        F.lit(loss).alias("loss_last"),
+        F.lit(float(loss)).alias("loss_last"),
         "recon_error_p90", "recon_error_p99", "recon_error_max", "shadow_alerts_high",
         score_correlation(errors).scalar().alias("corr_with_online_score"),
         top_events.alias("top_shadow_events"), last_run_utc.alias("last_run_utc"),
         F.lit(None).cast("string").alias("note"),
     )
+    return telemetry, weights
+
+
+def telemetry_shadow(scored_rows, last_run_utc, **options):
+    """One-row shadow telemetry over the given scored rows."""
+    return run_shadow(scored_rows, last_run_utc, **options)[0]

@@ -29,14 +29,25 @@ def bounded(name, value, low, high):
     return value
 
 
+def newest(scores):
+    """Newest observation time as a scalar subquery.
+
+    On a table partitioned by ``observed_date`` only the newest date is read.
+    """
+    if "observed_date" in scores.columns:
+        last_date = scores.agg(F.max("observed_date")).scalar()
+        scores = scores.where(F.col("observed_date") == last_date)
+    return scores.agg(F.max("observed_ts")).scalar()
+
+
 def instant(as_of, scores):
     """Column for the reference instant.
 
-    ``None`` means the newest observation, as a scalar subquery: Spark runs it
-    first and still pushes the resulting bound into the scan.
+    ``None`` means the newest observation: Spark runs that subquery first and
+    still pushes the resulting bound into the scan.
     """
     if as_of is None:
-        return scores.agg(F.max("observed_ts")).scalar()
+        return newest(scores)
     if isinstance(as_of, Column):
         return as_of
     if isinstance(as_of, str):

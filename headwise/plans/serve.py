@@ -12,7 +12,7 @@ from headwise.operators.joins import features_join_stats, stop_geo_inner_join, s
 from headwise.operators.ranking import recent_scored_sample, top_anomalies
 from headwise.operators.shadow import shadow_features
 from headwise.operators.windows import top1_per_stop
-from headwise.params import instant
+from headwise.params import instant, newest
 
 FRESH_SEC = 900
 
@@ -20,10 +20,9 @@ FRESH_SEC = 900
 def summary(scores, window="15m", as_of=None):
     """Dashboard counts of a window. ``last_updated`` looks at the whole table."""
     counts = window_counts(recent_window_filter(scores, window, as_of))
-    newest = scores.agg(F.max("observed_ts")).scalar()
     fallback = F.current_timestamp() if as_of is None else instant(as_of, scores)
     return (
-        counts.withColumn("_updated", F.coalesce(newest, fallback))
+        counts.withColumn("_updated", F.coalesce(newest(scores), fallback))
         .select(
             F.lit(window).alias("window"), "stations_total", "trains_active", "anomalies_count",
             "anomalies_high", "anomaly_rate_perc", "scored_rows",

@@ -18,14 +18,33 @@ def save_state(states, path, version):
     ).partitionBy("version").parquet(path)
 
 
-def load_state(spark, path):
-    """The newest version; an empty table if none was written or it is unreadable."""
-    stored = T.StructType(STATE.fields + [T.StructField("version", T.StringType())])
+def _newest(spark, path, schema):
+    """Rows of the newest version; empty if none was written or it is unreadable."""
+    stored = T.StructType(schema.fields + [T.StructField("version", T.StringType())])
     try:
         table = spark.read.schema(stored).option("ignoreCorruptFiles", "true").parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], stored)
-    newest = table.agg(F.max("version")).scalar()
-    return table.where(F.col("version") == newest)
+    return table.where(F.col("version") == table.agg(F.max("version")).scalar())
+
+
+def load_state(spark, path):
+    return _newest(spark, path, STATE)
+
+
+WEIGHTS = T.StructType([T.StructField("weights", T.ArrayType(T.DoubleType()))])
+
+
+def save_weights(spark, weights, path, version):
+    """Shadow model weights, about 2500 numbers, as one row per version."""
+    row = spark.createDataFrame([([float(w) for w in weights],)], WEIGHTS)
+    row.withColumn("version", F.lit(version)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("version").parquet(path)
+
+
+def load_weights(spark, path):
+    row = _newest(spark, path, WEIGHTS).first()
+    return row["weights"] if row else None

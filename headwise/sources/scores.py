@@ -86,8 +86,11 @@ def rewrite_scores(spark, path, scored):
     the table is never read and overwritten by one and the same job.
     """
     dates = scored.select(F.to_date("observed_ts").alias("observed_date")).distinct()
-    touched = read_scores(spark, path).join(dates, "observed_date", "left_semi")
+    first, last = (dates.agg(f("observed_date")).scalar() for f in (F.min, F.max))
+    stored = read_scores(spark, path)
+    # The bounds prune partitions before the scan; the semi join then drops gaps.
+    near = stored.where(F.col("observed_date").between(first, last))
+    touched = near.join(dates, "observed_date", "left_semi").select(*stored.columns)
     staged = work_path(spark, "scores-update")
-    columns = read_scores(spark, path).columns
-    scores_update(touched.select(*columns), scored).write.partitionBy("observed_date", "batch_id").parquet(staged)
+    scores_update(touched, scored).write.partitionBy("observed_date", "batch_id").parquet(staged)
     _write_by_date(read_scores(spark, staged).repartitionByRange("observed_ts", "id"), path)

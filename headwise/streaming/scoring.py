@@ -5,6 +5,8 @@ from pyspark.sql.streaming import StatefulProcessor
 from headwise.operators.filters import positive_headway, unscored
 from headwise.operators.learner import RouteLearner
 from headwise.operators.online import FEATURES, LEARNED, online_features, with_scores
+from headwise.session import write_and_read
+from headwise.sources.scores import rewrite_scores
 
 
 class RouteScorer(StatefulProcessor):
@@ -31,7 +33,7 @@ class RouteScorer(StatefulProcessor):
 
 
 def stream_score(scores):
-    """Streaming scores rows to scored rows; write them back with ``rewrite_scores``."""
+    """Streaming scores rows to scored rows; ``write_back`` stores them."""
     ready = online_features(positive_headway(unscored(scores)))
     learned = ready.select("id", "route_id", "observed_ts", "headway_sec", *FEATURES).groupBy(
         "route_id"
@@ -40,3 +42,14 @@ def stream_score(scores):
         outputMode="Append", timeMode="None",
     )
     return with_scores(learned)
+
+
+def write_back(scores_path):
+    """``foreachBatch`` writer of scored rows into the scores table.
+
+    The update sets values by id, so repeating a micro-batch changes nothing.
+    """
+    def write(rows, batch_id):
+        # Stored first: the update reads it twice, and the state must advance once.
+        rewrite_scores(rows.sparkSession, scores_path, write_and_read(rows, "scored-batch"))
+    return write
