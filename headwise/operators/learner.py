@@ -4,6 +4,7 @@ Spark partitions rows by route and chunk, orders them and moves the state; the
 classes here are the small step functions that run inside a task. ``advance``
 accepts any slice of a route, so batch chunks and stream micro-batches share it.
 """
+import hashlib
 import io
 import math
 
@@ -115,24 +116,33 @@ class AdaptiveWindow:
         return False
 
 
+def _seeded(*parts):
+    """32 bits of the digest of the seed and ``parts``; the same on every machine."""
+    text = ":".join(str(p) for p in (TREE_SEED, *parts))
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+
 def _tree_table():
-    """Split attribute and threshold of every inner node; independent of the data."""
-    rng = np.random.default_rng(TREE_SEED)
+    """Split attribute and threshold of every inner node; independent of the data.
+
+    The root box of an attribute reaches past [0, 1] around a seeded centre;
+    every node halves its box along a seeded attribute.
+    """
     inner = 2 ** TREE_HEIGHT - 1
     attribute = np.zeros((TREES, inner), dtype=np.int64)
     threshold = np.zeros((TREES, inner))
     for t in range(TREES):
-        centre = rng.random(2)
+        centre = np.array([_seeded("centre", t, a) / 2.0 ** 32 for a in range(2)])
         reach = 2.0 * np.maximum(centre, 1.0 - centre)
-        low, high = {0: centre - reach}, {0: centre + reach}
+        boxes = {0: np.stack([centre - reach, centre + reach])}
         for node in range(inner):
-            a = int(rng.integers(2))
-            cut = (low[node][a] + high[node][a]) / 2.0
+            box = boxes.pop(node)
+            a = _seeded("split", t, node) % 2
+            cut = (box[0, a] + box[1, a]) / 2.0
             attribute[t, node], threshold[t, node] = a, cut
-            for child in (2 * node + 1, 2 * node + 2):
-                low[child], high[child] = low[node].copy(), high[node].copy()
-            high[2 * node + 1][a] = cut
-            low[2 * node + 2][a] = cut
+            boxes[2 * node + 1], boxes[2 * node + 2] = box.copy(), box.copy()
+            boxes[2 * node + 1][1, a] = cut
+            boxes[2 * node + 2][0, a] = cut
     return attribute, threshold
 
 

@@ -109,7 +109,7 @@ _SHADOW_COLUMNS = [
 
 
 def _with(body, *parts):
-    return "WITH " + ",".join([_TABLES, *parts]) + "\n" + body
+    return "WITH RECURSIVE " + ",".join([_TABLES, *parts]) + "\n" + body
 
 
 def _r(expression, digits=6):
@@ -174,6 +174,114 @@ tests AS (
   FROM sums WHERE n0 < n)
 """
 
+# Recursion over the rows of each route: running standardisation and PA-I regression.
+_REGRESSION = """
+usable AS (
+  SELECT id, route_id, headway_sec AS y, h, route_hash, stop_hash, observed_ts,
+         row_number() OVER (PARTITION BY route_id ORDER BY observed_ts, id) - 1 AS seq
+  FROM features WHERE headway_sec > 0),
+steps AS (
+  SELECT route_id, CAST(-1 AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS id, CAST(NULL AS DOUBLE) AS y,
+         CAST(NULL AS DOUBLE) AS guess, 0 AS n, [0.0, 0.0, 0.0]::DOUBLE[] AS m, [0.0, 0.0, 0.0]::DOUBLE[] AS s,
+         [0.0, 0.0, 0.0]::DOUBLE[] AS w, CAST(0 AS DOUBLE) AS b
+  FROM (SELECT DISTINCT route_id FROM usable)
+  UNION ALL
+  SELECT route_id, seq, id, y, guess, n, m, s,
+         [w[1] + step * z[1], w[2] + step * z[2], w[3] + step * z[3]], b + step
+  FROM (
+    SELECT *, sign(e) * CASE WHEN norm > 0 THEN least(1.0, greatest(0.0, abs(e) - 0.1) / norm)
+                             ELSE least(1.0, greatest(0.0, abs(e) - 0.1)) END AS step
+    FROM (
+      SELECT *, y - (b + (w[1] * z[1] + w[2] * z[2] + w[3] * z[3])) AS e,
+             z[1] * z[1] + z[2] * z[2] + z[3] * z[3] AS norm
+      FROM (
+        SELECT *, [CASE WHEN s[1] > 0 THEN (x[1] - m[1]) / sqrt(s[1] / n) ELSE 0.0 END,
+                   CASE WHEN s[2] > 0 THEN (x[2] - m[2]) / sqrt(s[2] / n) ELSE 0.0 END,
+                   CASE WHEN s[3] > 0 THEN (x[3] - m[3]) / sqrt(s[3] / n) ELSE 0.0 END] AS z
+        FROM (
+          SELECT route_id, seq, id, y, x, CASE WHEN raw_guess = 0 THEN y ELSE raw_guess END AS guess, n, m, w, b,
+                 [s[1] + (x[1] - old[1]) * (x[1] - m[1]), s[2] + (x[2] - old[2]) * (x[2] - m[2]),
+                  s[3] + (x[3] - old[3]) * (x[3] - m[3])] AS s
+          FROM (
+            SELECT u.route_id, u.seq, u.id, u.y, u.x, p.n + 1 AS n, p.m AS old, p.s, p.w, p.b,
+                   [p.m[1] + (u.x[1] - p.m[1]) / (p.n + 1), p.m[2] + (u.x[2] - p.m[2]) / (p.n + 1),
+                    p.m[3] + (u.x[3] - p.m[3]) / (p.n + 1)] AS m,
+                   p.b + CASE WHEN p.s[1] > 0 THEN p.w[1] * ((u.x[1] - p.m[1]) / sqrt(p.s[1] / p.n)) ELSE 0.0 END
+                       + CASE WHEN p.s[2] > 0 THEN p.w[2] * ((u.x[2] - p.m[2]) / sqrt(p.s[2] / p.n)) ELSE 0.0 END
+                       + CASE WHEN p.s[3] > 0 THEN p.w[3] * ((u.x[3] - p.m[3]) / sqrt(p.s[3] / p.n)) ELSE 0.0 END AS raw_guess
+            FROM steps p JOIN (SELECT *, [h, route_hash, stop_hash]::DOUBLE[] AS x FROM usable) u
+              ON u.route_id = p.route_id AND u.seq = p.seq + 1)))))),
+learned AS (
+  SELECT s.route_id, s.seq, s.id, guess AS predicted_headway_sec, s.y - guess AS residual, h, observed_ts
+  FROM steps s JOIN usable u ON s.id = u.id WHERE s.seq >= 0)
+"""
+
+# Half-space trees over the points (route_id, seq, id, residual, h), block of 250 rows by block.
+_TREES = """
+centres AS (
+  SELECT t, a, CAST(concat('0x', substr(md5(concat('42:centre:', t, ':', a)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS c
+  FROM range(10) r(t), range(2) q(a)),
+nodes AS (
+  SELECT x.t, CAST(0 AS BIGINT) AS node, 0 AS depth,
+         x.c - 2 * greatest(x.c, 1 - x.c) AS low0, x.c + 2 * greatest(x.c, 1 - x.c) AS high0,
+         y.c - 2 * greatest(y.c, 1 - y.c) AS low1, y.c + 2 * greatest(y.c, 1 - y.c) AS high1
+  FROM centres x JOIN centres y ON x.t = y.t AND x.a = 0 AND y.a = 1
+  UNION ALL
+  SELECT t, 2 * node + 1 + side, depth + 1,
+         CASE WHEN a = 0 AND side = 1 THEN cut ELSE low0 END, CASE WHEN a = 0 AND side = 0 THEN cut ELSE high0 END,
+         CASE WHEN a = 1 AND side = 1 THEN cut ELSE low1 END, CASE WHEN a = 1 AND side = 0 THEN cut ELSE high1 END
+  FROM (SELECT *, CASE a WHEN 0 THEN (low0 + high0) / 2 ELSE (low1 + high1) / 2 END AS cut
+        FROM (SELECT *, CAST(concat('0x', substr(md5(concat('42:split:', t, ':', node)), 1, 8)) AS BIGINT) % 2 AS a FROM nodes)),
+       (SELECT unnest([0, 1]) AS side)
+  WHERE depth < 8),
+splits AS (
+  SELECT t, node, CAST(concat('0x', substr(md5(concat('42:split:', t, ':', node)), 1, 8)) AS BIGINT) % 2 AS a,
+         (low0 + high0) / 2 AS cut0, (low1 + high1) / 2 AS cut1
+  FROM nodes WHERE depth < 8),
+walks AS (
+  SELECT route_id, seq, id, greatest(0.0, least(1.0, residual / 7200.0 + 0.5)) AS px, h / 24.0::DOUBLE AS py,
+         t, CAST(0 AS BIGINT) AS node, 0 AS depth
+  FROM points, range(10) r(t)
+  UNION ALL
+  SELECT route_id, seq, id, px, py, w.t,
+         2 * w.node + 1 + CASE WHEN a = 0 THEN CAST(px >= cut0 AS INT) ELSE CAST(py >= cut1 AS INT) END, depth + 1
+  FROM walks w JOIN splits s ON w.t = s.t AND w.node = s.node),
+masses AS (SELECT route_id, seq // 250 AS block, t, node, count(*) AS mass FROM walks GROUP BY ALL),
+seen AS (
+  SELECT w.*, coalesce(mass, 0) AS mass
+  FROM walks w LEFT JOIN masses m
+    ON m.route_id = w.route_id AND m.block = w.seq // 250 - 1 AND m.t = w.t AND m.node = w.node),
+tree_scores AS (
+  SELECT id, CASE WHEN seq < 250 THEN 0.0 ELSE 1 - sum(mass * 2 ** depth) / (10 * 250 * 511.0) END AS tree_score
+  FROM (SELECT *, min(CASE WHEN mass < 25 THEN depth ELSE 8 END) OVER (PARTITION BY id, t) AS stop FROM seen)
+  WHERE depth <= stop GROUP BY id, seq)
+"""
+
+_LEARNED_POINTS = "points AS (SELECT route_id, seq, id, residual, h FROM learned)"
+
+# The whole scorer, for data without drift: none of the test tables contains one,
+# so nothing is reset. The residual history and the EMA run over learned residuals.
+_SCORER = [
+    _FEATURES, _REGRESSION, _LEARNED_POINTS, _TREES,
+    "numbered AS (SELECT id, route_id, observed_ts, abs(residual) AS x, seq FROM learned)",
+    _CALIBRATION[_CALIBRATION.index("calibrated AS"):], _EMA,
+    f"""scorer AS (
+  SELECT l.id, l.route_id, l.seq, l.observed_ts, predicted_headway_sec, residual, ema, q90, q99, tree_score,
+         {_SSL} AS ssl_score, {_RELATIVE} AS relative_error,
+         greatest(0.0, least(1.0, 0.50 * {_SSL} + 0.30 * tree_score + 0.20 * {_RELATIVE})) AS anomaly_score
+  FROM learned l JOIN calibrated c USING (id) JOIN emas e USING (id) JOIN tree_scores USING (id))""",
+]
+
+_ONLINE_TELEMETRY = f"""
+SELECT count(*) AS rows_seen, count(*) AS rows_updated, CAST(0 AS BIGINT) AS drift_events,
+  {_r('arg_max(ema, (observed_ts, id))', 4)} AS mae_ema,
+  {_r('arg_max(q90, (observed_ts, id)) FILTER (q90 > 0)', 4)} AS residual_q90,
+  {_r('arg_max(q99, (observed_ts, id)) FILTER (q99 > 0)', 4)} AS residual_q99,
+  CAST((SELECT sum(last % 1024 + 1) FROM (SELECT max(seq) AS last FROM scorer GROUP BY route_id)) AS BIGINT) AS last_batch_processed,
+  (SELECT count(*) FROM raw WHERE headway_sec <= 0) AS unscored_backlog,
+  strftime((SELECT max(observed_ts) FROM raw), '%Y-%m-%dT%H:%M:%SZ') AS last_run_utc
+FROM scorer"""
+
 ORACLES = {
     # Sources and sinks
     "feed_flatten": _FLAT_SQL,
@@ -201,6 +309,7 @@ ORACLES = {
            UNION ALL SELECT 'broken', 'error', NULL, NULL, NULL, NULL
            UNION ALL SELECT 'list', 'unavailable', NULL, NULL, NULL, NULL
            UNION ALL SELECT 'missing', 'unavailable', NULL, NULL, NULL, NULL"""),
+    "telemetry_write": _with("SELECT 'available' AS status, * FROM (" + _ONLINE_TELEMETRY + ")", *_SCORER),
     "model_state_io": _with(
         "SELECT route_id, count(*) AS rows_seen, '20240201000000' AS version FROM raw WHERE headway_sec > 0 GROUP BY route_id"),
     # Filters
@@ -295,6 +404,9 @@ ORACLES = {
         "SELECT count(*) AS n, substr(sha1(string_agg(stop_id, ',' ORDER BY stop_id)), 1, 16) AS fingerprint FROM stops"),
     # Streaming
     "stream_headway": _HEADWAY_SQL,
+    "stream_score": _with(
+        "SELECT id, route_id, seq, " + ", ".join(
+            f"{_r(c, 4)} AS {c}" for c in ("predicted_headway_sec", "residual", "anomaly_score")) + " FROM scorer", *_SCORER),
     "stream_enrich": _with("SELECT id, route_id, stop_id, headway_sec, stop_name FROM raw LEFT JOIN stops USING (stop_id)"),
     "stream_window_summary": _with(
         """SELECT s AS window_start, s + INTERVAL 15 MINUTE AS window_end,
@@ -309,6 +421,20 @@ ORACLES = {
            GROUP BY s"""),
     # Learners
     "online_features": _with("SELECT id, CAST(h AS DOUBLE) AS hour, route_hash, stop_hash FROM features", _FEATURES),
+    "online_headway_regression": _with(
+        f"""SELECT id, route_id, seq, {_r('predicted_headway_sec', 4)} AS predicted_headway_sec,
+             {_r('residual', 4)} AS residual FROM learned""", _FEATURES, _REGRESSION),
+    "half_space_trees": _with(
+        f"SELECT id, route_id, seq, {_r('tree_score')} AS tree_score FROM points JOIN tree_scores USING (id)",
+        """points AS (
+          SELECT id, route_id, residual, hour(observed_ts) AS h,
+                 row_number() OVER (PARTITION BY route_id ORDER BY observed_ts, id) - 1 AS seq
+          FROM scored)""", _TREES),
+    "score_online": _with(
+        "SELECT id, route_id, seq, " + ", ".join(f"{_r(c, 4)} AS {c}" for c in (
+            "predicted_headway_sec", "residual", "ema", "ssl_score", "tree_score", "relative_error", "anomaly_score"))
+        + ", false AS drifted FROM scorer", *_SCORER),
+    "telemetry_online": _with(_ONLINE_TELEMETRY, *_SCORER),
     "drift_cut_scan": _with(
         f"""SELECT route_id, bucket, n0, n1, {_r('mean0')} AS mean0, {_r('mean1')} AS mean1, {_r('epsilon')} AS epsilon,
              abs(mean0 - mean1) >= epsilon AS is_cut FROM tests""", _CUT_SCAN),
