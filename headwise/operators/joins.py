@@ -1,5 +1,5 @@
-"""Lookups. No broadcast hints: Spark broadcasts a side whose measured size is
-below its threshold and otherwise sort-merges, splitting skewed partitions."""
+"""Lookups. There are no broadcast hints anywhere: Spark broadcasts a side whose
+size is below its threshold and otherwise sort-merges, splitting skewed partitions."""
 from pyspark.sql import functions as F
 
 
@@ -19,10 +19,3 @@ def last_seen_lookup(arrivals, last_seen):
     """Previous arrival of each key as recorded in the keyed state table."""
     state = last_seen.select("route_id", "stop_id", F.col("arrival").alias("prev_arrival"))
     return arrivals.join(state, ["route_id", "stop_id"], "left")
-
-
-def join_measured(left, right, on, how="inner", max_rows=200_000):
-    """Join with a materialised ``right``: broadcast up to ``max_rows``, else shuffle."""
-    if right.count() <= max_rows:
-        right = F.broadcast(right)
-    return left.join(right, on, how)

@@ -1,7 +1,6 @@
 """Exact per-key row numbers and bounded chunks of an ordered key."""
 from pyspark.sql import Window, functions as F
 
-from headwise.operators.joins import join_measured
 from headwise.session import write_and_read
 
 _ROW_BITS = 33
@@ -33,7 +32,9 @@ def number_rows(df, keys, order):
         F.coalesce(F.sum("_n").over(ordered), F.lit(0)).alias("_offset"),
         F.sum("_n").over(Window.partitionBy(*keys)).alias("key_rows"),
     ), "offsets")
-    numbered = join_measured(placed, offsets, ["_part", *keys])
+    # Both sides are files of known size, so Spark broadcasts the offsets only if
+    # they are below its threshold.
+    numbered = placed.join(offsets, ["_part", *keys])
     return numbered.withColumn("seq", F.col("_at") - F.col("_first") + F.col("_offset")).drop(
         "_at", "_part", "_first", "_offset"
     )

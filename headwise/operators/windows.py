@@ -44,7 +44,8 @@ def headway_lag(earliest):
         "_day", F.to_date("poll_ts")
     )
     lagged = lag_by_slice(
-        ordered, ["route_id", "stop_id"], ["poll_ts", "feed_ord"], "arrival", "_day", "prev_arrival"
+        # ``feed`` decides between unlisted feeds, and makes both branches read the same shuffle.
+        ordered, ["route_id", "stop_id"], ["poll_ts", "feed_ord", "feed"], "arrival", "_day", "prev_arrival"
     )
     step = F.col("arrival") - F.col("prev_arrival")
     return lagged.withColumn("headway_sec", F.when(step > 0, step.cast("double"))).drop("_day")

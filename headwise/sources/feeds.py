@@ -58,25 +58,21 @@ def feed_flatten(snapshots):
     entity without trip update falls back to its vehicle position.
     """
     entities = snapshots.select("feed", "poll_ts", F.explode("entity").alias("e"))
-    given = lambda path: F.nullif(F.col(path), F.lit(0))
-    from_trip = F.transform(
-        F.col("e.trip_update.stop_time_update"),
-        lambda u: F.struct(
-            u["stop_id"].alias("stop_id"),
-            F.coalesce(
-                F.nullif(u["arrival"]["time"], F.lit(0)), F.nullif(u["departure"]["time"], F.lit(0))
-            ).alias("arrival"),
-        ),
-    )
-    from_vehicle = F.array(
-        F.struct(F.col("e.vehicle.stop_id").alias("stop_id"), given("e.vehicle.timestamp").alias("arrival"))
-    )
     is_trip = F.col("e.trip_update").isNotNull()
-    observed = entities.select(
+    updates = "array<struct<stop_id:string,arrival:struct<time:bigint>,departure:struct<time:bigint>>>"
+    position = F.array(F.struct(
+        F.col("e.vehicle.stop_id"), F.struct(F.col("e.vehicle.timestamp")), F.lit(None).cast("struct<time:bigint>")
+    )).cast(updates)
+    visits = entities.select(
         "feed", "poll_ts",
         F.when(is_trip, F.col("e.trip_update.trip.route_id"))
         .otherwise(F.col("e.vehicle.trip.route_id")).alias("route_id"),
-        F.inline(F.when(is_trip, from_trip).otherwise(from_vehicle)),
+        F.inline(F.when(is_trip, F.col("e.trip_update.stop_time_update").cast(updates)).otherwise(position)),
+    )
+    given = lambda time: F.nullif(F.col(time), F.lit(0))
+    observed = visits.select(
+        "feed", "poll_ts", "route_id", "stop_id",
+        F.coalesce(given("arrival.time"), given("departure.time")).alias("arrival"),
     )
     return observed.where(
         (F.col("route_id") != "") & (F.col("stop_id") != "") & F.col("arrival").isNotNull()
