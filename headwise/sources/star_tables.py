@@ -21,11 +21,9 @@ def table(spark, folder, name):
 
 
 def events_stream(spark, folder):
-    """The events table as a file stream."""
-    return (
-        spark.readStream.schema(_SCHEMAS["events"])
-        .option("pathGlobFilter", "events.parquet").parquet(folder)
-    )
+    """The events table as a file stream. The pattern matches a folder or a single
+    file, which a stream would not take as a plain path."""
+    return spark.readStream.schema(_SCHEMAS["events"]).parquet(f"{folder}/event[s].parquet")
 
 
 def raw_scores(spark, folder, events=None):

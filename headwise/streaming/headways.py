@@ -5,6 +5,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from headwise.operators.filters import arrival_horizon_filter
 from headwise.operators.windows import feed_order
 
+_POLL_KEY = ["poll_ts", "feed", "feed_ord", "route_id", "stop_id"]
 _OUT = (
     "poll_ts timestamp, feed string, feed_ord long, route_id string, stop_id string, "
     "arrival long, prev_arrival long, headway_sec double"
@@ -42,9 +43,22 @@ class LastArrival(StatefulProcessor):
         pass
 
 
+def _combine(frames):
+    """Earliest arrival per poll and key within one batch of rows."""
+    for frame in frames:
+        yield frame.groupby(_POLL_KEY, as_index=False)["arrival"].min()
+
+
 def stream_headway(arrivals):
-    """Streaming (poll_ts, feed, route_id, stop_id, arrival) rows to headways."""
+    """Streaming (poll_ts, feed, route_id, stop_id, arrival) rows to headways.
+
+    Rows are combined before the shuffle, as a batch aggregate would do: a busy
+    key sends about one row per poll to its state, not all of its arrivals.
+    """
     ordered = arrival_horizon_filter(arrivals).withColumn("feed_ord", feed_order(F.col("feed")))
-    return ordered.groupBy("route_id", "stop_id").transformWithState(
+    combined = ordered.select(*_POLL_KEY, "arrival").mapInPandas(
+        _combine, "poll_ts timestamp, feed string, feed_ord long, route_id string, stop_id string, arrival long"
+    )
+    return combined.groupBy("route_id", "stop_id").transformWithState(
         LastArrival(), outputStructType=_OUT, outputMode="Append", timeMode="None"
     )
