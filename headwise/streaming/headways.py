@@ -1,10 +1,12 @@
 """Incremental headways with the last arrival of each key as durable state."""
+import pandas as pd
 from pyspark.sql import Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from headwise.operators.filters import arrival_horizon_filter
 from headwise.operators.windows import feed_order
 
+_HELD_ROWS = 200_000
 _POLL_KEY = ["poll_ts", "feed", "feed_ord", "route_id", "stop_id"]
 _OUT = (
     "poll_ts timestamp, feed string, feed_ord long, route_id string, stop_id string, "
@@ -44,9 +46,24 @@ class LastArrival(StatefulProcessor):
 
 
 def _combine(frames):
-    """Earliest arrival per poll and key within one batch of rows."""
+    """Earliest arrival per poll and key among the rows of a partition.
+
+    Partial results are held up to a bound, then passed on, so memory stays
+    bounded and nothing is lost: the keyed state takes the minimum again.
+    """
+    held, size = [], 0
+    fold = lambda: pd.concat(held).groupby(_POLL_KEY, as_index=False, sort=False)["arrival"].min()
     for frame in frames:
-        yield frame.groupby(_POLL_KEY, as_index=False)["arrival"].min()
+        held.append(frame)
+        size += len(frame)
+        if size > _HELD_ROWS:
+            held = [fold()]
+            size = len(held[0])
+            if size > _HELD_ROWS // 2:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield fold()
 
 
 def stream_headway(arrivals):
