@@ -1,45 +1,47 @@
 """Incremental headways with the last arrival of each key as durable state."""
 import pandas as pd
-from pyspark.sql import Row, functions as F
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from headwise.operators.filters import arrival_horizon_filter
 from headwise.operators.windows import feed_order
 
 _HELD_ROWS = 200_000
-_POLL_KEY = ["poll_ts", "feed", "feed_ord", "route_id", "stop_id"]
-_OUT = (
-    "poll_ts timestamp, feed string, feed_ord long, route_id string, stop_id string, "
-    "arrival long, prev_arrival long, headway_sec double"
-)
+_KEY = ["route_id", "stop_id"]
+_POLL_KEY = ["poll_ts", "feed", "feed_ord", *_KEY]
+_COMBINED = "poll_ts timestamp, feed string, feed_ord long, route_id string, stop_id string, arrival long"
+_OUT = f"{_COMBINED}, prev_arrival long, headway_sec double"
 
 
-class LastArrival(StatefulProcessor):
+class LastArrivals(StatefulProcessor):
     """Earliest arrival per poll, then the step from the remembered arrival.
 
-    A snapshot file is read in one micro-batch, so a poll of a feed is complete
-    when it gets here. What is kept in memory is one entry per poll of the key.
+    One state entry holds the last arrivals of one hash bucket of keys, so state
+    is read and written per bucket and the steps of its keys are computed
+    together. A snapshot file is read in one micro-batch, so a poll of a feed is
+    complete when it gets here.
     """
 
     def init(self, handle):
-        self.last = handle.getValueState("last_arrival", "arrival long")
+        self.last = handle.getValueState(
+            "last_arrivals", "route_id array<string>, stop_id array<string>, arrival array<bigint>"
+        )
 
     def handleInputRows(self, key, rows, timer_values):
-        earliest = {}
-        for row in rows:
-            poll = (row["poll_ts"], row["feed_ord"], row["feed"])
-            earliest[poll] = min(row["arrival"], earliest.get(poll, row["arrival"]))
+        earliest = pd.concat(list(rows)).groupby(_POLL_KEY, as_index=False)["arrival"].min()
+        earliest = earliest.sort_values([*_KEY, "poll_ts", "feed_ord", "feed"], ignore_index=True)
         state = self.last.get()
-        previous = state[0] if state else None
-        for poll_ts, feed_ord, feed in sorted(earliest):
-            arrival = earliest[poll_ts, feed_ord, feed]
-            ahead = previous is not None and arrival > previous
-            yield Row(
-                poll_ts=poll_ts, feed=feed, feed_ord=feed_ord, route_id=key[0], stop_id=key[1],
-                arrival=arrival, prev_arrival=previous, headway_sec=float(arrival - previous) if ahead else None,
-            )
-            previous = arrival
-        self.last.update((previous,))
+        routes, stops, arrivals = state if state else ([], [], [])
+        known = pd.DataFrame({"route_id": list(routes), "stop_id": list(stops), "arrival": list(arrivals)}).astype(
+            {"route_id": object, "stop_id": object, "arrival": "int64"}
+        )
+        carried = earliest[_KEY].merge(known, on=_KEY, how="left")["arrival"]
+        previous = earliest.groupby(_KEY)["arrival"].shift().fillna(carried)
+        step = earliest["arrival"] - previous
+        newest = earliest.groupby(_KEY, as_index=False)["arrival"].last()
+        known = pd.concat([known, newest]).drop_duplicates(_KEY, keep="last")
+        self.last.update(tuple(known[c].tolist() for c in [*_KEY, "arrival"]))
+        yield earliest.assign(prev_arrival=previous.astype("Int64"), headway_sec=step.where(step > 0))
 
     def close(self):
         pass
@@ -66,16 +68,16 @@ def _combine(frames):
         yield fold()
 
 
-def stream_headway(arrivals):
+def stream_headway(arrivals, buckets=256):
     """Streaming (poll_ts, feed, route_id, stop_id, arrival) rows to headways.
 
     Rows are combined before the shuffle, as a batch aggregate would do: a busy
     key sends about one row per poll to its state, not all of its arrivals.
+    ``buckets`` is fixed for the life of a stream; allow some thousand keys each.
     """
     ordered = arrival_horizon_filter(arrivals).withColumn("feed_ord", feed_order(F.col("feed")))
-    combined = ordered.select(*_POLL_KEY, "arrival").mapInPandas(
-        _combine, "poll_ts timestamp, feed string, feed_ord long, route_id string, stop_id string, arrival long"
-    )
-    return combined.groupBy("route_id", "stop_id").transformWithState(
-        LastArrival(), outputStructType=_OUT, outputMode="Append", timeMode="None"
+    combined = ordered.select(*_POLL_KEY, "arrival").mapInPandas(_combine, _COMBINED)
+    bucketed = combined.withColumn("bucket", F.pmod(F.xxhash64(*_KEY), F.lit(buckets)))
+    return bucketed.groupBy("bucket").transformWithStateInPandas(
+        LastArrivals(), outputStructType=_OUT, outputMode="Append", timeMode="None"
     )
