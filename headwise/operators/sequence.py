@@ -16,9 +16,8 @@ def number_rows(df, keys, order):
     between: both later reads must see one and the same placement. ``order``
     must be unique within a key.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = write_and_read(
-        df.repartitionByRange(parts, *keys, *order)
+        df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_at", F.monotonically_increasing_id()),
         "numbered",

@@ -18,10 +18,12 @@ FEATURES = [
     "headway_sec", "predicted_headway_sec", "residual", "online_score",
     "hour_sin", "hour_cos", "minute_sin", "minute_cos", "route_hash", "stop_hash",
 ]
+# Rows needed for training, and the published model name.
 MIN_ROWS = 256
-ROWS_PER_TASK = 16_384
 MODEL_NAME = "denoising_autoencoder_v1"
 
+ROWS_PER_TASK = 16_384
+
 
 def shadow_features(scored_rows):
     """The ten features of each scored row, beside its identity."""

@@ -3,7 +3,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from headwise.operators.rolling import RollingQuantiles
-from headwise.operators.sequence import number_rows, replay_chunks
+from headwise.operators.sequence import replay_chunks
 from headwise.schema import EMA_KEEP, EMA_TAKE, FEEDS, RESIDUAL_HISTORY, SCORING_BATCH
 
 CHUNK_ROWS = 65_536

@@ -7,7 +7,6 @@ from headwise.operators import autoencoder, online
 from headwise.operators.learner import (
     TREE_BLOCK, TREE_HEIGHT, TREES, AdaptiveWindow, HalfSpaceTrees, PassiveAggressive, RouteLearner,
 )
-from tests.conftest import START
 
 
 def headways(n, seed=0, shift=None):

@@ -2,7 +2,6 @@ import json
 from datetime import timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from headwise.plans import serve
 from tests.conftest import START

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from headwise.operators import shadow
 from headwise.operators.filters import scored
-from tests.conftest import START  # noqa: F401
 
 
 def rows_for(scores, n):

@@ -44,7 +44,14 @@ def test_landing_skips_corrupt_snapshots(spark, tmp_path):
     assert [(r.feed, r.route_id, r.arrival) for r in rows] == [("ACE", "A", 7)]
 
 
-STOPS = "stop_id,stop_name,stop_lat,stop_lon\n a1 ,One,40.5,-73.5\na2,Two,bad,-73\na2,Two,40,-73\n,None,1,2\na1,Again,1,1\n\"a,3\",\"T, x\", 41 ,-74\n"
+STOPS = """stop_id,stop_name,stop_lat,stop_lon
+ a1 ,One,40.5,-73.5
+a2,Two,bad,-73
+a2,Two,40,-73
+,None,1,2
+a1,Again,1,1
+"a,3","T, x", 41 ,-74
+"""
 
 
 @pytest.mark.parametrize("zipped", [False, True])

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from headwise.operators import aggregates, filters, online, windows
-from headwise.session import work_path
 from headwise.sources import feeds, scores as scores_io
 from headwise.streaming import headways, ingest, runs, scoring, summaries
 from tests.conftest import START
