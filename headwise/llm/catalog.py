@@ -1,7 +1,7 @@
 """Registered queries of the corpus operators, with production parameters over whole tables."""
 from pyspark.sql import functions as F
 
-from headwise.llm import quality, sharding, url_filter
+from headwise.llm import quality, sharding, substring, url_filter
 from headwise.llm.common import table
 
 
@@ -11,6 +11,12 @@ def op1_sharding(spark, sf_dir):
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -22,8 +28,36 @@ def op6_quality_rules(spark, sf_dir):
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_url_filter": op3_url_filter,
     "op6_quality_rules": op6_quality_rules,
 }
 
-ORACLES = {}
+ORACLES = {
+    "op2_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), starts AS (
+            SELECT doc_id, unnest(range(1, len(ws) - 18)) AS s, ws FROM w
+        ), wins AS (
+            SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS win FROM starts
+        ), later AS (
+            SELECT doc_id, s FROM (
+                SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS k FROM wins
+            ) WHERE k > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM later
+        ), each_word AS (
+            SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w
+        ), marked AS (
+            SELECT e.doc_id, e.word, e.i, g.i IS NOT NULL AS out
+            FROM each_word e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i
+        ), kept AS (
+            SELECT doc_id, count(*) FILTER (out) AS n_removed,
+                   coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT out), '') AS kept
+            FROM marked GROUP BY doc_id
+        )
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id""",
+}
