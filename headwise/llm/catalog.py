@@ -1,7 +1,7 @@
 """Registered queries of the corpus operators, with production parameters over whole tables."""
 from pyspark.sql import functions as F
 
-from headwise.llm import quality, sharding, substring, url_filter
+from headwise.llm import decontamination, quality, sharding, substring, url_filter
 from headwise.llm.common import table
 
 
@@ -26,11 +26,19 @@ def op6_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_decontamination(spark, sf_dir):
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_url_filter": op3_url_filter,
     "op6_quality_rules": op6_quality_rules,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLES = {
@@ -60,4 +68,36 @@ ORACLES = {
         SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id""",
+    "op9_decontamination": r"""
+        WITH folded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+            FROM documents
+        ), items AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+            FROM benchmark
+        ), item_starts AS (
+            SELECT item_id, ws, least(10, len(ws)) AS k, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS s
+            FROM items WHERE len(ws) > 0
+        ), item_wins AS (
+            SELECT DISTINCT item_id, k, array_to_string(ws[s:s + k - 1], ' ') AS win FROM item_starts
+        ), lengths AS (
+            SELECT DISTINCT k FROM item_wins
+        ), starts AS (
+            SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM folded, lengths WHERE len(ws) >= k
+        ), wins AS (
+            SELECT doc_id, k, s, array_to_string(ws[s:s + k - 1], ' ') AS win FROM starts
+        ), hits AS (
+            SELECT w.doc_id, w.s, w.k, i.item_id FROM wins w JOIN item_wins i ON i.win = w.win AND i.k = w.k
+        ), covered AS (
+            SELECT doc_id, count(DISTINCT i) AS n_hit
+            FROM (SELECT doc_id, unnest(range(s, s + k)) AS i FROM hits) GROUP BY doc_id
+        ), listed AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS item_list
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+        )
+        SELECT f.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(item_list, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM folded f LEFT JOIN covered c ON c.doc_id = f.doc_id LEFT JOIN listed l ON l.doc_id = f.doc_id""",
 }
