@@ -1,7 +1,7 @@
 """Registered queries of the corpus operators, with production parameters over whole tables."""
 from pyspark.sql import functions as F
 
-from headwise.llm import decontamination, quality, sharding, substring, url_filter
+from headwise.llm import decontamination, licenses, packing, quality, sharding, substring, url_filter
 from headwise.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.host_quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -33,12 +37,18 @@ def op9_decontamination(spark, sf_dir):
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_url_filter": op3_url_filter,
+    "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
     "op9_decontamination": op9_decontamination,
+    "op10_packing": op10_packing,
 }
 
 ORACLES = {

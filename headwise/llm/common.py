@@ -1,9 +1,9 @@
 """Helpers shared by the corpus operators."""
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from headwise.session import ensure_checkpoint_dir, work_path, write_and_read
 
-__all__ = ["SPACE_WORDS", "ensure_checkpoint_dir", "fields", "table", "upsert", "work_path", "write_and_read"]
+__all__ = ["SPACE_WORDS", "ensure_checkpoint_dir", "fields", "power_of_two", "rank_in_parts", "space_words", "table", "work_path", "write_and_read"]
 
 # The word separators of the contracts that split on white space.
 SPACE_WORDS = r"[\x20\x09-\x0D]+"
@@ -19,11 +19,6 @@ def fields(df, *names):
     return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).alias(n) for n in names])
 
 
-def upsert(df, **columns):
-    """``withColumns``; an input column of the same name is replaced."""
-    return df.withColumns(columns)
-
-
 def space_words(text):
     """Words between ASCII white space as an array; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_WORDS), "")
@@ -31,3 +26,18 @@ def space_words(text):
 
 def power_of_two(n):
     return 1 << max(0, int(n - 1).bit_length())
+
+
+def rank_in_parts(df, key, parts, order, name):
+    """Add ``name``: the gapless place of a row within ``key``, by ``parts`` and then ``order``.
+
+    A key may hold most of the rows; only the rows of one part are numbered in one task. The parts of a key
+    are counted first, and a row's place is the count of the earlier parts plus its place in its own. ``df``
+    is read twice.
+    """
+    before = Window.partitionBy(*key).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = write_and_read(
+        df.groupBy(*key, *parts).agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows"), "offsets")
+    own = F.row_number().over(Window.partitionBy(*key, *parts).orderBy(*order)) - 1
+    return df.join(offsets, [*key, *parts]).withColumn(name, F.col("_offset") + own).drop("_offset")

@@ -8,9 +8,9 @@ exchanged once, to its place.
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-from headwise.llm.common import fields, power_of_two, write_and_read
+from headwise.llm.common import fields, power_of_two, rank_in_parts, write_and_read
 
 KEY_BITS = 62
 PROBES = 1024
@@ -122,15 +122,9 @@ def number_slots(placed, bin_rows):
     # Twice the mean is chance; beyond it a group stands out and is cut into parts.
     parts = F.when(F.col("_rows") > 2 * bin_rows, F.ceil(F.col("_rows") / bin_rows)).otherwise(1)
     hot = write_and_read(full.select("shard", "_bin", parts.cast("long").alias("_parts")).filter("_parts > 1"), "hotbins")
-    place = ["shard", "_bin", "_part"]
     cut = binned.join(hot, ["shard", "_bin"], "left").withColumn("_part", F.coalesce(
         F.expr(f"_d div ({1 << KEY_BITS}L div _parts + 1)"), F.lit(0).cast("long"))).drop("_parts")
-    before = Window.partitionBy("shard").orderBy("_bin", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = write_and_read(
-        cut.groupBy(*place).agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows"), "offsets")
-    own = F.row_number().over(Window.partitionBy(*place).orderBy("_h", "_d")) - 1
-    return cut.join(offsets, place).withColumn("slot", F.col("_offset") + own).drop("_bin", "_part", "_offset")
+    return rank_in_parts(cut, ["shard"], ["_bin", "_part"], ["_h", "_d"], "slot").drop("_bin", "_part")
 
 
 def shard_rows(df, shards=SHARDS, tolerance=TOLERANCE, bin_rows=BIN_ROWS):
