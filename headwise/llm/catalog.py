@@ -1,7 +1,7 @@
 """Registered queries of the corpus operators, with production parameters over whole tables."""
 from pyspark.sql import functions as F
 
-from headwise.llm import decontamination, licenses, packing, quality, sharding, substring, url_filter
+from headwise.llm import decontamination, licenses, near_dedup, packing, quality, sharding, substring, url_filter
 from headwise.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op6_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_decontamination(spark, sf_dir):
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -47,6 +52,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
 }
@@ -78,6 +84,35 @@ ORACLES = {
         SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id""",
+    "op8_near_dedup": r"""
+        WITH RECURSIVE folded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS ws
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])
+                ELSE ws END) AS sh
+            FROM folded
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), common AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+            FROM shingles a JOIN shingles b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+            WHERE 100 * k >= 80 * (p.n + q.n - k)
+        ), both_ways AS (
+            SELECT x, y FROM links UNION SELECT y, x FROM links
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM folded
+            UNION
+            SELECT r.a, l.y FROM reach r JOIN both_ways l ON l.x = r.b
+        ), least AS (
+            SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+        )
+        SELECT f.doc_id, coalesce(n, 0) AS n_shingles, component_id, f.doc_id = component_id AS kept
+        FROM folded f JOIN least l ON l.doc_id = f.doc_id LEFT JOIN sizes s ON s.doc_id = f.doc_id""",
     "op9_decontamination": r"""
         WITH folded AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
