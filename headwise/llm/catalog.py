@@ -1,7 +1,7 @@
 """Registered queries of the corpus operators, with production parameters over whole tables."""
 from pyspark.sql import functions as F
 
-from headwise.llm import decontamination, licenses, near_dedup, packing, quality, sharding, substring, url_filter
+from headwise.llm import decontamination, language, licenses, near_dedup, packing, quality, sharding, substring, url_filter, warc
 from headwise.llm.common import table
 
 
@@ -21,6 +21,12 @@ def op3_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    judged = language.identify(docs.select("doc_id", "text"), *language.learn(docs))
+    return judged.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -30,6 +36,10 @@ def op6_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
+
+
 def op8_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2).select(
         "doc_id", "n_shingles", "component_id", "kept")
@@ -50,8 +60,10 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_language_id": op4_language_id,
     "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_warc": op7_warc,
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
@@ -84,6 +96,22 @@ ORACLES = {
         SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id""",
+    "op7_warc": """
+        WITH digests AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+        ), coded AS (
+            SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i:
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST(list_sum(list_transform(range(0, 5), lambda j:
+                    CAST(substr(CAST(CAST(unhex(hex) AS BIT) AS VARCHAR), CAST(5 * i + j + 1 AS INT), 1) AS INT) * (16 >> j))) AS BIGINT)
+                ]), 'string_agg', '') AS payload_digest
+            FROM digests
+        ), roles AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM coded
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM roles""",
     "op8_near_dedup": r"""
         WITH RECURSIVE folded AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

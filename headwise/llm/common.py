@@ -3,7 +3,7 @@ from pyspark.sql import Window, functions as F
 
 from headwise.session import ensure_checkpoint_dir, work_path, write_and_read
 
-__all__ = ["SPACE_WORDS", "ensure_checkpoint_dir", "fields", "power_of_two", "rank_in_parts", "space_words", "table", "work_path", "write_and_read"]
+__all__ = ["SPACE_WORDS", "ensure_checkpoint_dir", "fields", "power_of_two", "rank_in_parts", "space_words", "table", "without", "work_path", "write_and_read"]
 
 # The word separators of the contracts that split on white space.
 SPACE_WORDS = r"[\x20\x09-\x0D]+"
@@ -41,3 +41,10 @@ def rank_in_parts(df, key, parts, order, name):
         .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows"), "offsets")
     own = F.row_number().over(Window.partitionBy(*key, *parts).orderBy(*order)) - 1
     return df.join(offsets, [*key, *parts]).withColumn(name, F.col("_offset") + own).drop("_offset")
+
+
+def without(docs, unwanted):
+    """``docs`` less the rows whose doc_id and text digest are in ``unwanted`` (doc_id, digest)."""
+    keys = write_and_read(unwanted.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "unwanted")
+    same = docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_digest"])
+    return docs.join(keys, same, "left_anti")
