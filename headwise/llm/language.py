@@ -7,7 +7,7 @@ at a time.
 """
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from headwise.llm import grams
 from headwise.llm.common import fields
@@ -218,7 +218,8 @@ def identify(docs, network, languages, columns=("lang_pred", "score")):
                 [*batch.columns, pa.array(predicted, pa.string()), pa.array(scores, pa.float64())],
                 names=[*batch.schema.names, *columns])
 
-    schema = docs.schema.add(columns[0], "string").add(columns[1], "double")
+    added = [T.StructField(columns[0], T.StringType()), T.StructField(columns[1], T.DoubleType())]
+    schema = T.StructType([*docs.schema.fields, *added])
     return docs.mapInArrow(run, schema)
 
 
