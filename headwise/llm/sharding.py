@@ -112,7 +112,7 @@ def number_slots(placed, bin_rows):
     """Add ``slot``: the gapless place of a row within its shard, in key order.
 
     No shard is sorted in one task. Rows are counted in bins of equal key range, bins that hold a large
-    group of equal texts are cut again by the row digest, and a row's slot is the count of all earlier bins
+    group of equal texts are cut again by text and row digest, and a row's slot is the count of all earlier bins
     plus its place in its own.
     """
     rows = placed.count()
@@ -122,9 +122,11 @@ def number_slots(placed, bin_rows):
     # Twice the mean is chance; beyond it a group stands out and is cut into parts.
     parts = F.when(F.col("_rows") > 2 * bin_rows, F.ceil(F.col("_rows") / bin_rows)).otherwise(1)
     hot = write_and_read(full.select("shard", "_bin", parts.cast("long").alias("_parts")).filter("_parts > 1"), "hotbins")
-    cut = binned.join(hot, ["shard", "_bin"], "left").withColumn("_part", F.coalesce(
-        F.expr(f"_d div ({1 << KEY_BITS}L div _parts + 1)"), F.lit(0).cast("long"))).drop("_parts")
-    return rank_in_parts(cut, ["shard"], ["_bin", "_part"], ["_h", "_d"], "slot").drop("_bin", "_part")
+    cut = binned.join(hot, ["shard", "_bin"], "left").withColumns({
+        "_text": F.when(F.col("_parts").isNull(), 0).otherwise(F.col("_h")),
+        "_part": F.coalesce(F.expr(f"_d div ({1 << KEY_BITS}L div _parts + 1)"), F.lit(0).cast("long")),
+    }).drop("_parts")
+    return rank_in_parts(cut, ["shard"], ["_bin", "_text", "_part"], ["_h", "_d"], "slot").drop("_bin", "_text", "_part")
 
 
 def shard_rows(df, shards=SHARDS, tolerance=TOLERANCE, bin_rows=BIN_ROWS):
