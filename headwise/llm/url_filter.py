@@ -53,14 +53,14 @@ def _segments(path, max_depth):
 
 def _grow(paths, depth):
     """Extend every template by its segment at ``depth``: by name if frequent below its node, else ``*``."""
-    here = paths.filter(F.size("segs") >= depth).select("host", "tmpl", F.col("segs")[depth - 1].alias("seg"), "n")
+    here = paths.filter(F.size("segs") >= depth).select("host", "tmpl", F.get("segs", F.lit(depth - 1)).alias("seg"), "n")
     kids = here.groupBy("host", "tmpl", "seg").agg(F.sum("n").alias("kid_n"))
     nodes = kids.groupBy("host", "tmpl").agg(F.sum("kid_n").alias("node_n"))
     named = kids.join(nodes, ["host", "tmpl"]).filter(
         (F.col("kid_n") >= MIN_SUPPORT) & (F.col("kid_n") >= MIN_SHARE * F.col("node_n"))
     ).select("host", "tmpl", "seg", F.lit(True).alias("named"))
     named = write_and_read(named, "branches")
-    grown = paths.withColumn("seg", F.col("segs")[depth - 1]).join(named, ["host", "tmpl", "seg"], "left")
+    grown = paths.withColumn("seg", F.get("segs", F.lit(depth - 1))).join(named, ["host", "tmpl", "seg"], "left")
     step = F.when(F.col("seg").isNull(), "").otherwise(
         F.concat(F.lit("/"), F.when(F.col("named"), F.col("seg")).otherwise("*")))
     return grown.withColumn("tmpl", F.concat("tmpl", step)).drop("seg", "named")
