@@ -131,7 +131,7 @@ def write_index(captures, folder, block_lines=BLOCK_LINES):
             if sink is None:
                 sink = files.open_output_stream(f"{root}/{name}", compression=None)
             body = zlib.compress(b"\n".join(
-                k.replace(b"\\", b"\\\\").replace(b"\n", b"\\n") + b"\t" + f"{f}\t{o}\t{n}".encode() for k, f, o, n in held), 6)
+                k.replace(b"%", b"%25").replace(b"\n", b"%0A") + b"\t" + f"{f}\t{o}\t{n}".encode() for k, f, o, n in held), 6)
             row = (held[0][0], name, sink.tell(), len(body))
             sink.write(body)
             held.clear()
@@ -158,7 +158,7 @@ def _block(data):
     keys, places = [], []
     for line in zlib.decompress(data).split(b"\n"):
         key, file, offset, length = line.rsplit(b"\t", 3)
-        keys.append(key.replace(b"\\n", b"\n").replace(b"\\\\", b"\\") if b"\\" in key else key)
+        keys.append(key.replace(b"%0A", b"\n").replace(b"%25", b"%"))
         places.append((file.decode(), int(offset), int(length)))
     return keys, places
 
