@@ -9,21 +9,22 @@ def stable_hash_unit(value, mod):
     return F.when(F.coalesce(value, F.lit("")) == "", F.lit(0.0)).otherwise(unit)
 
 
-def set_fingerprint(ids, column, flat_limit=1_000_000):
-    """Count and 16 hex digits of SHA-1 over the sorted ids joined by commas.
+#: Buckets of a fingerprint, by the leading hex digits of each id's MD5.
+FINGERPRINT_BUCKET_DIGITS = 2
 
-    The flat digest needs all ids in one row, so it is used up to
-    ``flat_limit`` ids. Beyond, ids are digested per hash bucket and the sorted
-    bucket digests are digested again: same change detection, bounded groups.
+
+def set_fingerprint(ids, column):
+    """Count and 16 hex digits of a digest of the set of ids, whatever their number.
+
+    Ids are digested per bucket, in order, and the bucket digests again. Both levels are the same for every
+    table, so adding an id never changes the formula.
     """
-    ids = ids.select(F.col(column).alias("_id"))
-    n = ids.count()
-    digest = F.substring(F.sha1(F.array_join(F.array_sort(F.collect_list("_id")), ",").cast("binary")), 1, 16)
-    if n > flat_limit:
-        buckets = max(2, n // 10_000)
-        ids = (
-            ids.groupBy(F.pmod(F.xxhash64("_id"), F.lit(buckets)).alias("_bucket"))
-            .agg(F.sha1(F.array_join(F.array_sort(F.collect_list("_id")), ",").cast("binary")).alias("_id"))
-        )
-        return set_fingerprint(ids, "_id", flat_limit).withColumn("n", F.lit(n).cast("long"))
-    return ids.agg(F.count("_id").alias("n"), digest.alias("fingerprint"))
+    text = F.col(column).cast("string")
+    ids = ids.where(text.isNotNull()).select(text.alias("_id"))
+    bucket = F.substring(F.md5(F.col("_id").cast("binary")), 1, FINGERPRINT_BUCKET_DIGITS)
+    digest = lambda parts: F.sha1(F.array_join(F.array_sort(parts), ",").cast("binary"))
+    buckets = ids.groupBy(bucket.alias("_bucket")).agg(
+        F.count(F.lit(1)).alias("_n"), digest(F.collect_list("_id")).alias("_digest"))
+    parts = F.collect_list(F.concat("_bucket", F.lit(":"), "_digest"))
+    return buckets.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.substring(digest(parts), 1, 16).alias("fingerprint"))

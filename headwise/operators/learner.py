@@ -1,18 +1,15 @@
-"""Sequential learner of one route: regression, drift detection, trees, calibration.
+"""Step functions of the learners: regression, drift detection, half-space trees.
 
 Spark partitions rows by route and chunk, orders them and moves the state; the
 classes here are the small step functions that run inside a task. ``advance``
-accepts any slice of a route, so batch chunks and stream micro-batches share it.
+accepts any slice of a route, so batches and micro-batches share it.
 """
 import hashlib
-import io
+import json
 import math
 
 import numpy as np
 
-from headwise.operators.rolling import RollingQuantiles
-from headwise.schema import EMA_KEEP, EMA_TAKE
-
 # Passive-aggressive regression.
 PA_LIMIT, PA_TOLERANCE = 1.0, 0.1
 # Adaptive window.
@@ -197,81 +194,49 @@ class HalfSpaceTrees:
         return scores
 
 
-class RouteLearner:
-    """Everything that is remembered about one route."""
+class RouteSequence:
+    """What of a route is sequential by nature: regression weights and drift window.
+
+    ``epoch`` counts the drifts before a row and ``epoch_seq`` the rows since the last one; a drift resets the
+    regression. All else that scoring needs follows from these columns by windowed operators.
+    """
 
-    def __init__(self, start=0):
-        self.regression, self.window, self.trees = PassiveAggressive(), AdaptiveWindow(), HalfSpaceTrees()
-        self.history = RollingQuantiles(start=start)
-        self.rows_seen, self.ema, self.drift_events = 0, 0.0, 0
+    def __init__(self):
+        self.regression, self.window = PassiveAggressive(), AdaptiveWindow()
+        self.seen = self.epoch = self.epoch_seq = 0
 
     def advance(self, x, y):
         """Features (rows x 3, hour first) and headways in order; returns columns.
 
-        Order within a row: predict, residual, scale, calibration against the
-        history without this row, tree score and tree learning, drift test and
-        reset, regression learning, history.
+        Order within a row: predict, residual, drift test and reset, regression learning.
         """
-        n = len(y)
-        predicted, residual, ema = np.empty(n), np.empty(n), np.empty(n)
-        drifted = np.zeros(n, dtype=bool)
-        found = []
-        rows = x.tolist()
-        for i, target in enumerate(y.tolist()):
-            guess = self.regression.predict(rows[i]) or target
+        out = {k: [] for k in ("seq", "epoch", "epoch_seq", "predicted_headway_sec", "residual", "drifted")}
+        for features, target in zip(x.tolist(), y.tolist()):
+            guess = self.regression.predict(features) or target
             miss = target - guess
-            size = abs(miss)
-            self.ema = size if self.rows_seen == 0 else EMA_KEEP * self.ema + EMA_TAKE * size
-            predicted[i], residual[i], ema[i] = guess, miss, self.ema
-            if self.window.add(min(size / RESIDUAL_SPAN, 1.0)):
-                drifted[i] = True
-                self.drift_events += 1
+            drifted = self.window.add(min(abs(miss) / RESIDUAL_SPAN, 1.0))
+            for name, value in zip(out, (self.seen, self.epoch, self.epoch_seq, guess, miss, drifted)):
+                out[name].append(value)
+            self.seen += 1
+            self.epoch_seq += 1
+            if drifted:
                 self.regression = PassiveAggressive()
-            self.regression.learn(rows[i], target)
-            found.append(self.history.push(size))
-            self.rows_seen += 1
-
-        tree_score = np.empty(n)
-        begin = 0
-        for end in [*(np.flatnonzero(drifted) + 1), n]:
-            tree_score[begin:end] = self.trees.advance(residual[begin:end], x[begin:end, 0])
-            if end > begin and drifted[end - 1]:
-                self.trees = HalfSpaceTrees()
-            begin = end
-        history_n, q50, q90, q99 = zip(*found) if found else ((), (), (), ())
-        as_float = lambda values: np.array(values, dtype=float)
-        return {
-            "predicted_headway_sec": predicted, "residual": residual, "ema": ema,
-            "history_n": np.array(history_n, dtype=np.int64), "q50": as_float(q50),
-            "q90": as_float(q90), "q99": as_float(q99), "tree_score": tree_score, "drifted": drifted,
-        }
-
-    def to_bytes(self):
-        r, t = self.regression, self.trees
-        out = io.BytesIO()
-        np.savez(
-            out,
-            counters=np.array([self.rows_seen, self.drift_events, self.history.seen, self.window.ticks,
-                               r.n, t.filled, int(t.first)], dtype=np.int64),
-            scalars=np.array([self.ema, r.bias]),
-            regression=np.array([r.mean, r.m2, r.weight]),
-            buckets=np.array(self.window.buckets, dtype=float).reshape(-1, 3),
-            masses=np.stack([t.latest, t.reference]), history=np.array(self.history.values, dtype=float),
-        )
-        return out.getvalue()
+                self.epoch, self.epoch_seq = self.epoch + 1, 0
+            self.regression.learn(features, target)
+        return out
+
+    def to_json(self):
+        r = self.regression
+        return json.dumps({
+            "seen": self.seen, "epoch": self.epoch, "epoch_seq": self.epoch_seq, "ticks": self.window.ticks,
+            "buckets": self.window.buckets, "n": r.n, "mean": r.mean, "m2": r.m2, "weight": r.weight, "bias": r.bias,
+        })
 
     @classmethod
-    def from_bytes(cls, data):
-        learner = cls()
-        with np.load(io.BytesIO(data)) as saved:
-            seen, drifts, pushed, ticks, n, filled, first = saved["counters"].tolist()
-            learner.rows_seen, learner.drift_events = seen, drifts
-            learner.ema, learner.regression.bias = saved["scalars"].tolist()
-            learner.regression.n = n
-            mean, m2, weight = saved["regression"].tolist()
-            learner.regression.mean, learner.regression.m2, learner.regression.weight = mean, m2, weight
-            buckets = [[int(c), s, d] for c, s, d in saved["buckets"].tolist()]
-            learner.window = AdaptiveWindow(buckets, ticks)
-            learner.history = RollingQuantiles(pushed, saved["history"].tolist())
-            learner.trees = HalfSpaceTrees(filled, bool(first), saved["masses"][0], saved["masses"][1])
-        return learner
+    def from_json(cls, text):
+        saved, route = json.loads(text), cls()
+        route.seen, route.epoch, route.epoch_seq = (saved[k] for k in ("seen", "epoch", "epoch_seq"))
+        route.window = AdaptiveWindow(saved["buckets"], saved["ticks"])
+        for name in ("n", "mean", "m2", "weight", "bias"):
+            setattr(route.regression, name, saved[name])
+        return route

@@ -1,34 +1,30 @@
 """Rolling quantiles of a batch-trimmed history."""
-from bisect import insort
+import numpy as np
+import pandas as pd
+from pandas.api.indexers import BaseIndexer
 
 from headwise.schema import RESIDUAL_HISTORY, SCORING_BATCH
 
 
-class RollingQuantiles:
-    """History of a value stream, trimmed to the newest values at batch starts."""
-
-    def __init__(self, start=0, values=(), keep=RESIDUAL_HISTORY, batch=SCORING_BATCH):
-        self.seen = start
-        self.keep, self.batch = keep, batch
-        self.values = list(values)
-        self.ordered = sorted(self.values)
-
-    def _at(self, p):
-        place = p * (len(self.ordered) - 1)
-        low = int(place)
-        x = self.ordered[low]
-        if low + 1 < len(self.ordered):
-            x += (self.ordered[low + 1] - x) * (place - low)
-        return x
-
-    def push(self, x):
-        """(history size, q50, q90, q99) before ``x``; then remember ``x``."""
-        if self.seen % self.batch == 0 and len(self.values) > self.keep:
-            self.values = self.values[-self.keep:]
-            self.ordered = sorted(self.values)
-        n = len(self.ordered)
-        found = (n, self._at(0.5), self._at(0.9), self._at(0.99)) if n else (0, None, None, None)
-        self.values.append(x)
-        insort(self.ordered, x)
-        self.seen += 1
-        return found
+class _Before(BaseIndexer):
+    """Windows of the given sizes that end just before each row."""
+
+    def __init__(self, sizes):
+        self.sizes = sizes
+        super().__init__()
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        ends = np.arange(num_values, dtype=np.int64)
+        return ends - self.sizes, ends
+
+
+def history_quantiles(values, seq, probs):
+    """History size before each row, and its quantiles.
+
+    The history is trimmed to the newest values at batch starts: it holds the last 8000 values at the start
+    of the row's batch and the earlier rows of that batch. ``values`` stand in order of ``seq`` without gaps.
+    """
+    batch_start = seq - seq % SCORING_BATCH
+    sizes = np.minimum(np.minimum(batch_start, RESIDUAL_HISTORY) + seq - batch_start, np.arange(len(seq)))
+    rolling = pd.Series(values).rolling(_Before(sizes.astype(np.int64)), min_periods=1)
+    return sizes, [rolling.quantile(p).to_numpy() for p in probs]

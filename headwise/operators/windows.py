@@ -1,10 +1,10 @@
 """Ordered per-key computations."""
 import pandas as pd
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Window, functions as F, types as T
 
-from headwise.operators.rolling import RollingQuantiles
+from headwise.operators.rolling import history_quantiles
 from headwise.operators.sequence import replay_chunks
-from headwise.schema import EMA_KEEP, EMA_TAKE, FEEDS, RESIDUAL_HISTORY, SCORING_BATCH
+from headwise.schema import EMA_KEEP, EMA_TAKE, FEEDS, RESIDUAL_HISTORY, SCORING_BATCH, plain_fields
 
 CHUNK_ROWS = 65_536
 
@@ -83,28 +83,25 @@ def ema_scale(numbered, value, key="route_id", block_rows=SCORING_BATCH):
     return joined.withColumn("ema", F.col("_local") + carried).drop("_block", "_j", "_local", "_carry")
 
 
-def residual_quantiles(numbered, value, key="route_id", chunk_rows=CHUNK_ROWS):
+def residual_quantiles(numbered, value, key="route_id", chunk_rows=CHUNK_ROWS, carry=()):
     """q50, q90, q99 and the size of the residual history before each row.
 
     The history is what the scorer keeps: the last 8000 values at the start of
-    the row's batch of 1024, plus the earlier rows of that batch.
+    the row's batch of 1024, plus the earlier rows of that batch. Columns in
+    ``carry`` are passed through.
     """
     warmup = RESIDUAL_HISTORY + (-RESIDUAL_HISTORY) % SCORING_BATCH
     if chunk_rows % SCORING_BATCH:
         raise ValueError(f"chunk_rows must be a multiple of {SCORING_BATCH}")
-    chunks = replay_chunks(
-        numbered.select(key, "id", "seq", "key_rows", F.col(value).alias("_x")), chunk_rows, warmup
-    )
+    kept = numbered.select(key, "id", "seq", *carry)
+    names = kept.columns
+    chunks = replay_chunks(numbered.select(*names, F.col(value).alias("_x")), "seq", chunk_rows, warmup)
 
     def per_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        history = RollingQuantiles(start=int(pdf["seq"].iloc[0]))
-        found = pd.DataFrame(
-            [history.push(x) for x in pdf["_x"].tolist()],
-            columns=["history_n", "q50", "q90", "q99"], index=pdf.index,
-        )
-        out = pd.concat([pdf[[key, "id", "seq", "live"]], found], axis=1)
-        return out[out["live"]].drop(columns="live")
-
-    schema = f"{key} string, id long, seq long, history_n long, q50 double, q90 double, q99 double"
-    return chunks.groupBy(key, "chunk").applyInPandas(per_chunk, schema)
+        pdf = pdf.sort_values("seq", ignore_index=True)
+        sizes, found = history_quantiles(pdf["_x"].to_numpy(), pdf["seq"].to_numpy(), (0.5, 0.9, 0.99))
+        out = pdf[names].assign(history_n=sizes, **dict(zip(("q50", "q90", "q99"), found)))
+        return out[pdf["live"]]
+
+    added = plain_fields("history_n long, q50 double, q90 double, q99 double")
+    return chunks.groupBy(key, "chunk").applyInPandas(per_chunk, T.StructType([*kept.schema.fields, *added]))

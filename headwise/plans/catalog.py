@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from headwise.functions import clock, geo, hashing, scoring
 from headwise.operators import aggregates, drift, filters, joins, online, ranking, shadow, windows
 from headwise.plans import serve
-from headwise.session import prepare, work_path
+from headwise.session import prepare, work_path, write_and_read
 from headwise.sources import feeds, model_state, scores as scores_io, star_tables, static_files, telemetry
 from headwise.streaming import headways, ingest, runs, scoring as stream_scoring, summaries
 
@@ -104,7 +104,7 @@ def _(spark, folder):
 def _(spark, folder):
     path = work_path(spark, "stops")
     star_tables.stops_csv_rows(spark, folder).write.option("header", True).option(
-        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').csv(path)
     return static_files.stops_load(spark, path).select(
         "stop_id", "stop_name", "lat", "lon", F.size("routes").alias("n_routes")
     )
@@ -120,9 +120,9 @@ def _(spark, folder):
 
 def _online_telemetry(spark, folder):
     raw = _raw(spark, folder)
-    scored = online.score_online(raw)
-    # After the run only rows without a usable headway are left unscored.
-    left = raw.agg(F.count_if(F.col("headway_sec") <= 0).alias("unscored_backlog"))
+    # Written: the backlog and the telemetry both read what one run scored.
+    scored = write_and_read(online.score_online(raw), "scored")
+    left = aggregates.unscored_backlog(scores_io.scores_update(raw, scored))
     return online.telemetry_online(scored, left, serve.run_stamp(_newest(raw)))
 
 
@@ -158,9 +158,10 @@ def _(spark, folder):
 def _(spark, folder):
     path = work_path(spark, "model-state")
     raw = _raw(spark, folder)
-    model_state.save_state(online.learner_states(filters.recent_window_filter(raw, WEEK)), path, "20240101000000")
-    model_state.save_state(online.learner_states(raw), path, "20240201000000")
-    return model_state.load_state(spark, path).select("route_id", "rows_seen", "version")
+    model_state.save_state(*online.learner_states(filters.recent_window_filter(raw, WEEK)), path, "20240101000000")
+    model_state.save_state(*online.learner_states(raw), path, "20240201000000")
+    states = model_state.load_state(spark, path)
+    return rounded(states.select("route_id", "rows_seen", "mae_ema", "drift_events", "version"), 4)
 
 
 # Filters
@@ -328,9 +329,7 @@ def _numbered_residuals(spark, folder):
 @query("residual_quantiles")
 def _(spark, folder):
     found = windows.residual_quantiles(_numbered_residuals(spark, folder), "abs_residual")
-    # Interpolated values lie on a 1e-8 grid; the offset keeps them off rounding ties.
-    off_tie = [F.round(F.col(q) + 3.7e-9, 6).alias(q) for q in ("q50", "q90", "q99")]
-    return found.select("route_id", "id", "seq", "history_n", *off_tie)
+    return rounded(found.select("route_id", "id", "seq", "history_n", "q50", "q90", "q99"), 4)
 
 
 @query("ema_scale")
@@ -465,8 +464,13 @@ def _(spark, folder):
 
 @query("stream_score")
 def _(spark, folder):
-    stream = star_tables.raw_scores(spark, folder, star_tables.events_stream(spark, folder))
-    scored = runs.drain(stream_scoring.stream_score(stream), "stream-score")
+    # Six micro-batches in time order, each of the files of one slice.
+    landing, files = star_tables.land_in_slices(_raw(spark, folder), work_path(spark, "score-landing"), 6)
+    stream = spark.readStream.schema(_raw(spark, folder).schema).option("maxFilesPerTrigger", files).parquet(landing)
+    out = work_path(spark, "stream-score")
+    sink = stream_scoring.stream_score(work_path(spark, "stream-state"), stream_scoring.to_folder(out))
+    runs.drain_batches(stream, sink, "stream-score")
+    scored = spark.read.parquet(out)
     return rounded(scored.select("id", "route_id", "seq", "predicted_headway_sec", "residual", "anomaly_score"), 4)
 
 

@@ -1,64 +1,43 @@
 """The two recurring jobs: scoring the backlog, and the shadow detector."""
-import pandas as pd
 from pyspark.sql import functions as F
 
 from headwise.functions.clock import utc_text
 from headwise.operators.aggregates import unscored_backlog
 from headwise.operators.filters import recent_window_filter, scored
-from headwise.operators.learner import RouteLearner
-from headwise.operators.online import FEATURES, LEARNED, online_features, telemetry_online, with_scores
+from headwise.operators.online import SEQUENCE, route_states, score_rows, tail_rows, telemetry_online
 from headwise.operators.ranking import fifo_unscored_batch
 from headwise.operators.shadow import run_shadow
-from headwise.sources.model_state import load_state, load_weights, save_state, save_weights
+from headwise.sources.model_state import load_state, load_tail, load_weights, save_state, save_weights
 from headwise.sources.scores import read_scores, rewrite_scores
 from headwise.sources.telemetry import telemetry_read, telemetry_write
 from headwise.session import write_and_read
 
-_CYCLE = (
-    f"route_id string, id long, observed_ts timestamp, seq long, {LEARNED}, "
-    "rows_seen long, mae_ema double, drift_events long, state binary"
-)
-_CYCLE_COLUMNS = [c.split()[0] for c in _CYCLE.split(", ")]
+def score_from_state(spark, rows, state_path, version):
+    """Score rows from the newest saved state below ``version``, and save the state after them.
 
-
-def _advance(key, rows, states):
-    """Score a route's new rows from its saved state; the last row is the new state."""
-    learner = RouteLearner.from_bytes(states["state"].iloc[0]) if len(states) else RouteLearner()
-    rows = rows.sort_values(["observed_ts", "id"], ignore_index=True)
-    parts = []
-    if len(rows):
-        rows["seq"] = range(learner.rows_seen, learner.rows_seen + len(rows))
-        learned = learner.advance(rows[FEATURES].to_numpy(), rows["headway_sec"].to_numpy())
-        parts.append(pd.concat([rows[["route_id", "id", "observed_ts", "seq"]], pd.DataFrame(learned)], axis=1))
-    parts.append(pd.DataFrame({
-        "route_id": [key[0]], "rows_seen": [learner.rows_seen], "mae_ema": [learner.ema],
-        "drift_events": [learner.drift_events], "state": [learner.to_bytes()],
-    }))
-    out = pd.concat([p.reindex(columns=_CYCLE_COLUMNS).astype(object) for p in parts])
-    return out.where(out.notna(), None)
+    Returns the scored rows, written, and the states. Repeating a version starts from the same state and
+    replaces what it saved.
+    """
+    states = load_state(spark, state_path, version).drop("version")
+    tail = load_tail(spark, state_path, SEQUENCE, version).drop("version")
+    scored, passed = score_rows(rows, states, tail)
+    scored = write_and_read(scored, "scored")
+    # Written before they are saved: what is read here must not change meanwhile.
+    new_states = write_and_read(route_states(passed, scored, states), "states")
+    save_state(new_states, write_and_read(tail_rows(passed, tail), "tail"), state_path, version)
+    return scored, new_states
 
 
 def score_cycle(spark, scores_path, state_path, telemetry_path, now, batch_limit=1024, max_batches=4):
     """Score the oldest unscored rows and write scores, learner state and telemetry.
 
-    A cycle takes at most batch_limit * max_batches rows, which is what bounds
-    the rows of one route here; ``score_online`` is the form for a whole backlog.
     ``now`` is an aware datetime and also names the saved state version.
     """
     batch_limit, max_batches = max(64, batch_limit), max(1, max_batches)
     backlog = fifo_unscored_batch(read_scores(spark, scores_path), batch_limit * max_batches)
-    rows = online_features(backlog).select("id", "route_id", "observed_ts", "headway_sec", *FEATURES)
-    states = load_state(spark, state_path).select("route_id", "state")
-    # Written once: the scores, the state and the telemetry must come from one run.
-    cycle = write_and_read(
-        rows.groupBy("route_id").cogroup(states.groupBy("route_id")).applyInPandas(_advance, _CYCLE), "cycle"
-    )
-    learned = with_scores(cycle.where("state is null"))
-    new_states = cycle.where("state is not null").select("route_id", "rows_seen", "mae_ema", "drift_events", "state")
+    learned, new_states = score_from_state(spark, backlog, state_path, now.strftime("%Y%m%d%H%M%S%f"))
     before = telemetry_read(spark, telemetry_path)
-
     rewrite_scores(spark, scores_path, learned)
-    save_state(new_states, state_path, now.strftime("%Y%m%d%H%M%S%f"))
     left = unscored_backlog(read_scores(spark, scores_path))
     row = write_and_read(
         _cycle_telemetry(learned, new_states, before, left, utc_text(F.lit(now)), batch_limit), "telemetry"
@@ -69,7 +48,7 @@ def score_cycle(spark, scores_path, state_path, telemetry_path, now, batch_limit
 
 def _cycle_telemetry(learned, states, before, left, last_run_utc, batch_limit):
     """This run's figures; values that did not advance keep the previous document's."""
-    run = telemetry_online(learned, left, last_run_utc)
+    run = telemetry_online(learned, left, last_run_utc, batch_limit)
     old = lambda name: F.coalesce(before.select(name).scalar(), F.lit(0))
     n = F.col("rows_seen")
     kept = lambda name: F.when(F.col(name) > 0, F.col(name)).otherwise(old(name)).alias(name)
@@ -80,7 +59,7 @@ def _cycle_telemetry(learned, states, before, left, last_run_utc, batch_limit):
         total("drift_events"),
         F.when(n > 0, F.col("mae_ema")).otherwise(old("mae_ema")).alias("mae_ema"),
         kept("residual_q90"), kept("residual_q99"),
-        F.when(n > 0, (n - 1) % batch_limit + 1).otherwise(old("last_batch_processed"))
+        F.when(n > 0, F.col("last_batch_processed")).otherwise(old("last_batch_processed"))
         .cast("long").alias("last_batch_processed"),
         "unscored_backlog", "last_run_utc",
     )

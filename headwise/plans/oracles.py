@@ -266,7 +266,7 @@ _SCORER = [
     "numbered AS (SELECT id, route_id, observed_ts, abs(residual) AS x, seq FROM learned)",
     _CALIBRATION[_CALIBRATION.index("calibrated AS"):], _EMA,
     f"""scorer AS (
-  SELECT l.id, l.route_id, l.seq, l.observed_ts, predicted_headway_sec, residual, ema, q90, q99, tree_score,
+  SELECT l.id, l.route_id, l.seq, l.observed_ts, predicted_headway_sec, residual, ema, history_n, q90, q99, tree_score,
          {_SSL} AS ssl_score, {_RELATIVE} AS relative_error,
          greatest(0.0, least(1.0, 0.50 * {_SSL} + 0.30 * tree_score + 0.20 * {_RELATIVE})) AS anomaly_score
   FROM learned l JOIN calibrated c USING (id) JOIN emas e USING (id) JOIN tree_scores USING (id))""",
@@ -275,10 +275,10 @@ _SCORER = [
 _ONLINE_TELEMETRY = f"""
 SELECT count(*) AS rows_seen, count(*) AS rows_updated, CAST(0 AS BIGINT) AS drift_events,
   {_r('arg_max(ema, (observed_ts, id))', 4)} AS mae_ema,
-  {_r('arg_max(q90, (observed_ts, id)) FILTER (q90 > 0)', 4)} AS residual_q90,
-  {_r('arg_max(q99, (observed_ts, id)) FILTER (q99 > 0)', 4)} AS residual_q99,
-  CAST((SELECT sum(last % 1024 + 1) FROM (SELECT max(seq) AS last FROM scorer GROUP BY route_id)) AS BIGINT) AS last_batch_processed,
-  (SELECT count(*) FROM raw WHERE headway_sec <= 0) AS unscored_backlog,
+  {_r('arg_max(q90, (observed_ts, id)) FILTER (q90 > 0 AND history_n >= 64 AND residual <> 0)', 4)} AS residual_q90,
+  {_r('arg_max(q99, (observed_ts, id)) FILTER (q99 > 0 AND history_n >= 64 AND residual <> 0)', 4)} AS residual_q99,
+  (count(*) - 1) % 1024 + 1 AS last_batch_processed,
+  (SELECT count(*) FROM raw WHERE headway_sec IS NOT NULL AND id NOT IN (SELECT id FROM scorer)) AS unscored_backlog,
   strftime((SELECT max(observed_ts) FROM raw), '%Y-%m-%dT%H:%M:%SZ') AS last_run_utc
 FROM scorer"""
 
@@ -299,7 +299,7 @@ ORACLES = {
                   THEN CASE WHEN id % 3 = 1 THEN 200 ELSE 300 END
                   ELSE CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 200 END END AS window_sec
            FROM served"""),
-    "stops_load": """SELECT CAST(c_custkey AS VARCHAR) AS stop_id, c_name AS stop_name,
+    "stops_load": """SELECT CAST(c_custkey AS VARCHAR) AS stop_id, 'The "' || c_name || '", stop' AS stop_name,
              40.0::DOUBLE + (c_custkey % 100) / 100 AS lat, -74.0::DOUBLE + (c_custkey % 37) / 100 AS lon, 0 AS n_routes
            FROM customer WHERE c_custkey % 5 <> 0""",
     "routes_static_load": "SELECT DISTINCT c_mktsegment AS route_id FROM customer WHERE c_custkey % 7 <> 0",
@@ -311,7 +311,8 @@ ORACLES = {
            UNION ALL SELECT 'missing', 'unavailable', NULL, NULL, NULL, NULL"""),
     "telemetry_write": _with("SELECT 'available' AS status, * FROM (" + _ONLINE_TELEMETRY + ")", *_SCORER),
     "model_state_io": _with(
-        "SELECT route_id, count(*) AS rows_seen, '20240201000000' AS version FROM raw WHERE headway_sec > 0 GROUP BY route_id"),
+        f"""SELECT route_id, count(*) AS rows_seen, {_r('arg_max(ema, seq)', 4)} AS mae_ema, CAST(0 AS BIGINT) AS drift_events,
+             '20240201000000' AS version FROM scorer GROUP BY route_id""", *_SCORER),
     # Filters
     "arrival_horizon_filter": _with("SELECT feed, poll_ts, route_id, stop_id, arrival FROM near", _FEED),
     "recent_window_filter": _with("SELECT id, observed_ts, route_id FROM week"),
@@ -360,7 +361,7 @@ ORACLES = {
     "headway_lag": _HEADWAY_SQL,
     "top1_per_stop": _with("SELECT stop_id, id, route_id, observed_ts, anomaly_score FROM top1", _TOP1),
     "residual_quantiles": _with(
-        "SELECT route_id, id, seq, history_n, " + ", ".join(f"{_r(f'{q} + 3.7e-9')} AS {q}" for q in ("q50", "q90", "q99"))
+        "SELECT route_id, id, seq, history_n, " + ", ".join(f"{_r(q, 4)} AS {q}" for q in ("q50", "q90", "q99"))
         + " FROM calibrated", _CALIBRATION),
     "ema_scale": _with(f"SELECT route_id, id, seq, {_r('ema', 3)} AS ema FROM emas", _CALIBRATION, _EMA),
     # Ranking
@@ -401,7 +402,9 @@ ORACLES = {
              epoch_us(observed_ts) // 1000 AS observed_ts_epoch_ms, event_ts IS NOT NULL AS has_event
            FROM top1 JOIN stops USING (stop_id)""", _TOP1),
     "set_fingerprint": _with(
-        "SELECT count(*) AS n, substr(sha1(string_agg(stop_id, ',' ORDER BY stop_id)), 1, 16) AS fingerprint FROM stops"),
+        """SELECT CAST(sum(n) AS BIGINT) AS n, substr(sha1(string_agg(bucket || ':' || digest, ',' ORDER BY bucket)), 1, 16) AS fingerprint
+           FROM (SELECT substr(md5(stop_id), 1, 2) AS bucket, count(*) AS n,
+                        sha1(string_agg(stop_id, ',' ORDER BY stop_id)) AS digest FROM stops GROUP BY 1)"""),
     # Streaming
     "stream_headway": _HEADWAY_SQL,
     "stream_score": _with(

@@ -1,6 +1,16 @@
 """Declared schemas and the constants every module agrees on."""
 from pyspark.sql import types as T
 
+_PLAIN = {
+    "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+}
+
+
+def plain_fields(text):
+    """Fields of a list like ``"id long, score double"``; unlike ``fromDDL`` it needs no session."""
+    return [T.StructField(name, _PLAIN[kind]) for name, kind in (f.split() for f in text.split(","))]
+
 SCORES = T.StructType([
     T.StructField("id", T.LongType(), False),
     T.StructField("observed_ts", T.TimestampType(), False),

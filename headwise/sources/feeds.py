@@ -32,11 +32,11 @@ def feed_union(spark, landing):
 
 
 def feed_stream(spark, landing, max_files=1000):
-    """The same landing folder as a stream of new snapshot files."""
+    """The same landing folder as a stream of new snapshot files; unreadable ones are skipped here, too."""
     rows = (
         spark.readStream.schema(landing_schema())
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("maxFilesPerTrigger", max_files)
+        .option("maxFilesPerTrigger", max_files).option("ignoreCorruptFiles", "true")
         .json(landing)
     )
     return drop_corrupt(rows)

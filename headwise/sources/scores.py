@@ -10,13 +10,15 @@ def as_scores(headways, first_id=0):
     """Headway rows as new, unscored scores rows with dense ids.
 
     Rows are numbered in poll order, so a repeated run gives the same ids, and
-    they come out clustered by time.
+    each poll of a feed is numbered apart.
     """
     rows = headways.select(
-        F.lit(0).alias("_all"), F.col("poll_ts").alias("observed_ts"), "feed_ord",
+        F.lit(0).alias("_all"), F.col("poll_ts").alias("observed_ts"), "feed_ord", "feed",
         F.timestamp_seconds("arrival").alias("event_ts"), "route_id", "stop_id", "headway_sec",
     )
-    numbered = number_rows(rows, ["_all"], ["observed_ts", "feed_ord", "route_id", "stop_id"])
+    # ``feed`` tells unlisted feeds apart, which share a place in the polling order.
+    polls = ["observed_ts", "feed_ord", "feed"]
+    numbered = number_rows(rows, ["_all"], [*polls, "route_id", "stop_id"], polls)
     return numbered.select(
         (F.col("seq") + F.lit(first_id)).cast("long").alias("id"),
         "observed_ts", "event_ts", "route_id", "stop_id", "headway_sec",

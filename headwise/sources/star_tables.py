@@ -87,15 +87,16 @@ def static_routes(spark, folder):
 
 
 def stops_csv_rows(spark, folder):
-    """Stop file lines: ids need trimming, and every fifth stop comes first with
-    an unreadable latitude and then again with a good one."""
+    """Stop file lines with more columns than needed: ids need trimming, names hold quotes, and every fifth
+    stop comes first with an unreadable latitude and then again with a good one."""
     key = F.col("c_custkey")
     sid = F.concat(F.lit(" "), key.cast("string"), F.lit(" "))
     lat = (40.0 + (key % 100) / 100).cast("string")
     lon = (-74.0 + (key % 37) / 100).cast("string")
     line = lambda latitude: F.struct(
-        sid.alias("stop_id"), F.col("c_name").alias("stop_name"),
-        latitude.alias("stop_lat"), lon.alias("stop_lon"),
+        F.lit("0").alias("location_type"), lon.alias("stop_lon"), sid.alias("stop_id"),
+        F.concat(F.lit('The "'), F.col("c_name"), F.lit('", stop')).alias("stop_name"),
+        latitude.alias("stop_lat"), F.lit("").alias("parent_station"),
     )
     lines = F.when(key % 5 == 0, F.array(line(F.lit("n/a")), line(lat))).otherwise(
         F.array(line(lat), line(F.lit("0.0")))
@@ -107,7 +108,8 @@ def routes_csv_rows(spark, folder):
     """Route file lines with padding and blanks."""
     return table(spark, folder, "customer").select(
         F.when(F.col("c_custkey") % 7 == 0, F.lit("  "))
-        .otherwise(F.concat(F.lit(" "), F.col("c_mktsegment"))).alias("route_id")
+        .otherwise(F.concat(F.lit(" "), F.col("c_mktsegment"))).alias("route_id"),
+        F.lit("x").alias("agency_id"),
     )
 
 
@@ -156,3 +158,15 @@ def snapshots(spark, folder, events=None):
         poll.alias("poll_ts"),
         F.array(F.struct(trip_update.alias("trip_update"), vehicle.alias("vehicle"))).alias("entity"),
     )
+
+
+def land_in_slices(rows, path, slices, files=2):
+    """Write rows as files of consecutive time slices, one slice after the other; returns (path, files per slice)."""
+    bounds = rows.agg(F.min("observed_ts").alias("a"), F.max("observed_ts").alias("b")).first()
+    step = (bounds["b"] - bounds["a"]) / slices if bounds["a"] else None
+    for k in range(slices if step is not None else 0):
+        part = rows.where(F.col("observed_ts") >= F.lit(bounds["a"] + k * step))
+        if k < slices - 1:
+            part = part.where(F.col("observed_ts") < F.lit(bounds["a"] + (k + 1) * step))
+        part.repartition(files).write.mode("append").parquet(path)
+    return path, files

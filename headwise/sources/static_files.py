@@ -1,4 +1,4 @@
-"""Static dimension files (stops.txt, routes.txt), as a folder or inside a zip."""
+"""Static dimension files (stops.txt, routes.txt), as a folder or inside a zip; columns go by header name."""
 import csv
 import io
 import zipfile
@@ -10,14 +10,24 @@ from headwise.schema import ROUTES_CSV, STOPS_CSV
 
 
 def read_csv(spark, path, schema):
-    """Header-driven CSV as text columns plus ``position``, the place in the file."""
-    rows = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
+    """The named columns of a CSV with a header, as text, plus ``position``, the place in the file.
+
+    Columns are found by the names in the header, in any order and among others; an absent one is null.
+    Quotes follow RFC 4180: doubled quotes and line breaks inside a quoted field.
+    """
+    rows = (
+        spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
+        .option("multiLine", True).option("mode", "PERMISSIVE").csv(path)
+    )
+    found = {name.strip().removeprefix("\ufeff"): name for name in rows.columns}
     position = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return rows.select("*", position.alias("position"))
+    named = [
+        (F.col(f"`{found[n]}`") if n in found else F.lit(None).cast("string")).alias(n) for n in schema.fieldNames()
+    ]
+    return rows.select(*named, position.alias("position"))
 
 
 def read_zip_member(spark, path, member, schema):
@@ -35,7 +45,8 @@ def read_zip_member(spark, path, member, schema):
                     if not found:
                         continue
                     with archive.open(found[0]) as handle:
-                        reader = csv.DictReader(io.TextIOWrapper(handle, encoding="utf-8"))
+                        reader = csv.DictReader(io.TextIOWrapper(handle, encoding="utf-8-sig", newline=""))
+                        reader.fieldnames = [n.strip() for n in reader.fieldnames or []]
                         rows = [[line.get(n) for n in names] for line in reader]
                 out = pd.DataFrame(rows, columns=names)
                 out["file"], out["row"] = source, range(len(out))

@@ -1,55 +1,32 @@
-"""Incremental scoring: one durable learner per route."""
-import pandas as pd
-from pyspark.sql.streaming import StatefulProcessor
-
-from headwise.operators.filters import positive_headway, unscored
-from headwise.operators.learner import RouteLearner
-from headwise.operators.online import FEATURES, LEARNED, online_features, with_scores
+"""Incremental scoring in micro-batches."""
+from headwise.plans.cycles import score_from_state
 from headwise.session import write_and_read
 from headwise.sources.scores import rewrite_scores
 
 
-class RouteScorer(StatefulProcessor):
-    """Advances a route's learner over the rows of one micro-batch.
+def stream_score(state_path, sink):
+    """``foreachBatch`` function: score a micro-batch from the state after the one before it.
 
-    Rows of a route must be taken in order, so they are sorted together; the
-    source's rate limit bounds how many a micro-batch can hold.
+    The stream's rows should come in time order. State versions are named by the batch, so a repeated
+    micro-batch starts from the same state. ``sink(scored, batch_id)`` stores the scored rows.
     """
-
-    def init(self, handle):
-        self.saved = handle.getValueState("learner", "state binary")
-
-    def handleInputRows(self, key, rows, timer_values):
-        pdf = pd.concat(list(rows)).sort_values(["observed_ts", "id"], ignore_index=True)
-        learner = RouteLearner.from_bytes(bytes(self.saved.get()[0])) if self.saved.exists() else RouteLearner()
-        seq = learner.rows_seen
-        out = learner.advance(pdf[FEATURES].to_numpy(), pdf["headway_sec"].to_numpy())
-        self.saved.update((learner.to_bytes(),))
-        head = pdf[["id", "route_id", "observed_ts"]].assign(seq=range(seq, seq + len(pdf)))
-        yield pd.concat([head, pd.DataFrame(out)], axis=1)
-
-    def close(self):
-        pass
+    def write(rows, batch_id):
+        # Stored first: scoring reads the rows more than once.
+        rows = write_and_read(rows, "score-batch")
+        scored, _ = score_from_state(rows.sparkSession, rows, state_path, f"{batch_id:016d}")
+        sink(scored, batch_id)
+    return write
 
 
-def stream_score(scores):
-    """Streaming scores rows to scored rows; ``write_back`` stores them."""
-    ready = online_features(positive_headway(unscored(scores)))
-    learned = ready.select("id", "route_id", "observed_ts", "headway_sec", *FEATURES).groupBy(
-        "route_id"
-    ).transformWithStateInPandas(
-        RouteScorer(), outputStructType=f"id long, route_id string, observed_ts timestamp, seq long, {LEARNED}",
-        outputMode="Append", timeMode="None",
-    )
-    return with_scores(learned)
+def to_folder(path):
+    """Sink: scored rows as one folder per micro-batch, which a repeated one replaces."""
+    def write(scored, batch_id):
+        scored.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    return write
 
 
 def write_back(scores_path):
-    """``foreachBatch`` writer of scored rows into the scores table.
-
-    The update sets values by id, so repeating a micro-batch changes nothing.
-    """
-    def write(rows, batch_id):
-        # Stored first: the update reads it twice, and the state must advance once.
-        rewrite_scores(rows.sparkSession, scores_path, write_and_read(rows, "scored-batch"))
+    """Sink: scored rows into the scores table. The update sets values by id, so repeating it changes nothing."""
+    def write(scored, batch_id):
+        rewrite_scores(scored.sparkSession, scores_path, scored)
     return write

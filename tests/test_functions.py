@@ -74,15 +74,17 @@ def test_hash_matches_python(spark):
     assert got == want
 
 
-def test_fingerprint_flat_and_bucketed(spark):
+def test_fingerprint_is_one_two_level_digest(spark):
     ids = spark.range(500).select(F.col("id").cast("string").alias("i"))
-    flat = hashing.set_fingerprint(ids, "i").first()
-    text = ",".join(sorted(str(i) for i in range(500)))
-    assert flat.n == 500 and flat.fingerprint == hashlib.sha1(text.encode()).hexdigest()[:16]
-    bucketed = hashing.set_fingerprint(ids, "i", flat_limit=100).first()
-    again = hashing.set_fingerprint(ids.repartition(7), "i", flat_limit=100).first()
-    changed = hashing.set_fingerprint(ids.where("i <> '77'"), "i", flat_limit=100).first()
-    assert bucketed == again and bucketed.n == 500 and changed.fingerprint != bucketed.fingerprint
+    found = hashing.set_fingerprint(ids, "i").first()
+    buckets = {}
+    for text in sorted(str(i) for i in range(500)):
+        buckets.setdefault(hashlib.md5(text.encode()).hexdigest()[:2], []).append(text)
+    sha = lambda parts: hashlib.sha1(",".join(parts).encode()).hexdigest()
+    assert found.fingerprint == sha(f"{b}:{sha(t)}" for b, t in sorted(buckets.items()))[:16] and found.n == 500
+    assert hashing.set_fingerprint(ids.repartition(7), "i").first() == found
+    assert hashing.set_fingerprint(ids.where("i <> '77'"), "i").first().fingerprint != found.fingerprint
+    assert hashing.set_fingerprint(ids.limit(0), "i").first().n == 0
 
 
 def test_geojson(spark):

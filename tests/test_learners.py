@@ -1,11 +1,13 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from headwise.operators import autoencoder, online
 from headwise.operators.learner import (
-    TREE_BLOCK, TREE_HEIGHT, TREES, AdaptiveWindow, HalfSpaceTrees, PassiveAggressive, RouteLearner,
+    TREE_BLOCK, TREE_HEIGHT, TREES, AdaptiveWindow, HalfSpaceTrees, PassiveAggressive, RouteSequence,
 )
 
 
@@ -88,77 +90,120 @@ def test_trees_match_row_by_row_walk():
     np.testing.assert_array_equal(np.concatenate(parts), scores)
 
 
-def test_learner_continues_from_saved_state():
-    x, y = headways(6000, shift=4000)
-    whole = RouteLearner().advance(x, y)
-    learner, parts = RouteLearner(), []
-    for piece in np.split(np.arange(6000), [10, 1030, 4100, 4500]):
-        parts.append(learner.advance(x[piece], y[piece]))
-        learner = RouteLearner.from_bytes(learner.to_bytes())
-    for name, column in whole.items():
-        np.testing.assert_allclose(np.concatenate([p[name] for p in parts]), column, err_msg=name)
-    assert whole["drifted"].sum() >= 1
-
-
-def test_row_order_inside_the_learner():
-    x, y = headways(3000, seed=5, shift=2000)
-    out = RouteLearner().advance(x, y)
-    assert out["residual"][0] == 0.0 and out["predicted_headway_sec"][0] == y[0]
-    size = np.abs(out["residual"])
-    ema = size[0]
-    for i in range(1, 50):
-        ema = 0.92 * ema + 0.08 * size[i]
-        assert out["ema"][i] == pytest.approx(ema)
-    start = 2500 // 1024 * 1024
-    assert out["history_n"][2500] == min(start, 8000) + 2500 - start
-    assert out["q50"][2500] == pytest.approx(np.percentile(size[:2500], 50))
-    drift = int(np.flatnonzero(out["drifted"])[0])
-    # The drifting row is scored by the old trees; afterwards a new first block scores 0.
-    assert out["tree_score"][drift] > 0 and out["tree_score"][drift + 1] == 0.0
-
-
-def score_rows(spark, scores, n, routes=("A", "B")):
+def row_by_row(x, y):
+    """The whole learner in one loop: what the composed operators must equal."""
+    regression, window, trees = PassiveAggressive(), AdaptiveWindow(), HalfSpaceTrees()
+    history, ema, rows = [], 0.0, []
+    for i, (features, target) in enumerate(zip(x.tolist(), y.tolist())):
+        if i % 1024 == 0:
+            history = history[-8000:]
+        guess = regression.predict(features) or target
+        miss = target - guess
+        size = abs(miss)
+        ema = size if i == 0 else 0.92 * ema + 0.08 * size
+        q50, q90, q99 = np.percentile(history, [50, 90, 99]) if history else (np.nan,) * 3
+        tree = trees.advance(np.array([miss]), np.array(features[:1]))[0]
+        drifted = window.add(min(size / 3600, 1.0))
+        if drifted:
+            regression, trees = PassiveAggressive(), HalfSpaceTrees()
+        regression.learn(features, target)
+        rows.append((guess, miss, ema, len(history), q50, q90, q99, tree, drifted))
+        history.append(size)
+    names = ["predicted_headway_sec", "residual", "ema", "history_n", "q50", "q90", "q99", "tree_score", "drifted"]
+    return dict(zip(names, map(np.array, zip(*rows))))
+
+
+def score_rows(scores, n, routes=("A", "B"), shift=None):
     rng = np.random.default_rng(9)
     return scores([
-        {"route_id": routes[int(rng.integers(len(routes)))], "stop_id": f"s{i % 7}", "headway_sec": float(rng.gamma(2, 150))}
+        {"route_id": routes[int(rng.integers(len(routes)))], "stop_id": f"s{i % 7}",
+         "headway_sec": float(rng.gamma(2, 150)) + (4000.0 if shift and i % (2 * shift) >= shift else 0.0)}
         for i in range(n)
     ])
 
 
-def test_batch_scores_equal_the_learner(spark, scores):
-    rows = score_rows(spark, scores, 1500).cache()
-    scored = online.score_online(rows).toPandas().sort_values("id")
-    assert len(scored) == 1500 and scored["anomaly_score"].between(0, 1).all()
+def by_route(scored):
+    frame = scored.toPandas().sort_values(["route_id", "seq"], ignore_index=True)
+    return dict(tuple(frame.groupby("route_id")))
+
+
+def test_scores_equal_the_row_by_row_learner_with_drifts(spark, scores):
+    rows = score_rows(scores, 5000, shift=1500).cache()
+    got = by_route(online.score_online(rows))
     features = online.online_features(rows).toPandas()
+    drifts = 0
     for route, part in features.groupby("route_id"):
         part = part.sort_values("observed_ts")
-        want = RouteLearner().advance(part[online.FEATURES].to_numpy(), part["headway_sec"].to_numpy())
-        got = scored[scored.route_id == route].sort_values("seq")
-        np.testing.assert_allclose(got["predicted_headway_sec"], want["predicted_headway_sec"])
-        np.testing.assert_allclose(got["tree_score"], want["tree_score"])
-    assert scored["residual"].notna().all() and scored["predicted_headway_sec"].notna().all()
-
-
-def test_chunks_score_each_row_once_and_settle(spark, scores):
-    rows = score_rows(spark, scores, 6000, routes=("A",)).cache()
-    whole = online.score_online(rows).toPandas().sort_values("seq", ignore_index=True)
-    cut = online.score_online(rows, chunk_rows=3072, warmup_rows=2048).toPandas().sort_values("seq", ignore_index=True)
-    assert cut["id"].tolist() == whole["id"].tolist()
-    first = cut["seq"] < 3072
-    np.testing.assert_allclose(cut["anomaly_score"][first], whole["anomaly_score"][first])
-    later = ~first
-    gap = (cut["predicted_headway_sec"][later] - whole["predicted_headway_sec"][later]).abs()
-    assert gap.median() < 0.1 * whole["headway_sec" if "headway_sec" in whole else "predicted_headway_sec"].median()
-
-
-def test_states_end_where_the_scores_end(spark, scores):
-    rows = score_rows(spark, scores, 800).cache()
-    states = {r.route_id: r for r in online.learner_states(rows).collect()}
-    last = online.score_online(rows).toPandas().sort_values("seq").groupby("route_id").last()
-    for route, row in states.items():
-        assert row.rows_seen == last.loc[route, "seq"] + 1
-        assert row.mae_ema == pytest.approx(last.loc[route, "ema"])
-        assert RouteLearner.from_bytes(row.state).rows_seen == row.rows_seen
+        want = row_by_row(part[online.FEATURES].to_numpy(), part["headway_sec"].to_numpy())
+        drifts += int(want["drifted"].sum())
+        for name, column in want.items():
+            np.testing.assert_allclose(got[route][name].astype(float), column.astype(float), rtol=1e-9, atol=1e-9, err_msg=name)
+        assert got[route]["anomaly_score"].between(0, 1).all()
+    assert drifts >= 2
+
+
+@pytest.mark.parametrize("tree_chunk", [250, 500, 2000])
+def test_scores_do_not_depend_on_chunk_sizes(spark, scores, tree_chunk):
+    rows = score_rows(scores, 12_000, routes=("A",), shift=5000).cache()
+    whole = by_route(online.score_online(rows))["A"]
+    cut = by_route(online.score_online(rows, tree_chunk=tree_chunk, history_chunk=9 * 1024))["A"]
+    for name in ("predicted_headway_sec", "ema", "q50", "q90", "q99", "tree_score", "anomaly_score"):
+        np.testing.assert_allclose(cut[name], whole[name], rtol=1e-9, atol=1e-9, err_msg=name)
+    assert cut["drifted"].tolist() == whole["drifted"].tolist() and whole["drifted"].any()
+
+
+def test_later_rows_continue_from_states_and_tail(spark, scores):
+    rows = score_rows(scores, 14_000, routes=("A",), shift=6000).cache()
+    whole = by_route(online.score_online(rows))["A"]
+    states = tail = None
+    parts = []
+    for low, high in ((0, 30), (30, 1100), (1100, 11_500), (11_500, 14_000)):
+        part = rows.where((F.col("id") >= low) & (F.col("id") < high))
+        scored, passed = online.score_rows(part, states, tail)
+        parts.append(scored.toPandas())
+        states = online.route_states(passed, scored, states).cache()
+        tail = online.tail_rows(passed, tail).cache()
+        assert tail.count() <= 8192 + 2 * 1024
+    got = pd.concat(parts).sort_values("seq", ignore_index=True)
+    for name in ("predicted_headway_sec", "ema", "history_n", "q50", "q90", "q99", "tree_score", "anomaly_score"):
+        np.testing.assert_allclose(got[name].astype(float), whole[name].astype(float), rtol=1e-9, atol=1e-9, err_msg=name)
+    state = states.first()
+    assert (state.rows_seen, state.drift_events) == (14_000, int(whole["drifted"].sum()))
+    assert state.mae_ema == pytest.approx(whole["ema"].iloc[-1])
+
+
+def test_states_equal_the_row_by_row_state(spark, scores):
+    rows = score_rows(scores, 3000, shift=1000).cache()
+    states, tail = online.learner_states(rows)
+    features = online.online_features(rows).toPandas()
+    tails = {r: t.sort_values("seq") for r, t in tail.toPandas().groupby("route_id")}
+    for state in states.collect():
+        part = features[features.route_id == state.route_id].sort_values("observed_ts")
+        x, y = part[online.FEATURES].to_numpy(), part["headway_sec"].to_numpy()
+        want, route = row_by_row(x, y), RouteSequence()
+        route.advance(x, y)
+        assert state.rows_seen == len(y) and state.drift_events == want["drifted"].sum()
+        assert state.mae_ema == pytest.approx(want["ema"][-1])
+        assert RouteSequence.from_json(state.state).to_json() == route.to_json()
+        np.testing.assert_allclose(tails[state.route_id]["residual"], want["residual"][-len(tails[state.route_id]):])
+
+
+def test_drift_epochs_count_over_the_whole_route(spark, scores):
+    rows = score_rows(scores, 6000, routes=("A", "B", "C"), shift=1500).withColumn("residual", F.col("headway_sec") - 300)
+    got = by_route(online.drift_adwin(rows))
+    for route, part in rows.toPandas().groupby("route_id"):
+        window, drifted = AdaptiveWindow(), []
+        for value in part.sort_values("observed_ts")["residual"]:
+            drifted.append(window.add(min(abs(value) / 3600, 1.0)))
+        assert got[route]["drifted"].tolist() == drifted and sum(drifted) >= 2
+        assert got[route]["epoch"].tolist() == (np.cumsum(drifted) - drifted).tolist()
+
+
+def test_few_rows_report_no_quantiles(spark, scores):
+    scored = online.score_online(score_rows(scores, 90)).cache()
+    row = online.telemetry_online(scored, spark.range(1), F.lit("now")).first()
+    assert (row.rows_seen, row.residual_q90, row.residual_q99, row.last_batch_processed) == (90, 0.0, 0.0, 90)
+    assert online.telemetry_online(scored.limit(0), spark.range(1), F.lit("now")).first().last_batch_processed == 0
 
 
 def test_autoencoder_gradient_and_learning():

@@ -3,7 +3,7 @@ import zipfile
 from datetime import timedelta
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from headwise.schema import SNAPSHOT
 from headwise.sources import feeds, model_state, scores as scores_io, static_files, telemetry
@@ -50,27 +50,51 @@ a2,Two,bad,-73
 a2,Two,40,-73
 ,None,1,2
 a1,Again,1,1
-"a,3","T, x", 41 ,-74
+"a,3","The ""Hub"", x", 41 ,-74
+"""
+# The same stops with more columns, in another order, and a name on two lines.
+MORE = """location_type,stop_lon,stop_lat,stop_name,parent_station,stop_id
+0,-73.5,40.5,One,, a1 
+0,-73,bad,Two,p,a2
+0,-73,40,Two,p,a2
+0,2,1,None,,
+0,1,1,"Again
+and again",,a1
+1,-74, 41 ,"The ""Hub"", x",,"a,3"
 """
 
 
-@pytest.mark.parametrize("zipped", [False, True])
-def test_stops_files(spark, tmp_path, zipped):
+def zip_or_file(tmp_path, zipped, name, text):
+    path = tmp_path / (f"{name}.zip" if zipped else name)
     if zipped:
-        path = tmp_path / "static.zip"
         with zipfile.ZipFile(path, "w") as archive:
-            archive.writestr("gtfs/stops.txt", STOPS)
-            archive.writestr("gtfs/routes.txt", "route_id,x\n B ,1\nA,2\n  ,3\nA,4\n")
-        routes = path
+            archive.writestr(f"gtfs/{name}", text)
     else:
-        path, routes = tmp_path / "stops.txt", tmp_path / "routes.txt"
-        path.write_text(STOPS)
-        routes.write_text("route_id\n B \nA\n  \nA\n")
-    rows = {r.stop_id: r for r in static_files.stops_load(spark, str(path)).collect()}
+        path.write_text(text)
+    return str(path)
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+@pytest.mark.parametrize("text", [STOPS, MORE])
+def test_stops_files(spark, tmp_path, zipped, text):
+    rows = {r.stop_id: r for r in static_files.stops_load(spark, zip_or_file(tmp_path, zipped, "stops.txt", text)).collect()}
     assert set(rows) == {"a1", "a,3"}
     assert (rows["a1"].stop_name, rows["a1"].lat, rows["a1"].routes) == ("One", 40.5, [])
-    assert rows["a,3"].lat == 41.0
-    assert [r.route_id for r in static_files.routes_static_load(spark, str(routes)).collect()] == ["A", "B"]
+    assert (rows["a,3"].stop_name, rows["a,3"].lat) == ('The "Hub", x', 41.0)
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+@pytest.mark.parametrize("text", ["route_id\n B \nA\n  \nA\n", "agency_id,route_id,route_type\nx, B ,1\nx,A,2\nx,  ,3\nx,A,4\n"])
+def test_routes_files(spark, tmp_path, zipped, text):
+    routes = static_files.routes_static_load(spark, zip_or_file(tmp_path, zipped, "routes.txt", text))
+    assert [r.route_id for r in routes.collect()] == ["A", "B"]
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_missing_columns_are_null(spark, tmp_path, zipped):
+    path = zip_or_file(tmp_path, zipped, "stops.txt", "stop_lon,stop_id,stop_lat\n1,a,2\n")
+    row = static_files.stops_load(spark, path).first()
+    assert (row.stop_id, row.stop_name, row.lat, row.lon) == ("a", "", 2.0, 1.0)
 
 
 def test_telemetry_round_trip(spark, tmp_path):
@@ -125,16 +149,19 @@ def test_state_versions(spark, tmp_path):
     path = str(tmp_path / "state")
     assert model_state.load_state(spark, path).count() == 0
     assert model_state.load_weights(spark, path) is None
-    make = lambda n: spark.createDataFrame([("A", n, 1.0, 0, bytearray(b"x"))], model_state.STATE)
-    model_state.save_state(make(2), path, "20240102")
-    model_state.save_state(make(1), path, "20240101")
+    make = lambda n: spark.createDataFrame([("A", n, 1.0, 0, "{}")], model_state.STATE)
+    tail = T.StructType([T.StructField("seq", T.LongType())])
+    for n, version in ((2, "20240102"), (1, "20240101")):
+        model_state.save_state(make(n), spark.createDataFrame([(n,)], tail), path, version)
     assert [r.rows_seen for r in model_state.load_state(spark, path).collect()] == [2]
+    assert [r.seq for r in model_state.load_tail(spark, path, tail).collect()] == [2]
+    assert [r.rows_seen for r in model_state.load_state(spark, path, before="20240102").collect()] == [1]
     model_state.save_weights(spark, [0.5, 1.5], str(tmp_path / "w"), "1")
     assert model_state.load_weights(spark, str(tmp_path / "w")) == [0.5, 1.5]
 
 
 def test_corrupt_state_is_tolerated(spark, tmp_path):
-    folder = tmp_path / "state" / "version=1"
+    folder = tmp_path / "state" / "states" / "version=1"
     folder.mkdir(parents=True)
     (folder / "part-0.parquet").write_bytes(b"garbage that is no parquet file")
     assert model_state.load_state(spark, str(tmp_path / "state")).count() == 0

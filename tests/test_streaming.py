@@ -59,7 +59,10 @@ def test_scores_in_micro_batches_equal_the_batch(spark, scores, tmp_path):
     for i in range(3):
         rows.where((F.col("id") >= 500 * i) & (F.col("id") < 500 * i + 500)).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    got = runs.drain(scoring.stream_score(stream), "t-score").toPandas().sort_values("id", ignore_index=True)
+    state, out = str(tmp_path / "state"), str(tmp_path / "out")
+    runs.drain_batches(stream, scoring.stream_score(state, scoring.to_folder(out)), "t-score")
+    got = spark.read.parquet(out).toPandas().sort_values("id", ignore_index=True)
+    assert got["batch_id"].nunique() == 3
     want = online.score_online(rows).toPandas().sort_values("id", ignore_index=True)
     assert got["id"].tolist() == want["id"].tolist()
     for column in ("seq", "predicted_headway_sec", "residual", "ema", "tree_score", "anomaly_score"):
@@ -73,7 +76,8 @@ def test_scored_stream_is_written_back(spark, scores, tmp_path):
     landed = str(tmp_path / "landed")
     scores_io.read_scores(spark, table).drop("observed_date", "batch_id").coalesce(1).write.parquet(landed)
     stream = spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
-    runs.drain_batches(scoring.stream_score(stream), scoring.write_back(table), "t-write-back")
+    sink = scoring.stream_score(str(tmp_path / "state"), scoring.write_back(table))
+    runs.drain_batches(stream, sink, "t-write-back")
     row = scores_io.read_scores(spark, table).agg(
         F.count(F.lit(1)), F.count("predicted_headway_sec"), F.min("anomaly_score"), F.max("anomaly_score")).first()
     assert row[0] == row[1] == 200 and 0 <= row[2] <= row[3] <= 1
