@@ -9,15 +9,16 @@ merging skips the tokens that many documents have. Pairs that meet are counted o
 has enough matches is confirmed on the full sets.
 
 Sets that are equal are one node from the start. In a long posting list each member is compared with the
-least member, its pivot; members that the links found so far do not join are compared again, block by block,
-until nothing but confirmed or refuted pairs remains. So a group of copies costs a pair per member.
+least member, its pivot; the members that match a pivot are its cluster. What the confirmed links do not join is
+compared again: members away from their pivot with the whole list, and clusters within themselves, block by
+block and on full sets. So a group of copies costs a pair per member, and no link is lost.
 """
 import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from headwise.llm import grams
 from headwise.llm.common import fields, write_and_read
@@ -25,11 +26,12 @@ from headwise.llm.common import fields, write_and_read
 COORDINATES = 64
 SHINGLE = 5
 SIMILARITY = 80  # per cent
-#: Counters of token frequency; tokens that share one are taken for as frequent as both together.
-COUNTERS = 1 << 18
+#: How often postings without a possible partner are taken out.
+PRUNINGS = 2
 #: Posting lists up to this long are compared in full; longer ones with their pivot first.
 SHORT_LIST = 8
 BLOCK_ROWS = 2048
+CLUSTER_ROWS = 512
 NULL_ID = -(1 << 63)
 _COORDINATE_BASE = 0x2545F4914F6CDD1D
 
@@ -113,62 +115,53 @@ def _signatures(column):
     return np.frombuffer(b"".join(bodies), np.uint32).reshape(len(bodies), COORDINATES)
 
 
-def _counters(matrix):
-    """The frequency counter of every token of every signature."""
-    tokens = grams.mix(matrix.astype(np.uint64) + (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)))
-    return tokens, (tokens % np.uint64(COUNTERS)).astype(np.int64)
-
-
-def token_frequencies(sets):
-    """How often each counter is hit; an array of fixed size."""
+def all_tokens(sets):
+    """(token, node): every coordinate-value pair of every set."""
     def run(batches):
-        total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             if batch.num_rows:
-                total += np.bincount(_counters(_signatures(batch.column("signature")))[1].ravel(), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["counter", "n"])
-
-    counted = sets.select("signature").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    table = counted.toArrow()  # COUNTERS rows at most
-    total = np.zeros(COUNTERS, np.int64)
-    total[table.column("counter").to_numpy()] = table.column("n").to_numpy()
-    return total
-
+                matrix = _signatures(batch.column("signature")).astype(np.uint64)
+                tokens = grams.mix(matrix + (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)))
+                nodes = batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), COORDINATES)))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.ravel().view(np.int64)), nodes], names=["token", "node"])
 
-def prefix_postings(sets, frequencies, matches):
-    """(token, node) for the rarest tokens of every set."""
-    shared = sets.sparkSession.sparkContext.broadcast(np.minimum(frequencies, np.iinfo(np.int32).max).astype(np.int32))
-    keep = COORDINATES - matches + 1
+    return sets.select("node", "signature").mapInArrow(run, "token long, node long")
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tokens, counters = _counters(_signatures(batch.column("signature")))
-            order = np.lexsort((tokens, shared.value[counters]), axis=1)[:, :keep]
-            chosen = np.take_along_axis(tokens, order, 1)
-            nodes = pa.array(np.repeat(np.arange(batch.num_rows), keep))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(chosen.ravel().view(np.int64)), batch.column("node").take(nodes)], names=["token", "node"])
 
-    return sets.select("node", "signature").mapInArrow(run, "token long, node long")
+def _shared(posted):
+    """The postings of tokens that at least two nodes have."""
+    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return posted.join(lists, "token")
 
 
 def postings(sets, matches):
-    """(token, node, n, pivot): the posting lists of at least two nodes, their lengths and least nodes."""
-    posted = write_and_read(prefix_postings(sets, token_frequencies(sets), matches), "postings")
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
-    return write_and_read(posted.join(lists, "token"), "lists")
+    """(token, node, n, pivot): the prefix posting lists of at least two nodes, their lengths and least nodes.
+
+    A token that no other node has cannot match. A node with fewer than ``matches`` shared tokens has no
+    partner, so its postings go, and with them others may become unshared. Of the s tokens that a node has
+    left, the s - matches + 1 rarest are its prefix.
+    """
+    shared = write_and_read(_shared(all_tokens(sets)).drop("n"), "shared")
+    for _ in range(PRUNINGS):
+        able = shared.groupBy("node").agg(F.count(F.lit(1)).alias("_s")).filter(F.col("_s") >= matches)
+        shared = write_and_read(_shared(shared.join(able.drop("_s"), "node")).drop("n"), "shared")
+    own = Window.partitionBy("node")
+    ranked = _shared(shared).withColumns({
+        "_s": F.count(F.lit(1)).over(own), "_rank": F.row_number().over(own.orderBy("n", "token"))})
+    prefix = write_and_read(ranked.filter(F.col("_rank") <= F.col("_s") - matches + 1).select("token", "node"), "prefix")
+    lists = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
+    return write_and_read(prefix.join(lists, "token"), "lists")
 
 
 def first_pairs(lists):
-    """Pairs (a < b) to look at first: all of a short list, each member with the pivot of a long one."""
+    """Pairs (a < b, star) to look at first: all of a short list, each member with the pivot of a long one."""
     short = lists.filter(F.col("n") <= SHORT_LIST).groupBy("token").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     every = F.flatten(F.transform("nodes", lambda a, i: F.transform(
         F.slice("nodes", i + 2, F.lit(SHORT_LIST)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     long = lists.filter((F.col("n") > SHORT_LIST) & (F.col("node") != F.col("pivot")))
-    return short.select(F.inline(every)).union(long.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).distinct()
+    pairs = short.select(F.inline(every), F.lit(False).alias("star")).union(
+        long.select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.lit(True).alias("star")))
+    return pairs.groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
 def _alike(sizes_a, sizes_b, similarity):
@@ -182,12 +175,12 @@ def count_matches(pairs, sets, matches, similarity):
             if batch.num_rows:
                 equal = (_signatures(batch.column("signature_a")) == _signatures(batch.column("signature_b"))).sum(1)
                 sizes = [batch.column(c).to_numpy() for c in ("size_a", "size_b")]
-                yield batch.filter(pa.array((equal >= matches) & _alike(*sizes, similarity))).select(["a", "b"])
+                yield batch.filter(pa.array((equal >= matches) & _alike(*sizes, similarity))).select(["a", "b", "star"])
 
     for side in "ab":
         own = sets.select(F.col("node").alias(side), F.col("n_shingles").alias(f"size_{side}"), F.col("signature").alias(f"signature_{side}"))
         pairs = pairs.join(own, side)
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long, star boolean")
 
 
 def confirm(pairs, texts, size, similarity):
@@ -207,46 +200,161 @@ def confirm(pairs, texts, size, similarity):
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def open_pairs(lists, joined, sets, matches, similarity):
-    """Pairs of long lists that are not joined yet and whose signatures match.
+def _blocks(members, key, columns, rows):
+    """Deal the members of each key into blocks: those outside its core against all, as (key, i, j, outside).
 
-    In each list the members outside the pivot's component are compared with all members, in blocks of
-    ``BLOCK_ROWS`` by ``BLOCK_ROWS``, each block a task of its own.
+    ``members`` has key, node, core (of the key) and component. A block pair is a task of its own; keys whose
+    members all belong to one component are done and go.
     """
-    component = F.coalesce("component", "node")
-    held = lists.filter(F.col("n") > SHORT_LIST).join(joined, "node", "left").select("token", "node", "pivot", component.alias("component"))
-    mixed = held.groupBy("token").agg(
-        F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most"),
-        F.max(F.when(F.col("node") == F.col("pivot"), F.col("component"))).alias("core")).filter("least < most")
-    held = write_and_read(held.join(mixed, "token"), "open-lists").drop("pivot", "least", "most")
-    outside = held.filter("component != core").groupBy("token").agg(F.count(F.lit(1)).alias("n_outside"))
-    held = held.join(outside, "token").join(sets.select("node", "n_shingles", "signature"), "node")
-    blocks, outer = F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("n_outside") / BLOCK_ROWS)
-    place = F.xxhash64("node")
+    mixed = members.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("component") != F.col("core")).alias("n_outside")
+    ).filter("n_outside > 0")
+    held = members.join(mixed, key)
+    blocks, outer = F.ceil(F.col("n") / rows), F.ceil(F.col("n_outside") / rows)
+    place, zero = F.xxhash64("node"), F.lit(0).cast("long")
     targets = held.select("*", F.lit(False).alias("outside"), F.pmod(place, blocks).alias("j"),
-                          F.explode(F.sequence(F.lit(0).cast("long"), outer - 1)).alias("i"))
+                          F.explode(F.sequence(zero, outer - 1)).alias("i"))
     queries = held.filter("component != core").select(
-        "*", F.lit(True).alias("outside"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"),
-        F.pmod(place, outer).alias("i"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        "*", F.lit(True).alias("outside"), F.explode(F.sequence(zero, blocks - 1)).alias("j"), F.pmod(place, outer).alias("i"))
+    columns = [key, "i", "j", "outside", "node", "component", *columns]
+    return queries.select(*columns).union(targets.select(*columns)).groupBy(key, "i", "j")
+
+
+def _sides(table):
+    asks = table.column("outside").to_numpy()
+    return table.filter(pa.array(asks)), table.filter(pa.array(~asks))
+
+
+def open_pairs(lists, joined, pairs, sets, matches, similarity):
+    """Pairs of long lists, (a, b, star), that are not joined yet and whose signatures match.
+
+    Two members that both match their list's pivot stand in the pivot's cluster (see :func:`close_clusters`) and
+    are left to it. Of the others, each is in turn a pivot with a cluster of its own, unless it is in an earlier
+    cluster; then only its matches outside that cluster are pairs. So even where nearly all members match each
+    other without being joined, the pairs stay few.
+    """
+    component = F.coalesce("component", "node")
+    stars = pairs.filter("star").select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.lit(True).alias("near"))
+    long = lists.filter(F.col("n") > SHORT_LIST).select("token", "node", "pivot")
+    near = (F.col("node") == F.col("pivot")) | F.coalesce("near", F.lit(False))
+    held = long.join(stars, ["pivot", "node"], "left").join(joined, "node", "left").select(
+        "token", "node", "pivot", component.alias("component"), near.alias("near"))
+    # Lists all of whose members match the pivot are left to its cluster.
+    loose = held.filter("not near").select("token").distinct()
+    held = write_and_read(held.join(loose, "token"), "open-lists")
+    # Outside the core here means not near the pivot: each of these is compared with all members.
+    members = held.withColumn("core", F.lit(True)).select(
+        "token", "node", "core", F.col("near").alias("component"), F.col("component").alias("part")
+    ).join(sets.select("node", "n_shingles", "signature"), "node")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("star", pa.bool_())])
 
     def compare(table):
-        asks = table.column("outside").to_numpy()
-        query, target = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
-        found = []
+        query, target = _sides(table)
+        found = {}
         if query.num_rows and target.num_rows:
-            signs = _signatures(target.column("signature"))
-            nodes, parts, sizes = (target.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
-            for row, node, part, size in zip(_signatures(query.column("signature")), *(
-                    query.column(c).to_pylist() for c in ("node", "component", "n_shingles"))):
-                maybe = np.flatnonzero((parts != part) & _alike(sizes, size, similarity))
-                maybe = maybe[(signs[maybe] == row).sum(1) >= matches]
-                found += [(min(node, other), max(node, other)) for other in nodes[maybe].tolist()]
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*found)] if found else [[], []], schema=schema)
+            q_signs, t_signs = _signatures(query.column("signature")), _signatures(target.column("signature"))
+            q_nodes, q_parts, q_sizes = (query.column(c).to_numpy() for c in ("node", "part", "n_shingles"))
+            t_nodes, t_parts, t_sizes = (target.column(c).to_numpy() for c in ("node", "part", "n_shingles"))
+            covered = np.full(len(q_nodes), -1)
+            reached = {}
+
+            def add(node, others, star):
+                for other in others.tolist():
+                    if other != node:
+                        pair = (min(node, other), max(node, other))
+                        found[pair] = found.get(pair, False) or star
+
+            def alike(k, signs, sizes):
+                return ((signs == q_signs[k]).sum(1) >= matches) & _alike(sizes, q_sizes[k], similarity)
+
+            for k in range(len(q_nodes)):
+                hits = alike(k, t_signs, t_sizes)
+                if covered[k] < 0:
+                    if not (hits & (t_parts != q_parts[k])).any():
+                        continue
+                    mine = alike(k, q_signs, q_sizes)
+                    covered[mine & (covered < 0)] = k
+                    reached[k] = hits
+                    add(int(q_nodes[k]), t_nodes[hits], True)
+                    add(int(q_nodes[k]), q_nodes[mine], True)
+                else:
+                    add(int(q_nodes[k]), t_nodes[hits & ~reached[covered[k]] & (t_parts != q_parts[k])], False)
+        columns = list(zip(*[(a, b, star) for (a, b), star in found.items()])) or [[], [], []]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return _blocks(members, "token", ["part", "n_shingles", "signature"], BLOCK_ROWS).applyInArrow(
+        compare, "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
+
+
+def _common(left, right):
+    """Sizes of the intersections of all sets of ``left`` with all of ``right``, by sparse columns in slices."""
+    flat = np.concatenate([*left, *right])
+    values, times = np.unique(flat, return_counts=True)
+    values = values[times > 1]
+    total = np.zeros((len(left), len(right)), np.float32)
+    if not len(values):
+        return total
+
+    def places(sets):
+        rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        data = np.concatenate(sets)
+        columns = np.minimum(np.searchsorted(values, data), len(values) - 1)
+        real = values[columns] == data
+        order = np.argsort(columns[real], kind="stable")
+        return rows[real][order], columns[real][order]
+
+    sides = [places(left), places(right)]
+    for start in range(0, len(values), 2048):
+        dense = []
+        for (rows, columns), n in zip(sides, total.shape):
+            a, b = np.searchsorted(columns, (start, start + 2048))
+            part = np.zeros((n, min(2048, len(values) - start)), np.float32)
+            part[rows[a:b], columns[a:b] - start] = 1
+            dense.append(part)
+        total += dense[0] @ dense[1].T
+    return total
+
+
+def close_clusters(stars, joined, texts, size, similarity):
+    """Links (a, b) between members of a pivot's cluster that are not joined yet, confirmed on full sets.
 
-    columns = ["token", "i", "j", "outside", "node", "component", "n_shingles", "signature"]
-    return queries.select(*columns).union(targets.select(*columns)).groupBy("token", "i", "j").applyInArrow(
-        compare, "a long, b long").distinct()
+    Only as many links as join the components of a block are returned.
+    """
+    clusters = stars.select(F.col("a").alias("pivot"), F.col("b").alias("node")).union(
+        stars.select(F.col("a").alias("pivot"), F.col("a").alias("node"))).distinct()
+    members = clusters.join(joined, "node", "left").select(
+        "pivot", "node", F.coalesce("component", "node").alias("component"))
+    core = members.filter("pivot = node").select("pivot", F.col("component").alias("core"))
+    members = write_and_read(members.join(core, "pivot"), "clusters")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(table):
+        query, target = _sides(table)
+        found, parent = [], {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        if query.num_rows and target.num_rows:
+            left, right = (_shingles([grams.encode(t) for t in side.column("text").to_pylist()], size) for side in (query, target))
+            both = _common(left, right)
+            sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+            similar = 100 * both >= similarity * (sizes[0][:, None] + sizes[1][None, :] - both)
+            nodes, parts = zip(*((side.column("node").to_pylist(), side.column("component").to_pylist()) for side in (query, target)))
+            for i, k in zip(*np.nonzero(similar)):
+                a, b = root(parts[0][i]), root(parts[1][k])
+                if a != b:
+                    parent[a] = b
+                    found.append((nodes[0][i], nodes[1][k]))
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], []))], schema=schema)
+
+    # The texts of members go along only for clusters that are not one component.
+    mixed = members.filter("component != core").select("pivot").distinct()
+    members = members.join(mixed, "pivot").join(texts, "node")
+    return _blocks(members, "pivot", ["text"], CLUSTER_ROWS).applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY):
@@ -289,10 +397,17 @@ def near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY):
     others = apart(pairs.join(nearest, ["a", "b"], "left_anti"), joined)
     links = links.union(write_and_read(confirm(others, texts, shingle, similarity), "links"))
     joined = components(links)
-    more = write_and_read(open_pairs(lists, joined, sets, matches, similarity).join(pairs, ["a", "b"], "left_anti"), "open")
+    # Then what pivots cannot tell: members of long lists away from their pivot, and the clusters of pivots.
+    more = write_and_read(open_pairs(lists, joined, pairs, sets, matches, similarity), "open")
     if not more.isEmpty():
-        links = links.union(write_and_read(confirm(more, texts_of(more), shingle, similarity), "links"))
+        texts = texts_of(pairs.union(more))
+        fresh = apart(more.join(pairs, ["a", "b"], "left_anti"), joined)
+        links = links.union(write_and_read(confirm(fresh, texts, shingle, similarity), "links"))
         joined = components(links)
+    stars = pairs.union(more).filter("star").select("a", "b").distinct()
+    closing = write_and_read(close_clusters(stars, joined, texts, shingle, similarity), "links")
+    if not closing.isEmpty():
+        joined = components(links.union(closing))
 
     named = sets.select("key", "node", F.col("least.doc_id").alias("own"))
     linked = joined.join(named, "node")
