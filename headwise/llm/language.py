@@ -22,8 +22,8 @@ BATCH = 256
 RATE = 0.02
 #: Windows that are read at once.
 SLAB = 2048
-#: Documents of a lower score are rejected by :func:`keep_known`.
-MIN_SCORE = 0.35
+#: Documents of a lower score are rejected by :func:`keep_known`; at 0 only those without a letter go.
+MIN_SCORE = 0.0
 UNKNOWN = "und"
 
 
