@@ -60,12 +60,13 @@ def gradient(flat, corrupted, clean):
 
 
 class Trainer:
-    """Adam over minibatches, starting from shared weights."""
+    """Adam over minibatches, starting from shared weights and moments."""
 
-    def __init__(self, flat, seed):
+    def __init__(self, flat, seed, moments=None, steps=0):
         self.flat = np.array(flat, dtype=float)
         self.rng = np.random.default_rng(seed)
-        self.m, self.v, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        self.m, self.v = moments or (np.zeros_like(self.flat), np.zeros_like(self.flat))
+        self.t = steps
         self.rows, self.loss = 0, 0.0
 
     def train(self, x):

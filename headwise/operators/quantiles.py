@@ -14,8 +14,8 @@ _CODE_OFFSET = 1100 * _FINE_PER_OCTAVE
 def exact_quantiles(rows, keys, value, probs, group_limit=GROUP_LIMIT):
     """Per group: ``n`` and the array ``quantiles`` (linear interpolation).
 
-    The largest group is measured first. Small groups take the built-in
-    aggregate. Otherwise order statistics are located by histograms: a coarse
+    Both ways below are exact and give the same values; the largest group is
+    measured to choose the cheaper one. Small groups take the built-in aggregate. Otherwise order statistics are located by histograms: a coarse
     logarithmic one, a fine one inside the coarse bins that hold a wanted rank,
     and finally the distinct values of those fine bins. Every step is a
     counting aggregate with map-side combine, so no task sees a whole group.
@@ -54,7 +54,8 @@ def exact_median_mad(rows, keys, value, group_limit=GROUP_LIMIT):
 
 def _valued(rows, keys, value):
     x = F.col(value).cast("double")
-    return rows.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull())
+    # Neither null nor NaN has a place in an order; both branches leave them out.
+    return rows.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
 
 
 def largest_group(sizes):

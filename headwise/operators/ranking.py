@@ -1,6 +1,6 @@
 """Ordered limits. Each is a top-k per partition plus one merge, and every
 ordering ends in ``id`` so that results are deterministic."""
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from headwise.operators.filters import positive_headway, recent_window_filter, scored, unscored
 from headwise.params import bounded
@@ -40,7 +40,15 @@ def top_error_events(errors, k=5):
 
 
 def anomaly_page(ranked, page=1, page_size=20):
-    """One page of an already limited ranking; a page past the end is the last page."""
-    pages = max(1, -(-ranked.count() // page_size))
-    page = min(max(1, page), pages)
-    return ranked.orderBy(*_worst_first()).offset((page - 1) * page_size).limit(page_size)
+    """One page of an already limited ranking; a page past the end is the last page.
+
+    The ranking has at most its limit of rows, so one window numbers and counts it.
+    """
+    order = Window.orderBy(*_worst_first())
+    numbered = ranked.withColumns({
+        "_rank": F.row_number().over(order),
+        "_n": F.count(F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
+    last = F.greatest(F.ceil(F.col("_n") / page_size), F.lit(1))
+    start = (F.least(F.lit(max(1, page)), last) - 1) * page_size
+    return numbered.where((F.col("_rank") > start) & (F.col("_rank") <= start + page_size)).orderBy("_rank").drop("_rank", "_n")

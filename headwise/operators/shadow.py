@@ -1,7 +1,6 @@
 """Self-supervised shadow detector: features, standardisation, training, telemetry."""
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from headwise.functions.clock import cyclic_time
@@ -22,7 +21,10 @@ FEATURES = [
 MIN_ROWS = 256
 MODEL_NAME = "denoising_autoencoder_v1"
 
-ROWS_PER_TASK = 16_384
+# Rows are trained on in shards by a hash of their id, so the result does not depend on partitions. The number
+# of shards is part of the model; a task holds one block of rows.
+SHARDS = 8
+BLOCK_ROWS = 8192
 
 
 def shadow_features(scored_rows):
@@ -39,17 +41,9 @@ def shadow_features(scored_rows):
 
 
 def training_table(scored_rows):
-    """Features materialised once (training reads them several times) and their count.
-
-    A small table is spread so that every task still has enough rows for useful
-    local training; a large one keeps the partitions of its scan.
-    """
-    features = shadow_features(scored_rows)
-    tasks = features.sparkSession.sparkContext.defaultParallelism
-    samples = features.count()
-    if samples < tasks * ROWS_PER_TASK:
-        features = features.repartition(max(1, samples // ROWS_PER_TASK), "id")
-    return write_and_read(features, "shadow-features"), samples
+    """Features materialised once (training reads them several times) and their count."""
+    features = write_and_read(shadow_features(scored_rows), "shadow-features")
+    return features, features.count()
 
 
 def standardise_matrix(features):
@@ -70,40 +64,61 @@ def standardise_matrix(features):
     )
 
 
-def _epoch(matrix, weights, epoch, seed):
-    """One local pass per partition, then a row-weighted average of the weights.
+def _epoch(matrix, state, epoch, seed, shards):
+    """One local pass per shard, then a row-weighted average of weights and moments.
 
-    Only the weights (about 2500 numbers per partition) are shuffled, already
-    combined on the map side, and only their average reaches the driver.
+    A shard is read in order of id and in blocks of fixed size. Only the vectors (about 7500 numbers per shard)
+    are shuffled, already combined on the map side, and only their average reaches the driver.
     """
-    def train(frames):
-        trainer = autoencoder.Trainer(weights, [seed, epoch, TaskContext.get().partitionId()])
-        for frame in frames:
-            trainer.train(frame.to_numpy())
-        if trainer.rows:
-            yield pd.DataFrame({
-                "rows": [trainer.rows], "loss": [trainer.loss], "weights": [trainer.flat.tolist()]
-            })
+    weights, moments, steps = state
+    ordered = matrix.select(
+        F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", *FEATURES
+    ).repartition("shard").sortWithinPartitions("shard", "id")
 
-    local = matrix.select(*FEATURES).mapInPandas(train, "rows long, loss double, weights array<double>")
-    # The loss rides along as the last element of the vector.
-    parts = local.select("rows", F.posexplode(F.concat("weights", F.array("loss"))).alias("i", "w"))
-    average = parts.groupBy("i").agg((F.sum(F.col("w") * F.col("rows")) / F.sum("rows")).alias("w"))
-    values = [r["w"] for r in average.orderBy("i").collect()]
-    return np.array(values[:-1]), values[-1]
+    def train(frames):
+        shard = trainer = held = None
 
+        def done():
+            trainer.train(held)
+            vector = np.concatenate([trainer.flat, trainer.m, trainer.v, [trainer.loss]])
+            return pd.DataFrame({"rows": [trainer.rows], "steps": [trainer.t], "vector": [vector.tolist()]})
 
-def shadow_autoencoder(matrix, weights=None, epochs=autoencoder.EPOCHS, seed=7):
+        for frame in frames:
+            for key, part in frame.groupby("shard", sort=True):
+                if key != shard:
+                    if trainer is not None:
+                        yield done()
+                    shard, held = key, np.zeros((0, len(FEATURES)))
+                    trainer = autoencoder.Trainer(weights, [seed, epoch, int(key)], moments, steps)
+                held = np.concatenate([held, part[FEATURES].to_numpy()])
+                while len(held) > BLOCK_ROWS:
+                    trainer.train(held[:BLOCK_ROWS])
+                    held = held[BLOCK_ROWS:]
+        if trainer is not None:
+            yield done()
+
+    local = ordered.mapInPandas(train, "rows long, steps long, vector array<double>")
+    parts = local.select("rows", "steps", F.posexplode("vector").alias("i", "w"))
+    average = parts.groupBy("i").agg(
+        (F.sum(F.col("w") * F.col("rows")) / F.sum("rows")).alias("w"), F.max("steps").alias("steps"))
+    rows = average.orderBy("i").collect()
+    *values, loss = [r["w"] for r in rows]
+    flat, m, v = np.split(np.array(values), 3)
+    return (flat, (m, v), rows[0]["steps"]), loss
+
+
+def shadow_autoencoder(matrix, weights=None, epochs=autoencoder.EPOCHS, seed=7, shards=SHARDS):
     """Train over all rows of a standardised matrix and score each row.
 
     Returns (rows with ``err``, weights, last loss). ``weights`` of an earlier
-    run give a warm start.
+    run give a warm start; the optimiser's moments go on from epoch to epoch.
     """
     if weights is None or len(weights) != len(autoencoder.initial_weights()):
         weights = autoencoder.initial_weights(seed)
-    loss = 0.0
+    state, loss = (np.asarray(weights, dtype=float), None, 0), 0.0
     for epoch in range(max(1, epochs)):
-        weights, loss = _epoch(matrix, np.asarray(weights), epoch, seed)
+        state, loss = _epoch(matrix, state, epoch, seed, shards)
+    weights = state[0]
 
     identity = ["id", "observed_ts", "route_id", "stop_id", "score"]
 
@@ -117,6 +132,7 @@ def shadow_autoencoder(matrix, weights=None, epochs=autoencoder.EPOCHS, seed=7):
     return matrix.mapInPandas(score, schema), weights, loss
 
 
+# Names of the published telemetry, here and in ``run_shadow``.
 def _telemetry_without_training(spark, samples, last_run_utc):
     events = "array<struct<route_id:string,stop_id:string,stop_name:string,dl_error:double,online_score:double>>"
     zeros = ("loss_last", "recon_error_p90", "recon_error_p99", "recon_error_max")

@@ -3,11 +3,14 @@
 Each takes (spark, folder) and returns a DataFrame with zone-less timestamps.
 Doubles that depend on summation order or on library math are rounded.
 """
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from headwise.functions import clock, geo, hashing, scoring
 from headwise.operators import aggregates, drift, filters, joins, online, ranking, shadow, windows
 from headwise.plans import serve
+from headwise.plans.cycles import score_cycle
 from headwise.session import prepare, work_path, write_and_read
 from headwise.sources import feeds, model_state, scores as scores_io, star_tables, static_files, telemetry
 from headwise.streaming import headways, ingest, runs, scoring as stream_scoring, summaries
@@ -233,7 +236,8 @@ def _(spark, folder):
 @query("last_seen_lookup")
 def _(spark, folder):
     earliest = windows.headway_lag(_earliest(spark, folder))
-    cut = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    middle = earliest.agg(F.timestamp_seconds(F.floor((F.unix_seconds(F.min("poll_ts")) + F.unix_seconds(F.max("poll_ts"))) / 2)))
+    cut = middle.scalar()
     state = earliest.where(F.col("poll_ts") < cut).groupBy("route_id", "stop_id").agg(
         F.max_by("arrival", F.struct("poll_ts", "feed_ord")).alias("arrival")
     )
@@ -577,12 +581,74 @@ def _(spark, folder):
     return star_tables.stops(spark, folder).select("stop_id", "stop_name", "lat", "lon", F.size("routes").alias("n_routes"))
 
 
+def _documents(spark, folder):
+    """Telemetry of a model that ran, and of a shadow detector that has not."""
+    path = work_path(spark, "health")
+    good = _raw(spark, folder).agg(F.count(F.lit(1)).alias("rows_seen"), F.max("id").alias("rows_updated"))
+    telemetry.telemetry_write(good, f"{path}/model")
+    return f"{path}/model", f"{path}/shadow"
+
+
 @query("q_freshness")
 def _(spark, folder):
     served = _served(spark, folder)
+    model, shadow_path = _documents(spark, folder)
     return serve.freshness(
-        served, star_tables.stops(spark, folder), _newest(served, "600"), model_status="available"
-    )
+        served, star_tables.stops(spark, folder), _newest(served, "600"), telemetry.telemetry_read(spark, model),
+        telemetry.shadow_health_read(spark, shadow_path))
+
+
+@query("telemetry_read_all")
+def _(spark, folder):
+    model, shadow_path = _documents(spark, folder)
+    cases = [telemetry.telemetry_read_all(spark, p).select(F.lit(n).alias("document_name"), "status", "document")
+             for n, p in (("model", model), ("shadow", shadow_path))]
+    return cases[0].unionByName(cases[1])
+
+
+@query("routes_fingerprint")
+def _(spark, folder):
+    return serve.routes_fingerprint(_raw(spark, folder), star_tables.static_routes(spark, folder))
+
+
+@query("station_layer")
+def _(spark, folder):
+    get = lambda path: F.get_json_object("feature", path)
+    return geo.station_feature(star_tables.stops(spark, folder)).select(
+        get("$.properties.stop_id").alias("stop_id"), get("$.properties.stop_name").alias("stop_name"),
+        get("$.geometry.coordinates[0]").cast("double").alias("lon"),
+        get("$.geometry.coordinates[1]").cast("double").alias("lat"))
+
+
+@query("heatmap_collection")
+def _(spark, folder):
+    """The collection is decoded again, so that values are compared."""
+    served = _served(spark, folder)
+    rows = serve.heatmap(served, star_tables.stops(spark, folder), WEEK)
+    document = geo.feature_collection(rows.select("feature"), serve.run_stamp(_newest(served)))
+    get = lambda path: F.get_json_object("collection", path)
+    ids = F.from_json(get("$.features[*].properties.stop_id"), "array<string>")
+    return document.select(get("$.type").alias("type"), get("$.timestamp").alias("timestamp"), F.explode(ids).alias("stop_id"))
+
+
+@query("rewrite_scores")
+def _(spark, folder):
+    path = work_path(spark, "stored")
+    scores_io.append_scores(_raw(spark, folder), path)
+    fresh = filters.recent_window_filter(_served(spark, folder), DAY).where("predicted_headway_sec is not null")
+    scores_io.rewrite_scores(spark, path, fresh)
+    return scores_io.read_scores(spark, path).select("id", "predicted_headway_sec", "residual", "anomaly_score")
+
+
+@query("score_cycle")
+def _(spark, folder):
+    """One cycle over a stored table: the oldest 4096 usable rows get their scores."""
+    path = work_path(spark, "cycle")
+    scores_io.append_scores(_raw(spark, folder), f"{path}/scores")
+    now = datetime(2024, 2, 1, tzinfo=timezone.utc)
+    score_cycle(spark, f"{path}/scores", f"{path}/state", f"{path}/telemetry", now)
+    stored = scores_io.read_scores(spark, f"{path}/scores").where("predicted_headway_sec is not null")
+    return rounded(stored.select("id", "predicted_headway_sec", "residual", "anomaly_score"), 4)
 
 
 @query("q_features_batch")

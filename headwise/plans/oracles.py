@@ -336,8 +336,10 @@ ORACLES = {
     "last_seen_lookup": _with(
         """SELECT poll_ts, feed, route_id, stop_id, arrival,
              (SELECT arg_max(p.arrival, (p.poll_ts, p.feed_ord)) FROM earliest p
-              WHERE p.route_id = e.route_id AND p.stop_id = e.stop_id AND p.poll_ts < '2024-01-16') AS prev_arrival
-           FROM earliest e WHERE poll_ts >= '2024-01-16'""", _FEED),
+              WHERE p.route_id = e.route_id AND p.stop_id = e.stop_id AND p.poll_ts < middle.cut) AS prev_arrival
+           FROM earliest e, (SELECT make_timestamp((epoch_us(min(poll_ts)) // 1000000 + epoch_us(max(poll_ts)) // 1000000) // 2 * 1000000) AS cut
+                             FROM earliest) middle
+           WHERE poll_ts >= middle.cut""", _FEED),
     # Aggregates
     "earliest_arrival": _with("SELECT poll_ts, feed, route_id, stop_id, arrival FROM earliest", _FEED),
     "headway_median_mad": _with("SELECT * FROM stats", _STATS),
@@ -466,7 +468,31 @@ ORACLES = {
              count(*) FILTER (observed_ts >= (SELECT max(observed_ts) FROM raw) - INTERVAL 5 MINUTE) AS scores_recent_15m,
              {_pack('(SELECT max(observed_ts) FROM raw)', 'last_observed_ts_')},
              CAST(600 AS BIGINT) AS last_observed_age_sec, true AS fresh, (SELECT count(*) FROM stops) AS stops_count,
-             'available' AS model_status, 'unavailable' AS shadow_status FROM served"""),
+             'available' AS model_status, 'unavailable' AS shadow_status,
+             '{{"rows_seen":' || count(*) || ',"rows_updated":' || max(id) || '}}' AS model_telemetry,
+             CAST(NULL AS VARCHAR) AS shadow_telemetry FROM served"""),
+    "telemetry_read_all": _with(
+        """SELECT 'model' AS document_name, 'available' AS status,
+             '{"rows_seen":' || count(*) || ',"rows_updated":' || max(id) || '}' AS document FROM raw
+           UNION ALL SELECT 'shadow', 'unavailable', NULL"""),
+    "routes_fingerprint": _with(
+        """SELECT CAST(sum(n) AS BIGINT) AS n, substr(sha1(string_agg(bucket || ':' || digest, ',' ORDER BY bucket)), 1, 16) AS fingerprint
+           FROM (SELECT substr(md5(route_id), 1, 2) AS bucket, count(*) AS n,
+                        sha1(string_agg(route_id, ',' ORDER BY route_id)) AS digest
+                 FROM (SELECT DISTINCT route_id FROM raw
+                       WHERE observed_ts >= (SELECT max(observed_ts) FROM raw) - INTERVAL 24 HOUR) GROUP BY 1)"""),
+    "station_layer": _with("SELECT stop_id, stop_name, lon, lat FROM stops"),
+    "heatmap_collection": _with(
+        """SELECT 'FeatureCollection' AS type, strftime((SELECT max(observed_ts) FROM raw), '%Y-%m-%dT%H:%M:%SZ') AS timestamp, stop_id
+           FROM top1 JOIN stops USING (stop_id)""", _WEEK_TOP1),
+    "rewrite_scores": _with(
+        """SELECT id, CASE WHEN fresh THEN predicted_headway_sec END AS predicted_headway_sec,
+             CASE WHEN fresh THEN residual END AS residual, CASE WHEN fresh THEN anomaly_score ELSE 0.0 END AS anomaly_score
+           FROM (SELECT *, predicted_headway_sec IS NOT NULL
+                   AND observed_ts >= (SELECT max(observed_ts) FROM raw) - INTERVAL 24 HOUR AS fresh FROM served)"""),
+    "score_cycle": _with(
+        "SELECT id, " + ", ".join(f"{_r(c, 4)} AS {c}" for c in ("predicted_headway_sec", "residual", "anomaly_score"))
+        + """ FROM scorer WHERE id IN (SELECT id FROM raw WHERE headway_sec > 0 ORDER BY observed_ts, id LIMIT 4096)""", *_SCORER),
     "q_features_batch": _with(
         """, recent AS (SELECT id, route_id, stop_id, hour(observed_ts) AS h, headway_sec FROM week WHERE headway_sec > 0),
            grouped AS (SELECT route_id, stop_id, h, median(headway_sec) AS median, mad(headway_sec) AS mad FROM recent GROUP BY ALL)

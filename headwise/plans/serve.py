@@ -69,8 +69,20 @@ def routes_fingerprint(scores, static_routes, as_of=None):
     return set_fingerprint(distinct_routes(scores, static_routes, as_of), "route_id")
 
 
-def freshness(scores, stops, as_of=None, model_status="unavailable", shadow_status="unavailable"):
-    """Totals, age of the newest row, and the overall health status."""
+def _health(document, name):
+    """Status and payload of a telemetry document; one nobody wrote is unavailable."""
+    if document is None:
+        return F.lit("unavailable").alias(f"{name}_status"), F.lit(None).cast("string").alias(f"{name}_telemetry")
+    fields = [F.col(c) for c in document.columns if c != "status"]
+    known = F.when(F.col("status") == "available", F.to_json(F.struct(*fields)))
+    return document.select("status").scalar().alias(f"{name}_status"), document.select(known).scalar().alias(f"{name}_telemetry")
+
+
+def freshness(scores, stops, as_of=None, model=None, shadow=None):
+    """Totals, age of the newest row, the telemetry documents of model and shadow, and the overall status.
+
+    ``model`` and ``shadow`` are one-row documents as ``telemetry_read`` and ``shadow_health_read`` give them.
+    """
     now = F.current_timestamp() if as_of is None else instant(as_of, scores)
     recent = F.count_if(F.col("observed_ts") >= now - F.expr(f"INTERVAL '{FRESH_SEC}' SECOND"))
     totals = scores.agg(
@@ -80,14 +92,14 @@ def freshness(scores, stops, as_of=None, model_status="unavailable", shadow_stat
     age = F.floor((F.unix_micros(F.coalesce("_now", now)) - F.unix_micros("_last")) / 1_000_000).cast("long")
     checked = totals.withColumn("last_observed_age_sec", age).withColumn(
         "fresh", F.coalesce(F.col("last_observed_age_sec") <= FRESH_SEC, F.lit(False))
-    ).withColumn("stops_count", stops.agg(F.count(F.lit(1))).scalar())
-    broken = F.lit("error" in (model_status, shadow_status))
+    ).withColumn("stops_count", stops.agg(F.count(F.lit(1))).scalar()).select(
+        "*", *_health(model, "model"), *_health(shadow, "shadow"))
+    broken = (F.col("model_status") == "error") | (F.col("shadow_status") == "error")
     healthy = F.col("fresh") & (F.col("stops_count") > 0) & ~broken
-    pack = ts_pack(F.col("_last"), "last_observed")
     return checked.select(
         F.when(healthy, "ok").otherwise("degraded").alias("status"),
-        "scores_total", "scores_recent_15m", *pack, "last_observed_age_sec", "fresh", "stops_count",
-        F.lit(model_status).alias("model_status"), F.lit(shadow_status).alias("shadow_status"),
+        "scores_total", "scores_recent_15m", *ts_pack(F.col("_last"), "last_observed"), "last_observed_age_sec", "fresh",
+        "stops_count", "model_status", "shadow_status", "model_telemetry", "shadow_telemetry",
     )
 
 

@@ -164,3 +164,13 @@ def test_cut_scan_finds_a_level_shift(spark):
 def test_text_headways(spark):
     rows = spark.createDataFrame([Row(headway_sec=t) for t in ("12.5", "n/a", "-3", "0", None, "NaN")])
     assert [r.headway_sec for r in filters.positive_headway(rows).collect()] == [12.5]
+
+
+@pytest.mark.parametrize("group_limit", [2, 1000])
+def test_quantiles_leave_out_nulls_and_nans(spark, group_limit):
+    rows = spark.createDataFrame(
+        [("a", float(v)) for v in (1, 2, 3, 4)] + [("a", float("nan")), ("a", None), ("b", float("nan"))], "k string, x double")
+    found = quantiles.exact_quantiles(rows, ["k"], "x", [0.5, 1.0], group_limit).collect()
+    assert [(r.k, r.n, list(r.quantiles)) for r in found] == [("a", 4, [2.5, 4.0])]
+    middle = quantiles.exact_median_mad(rows, ["k"], "x", group_limit).collect()
+    assert [(r.k, r["median"], r["mad"]) for r in middle] == [("a", 2.5, 1.0)]

@@ -67,7 +67,11 @@ def test_freshness(scores, stops, spark):
     stale = serve.freshness(rows, stops, START + timedelta(seconds=901)).first()
     assert (stale.status, stale.fresh) == ("degraded", False)
     assert serve.freshness(rows, stops.limit(0), START).first().status == "degraded"
-    assert serve.freshness(rows, stops, START, model_status="error").first().status == "degraded"
+    document = lambda status: spark.createDataFrame([(status, 5)], "status string, rows_seen long")
+    assert serve.freshness(rows, stops, START, model=document("error")).first().status == "degraded"
+    told = serve.freshness(rows, stops, START, model=document("available"), shadow=document("unavailable")).first()
+    assert (told.status, told.model_status, told.shadow_status) == ("ok", "available", "unavailable")
+    assert (told.model_telemetry, told.shadow_telemetry) == ('{"rows_seen":5}', None)
     empty = serve.freshness(scores([]), stops, START).first()
     assert (empty.status, empty.scores_total, empty.last_observed_age_sec, empty.fresh) == ("degraded", 0, None, False)
 

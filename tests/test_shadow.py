@@ -42,3 +42,11 @@ def test_training_telemetry_and_warm_start(scores):
     _, _, cold = shadow.shadow_autoencoder(shadow.standardise_matrix(shadow.shadow_features(rows)), None, 1)
     _, _, warm = shadow.shadow_autoencoder(shadow.standardise_matrix(shadow.shadow_features(rows)), weights, 1)
     assert warm < cold
+
+
+def test_training_does_not_depend_on_partitions(scores):
+    features = shadow.shadow_features(rows_for(scores, 900))
+    runs = [shadow.shadow_autoencoder(shadow.standardise_matrix(features.repartition(n)), None, 2) for n in (1, 8)]
+    np.testing.assert_allclose(runs[0][1], runs[1][1], rtol=1e-6, atol=1e-9)
+    errors = [{r.id: r.err for r in run[0].collect()} for run in runs]
+    assert all(abs(errors[0][i] - errors[1][i]) < 1e-6 for i in errors[0])
