@@ -1,12 +1,12 @@
 """Near-duplicate detection by an inverted join of MinHash signature coordinates.
 
-A document's set of word shingles gets a signature of ``COORDINATES`` least hashes. Two sets of similarity s
-agree in about that share of coordinates; all but about one in a million pairs at the threshold agree in at
-least :func:`needed_matches` of them. Every coordinate-value pair is a token under which documents are
-posted. With tokens in order of frequency, rarest first, two documents with m equal tokens of
-``COORDINATES`` share one of the first ``COORDINATES - m + 1`` of either: only this prefix is posted, and
-merging skips the tokens that many documents have. Pairs that meet are counted on whole signatures, and what
-has enough matches is confirmed on the full sets.
+A document's set of word shingles gets a signature of least hashes. Two sets of similarity s agree in about that
+share of coordinates; all but about one in a million pairs at the threshold agree in at least
+:func:`needed_matches` of them. Every coordinate-value pair of the first ``COORDINATES`` is a token under which
+documents are posted. With tokens in order of frequency, rarest first, two documents with m equal tokens share one
+of the first ``COORDINATES - m + 1`` of either: only this prefix is posted, and merging skips the tokens that many
+documents have. Pairs that meet are counted on whole signatures, and what has enough matches is confirmed on the
+full sets.
 
 Sets that are equal are one node from the start. In a long posting list each member is compared with the
 least member, its pivot; the members that match a pivot are its cluster. What the confirmed links do not join is
@@ -23,7 +23,9 @@ from pyspark.sql import Window, functions as F
 from headwise.llm import grams
 from headwise.llm.common import fields, write_and_read
 
+#: Coordinates that are posted, and more that are only counted, by one byte each.
 COORDINATES = 64
+COUNTED = 192
 SHINGLE = 5
 SIMILARITY = 80  # per cent
 #: How often postings without a possible partner are taken out.
@@ -56,34 +58,35 @@ def _shingles(texts, size):
 
 def _coordinates():
     """One odd multiplier and one offset per coordinate."""
-    seeds = grams.mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(_COORDINATE_BASE))
-    return (seeds[:COORDINATES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (seeds[COORDINATES:] >> np.uint64(32)).astype(np.uint32)
+    n = COORDINATES + COUNTED
+    seeds = grams.mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(_COORDINATE_BASE)) >> np.uint64(32)
+    return seeds[:n].astype(np.uint32) | np.uint32(1), seeds[n:].astype(np.uint32)
 
 
 def signatures(sets):
-    """Least hash of every set in each coordinate, as a matrix of 32-bit numbers; no set may be empty."""
+    """Signature of every set as bytes: least hashes of 32 bits, then the last bytes of more; no set may be empty."""
     multipliers, offsets = _coordinates()
     values = np.concatenate(sets)
     starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1])).astype(np.int64)
     x = (values >> np.uint64(32)).astype(np.uint32) ^ values.astype(np.uint32)
-    out = np.empty((len(sets), COORDINATES), np.uint32)
-    for c in range(COORDINATES):
+    out = np.empty((len(sets), COORDINATES + COUNTED), np.uint32)
+    for c in range(COORDINATES + COUNTED):
         h = (x ^ offsets[c]) * multipliers[c]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
         out[:, c] = np.minimum.reduceat(h, starts)
-    return out
+    return [row[:COORDINATES].tobytes() + row[COORDINATES:].astype(np.uint8).tobytes() for row in out]
 
 
-def needed_matches(similarity, missed=1e-6):
+def needed_matches(similarity, coordinates=COORDINATES, missed=1e-6):
     """The most matches that all but ``missed`` of the pairs at ``similarity`` per cent have."""
     p, below = similarity / 100, 0.0
-    for m in range(COORDINATES + 1):
-        below += math.comb(COORDINATES, m) * p ** m * (1 - p) ** (COORDINATES - m)
+    for m in range(coordinates + 1):
+        below += math.comb(coordinates, m) * p ** m * (1 - p) ** (coordinates - m)
         if below > missed:
             return max(1, m)
-    return COORDINATES
+    return coordinates
 
 
 def sign(docs, size):
@@ -100,7 +103,7 @@ def sign(docs, size):
                 keys, bodies = [None] * len(sets), [None] * len(sets)
                 for i, row in zip(full, signatures([sets[i] for i in full]) if full else ()):
                     keys[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                    bodies[i] = row.tobytes()
+                    bodies[i] = row
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("digest"), pa.array(keys, pa.binary()),
@@ -110,9 +113,15 @@ def sign(docs, size):
 
 
 def _signatures(column):
-    """An Arrow column of signatures as a matrix."""
+    """An Arrow column of signatures as two matrices: posted coordinates, and bytes that are only counted."""
     bodies = column.to_pylist()
-    return np.frombuffer(b"".join(bodies), np.uint32).reshape(len(bodies), COORDINATES)
+    data = np.frombuffer(b"".join(bodies), np.uint8).reshape(len(bodies), 4 * COORDINATES + COUNTED)
+    return np.ascontiguousarray(data[:, : 4 * COORDINATES]).view(np.uint32), data[:, 4 * COORDINATES:]
+
+
+def _matches(left, right):
+    """Equal coordinates of signatures row by row, or of one with all."""
+    return (left[0] == right[0]).sum(-1) + (left[1] == right[1]).sum(-1)
 
 
 def all_tokens(sets):
@@ -120,7 +129,7 @@ def all_tokens(sets):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                matrix = _signatures(batch.column("signature")).astype(np.uint64)
+                matrix = _signatures(batch.column("signature"))[0].astype(np.uint64)
                 tokens = grams.mix(matrix + (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)))
                 nodes = batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), COORDINATES)))
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.ravel().view(np.int64)), nodes], names=["token", "node"])
@@ -173,7 +182,7 @@ def count_matches(pairs, sets, matches, similarity):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                equal = (_signatures(batch.column("signature_a")) == _signatures(batch.column("signature_b"))).sum(1)
+                equal = _matches(_signatures(batch.column("signature_a")), _signatures(batch.column("signature_b")))
                 sizes = [batch.column(c).to_numpy() for c in ("size_a", "size_b")]
                 yield batch.filter(pa.array((equal >= matches) & _alike(*sizes, similarity))).select(["a", "b", "star"])
 
@@ -265,7 +274,8 @@ def open_pairs(lists, joined, pairs, sets, matches, similarity):
                         found[pair] = found.get(pair, False) or star
 
             def alike(k, signs, sizes):
-                return ((signs == q_signs[k]).sum(1) >= matches) & _alike(sizes, q_sizes[k], similarity)
+                own = q_signs[0][k], q_signs[1][k]
+                return (_matches(signs, own) >= matches) & _alike(sizes, q_sizes[k], similarity)
 
             for k in range(len(q_nodes)):
                 hits = alike(k, t_signs, t_sizes)
@@ -368,21 +378,22 @@ def near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY):
     keyed = fields(docs, "doc_id", "text").select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
     signed = write_and_read(sign(keyed, shingle), "signed")
-    matches = needed_matches(similarity)
+    enough = needed_matches(similarity, COORDINATES + COUNTED)
     first = F.struct("doc_id", "digest")
     sets = write_and_read(
         signed.filter("key is not null").groupBy("key").agg(
             F.min(first).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
         .withColumn("node", F.monotonically_increasing_id()), "sets")
 
-    lists = postings(sets, matches)
-    pairs = write_and_read(count_matches(write_and_read(first_pairs(lists), "pairs"), sets, matches, similarity), "matched")
+    lists = postings(sets, needed_matches(similarity))
+    pairs = write_and_read(count_matches(write_and_read(first_pairs(lists), "pairs"), sets, enough, similarity), "matched")
 
-    def texts_of(pairs):
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = write_and_read(nodes.join(sets.select("node", "least.*"), "node"), "wanted")
-        found = keyed.join(wanted, ["doc_id", "digest"]).groupBy("node").agg(F.first("text").alias("text"))
-        return write_and_read(found, "texts")
+    # Texts of all that is posted, moved once. The list grows with the corpus, so it is never broadcast: both
+    # sides are shuffled at every size.
+    wanted = lists.select("node").distinct().join(sets.select("node", "least.*"), "node")
+    texts = write_and_read(
+        keyed.join(write_and_read(wanted, "wanted").hint("merge"), ["doc_id", "digest"])
+        .groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     def apart(pairs, joined):
         for side in "ab":
@@ -390,7 +401,6 @@ def near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY):
         return pairs.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
     # One pair per member first; then only what these links have not joined.
-    texts = texts_of(pairs)
     nearest = write_and_read(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "nearest")
     links = write_and_read(confirm(nearest, texts, shingle, similarity), "links")
     joined = components(links)
@@ -398,9 +408,8 @@ def near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY):
     links = links.union(write_and_read(confirm(others, texts, shingle, similarity), "links"))
     joined = components(links)
     # Then what pivots cannot tell: members of long lists away from their pivot, and the clusters of pivots.
-    more = write_and_read(open_pairs(lists, joined, pairs, sets, matches, similarity), "open")
+    more = write_and_read(open_pairs(lists, joined, pairs, sets, enough, similarity), "open")
     if not more.isEmpty():
-        texts = texts_of(pairs.union(more))
         fresh = apart(more.join(pairs, ["a", "b"], "left_anti"), joined)
         links = links.union(write_and_read(confirm(fresh, texts, shingle, similarity), "links"))
         joined = components(links)
