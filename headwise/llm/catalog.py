@@ -96,6 +96,42 @@ ORACLES = {
         SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id""",
+    "op6_quality_rules": r"""
+        WITH w AS (
+            SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents
+        ), starts AS (
+            SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w
+        ), repeated AS (
+            SELECT rid, i FROM (
+                SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS k FROM starts
+            ) WHERE k > 1
+        ), covered AS (
+            SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM repeated) GROUP BY rid
+        ), lines AS (
+            SELECT rid, count(*) - count(DISTINCT line) AS n
+            FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM w)
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid
+        ), counts AS (
+            SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+                   CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                   coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+            FROM w LEFT JOIN lines l ON l.rid = w.rid LEFT JOIN covered c ON c.rid = w.rid
+        ), judged AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+        ), hosts AS (
+            SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM judged GROUP BY source
+        ), moments AS (
+            SELECT sum(bad) / sum(n) AS mean, avg((bad / n) * (bad / n)) - avg(bad / n) * avg(bad / n) AS spread, avg(1 / n) AS noise FROM hosts
+        ), prior AS (
+            SELECT mean, CASE WHEN spread - mean * (1 - mean) * noise > 0
+                THEN least(greatest(mean * (1 - mean) / (spread - mean * (1 - mean) * noise) - 1, 1), 1000) ELSE 1000 END AS weight
+            FROM moments
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT (bad + mean * weight) / (n + weight) > 0.8 AS kept
+        FROM judged j JOIN hosts h ON h.source IS NOT DISTINCT FROM j.source, prior""",
     "op7_warc": """
         WITH digests AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
