@@ -237,6 +237,9 @@ def _sides(table):
 def open_pairs(lists, joined, pairs, sets, matches, similarity):
     """Pairs of long lists, (a, b, star), that are not joined yet and whose signatures match.
 
+    In the pairs of a star, ``a`` is its centre, whichever number is less: members that match the same centre are
+    left to the centre's cluster, which close_clusters builds from these. So a pair may come in both orders.
+
     Two members that both match their list's pivot stand in the pivot's cluster (see :func:`close_clusters`) and
     are left to it. Of the others, each is in turn a pivot with a cluster of its own, unless it is in an earlier
     cluster; then only its matches outside that cluster are pairs. So even where nearly all members match each
@@ -270,7 +273,7 @@ def open_pairs(lists, joined, pairs, sets, matches, similarity):
             def add(node, others, star):
                 for other in others.tolist():
                     if other != node:
-                        pair = (min(node, other), max(node, other))
+                        pair = (node, other)
                         found[pair] = found.get(pair, False) or star
 
             def alike(k, signs, sizes):
@@ -328,6 +331,7 @@ def _common(left, right):
 def close_clusters(stars, joined, texts, size, similarity):
     """Links (a, b) between members of a pivot's cluster that are not joined yet, confirmed on full sets.
 
+    ``stars`` has pivots as ``a`` and the nodes that match them as ``b``; either may be the lesser number.
     Only as many links as join the components of a block are returned.
     """
     clusters = stars.select(F.col("a").alias("pivot"), F.col("b").alias("node")).union(
@@ -410,7 +414,8 @@ def near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY):
     # Then what pivots cannot tell: members of long lists away from their pivot, and the clusters of pivots.
     more = write_and_read(open_pairs(lists, joined, pairs, sets, enough, similarity), "open")
     if not more.isEmpty():
-        fresh = apart(more.join(pairs, ["a", "b"], "left_anti"), joined)
+        undirected = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fresh = apart(undirected.join(pairs, ["a", "b"], "left_anti"), joined)
         links = links.union(write_and_read(confirm(fresh, texts, shingle, similarity), "links"))
         joined = components(links)
     stars = pairs.union(more).filter("star").select("a", "b").distinct()

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,39 @@ def test_near_duplicates_compare_the_open_rest_of_long_lists(spark, monkeypatch)
     assert {r.doc_id: r.component_id for r in found} == brute.near_groups(docs, 2, 80)
 
 
+def test_open_pairs_leave_no_match_without_a_common_centre(spark):
+    """A list of members that match each other at 0.64 to 0.81, in shuffled numbers and with several centres."""
+    rng, n = np.random.default_rng(12), 120
+    base = rng.integers(0, 256, 4 * near_dedup.COORDINATES + near_dedup.COUNTED).astype(np.uint8)
+    bodies = {}
+    for node in rng.permutation(n).tolist():
+        low, counted = base[: 4 * near_dedup.COORDINATES].view(np.uint32).copy(), base[4 * near_dedup.COORDINATES:].copy()
+        share = rng.uniform(0.1, 0.2)
+        for part, most in ((low, 2 ** 32), (counted, 256)):
+            changed = rng.random(len(part)) < share
+            part[changed] = rng.integers(0, most, changed.sum(), dtype=np.uint64).astype(part.dtype)
+        bodies[node] = (low, counted)
+    needed = near_dedup.needed_matches(80, near_dedup.COORDINATES + near_dedup.COUNTED)
+    matching = {(a, b) for a in bodies for b in bodies if a < b and near_dedup._matches(bodies[a], bodies[b]) >= needed}
+    sets = spark.createDataFrame(
+        [(node, 100, bytearray(low.tobytes() + counted.tobytes())) for node, (low, counted) in bodies.items()],
+        "node long, n_shingles long, signature binary")
+    lists = spark.createDataFrame([(1, node, n, 0) for node in bodies], "token long, node long, n long, pivot long")
+    joined = spark.createDataFrame([], "node long, component long")
+    stars = [(a, b, True) for a, b in sorted(matching) if a == 0]
+    pairs = spark.createDataFrame(stars, "a long, b long, star boolean")
+    found = stars + [tuple(r) for r in near_dedup.open_pairs(lists, joined, pairs, sets, needed, 80).collect()]
+    clusters = {}
+    for a, b, star in found:
+        if star:
+            clusters.setdefault(a, {a}).add(b)
+    assert len(clusters) > 3
+    met = {(min(a, b), max(a, b)) for a, b, _ in found}
+    for cluster in clusters.values():
+        met |= {(a, b) for a in cluster for b in cluster if a < b}
+    assert not matching - met
+
+
 def test_near_duplicates_awkward_rows(spark):
     rows = near_dedup.near_duplicates(brute.documents(spark, brute.awkward())).collect()
     assert len(rows) == len(brute.awkward())
