@@ -13,14 +13,21 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: A segment keeps its name below a node when it has both this many rows and this share of them.
+#: A segment keeps its name below a node when it has this many rows and this share of them, or so many rows that
+#: it is well supported whatever the size of the node.
 MIN_SUPPORT = 5
 MIN_SHARE = 0.02
+WELL_SUPPORTED = 50
 #: Segments beyond this depth form one last segment.
 MAX_DEPTH = 6
 #: Weight of the prior in labelled rows, and the purity from which a template is rejected.
 PRIOR_WEIGHT = 4.0
 MIN_PURITY = 0.8
+#: The prior alone never leans to rejection, however many of the labels are bad.
+MAX_PRIOR = 0.5
+#: What an unlabelled row weighs against rejection on a host with labels of both kinds: a pure template needs labels
+#: for a third of its rows. Where rules only block, what they leave out is no sample, and each such row counts in full.
+UNLABELLED_WEIGHT = 0.125
 #: Neighbouring branches whose rates differ by fewer standard errors are merged.
 MERGE_Z = 1.64
 
@@ -52,12 +59,13 @@ def _segments(path, max_depth):
 
 
 def _grow(paths, depth):
-    """Extend every template by its segment at ``depth``: by name if frequent below its node, else ``*``."""
+    """Extend every template by its segment at ``depth``: by name if frequent or well supported, else ``*``."""
     here = paths.filter(F.size("segs") >= depth).select("host", "tmpl", F.get("segs", F.lit(depth - 1)).alias("seg"), "n")
     kids = here.groupBy("host", "tmpl", "seg").agg(F.sum("n").alias("kid_n"))
     nodes = kids.groupBy("host", "tmpl").agg(F.sum("kid_n").alias("node_n"))
     named = kids.join(nodes, ["host", "tmpl"]).filter(
-        (F.col("kid_n") >= MIN_SUPPORT) & (F.col("kid_n") >= MIN_SHARE * F.col("node_n"))
+        (F.col("kid_n") >= MIN_SUPPORT)
+        & ((F.col("kid_n") >= MIN_SHARE * F.col("node_n")) | (F.col("kid_n") >= WELL_SUPPORTED))
     ).select("host", "tmpl", "seg", F.lit(True).alias("named"))
     named = write_and_read(named, "branches")
     grown = paths.withColumn("seg", F.get("segs", F.lit(depth - 1))).join(named, ["host", "tmpl", "seg"], "left")
@@ -82,9 +90,10 @@ def template_tree(paths, max_depth=MAX_DEPTH):
 def judge_templates(tree, prior_weight=PRIOR_WEIGHT, min_purity=MIN_PURITY, merge_z=MERGE_Z):
     """One row per (host, tmpl) with its branch, smoothed purity and verdict.
 
-    Labelled branches of one host and depth are put in order of their rate of bad labels, and neighbours
-    that a two-proportion test cannot tell apart share their counts. A branch without labels keeps the
-    prior, the overall rate, and stays.
+    The rate of a branch is that of bad labels in its evidence: its labelled rows, and its unlabelled ones by
+    weight. Labelled branches of one host and depth are put in order of it, and neighbours that a two-proportion
+    test cannot tell apart share their counts, if the host has labels of both kinds. A branch without labels
+    has at most the prior, the overall rate of bad labels up to ``MAX_PRIOR``, and stays.
     """
     templates = tree.groupBy("host", "tmpl").agg(
         F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"),
@@ -92,19 +101,23 @@ def judge_templates(tree, prior_weight=PRIOR_WEIGHT, min_purity=MIN_PURITY, merg
     )
     templates = write_and_read(templates, "templates")
     total = templates.agg(F.sum("bad"), F.sum("labelled")).first()
-    prior = (total[0] / total[1]) if total[1] else 0.0
-    rate = F.try_divide(F.col("bad"), F.col("labelled"))
+    prior = min(MAX_PRIOR, total[0] / total[1]) if total[1] else 0.0
+    hosts = write_and_read(templates.groupBy("host").agg((F.sum("labelled") > F.sum("bad")).alias("mixed")), "hosts")
+    weight = F.when(F.col("mixed"), UNLABELLED_WEIGHT).otherwise(1.0)
+    templates = templates.join(hosts, "host").withColumn(
+        "evidence", F.col("labelled") + weight * (F.col("n") - F.col("labelled")))
+    rate = F.when(F.col("labelled") > 0, F.try_divide(F.col("bad"), F.col("evidence")))
     order = Window.partitionBy("host", "depth").orderBy(rate.asc_nulls_last(), "tmpl")
-    before_n, before_bad = F.lag("labelled").over(order), F.lag("bad").over(order)
-    pooled = (F.col("bad") + before_bad + 0.5) / (F.col("labelled") + before_n + 1)
-    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("labelled")) + F.try_divide(F.lit(1), before_n)))
+    before_n, before_bad = F.lag("evidence").over(order), F.lag("bad").over(order)
+    pooled = (F.col("bad") + before_bad + 0.5) / (F.col("evidence") + before_n + 1)
+    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("evidence")) + F.try_divide(F.lit(1), before_n)))
     # Null, hence apart, at the first branch and where either side has no labels.
-    alike = F.coalesce(rate - F.try_divide(before_bad, before_n) <= merge_z * error, F.lit(False))
+    alike = F.col("mixed") & F.coalesce(rate - F.lag(rate).over(order) <= merge_z * error, F.lit(False))
     split = templates.withColumn("new", F.when(alike, 0).otherwise(1))
     branch = split.withColumn("branch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     shared = Window.partitionBy("host", "depth", "branch")
     purity = (F.sum("bad").over(shared) + F.lit(prior * prior_weight)) / (
-        F.sum("labelled").over(shared) + F.lit(prior_weight))
+        F.sum("evidence").over(shared) + F.lit(prior_weight))
     return branch.withColumn("purity", purity).select(
         "host", "tmpl", "branch", "purity",
         F.when(F.col("purity") >= min_purity, "block").otherwise("allow").alias("learned"))

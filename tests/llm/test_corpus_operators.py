@@ -95,6 +95,21 @@ def test_templates_learn_from_the_labels_of_their_host(spark):
     assert len({r.template for r in found if r.path.startswith("/spam/") and r.host == "h.org"}) <= 2
 
 
+def test_clean_urls_stay_beside_blocked_sections(spark):
+    """Hosts whose labels are all bad: small sections of a large node, a small host, and nothing but .net pages."""
+    big = [f"http://big.net/s{chr(97 + k // 26)}{chr(97 + k % 26)}/x{i}" for k in range(60) for i in range(60)]
+    big += [f"http://big.net/es/x{i}" for i in range(55)] + [f"http://big.net/fr/x{i}" for i in range(30)]
+    big += [f"http://big.net/t{chr(97 + k)}/x{i}" for k in range(20) for i in range(4)]
+    small = [f"http://small.net/{s}/x{i}" for s in ("es", "fr") for i in range(4)] + ["http://small.net/en/x1"]
+    rows = big + small + ["http://one.net/en/x1"]
+    found = url_filter.filter_urls(pages(spark, list(zip(range(len(rows)), rows, rows)))).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.verdict == ("block" if r.path.startswith(("/es/", "/fr/")) else "allow"), r
+    named = {r.template for r in found if r.host == "big.net"}
+    assert {"/es/x#", "/saa/x#"} <= named and "/ta/x#" not in named
+
+
 def test_deep_paths_keep_their_tail(spark):
     deep = "http://h.org/" + "/".join("abcdefghij")
     row = url_filter.filter_urls(pages(spark, [(i, deep, "") for i in range(9)])).first()
