@@ -22,8 +22,9 @@ BATCH = 256
 RATE = 0.02
 #: Windows that are read at once.
 SLAB = 2048
-#: Documents of a lower score are rejected by :func:`keep_known`; at 0 only those without a letter go.
-MIN_SCORE = 0.0
+#: :func:`keep_known` rejects scores below this share of the least that labelled documents have at a length (bytes).
+MARGIN = 0.8
+LENGTHS = (1, 8, 16, 32, 64, 128, 256, 512, 1024, 2048)
 UNKNOWN = "und"
 
 
@@ -162,16 +163,17 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
-def training_sample(docs, per_label=SAMPLE_DOCS):
+def training_sample(docs, per_label=SAMPLE_DOCS, unseen=False, chars=SPAN * SAMPLE_WINDOWS):
     """At most ``per_label`` labelled documents of every language, the ones with the least digest of doc_id and text.
 
     Only their first ``SAMPLE_WINDOWS`` windows of text are learned from. Languages are few, so the sample is
-    bounded, and all documents have the same chance to be in it.
+    bounded, and all documents have the same chance to be in it. With ``unseen`` the sample is of held-out ones.
+    ``chars`` is how much of each text comes along.
     """
-    known = fields(docs, "doc_id", "text", "lang").filter("lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
+    known = fields(docs, "doc_id", "text", "lang").filter("lang is not null and text is not null").filter(held_out(F.col("doc_id")) == unseen)
     # A language may hold most rows: each part of it yields its least first, with partial aggregation.
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
-    taken = known.select("lang", chance.alias("chance"), F.substring("text", 1, SPAN * SAMPLE_WINDOWS).alias("text"))
+    taken = known.select("lang", chance.alias("chance"), F.substring("text", 1, chars).alias("text"))
     rates = taken.groupBy("lang").count().collect()
     limits = {r["lang"]: int(2 ** 63 * min(1.0, 2.0 * per_label / r["count"])) - 1 for r in rates}
     limit = F.lit(-1)
@@ -186,13 +188,33 @@ def training_sample(docs, per_label=SAMPLE_DOCS):
 
 def learn(docs, per_label=SAMPLE_DOCS):
     """(network, languages) learned from the labelled documents, or (None, []) without any."""
-    sample = training_sample(docs, per_label)
+    return _fit(training_sample(docs, per_label))
+
+
+def _fit(sample):
     languages = list(sample)
     texts = [grams.encode(t)[: SPAN * SAMPLE_WINDOWS] for lang in languages for t in sample[lang]]
     labels = [i for i, lang in enumerate(languages) for _ in sample[lang]]
     return (train(texts, labels, len(languages)), languages) if texts else (None, [])
 
 
+def least_scores(network, languages, samples, margin=MARGIN):
+    """Scores below which a text of at least each of ``LENGTHS`` bytes is unlike all labelled documents.
+
+    These are ``margin`` times the least score of the labelled texts, cut to that length and to twice of it: few
+    bytes tell little.
+    """
+    texts = [grams.encode(t) for sample in samples for texts in sample.values() for t in texts if any(map(str.isalpha, t))]
+    least, scores = 1.0, []
+    # From the longest: a shorter text never needs a higher score.
+    for n in reversed(LENGTHS):
+        cut = [t[:most] for t in texts if len(t) >= n for most in (n, 2 * n)]
+        if cut:
+            least = min(least, margin * float(document_odds(network, cut, len(languages)).max(axis=1).min()))
+        scores.append(least if texts else 0.0)
+    return scores[::-1]
+
+
 def identify(docs, network, languages, columns=("lang_pred", "score")):
     """The columns of ``docs`` (text among them) with predicted language and score.
 
@@ -223,7 +245,19 @@ def identify(docs, network, languages, columns=("lang_pred", "score")):
     return docs.mapInArrow(run, schema)
 
 
-def keep_known(docs, per_label=SAMPLE_DOCS, min_score=MIN_SCORE):
-    """Only documents whose language is recognised, with their own columns."""
-    judged = identify(docs, *learn(docs, per_label), columns=("_lang_pred", "_score"))
-    return judged.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= min_score)).drop("_lang_pred", "_score")
+def keep_known(docs, per_label=SAMPLE_DOCS, margin=MARGIN):
+    """Only documents whose language is recognised, with their own columns.
+
+    Null texts, texts without a letter and those below :func:`least_scores` go. Without any labelled document
+    there is nothing to recognise, and all texts with a letter stay.
+    """
+    sample = training_sample(docs, per_label)
+    network, languages = _fit(sample)
+    if network is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    judged = identify(docs, network, languages, columns=("_lang_pred", "_score"))
+    unseen = training_sample(docs, per_label, unseen=True, chars=2 * LENGTHS[-1])
+    needed = F.lit(0.0)
+    for n, score in zip(LENGTHS, least_scores(network, languages, (sample, unseen), margin)):
+        needed = F.when(F.octet_length("text") >= n, F.lit(score)).otherwise(needed)
+    return judged.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= needed)).drop("_lang_pred", "_score")

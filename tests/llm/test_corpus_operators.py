@@ -1,5 +1,6 @@
 import gzip
 import random
+import string
 import zlib
 from collections import Counter
 
@@ -203,6 +204,24 @@ def test_no_labels_no_languages(spark):
     assert language.keep_known(brute.documents(spark, [])).count() == 0
 
 
+def test_unknown_languages_are_rejected_and_clean_texts_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(1)
+    junk = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(400)) for _ in range(20)]
+    junk += ["".join(chr(rng.randrange(0x4e00, 0x9fff)) for _ in range(200)) for _ in range(20)]
+    rows = spark.createDataFrame([(10 ** 6 + i, t, None) for i, t in enumerate(junk)], docs.schema)
+    kept = {r.doc_id for r in language.keep_known(docs.union(rows)).select("doc_id").collect()}
+    clean = {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
+    assert clean - kept == set()
+    stayed = len([i for i in kept if i >= 10 ** 6])
+    assert stayed <= len(junk) // 2
+
+
+def test_without_labels_texts_with_letters_stay(spark):
+    docs = brute.documents(spark, ["some text", "été", "123 !!", "", None], lang=None)
+    assert {r.text for r in language.keep_known(docs).collect()} == {"some text", "été"}
+
+
 def test_sample_is_bounded_and_leaves_out_the_held_out(spark):
     texts = [f"text number {i}" for i in range(800)]
     sample = language.training_sample(brute.documents(spark, texts), per_label=20)
