@@ -1,7 +1,7 @@
 """Registered queries of the corpus operators, with production parameters over whole tables."""
 from pyspark.sql import functions as F
 
-from headwise.llm import decontamination, language, licenses, near_dedup, packing, quality, sharding, substring, url_filter, warc
+from headwise.llm import decontamination, language, licenses, near_dedup, packing, quality, sharding, substring, token_counts, url_filter, warc
 from headwise.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_substring_dedup": op2_substring_dedup,
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLES = {

@@ -7,7 +7,6 @@ the mix of full configurations that needs the fewest sequences. Actual pieces th
 group, and the pieces left over, the small ones among them, go by best fit, longest first, into the room that
 remains. The plan maps (length, rank) ranges to sequences and offsets; Spark ranks the pieces and joins them.
 """
-import os
 import zlib
 from bisect import bisect_right
 
@@ -17,15 +16,14 @@ from pyspark.sql import functions as F
 
 from headwise.llm import grams
 from headwise.llm.common import fields, rank_in_parts, write_and_read
+from headwise.llm.merging import ChunkIds, Merger
 
 CAPACITY = 2048
 END_ID = 0
 #: Lengths above this share of the capacity are large.
 LARGE = 0.1
 GROUPS = 32
-PART_ROWS = 4096
-#: Words whose ids a task remembers.
-REMEMBERED_WORDS = 300_000
+PART_ROWS = 1024
 #: Rows of the plan up to which it is broadcast; beyond, Spark chooses the join.
 BROADCAST_ROWS = 200_000
 
@@ -38,58 +36,36 @@ def default_tokenizer():
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _WordIds:
-    """Ids of white-space separated words as little-endian bytes; the vocabulary never joins two words."""
-
-    def __init__(self, path):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, texts):
-        split = [t.split() for t in texts]
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > REMEMBERED_WORDS:
-            known = self.known = {}
-            new = list({w for ws in split for w in ws})
-        for start in range(0, len(new), 10_000):
-            part = new[start: start + 10_000]
-            coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, coded))
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
-
-
-def token_pieces(docs, tokenizer=None, capacity=CAPACITY, end_id=END_ID):
-    """doc_id, piece, start, length, ids_crc32 and ids (little-endian bytes) of all documents.
+def token_pieces(docs, tokenizer=None, capacity=CAPACITY, end_id=END_ID, keep_ids=True):
+    """doc_id, piece, start, length, ids_crc32 and, if wanted, ids (little-endian bytes) of all documents.
 
     A document is its ids and one end id; only longer ones than ``capacity`` are cut, into full pieces and a
     last one. Null and empty texts are the end id alone.
     """
     path = tokenizer or default_tokenizer()
     end = np.array([end_id], "<u4").tobytes()
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
-        ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if keep_ids else 5]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: len(names)]
+    schema = pa.schema(list(zip(names, kinds)))
 
     def run(batches):
-        ids = _TOKENIZERS.setdefault(path, None) or _TOKENIZERS.update({path: _WordIds(path)}) or _TOKENIZERS[path]
+        if path not in _TOKENIZERS:
+            _TOKENIZERS[path] = ChunkIds(Merger(path))
         step = 4 * capacity
         for batch in batches:
-            texts = [grams.encode(t) for t in batch.column("text").to_pylist()]
-            names = batch.column("doc_id").to_pylist()
-            for a, b in grams.slabs([len(t) for t in texts]):
+            bodies = [b"" if t is None else t for t in batch.column("text").to_pylist()]
+            doc_ids = batch.column("doc_id").to_pylist()
+            for a, b in grams.slabs([len(t) for t in bodies]):
                 rows = []
-                for doc_id, body in zip(names[a:b], ids.encode(texts[a:b])):
+                for doc_id, body in zip(doc_ids[a:b], _TOKENIZERS[path].ids_of(bodies[a:b])):
                     body += end
                     for piece, at in enumerate(range(0, len(body), step)):
                         part = body[at: at + step]
                         rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part))
-                columns = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    binary = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return binary.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def _best_pattern(sizes, worth, capacity):
@@ -253,9 +229,8 @@ def pack_documents(docs, tokenizer=None, capacity=CAPACITY, end_id=END_ID, keep_
     for. Repeated rows are packed one by one; an empty table gives no pieces.
     """
     spark = docs.sparkSession
-    slim = fields(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = token_pieces(slim, tokenizer, capacity, end_id)
-    pieces = pieces if keep_ids else pieces.drop("ids")
+    slim = fields(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    pieces = token_pieces(slim, tokenizer, capacity, end_id, keep_ids)
     written = write_and_read(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in written.groupBy("length").count().collect()}  # capacity rows at most
     rows, _ = plan_sequences(counts, capacity)
