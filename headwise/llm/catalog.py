@@ -1,7 +1,7 @@
 """Registered queries of the corpus operators, with production parameters over whole tables."""
 from pyspark.sql import functions as F
 
-from headwise.llm import decontamination, language, licenses, near_dedup, packing, quality, sharding, substring, token_counts, url_filter, warc
+from headwise.llm import decontamination, importance, language, licenses, near_dedup, packing, quality, sharding, substring, token_counts, url_filter, warc, whitening
 from headwise.llm.common import table
 
 
@@ -56,6 +56,15 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark, sf_dir):
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -71,6 +80,8 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
+    "op11_importance": op11_importance,
+    "op12_whitening": op12_whitening,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -214,4 +225,54 @@ ORACLES = {
         SELECT f.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(item_list, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM folded f LEFT JOIN covered c ON c.doc_id = f.doc_id LEFT JOIN listed l ON l.doc_id = f.doc_id""",
+    "op11_importance": r"""
+        WITH table256 AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+                CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab
+        ), texts AS (
+            SELECT true AS corpus, row_number() OVER () AS rid, doc_id, text FROM documents
+            UNION ALL SELECT false, row_number() OVER (), NULL, text FROM benchmark
+        ), folded AS (
+            SELECT corpus, rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+            FROM texts
+        ), features AS (
+            SELECT corpus, rid, unnest(ws) AS word FROM folded
+        ), spelled AS (
+            SELECT word, hex(encode(word)) AS digits FROM (SELECT DISTINCT word FROM features)
+        ), coded AS (
+            SELECT word, list_transform(range(0, length(digits) // 2), lambda i:
+                CAST(16 * (position(digits[2 * i + 1] IN '0123456789ABCDEF') - 1)
+                     + position(digits[2 * i + 2] IN '0123456789ABCDEF') - 1 AS BIGINT)) AS bytes
+            FROM spelled
+        ), hashed AS (
+            SELECT word, xor(4294967295, list_reduce(bytes, lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]), 4294967295)) % 10000 AS bucket
+            FROM coded, table256
+        ), placed AS (
+            SELECT corpus, rid, bucket FROM features JOIN hashed USING (word)
+        ), totals AS (
+            SELECT bucket, count(*) FILTER (corpus) AS s, count(*) FILTER (NOT corpus) AS t FROM placed GROUP BY bucket
+        ), gains AS (
+            SELECT bucket, CAST(floor(1000 * ln(
+                CAST(t + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM totals) + 10000 AS DOUBLE)
+                / (CAST(s + 1 AS DOUBLE) * CAST((SELECT sum(t) FROM totals) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+            FROM totals
+        ), weights AS (
+            SELECT rid, sum(gain) AS total, count(*) AS n FROM placed JOIN gains USING (bucket) WHERE corpus GROUP BY rid
+        ), scored AS (
+            SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features,
+                   CAST(coalesce((total - ((total % n) + n) % n) // n, 0) AS BIGINT) AS weight,
+                   CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h
+            FROM folded f LEFT JOIN weights w ON w.rid = f.rid WHERE corpus
+        ), noisy AS (
+            SELECT doc_id, n_features, weight,
+                   weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+            FROM scored
+        ), places AS (
+            SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place
+            FROM noisy
+        )
+        SELECT doc_id, n_features, weight, score,
+               CASE WHEN place <= (SELECT count(*) FROM noisy WHERE n_features >= 20) * 10 // 100 THEN place END AS rank
+        FROM places""",
 }
