@@ -488,7 +488,7 @@ def _(spark, folder):
 @query("stream_window_summary")
 def _(spark, folder):
     stream = star_tables.served_scores(spark, folder, star_tables.events_stream(spark, folder))
-    return runs.drain(summaries.stream_window_summary(stream, slide="5 minutes"), "stream-summary")
+    return summaries.drain_window_summary(stream, slide="5 minutes", buckets=8)
 
 
 # Learners

@@ -420,9 +420,11 @@ ORACLES = {
              count(*) FILTER (predicted_headway_sec IS NOT NULL AND anomaly_score >= 0.85) AS anomalies_high,
              count(DISTINCT stop_id) FILTER (predicted_headway_sec IS NOT NULL) AS stations_total,
              count(DISTINCT concat(route_id, ':', stop_id))
-               FILTER (predicted_headway_sec IS NOT NULL AND headway_sec > 0) AS trains_active
+               FILTER (predicted_headway_sec IS NOT NULL AND headway_sec > 0) AS trains_active,
+             CASE WHEN count(predicted_headway_sec) > 0 THEN round(
+               count(*) FILTER (predicted_headway_sec IS NOT NULL AND anomaly_score >= 0.6) / count(predicted_headway_sec) * 100.0, 2)
+               ELSE 0.0 END AS anomaly_rate_perc
            FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, observed_ts) - to_minutes(unnest([0, 5, 10])) AS s FROM served)
-           WHERE s + INTERVAL 15 MINUTE <= (SELECT max(observed_ts) FROM raw) - INTERVAL 10 MINUTE
            GROUP BY s"""),
     # Learners
     "online_features": _with("SELECT id, CAST(h AS DOUBLE) AS hour, route_hash, stop_hash FROM features", _FEATURES),
