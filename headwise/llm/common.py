@@ -3,18 +3,30 @@ from pyspark.sql import Window, functions as F
 
 from headwise.session import ensure_checkpoint_dir, work_path, write_and_read
 
-__all__ = ["SPACE_WORDS", "ensure_checkpoint_dir", "fields", "power_of_two", "rank_in_parts", "space_words", "table", "without", "work_path", "write_and_read"]
+__all__ = ["SPACE_WORDS", "bound_memory", "ensure_checkpoint_dir", "fields", "power_of_two", "rank_in_parts", "space_words", "table", "without", "work_path", "write_and_read"]
 
 # The word separators of the contracts that split on white space.
 SPACE_WORDS = r"[\x20\x09-\x0D]+"
 
 
+# Long texts make batches by rows and buffered row groups large: both are bounded by bytes for all corpus operators.
+_MEMORY = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "parquet.block.size": str(32 << 20)}
+
+
+def bound_memory(spark):
+    """Bound what tasks hold of texts at once: Arrow batches and Parquet row groups, by bytes."""
+    for name, value in _MEMORY.items():
+        spark.conf.set(name, value)
+
+
 def table(spark, sf_dir, name):
+    bound_memory(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fields(df, *names):
     """Only the named columns, so that extra columns cannot clash; a missing one is null."""
+    bound_memory(df.sparkSession)
     have = set(df.columns)
     return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).alias(n) for n in names])
 

@@ -22,8 +22,9 @@ BATCH = 256
 RATE = 0.02
 #: Windows that are read at once.
 SLAB = 2048
-#: :func:`keep_known` rejects scores below this share of the least that labelled documents have at a length (bytes).
+#: :func:`keep_known` rejects scores below this share of a low quantile of what labelled documents have at a length (bytes).
 MARGIN = 0.8
+QUANTILE = 0.0025
 LENGTHS = (1, 8, 16, 32, 64, 128, 256, 512, 1024, 2048)
 UNKNOWN = "und"
 
@@ -163,17 +164,24 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
-def training_sample(docs, per_label=SAMPLE_DOCS, unseen=False, chars=SPAN * SAMPLE_WINDOWS):
+def _excerpts(pieces, chars):
+    """``pieces`` runs of ``chars`` characters from places of the whole text that its digest chooses; a shorter text whole."""
+    last = F.greatest(F.char_length("text") - chars, F.lit(0)) + 1
+    runs = [F.substring("text", (F.pmod(F.xxhash64("doc_id", "text", F.lit(i)), last) + 1).cast("int"), F.lit(chars)) for i in range(pieces)]
+    return F.when(F.char_length("text") <= pieces * chars, F.col("text")).otherwise(F.concat(*runs))
+
+
+def training_sample(docs, per_label=SAMPLE_DOCS, unseen=False, pieces=SAMPLE_WINDOWS, chars=SPAN):
     """At most ``per_label`` labelled documents of every language, the ones with the least digest of doc_id and text.
 
-    Only their first ``SAMPLE_WINDOWS`` windows of text are learned from. Languages are few, so the sample is
-    bounded, and all documents have the same chance to be in it. With ``unseen`` the sample is of held-out ones.
-    ``chars`` is how much of each text comes along.
+    Of each text ``pieces`` runs of ``chars`` characters come along, from anywhere in it. Languages are few, so the
+    sample is bounded, and all documents and places have the same chance to be in it. With ``unseen`` the sample is
+    of held-out ones.
     """
     known = fields(docs, "doc_id", "text", "lang").filter("lang is not null and text is not null").filter(held_out(F.col("doc_id")) == unseen)
     # A language may hold most rows: each part of it yields its least first, with partial aggregation.
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
-    taken = known.select("lang", chance.alias("chance"), F.substring("text", 1, chars).alias("text"))
+    taken = known.select("lang", chance.alias("chance"), _excerpts(pieces, chars).alias("text"))
     rates = taken.groupBy("lang").count().collect()
     limits = {r["lang"]: int(2 ** 63 * min(1.0, 2.0 * per_label / r["count"])) - 1 for r in rates}
     limit = F.lit(-1)
@@ -193,7 +201,7 @@ def learn(docs, per_label=SAMPLE_DOCS):
 
 def _fit(sample):
     languages = list(sample)
-    texts = [grams.encode(t)[: SPAN * SAMPLE_WINDOWS] for lang in languages for t in sample[lang]]
+    texts = [grams.encode(t) for lang in languages for t in sample[lang]]
     labels = [i for i, lang in enumerate(languages) for _ in sample[lang]]
     return (train(texts, labels, len(languages)), languages) if texts else (None, [])
 
@@ -201,8 +209,8 @@ def _fit(sample):
 def least_scores(network, languages, samples, margin=MARGIN):
     """Scores below which a text of at least each of ``LENGTHS`` bytes is unlike all labelled documents.
 
-    These are ``margin`` times the least score of the labelled texts, cut to that length and to twice of it: few
-    bytes tell little.
+    These are ``margin`` times a low quantile of the scores of the labelled texts, cut to that length and to twice of
+    it: few bytes tell little. The quantile leaves out the few texts whose labels contradict each other.
     """
     texts = [grams.encode(t) for sample in samples for texts in sample.values() for t in texts if any(map(str.isalpha, t))]
     least, scores = 1.0, []
@@ -210,7 +218,7 @@ def least_scores(network, languages, samples, margin=MARGIN):
     for n in reversed(LENGTHS):
         cut = [t[:most] for t in texts if len(t) >= n for most in (n, 2 * n)]
         if cut:
-            least = min(least, margin * float(document_odds(network, cut, len(languages)).max(axis=1).min()))
+            least = min(least, margin * float(np.quantile(document_odds(network, cut, len(languages)).max(axis=1), QUANTILE)))
         scores.append(least if texts else 0.0)
     return scores[::-1]
 
@@ -256,7 +264,7 @@ def keep_known(docs, per_label=SAMPLE_DOCS, margin=MARGIN):
     if network is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     judged = identify(docs, network, languages, columns=("_lang_pred", "_score"))
-    unseen = training_sample(docs, per_label, unseen=True, chars=2 * LENGTHS[-1])
+    unseen = training_sample(docs, per_label, unseen=True, pieces=1, chars=2 * LENGTHS[-1])
     needed = F.lit(0.0)
     for n, score in zip(LENGTHS, least_scores(network, languages, (sample, unseen), margin)):
         needed = F.when(F.octet_length("text") >= n, F.lit(score)).otherwise(needed)

@@ -11,7 +11,9 @@ full sets.
 Sets that are equal are one node from the start. In a long posting list each member is compared with the
 least member, its pivot; the members that match a pivot are its cluster. What the confirmed links do not join is
 compared again: members away from their pivot with the whole list, and clusters within themselves, block by
-block and on full sets. So a group of copies costs a pair per member, and no link is lost.
+block and on full sets. Two members that have any cluster in common, from whichever list, are left to it: of a
+group of near copies nearly all stand in the cluster of its least member, so its other lists add no pairs. So a
+group of copies costs a pair per member, and no link is lost.
 """
 import hashlib
 import math
@@ -33,6 +35,8 @@ PRUNINGS = 2
 #: Posting lists up to this long are compared in full; longer ones with their pivot first.
 SHORT_LIST = 8
 BLOCK_ROWS = 2048
+#: Clusters of a member, least pivots first, by which pairs in a common cluster are recognised.
+CORES = 4
 CLUSTER_ROWS = 512
 NULL_ID = -(1 << 63)
 _COORDINATE_BASE = 0x2545F4914F6CDD1D
@@ -240,14 +244,19 @@ def open_pairs(lists, joined, pairs, sets, matches, similarity):
     In the pairs of a star, ``a`` is its centre, whichever number is less: members that match the same centre are
     left to the centre's cluster, which close_clusters builds from these. So a pair may come in both orders.
 
-    Two members that both match their list's pivot stand in the pivot's cluster (see :func:`close_clusters`) and
-    are left to it. Of the others, each is in turn a pivot with a cluster of its own, unless it is in an earlier
-    cluster; then only its matches outside that cluster are pairs. So even where nearly all members match each
-    other without being joined, the pairs stay few.
+    Two members that match the same pivot, of this list or another one, stand in the pivot's cluster (see
+    :func:`close_clusters`) and are left to it; what is not recognised by the ``CORES`` least pivots of both is
+    compared. Of the others, each is in turn a pivot with a cluster of its own, unless it is in an earlier
+    cluster; then only its matches outside that cluster are pairs. Members take their turns by number, so that
+    the same ones become pivots in all lists. So even where nearly all members match each other without being
+    joined, the pairs stay few.
     """
     component = F.coalesce("component", "node")
     stars = pairs.filter("star").select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.lit(True).alias("near"))
     long = lists.filter(F.col("n") > SHORT_LIST).select("token", "node", "pivot")
+    own = stars.select("pivot", "node").union(stars.select("pivot", F.col("pivot").alias("node"))).distinct()
+    cores = own.withColumn("_at", F.row_number().over(Window.partitionBy("node").orderBy("pivot"))).filter(
+        F.col("_at") <= CORES).groupBy("node").agg(F.sort_array(F.collect_list("pivot")).alias("cores"))
     near = (F.col("node") == F.col("pivot")) | F.coalesce("near", F.lit(False))
     held = long.join(stars, ["pivot", "node"], "left").join(joined, "node", "left").select(
         "token", "node", "pivot", component.alias("component"), near.alias("near"))
@@ -257,13 +266,23 @@ def open_pairs(lists, joined, pairs, sets, matches, similarity):
     # Outside the core here means not near the pivot: each of these is compared with all members.
     members = held.withColumn("core", F.lit(True)).select(
         "token", "node", "core", F.col("near").alias("component"), F.col("component").alias("part")
-    ).join(sets.select("node", "n_shingles", "signature"), "node")
+    ).join(sets.select("node", "n_shingles", "signature"), "node").join(cores, "node", "left")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("star", pa.bool_())])
 
+    def core_matrix(column):
+        """The cores of each member; the empty places of two members never agree."""
+        matrix = np.empty((len(column), CORES), np.int64)
+        matrix[:] = -1 - np.arange(matrix.size).reshape(matrix.shape)
+        for i, values in enumerate(column.to_pylist()):
+            if values:
+                matrix[i, : len(values)] = values
+        return matrix
+
     def compare(table):
-        query, target = _sides(table)
+        query, target = _sides(table.sort_by("node"))
         found = {}
         if query.num_rows and target.num_rows:
+            q_cores, t_cores = core_matrix(query.column("cores")), core_matrix(target.column("cores"))
             q_signs, t_signs = _signatures(query.column("signature")), _signatures(target.column("signature"))
             q_nodes, q_parts, q_sizes = (query.column(c).to_numpy() for c in ("node", "part", "n_shingles"))
             t_nodes, t_parts, t_sizes = (target.column(c).to_numpy() for c in ("node", "part", "n_shingles"))
@@ -280,10 +299,20 @@ def open_pairs(lists, joined, pairs, sets, matches, similarity):
                 own = q_signs[0][k], q_signs[1][k]
                 return (_matches(signs, own) >= matches) & _alike(sizes, q_sizes[k], similarity)
 
+            def apart(k):
+                """Targets that are neither joined with k nor in a cluster with it."""
+                together = np.zeros(len(t_nodes), bool)
+                for core in q_cores[k][q_cores[k] >= 0]:
+                    together |= (t_cores == core).any(axis=1)
+                return ~together & (t_parts != q_parts[k])
+
             for k in range(len(q_nodes)):
+                open_to = apart(k)
+                if not open_to.any():
+                    continue
                 hits = alike(k, t_signs, t_sizes)
                 if covered[k] < 0:
-                    if not (hits & (t_parts != q_parts[k])).any():
+                    if not (hits & open_to).any():
                         continue
                     mine = alike(k, q_signs, q_sizes)
                     covered[mine & (covered < 0)] = k
@@ -291,11 +320,11 @@ def open_pairs(lists, joined, pairs, sets, matches, similarity):
                     add(int(q_nodes[k]), t_nodes[hits], True)
                     add(int(q_nodes[k]), q_nodes[mine], True)
                 else:
-                    add(int(q_nodes[k]), t_nodes[hits & ~reached[covered[k]] & (t_parts != q_parts[k])], False)
+                    add(int(q_nodes[k]), t_nodes[hits & ~reached[covered[k]] & open_to], False)
         columns = list(zip(*[(a, b, star) for (a, b), star in found.items()])) or [[], [], []]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return _blocks(members, "token", ["part", "n_shingles", "signature"], BLOCK_ROWS).applyInArrow(
+    return _blocks(members, "token", ["part", "cores", "n_shingles", "signature"], BLOCK_ROWS).applyInArrow(
         compare, "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
@@ -445,7 +474,7 @@ def components(nodes_links):
     """
     links = write_and_read(nodes_links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links")
     before = None
-    while True:
+    while not links.isEmpty():
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
@@ -455,5 +484,6 @@ def components(nodes_links):
         links = write_and_read(small.filter("a < b").distinct(), "links")
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
-            return links.select(F.col("b").alias("node"), F.col("a").alias("component"))
+            break
         before = tuple(state)
+    return links.select(F.col("b").alias("node"), F.col("a").alias("component"))
