@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from headwise.functions.clock import hour_utc
 from headwise.functions.scoring import clamp_score, severity_band
 from headwise.operators.filters import is_scored, is_unscored, positive_headway, recent_window_filter
-from headwise.operators.quantiles import GROUP_LIMIT, exact_median_mad, exact_quantiles
+from headwise.operators.quantiles import exact_median_mad, exact_quantiles
 from headwise.schema import ANOMALY_SCORE, HIGH_ANOMALY_SCORE
 
 
@@ -15,11 +15,11 @@ def earliest_arrival(arrivals):
     )
 
 
-def headway_median_mad(rows, group_limit=GROUP_LIMIT):
+def headway_median_mad(rows):
     """Median and median absolute deviation of positive headways per route, stop, UTC hour."""
     keys = ["route_id", "stop_id", "hour"]
     rows = positive_headway(rows).withColumn("hour", hour_utc(F.col("observed_ts")))
-    return exact_median_mad(rows, keys, "headway_sec", group_limit)
+    return exact_median_mad(rows, keys, "headway_sec")
 
 
 def window_counts(scores):
@@ -98,17 +98,15 @@ def band_counts(scores):
     )
 
 
-def error_quantiles(errors, column="err", group_limit=GROUP_LIMIT):
+def error_quantiles(errors, column="err"):
     """p90, p99, maximum, and how many errors reach p99, over all rows."""
-    limits = exact_quantiles(errors, [], column, [0.9, 0.99], group_limit).select(
-        F.col("quantiles")[0].alias("recon_error_p90"), F.col("quantiles")[1].alias("recon_error_p99")
-    )
-    p90, p99 = limits.select("recon_error_p90").scalar(), limits.select("recon_error_p99").scalar()
-    return errors.agg(
-        F.max(p90).alias("recon_error_p90"),
-        F.max(p99).alias("recon_error_p99"),
+    limits = exact_quantiles(errors, [], column, [0.9, 0.99]).select("quantiles").scalar()
+    limited = errors.withColumn("_limits", limits)
+    return limited.agg(
+        F.max(F.col("_limits")[0]).alias("recon_error_p90"),
+        F.max(F.col("_limits")[1]).alias("recon_error_p99"),
         F.max(column).alias("recon_error_max"),
-        F.count_if(F.col(column) >= p99).alias("shadow_alerts_high"),
+        F.count_if(F.col(column) >= F.col("_limits")[1]).alias("shadow_alerts_high"),
     )
 
 

@@ -3,126 +3,93 @@ from pyspark.sql import Window, functions as F
 
 from headwise.session import write_and_read
 
-# A group up to this many rows fits the value map of one `percentile` buffer.
-GROUP_LIMIT = 1_000_000
-
 _FINE_PER_OCTAVE = 1 << 21
 _COARSE_SHIFT = 16
 _CODE_OFFSET = 1100 * _FINE_PER_OCTAVE
+# Beyond the code of any finite number.
+_INFINITE_CODE = 4 * _CODE_OFFSET
 
 
-def exact_quantiles(rows, keys, value, probs, group_limit=GROUP_LIMIT):
-    """Per group: ``n`` and the array ``quantiles`` (linear interpolation).
+def exact_quantiles(rows, keys, value, probs):
+    """Per group: ``n`` and the array ``quantiles`` (linear interpolation), by one plan whatever the sizes.
 
-    Both ways below are exact and give the same values; the largest group is
-    measured to choose the cheaper one. Small groups take the built-in aggregate. Otherwise order statistics are located by histograms: a coarse
-    logarithmic one, a fine one inside the coarse bins that hold a wanted rank,
-    and finally the distinct values of those fine bins. Every step is a
-    counting aggregate with map-side combine, so no task sees a whole group.
+    Order statistics are located by counts: of coarse logarithmic bins, then of fine ones inside the coarse bins
+    that hold a wanted place, then of the values of those fine bins. A bin whose least and greatest value are equal
+    is settled at once, so the rows of small groups are counted once. Every step is a counting aggregate with
+    map-side combine, so no task sees a whole group. Nulls and NaN are left out; infinities are ordinary ends of
+    the order, and a quantile strictly between the two infinities is NaN.
     """
-    rows = _valued(rows, keys, value)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    if largest_group(sizes) <= group_limit:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return rows.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.percentile("_x", wanted).alias("quantiles")
-        )
-    return _quantiles_by_histogram(rows, list(keys), sizes, probs)
-
+    rows, keys = _valued(rows, keys, value), list(keys)
+    rows = rows.withColumn("_code", _order_code(F.col("_x"))).withColumn("_coarse", F.shiftright("_code", _COARSE_SHIFT))
+    rows = rows.withColumn("_all", F.lit(0))
+    groups, wanted, settled = ["_all", *keys], None, None
+    for bin_column in ("_coarse", "_code", "_x"):
+        counted = rows if wanted is None else _joined(rows, wanted, groups)
+        payload = [] if wanted is None else [F.first("_places").alias("_places"), F.first("n").alias("n")]
+        bins = counted.groupBy(*groups, bin_column).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_least"), F.max("_x").alias("_most"), *payload)
+        whole = Window.partitionBy(*groups)
+        if wanted is None:
+            bins = bins.withColumn("n", F.sum("_n").over(whole)).withColumn("_places", _places(probs))
+        end = F.sum("_n").over(whole.orderBy(bin_column))
+        bins = bins.withColumn("_before", end - F.col("_n"))
+        inside = F.filter("_places", lambda p: (p["rank"] >= F.col("_before")) & (p["rank"] < F.col("_before") + F.col("_n")))
+        found = bins.withColumn("_places", inside).filter(F.size("_places") > 0)
+        is_one = F.col("_least") == F.col("_most")
+        done = found.filter(is_one).select("_all", *keys, "n", F.inline("_places"), F.col("_least").alias("_value"))
+        settled = done if settled is None else settled.unionByName(done)
+        groups = [*groups, bin_column]
+        # Ranks go on from the start of the bin.
+        wanted = found.filter(~is_one).select(*groups, "n", F.transform("_places", lambda p: F.struct(
+            p["i"].alias("i"), p["side"].alias("side"), (p["rank"] - F.col("_before")).alias("rank"), p["part"].alias("part"))).alias("_places"))
+    side = lambda i, name: F.max(F.when((F.col("i") == i) & (F.col("side") == name), F.col("_value")))
+    part = lambda i: F.max(F.when(F.col("i") == i, F.col("part")))
+    return settled.groupBy("_all", *keys, "n").agg(F.array(*[
+        _between(side(i, "low"), side(i, "high"), part(i)) for i in range(len(probs))]).alias("quantiles")).drop("_all")
+
+
+def exact_median_mad(rows, keys, value):
+    """Per group: median, and median absolute deviation from it; the latter is null where the median is infinite and no row differs."""
+    keys = list(keys)
+    medians = write_and_read(
+        exact_quantiles(rows, keys, value, [0.5]).select(*keys, F.col("quantiles")[0].alias("median")), "medians")
+    gaps = _joined(_valued(rows, keys, value), medians, keys).select(*keys, F.abs(F.col("_x") - F.col("median")).alias("_gap"))
+    mads = exact_quantiles(gaps, keys, "_gap", [0.5]).select(*keys, F.col("quantiles")[0].alias("mad"))
+    return _joined(medians, mads, keys, "left")
 
-def exact_median_mad(rows, keys, value, group_limit=GROUP_LIMIT):
-    """Per group: median, and median absolute deviation from it.
 
-    With small groups one aggregate collects the values and both medians come
-    from the sorted array; with a large group both are exact quantile searches.
-    """
-    rows = _valued(rows, keys, value)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    if largest_group(sizes) <= group_limit:
-        values = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
-        medians = values.withColumn("median", _middle(F.col("_xs")))
-        gaps = F.sort_array(F.transform("_xs", lambda x: F.abs(x - F.col("median"))))
-        return medians.withColumn("_xs", gaps).select(*keys, "median", _middle(F.col("_xs")).alias("mad"))
-    medians = write_and_read(
-        _quantiles_by_histogram(rows, list(keys), sizes, [0.5]).select(*keys, F.col("quantiles")[0].alias("median")),
-        "medians",
-    )
-    gaps = rows.join(medians, keys).select(*keys, F.abs(F.col("_x") - F.col("median")).alias("_x"))
-    mads = _quantiles_by_histogram(gaps, list(keys), sizes, [0.5])
-    return medians.join(mads.select(*keys, F.col("quantiles")[0].alias("mad")), keys)
+def _joined(left, right, keys, how="inner"):
+    """A join on ``keys`` in which null keys are equal; the columns of ``left`` and what else ``right`` has."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(right[f"_right_{k}"])
+    return left.join(right, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def _valued(rows, keys, value):
     x = F.col(value).cast("double")
-    # Neither null nor NaN has a place in an order; both branches leave them out.
+    # Neither null nor NaN has a place in an order.
     return rows.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
 
 
-def largest_group(sizes):
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
-def _middle(ordered):
-    """Median of a sorted, non-empty array."""
-    n = F.size(ordered)
-    below = F.element_at(ordered, F.floor((n + 1) / 2).cast("int"))
-    above = F.element_at(ordered, F.floor(n / 2).cast("int") + 1)
-    return (below + above) / 2
-
-
 def _order_code(x):
     """Integer that grows with x: signed logarithm at 2^-21 octave resolution."""
-    magnitude = F.floor(F.log2(F.abs(x)) * _FINE_PER_OCTAVE) + F.lit(_CODE_OFFSET)
+    finite = F.when(F.abs(x) < float("inf"), F.abs(x))
+    magnitude = F.coalesce(F.floor(F.log2(finite) * _FINE_PER_OCTAVE) + F.lit(_CODE_OFFSET), F.lit(_INFINITE_CODE))
     return F.when(x > 0, magnitude).when(x < 0, -magnitude).otherwise(F.lit(0)).cast("long")
 
 
-def _locate(counts, wanted, groups, bin_column):
-    """Bins holding a wanted rank, with the rank made relative to the bin start."""
-    order = Window.partitionBy(*groups).orderBy(bin_column)
-    ends = counts.withColumn("_end", F.sum("_n").over(order))
-    inside = (F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n"))
-    return (
-        ends.join(wanted, groups, "inner").where(inside)
-        .withColumn("_rank", F.col("_rank") - (F.col("_end") - F.col("_n")))
-        .drop("_n", "_end")
-    )
-
-
-def _quantiles_by_histogram(rows, keys, sizes, probs):
-    rows = rows.withColumn("_all", F.lit(0)).withColumn("_code", _order_code(F.col("_x")))
-    rows = rows.withColumn("_coarse", F.shiftright("_code", _COARSE_SHIFT))
-    groups = ["_all"] + keys
-
-    places = F.array(*[
-        F.struct(
-            F.lit(i).alias("_i"),
-            F.floor(F.lit(float(p)) * (F.col("n") - 1)).cast("long").alias("_low"),
-            (F.lit(float(p)) * (F.col("n") - 1)).alias("_place"),
-        )
-        for i, p in enumerate(probs)
-    ])
-    places = (
-        sizes.withColumn("_all", F.lit(0)).select(*groups, "n", F.inline(places))
-        .withColumn("_high", F.least(F.col("_low") + 1, F.col("n") - 1))
-    )
-    places = write_and_read(places, "quantile-places")
-    ranks = places.select(*groups, F.explode(F.array("_low", "_high")).alias("_rank")).distinct()
-    wanted = ranks.withColumn("_rank0", F.col("_rank"))
-
-    found_groups = groups
-    for column in ("_coarse", "_code", "_x"):
-        wanted_bins = wanted.select(*found_groups).distinct()
-        source = rows if column == "_coarse" else rows.join(wanted_bins, found_groups, "left_semi")
-        counts = source.groupBy(*found_groups, column).agg(F.count(F.lit(1)).alias("_n"))
-        wanted = _locate(counts, wanted, found_groups, column)
-        found_groups = found_groups + [column]
-        wanted = write_and_read(wanted, "quantile-bins")
-
-    low = wanted.select(*groups, F.col("_rank0").alias("_low"), F.col("_x").alias("_low_x"))
-    high = wanted.select(*groups, F.col("_rank0").alias("_high"), F.col("_x").alias("_high_x"))
-    values = places.join(low, groups + ["_low"]).join(high, groups + ["_high"])
-    between = F.col("_low_x") + (F.col("_high_x") - F.col("_low_x")) * (F.col("_place") - F.col("_low"))
-    listed = F.array_sort(F.collect_list(F.struct("_i", between.alias("_q"))))
-    return values.groupBy(*groups, "n").agg(
-        F.transform(listed, lambda e: e["_q"]).alias("quantiles")
-    ).drop("_all")
+def _places(probs):
+    """The ranks below and above every wanted place among ``n`` rows."""
+    places = []
+    for i, p in enumerate(probs):
+        place = F.lit(float(p)) * (F.col("n") - 1)
+        low = F.floor(place).cast("long")
+        for side, rank in (("low", low), ("high", F.least(low + 1, F.col("n") - 1))):
+            places.append(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank.alias("rank"), (place - low).alias("part")))
+    return F.array(*places)
+
+
+def _between(low, high, part):
+    return F.when((part == 0) | (low == high), low).otherwise(low * (1 - part) + high * part)

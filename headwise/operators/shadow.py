@@ -7,7 +7,6 @@ from headwise.functions.clock import cyclic_time
 from headwise.functions.hashing import stable_hash_unit
 from headwise.operators import autoencoder
 from headwise.operators.aggregates import error_quantiles, score_correlation
-from headwise.operators.quantiles import GROUP_LIMIT
 from headwise.operators.ranking import top_error_events
 from headwise.schema import ROUTE_HASH_MOD, STOP_HASH_MOD
 from headwise.session import write_and_read
@@ -146,7 +145,7 @@ def _telemetry_without_training(spark, samples, last_run_utc):
     )
 
 
-def run_shadow(scored_rows, last_run_utc, weights=None, epochs=autoencoder.EPOCHS, group_limit=GROUP_LIMIT):
+def run_shadow(scored_rows, last_run_utc, weights=None, epochs=autoencoder.EPOCHS):
     """(one-row telemetry, trained weights); weights are None with too few rows."""
     features, samples = training_table(scored_rows)
     if samples < MIN_ROWS:
@@ -162,7 +161,7 @@ def run_shadow(scored_rows, last_run_utc, weights=None, epochs=autoencoder.EPOCH
             *[e[c].alias(c) for c in ("route_id", "stop_id", "stop_name", "dl_error", "online_score")]
         )).alias("top")
     ).scalar()
-    telemetry = error_quantiles(errors, group_limit=group_limit).select(
+    telemetry = error_quantiles(errors).select(
         F.lit("available").alias("status"), F.lit(MODEL_NAME).alias("model"), F.lit("cpu").alias("device"),
         F.lit(samples).cast("long").alias("samples_used"), F.lit(max(1, epochs)).alias("train_epochs"),
         F.lit(float(loss)).alias("loss_last"),

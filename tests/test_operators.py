@@ -36,11 +36,10 @@ def test_feeds_of_one_poll_share_the_last_arrival(spark):
     assert got == {"ACE": None, "L": 300.0}
 
 
-def test_median_mad_both_ways(spark, scores):
+def test_median_mad(spark, scores):
     rows = scores([{"headway_sec": h} for h in (60.0, 120.0, 600.0, 0.0, -5.0, None)])
-    for limit in (1000, 0):
-        row = aggregates.headway_median_mad(rows, group_limit=limit).first()
-        assert (row["median"], row["mad"], row["hour"]) == (120.0, 60.0, 0)
+    row = aggregates.headway_median_mad(rows).first()
+    assert (row["median"], row["mad"], row["hour"]) == (120.0, 60.0, 0)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -52,19 +51,19 @@ def test_histogram_quantiles_are_exact(spark, seed):
     hot = rng.random(len(values)) < 0.9
     rows = spark.createDataFrame([("hot" if h else "cold", float(v)) for h, v in zip(hot, values)], "k string, x double")
     probs = [0.0, 0.1, 0.5, 0.9, 0.99, 1.0]
-    got = {r.k: r for r in quantiles.exact_quantiles(rows, ["k"], "x", probs, group_limit=0).collect()}
+    got = {r.k: r for r in quantiles.exact_quantiles(rows, ["k"], "x", probs).collect()}
     for name, part in (("hot", values[hot]), ("cold", values[~hot])):
         assert got[name].n == len(part)
         np.testing.assert_allclose(got[name].quantiles, np.quantile(part, probs), rtol=1e-12, atol=1e-12)
-    whole = quantiles.exact_quantiles(rows, [], "x", [0.5, 0.99], group_limit=0).first()
+    whole = quantiles.exact_quantiles(rows, [], "x", [0.5, 0.99]).first()
     np.testing.assert_allclose(whole.quantiles, np.quantile(values, [0.5, 0.99]), rtol=1e-12)
 
 
-def test_error_quantiles_with_large_group_path(spark):
+def test_error_quantiles(spark):
     err = np.random.default_rng(0).exponential(1.0, 3000)
     rows = spark.createDataFrame([(float(e),) for e in err], "err double")
-    small, large = (aggregates.error_quantiles(rows, group_limit=g).first() for g in (10_000, 0))
-    assert list(small) == pytest.approx(list(large))
+    small = aggregates.error_quantiles(rows).first()
+    assert list(small)[:3] == pytest.approx([*np.percentile(err, [90, 99]), err.max()])
     assert small.shadow_alerts_high == int((err >= np.percentile(err, 99)).sum())
 
 
@@ -166,11 +165,26 @@ def test_text_headways(spark):
     assert [r.headway_sec for r in filters.positive_headway(rows).collect()] == [12.5]
 
 
-@pytest.mark.parametrize("group_limit", [2, 1000])
-def test_quantiles_leave_out_nulls_and_nans(spark, group_limit):
+def test_quantiles_leave_out_nulls_and_nans(spark):
     rows = spark.createDataFrame(
         [("a", float(v)) for v in (1, 2, 3, 4)] + [("a", float("nan")), ("a", None), ("b", float("nan"))], "k string, x double")
-    found = quantiles.exact_quantiles(rows, ["k"], "x", [0.5, 1.0], group_limit).collect()
+    found = quantiles.exact_quantiles(rows, ["k"], "x", [0.5, 1.0]).collect()
     assert [(r.k, r.n, list(r.quantiles)) for r in found] == [("a", 4, [2.5, 4.0])]
-    middle = quantiles.exact_median_mad(rows, ["k"], "x", group_limit).collect()
+    middle = quantiles.exact_median_mad(rows, ["k"], "x").collect()
     assert [(r.k, r["median"], r["mad"]) for r in middle] == [("a", 2.5, 1.0)]
+
+
+def test_quantiles_of_infinities_and_null_groups(spark):
+    inf = float("inf")
+    groups = {"up": [1.0, 2.0, inf], "down": [-inf, -inf, 5.0, 7.0], "both": [-inf, inf], "all": [inf, inf], None: [3.0, 4.0, 4.0, 9.0],
+              "tiny": [5e-324, -5e-324, 0.0, 1.7e308, -1.7e308]}
+    rows = spark.createDataFrame([(k, v) for k, values in groups.items() for v in values], "k string, x double")
+    found = {r.k: (r.n, list(r.quantiles)) for r in quantiles.exact_quantiles(rows, ["k"], "x", [0.0, 0.5, 1.0]).collect()}
+    assert found["up"] == (3, [1.0, 2.0, inf]) and found["all"] == (2, [inf] * 3) and found[None] == (4, [3.0, 4.0, 9.0])
+    assert found["down"] == (4, [-inf, -inf, 7.0])
+    assert found["both"][1][0] == -inf and np.isnan(found["both"][1][1]) and found["both"][1][2] == inf
+    assert found["tiny"] == (5, [-1.7e308, 0.0, 1.7e308])
+    middle = {r.k: (r["median"], r["mad"]) for r in quantiles.exact_median_mad(rows, ["k"], "x").collect()}
+    assert middle["up"] == (2.0, 1.0) and middle[None] == (4.0, 0.5) and middle["all"] == (inf, None)
+    assert quantiles.exact_quantiles(rows.limit(0), ["k"], "x", [0.5]).count() == 0
+    assert quantiles.exact_quantiles(rows.limit(0), [], "x", [0.5]).count() == 0
