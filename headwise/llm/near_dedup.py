@@ -27,7 +27,7 @@ from headwise.llm.common import fields, write_and_read
 
 #: Coordinates that are posted, and more that are only counted, by one byte each.
 COORDINATES = 64
-COUNTED = 192
+COUNTED = 448
 SHINGLE = 5
 SIMILARITY = 80  # per cent
 #: How often postings without a possible partner are taken out.
@@ -421,12 +421,17 @@ def near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY):
     lists = postings(sets, needed_matches(similarity))
     pairs = write_and_read(count_matches(write_and_read(first_pairs(lists), "pairs"), sets, enough, similarity), "matched")
 
-    # Texts of all that is posted, moved once. The list grows with the corpus, so it is never broadcast: both
-    # sides are shuffled at every size.
-    wanted = lists.select("node").distinct().join(sets.select("node", "least.*"), "node")
-    texts = write_and_read(
-        keyed.join(write_and_read(wanted, "wanted").hint("merge"), ["doc_id", "digest"])
-        .groupBy("node").agg(F.first("text").alias("text")), "texts")
+    def nodes_of(pairs):
+        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def fetch(nodes):
+        """Texts of these nodes. The list grows with the corpus, so it is never broadcast: both sides are shuffled at every size."""
+        wanted = write_and_read(nodes.join(sets.select("node", "least.*"), "node"), "wanted")
+        return write_and_read(
+            keyed.join(wanted.hint("merge"), ["doc_id", "digest"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+    # Only of what has a partner by its signature: nodes that are merely posted are many more than in proportion.
+    texts = fetch(nodes_of(pairs))
 
     def apart(pairs, joined):
         for side in "ab":
@@ -443,6 +448,7 @@ def near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY):
     # Then what pivots cannot tell: members of long lists away from their pivot, and the clusters of pivots.
     more = write_and_read(open_pairs(lists, joined, pairs, sets, enough, similarity), "open")
     if not more.isEmpty():
+        texts = texts.union(fetch(nodes_of(more).join(nodes_of(pairs), "node", "left_anti")))
         undirected = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = apart(undirected.join(pairs, ["a", "b"], "left_anti"), joined)
         links = links.union(write_and_read(confirm(fresh, texts, shingle, similarity), "links"))

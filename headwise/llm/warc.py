@@ -26,6 +26,8 @@ ARCHIVE_BYTES = 64 << 20
 BLOCK_LINES = 1000
 #: The directory has at most this many blocks: beyond, blocks hold more lines. It is what every task loads.
 MAX_BLOCKS = 50_000
+#: Tasks that read records back; the keys are small but each stands for a range read, so Spark must not merge them by size.
+READ_TASKS = 10_000
 DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n\r\n"
 _NULL_ID = -(1 << 63)
@@ -53,8 +55,8 @@ def record_bytes(url, page_id, payload, digest, refers_to=None):
     """One record: headers, and the HTTP response with the payload unless it is a revisit."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}{_END}".encode()
     block = http if refers_to is not None else http + payload
-    # A header is one line, so line breaks of a url are escaped.
-    target = (url or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    # A header is one line, so line breaks of a url are escaped; all else stands as it is.
+    target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     lines = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>", f"WARC-Date: {DATE}",
@@ -224,7 +226,8 @@ def read_captures(wanted, directory, folder):
                         None if response else int(headers["WARC-Refers-To-Page"]), payload if response else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    dealt = wanted.mapInArrow(find, "key binary, block long").distinct().repartition("block").sortWithinPartitions("block", "key")
+    dealt = wanted.mapInArrow(find, "key binary, block long").distinct().repartition(
+        max(1, min(len(rows), READ_TASKS)), "block").sortWithinPartitions("block", "key")
     return dealt.mapInArrow(
         read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 

@@ -310,3 +310,11 @@ def test_many_pieces_of_one_length(spark, monkeypatch):
     rows = packing.pack_documents(brute.documents(spark, ["same"] * 500), capacity=8).collect()
     assert len(rows) == 500 and len({(r.sequence_id, r.offset) for r in rows}) == 500
     assert len({r.sequence_id for r in rows}) == 125
+
+
+def test_record_targets_are_the_urls():
+    for url in ("https://x.org/a%20b?c=%25", "http://h/\tü", ""):
+        headers, _, payload = warc.parse_record(warc.record_bytes(url, 1, b"body", warc.payload_digest(b"body")))
+        assert headers["WARC-Target-URI"] == url and payload == b"body"
+    headers, *_ = warc.parse_record(warc.record_bytes("http://h/\r\nX: 1", 1, b"", warc.payload_digest(b"")))
+    assert headers["WARC-Target-URI"] == "http://h/%0D%0AX: 1"

@@ -263,3 +263,31 @@ def test_bad_hosts_take_their_documents_along(spark):
 def test_sha_of_nothing(spark, text):
     row = substring.remove_repeats(brute.documents(spark, [text])).select(F.sha2("kept_text", 256).alias("sha")).first()
     assert row.sha == hashlib.sha256(b"").hexdigest()
+
+
+def test_open_pairs_grow_with_the_members(spark, monkeypatch):
+    """A group of near copies just below the limit gives pairs in proportion to its members, and the right groups."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    sizes, counts = (100, 300), []
+    write = near_dedup.write_and_read
+
+    def counted(df, label, *rest):
+        result = write(df, label, *rest)
+        if label == "open":
+            counts.append(result.count())
+        return result
+
+    monkeypatch.setattr(near_dedup, "write_and_read", counted)
+    for size in sizes:
+        texts = []
+        for _ in range(size):
+            copy = list(base)
+            for at in rng.sample(range(120), 8):
+                copy[at] = f"x{rng.randrange(10 ** 6)}"
+            texts.append(" ".join(copy))
+        docs = list(enumerate(texts))
+        want = brute.near_groups(docs, 2, 80)
+        found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(brute.documents(spark, docs), shingle=2).collect()}
+        assert found == want
+    assert counts[1] <= 6 * max(counts[0], 100)
