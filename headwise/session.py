@@ -1,4 +1,5 @@
 """Session defaults and the shared working folder."""
+import re
 import tempfile
 import uuid
 
@@ -40,7 +41,8 @@ def ensure_checkpoint_dir(spark):
     current = sc.getCheckpointDir()
     if current is None:
         if configured is None:
-            if not sc.master.startswith("local"):
+            # Not local-cluster: its executors are processes of their own.
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             configured = tempfile.mkdtemp(prefix="headwise-")
         sc.setCheckpointDir(configured)
