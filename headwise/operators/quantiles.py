@@ -8,16 +8,18 @@ _COARSE_SHIFT = 16
 _CODE_OFFSET = 1100 * _FINE_PER_OCTAVE
 # Beyond the code of any finite number.
 _INFINITE_CODE = 4 * _CODE_OFFSET
+_FOUND = ("n", "_n", "_before", "_least", "_most", "_places")
 
 
 def exact_quantiles(rows, keys, value, probs):
     """Per group: ``n`` and the array ``quantiles`` (linear interpolation), by one plan whatever the sizes.
 
     Order statistics are located by counts: of coarse logarithmic bins, then of fine ones inside the coarse bins
-    that hold a wanted place, then of the values of those fine bins. A bin whose least and greatest value are equal
-    is settled at once, so the rows of small groups are counted once. Every step is a counting aggregate with
-    map-side combine, so no task sees a whole group. Nulls and NaN are left out; infinities are ordinary ends of
-    the order, and a quantile strictly between the two infinities is NaN.
+    that hold a wanted place, then of the values of those fine bins. A bin knows its least and greatest value, so
+    what is wanted at its ends is settled at once, and the rows of small groups are counted once. Every step is a
+    counting aggregate with map-side combine, so no task sees a whole group. What a step finds (a row per wanted bin)
+    is written, so no step counts again what an earlier one has counted. Nulls and NaN are left out; infinities are
+    ordinary ends of the order, and a quantile strictly between the two infinities is NaN.
     """
     rows, keys = _valued(rows, keys, value), list(keys)
     rows = rows.withColumn("_code", _order_code(F.col("_x"))).withColumn("_coarse", F.shiftright("_code", _COARSE_SHIFT))
@@ -34,14 +36,23 @@ def exact_quantiles(rows, keys, value, probs):
         end = F.sum("_n").over(whole.orderBy(bin_column))
         bins = bins.withColumn("_before", end - F.col("_n"))
         inside = F.filter("_places", lambda p: (p["rank"] >= F.col("_before")) & (p["rank"] < F.col("_before") + F.col("_n")))
-        found = bins.withColumn("_places", inside).filter(F.size("_places") > 0)
-        is_one = F.col("_least") == F.col("_most")
-        done = found.filter(is_one).select("_all", *keys, "n", F.inline("_places"), F.col("_least").alias("_value"))
+        found = write_and_read(
+            bins.withColumn("_places", inside).filter(F.size("_places") > 0)
+            .select(*groups, bin_column, *_FOUND), "found-bins")
+        # The ends of a bin are known: what is wanted there, or from a bin with one value, is settled.
+        own = lambda p: p["rank"] - F.col("_before")
+        at_end = lambda p: (own(p) == 0) | (own(p) == F.col("_n") - 1) | (F.col("_least") == F.col("_most"))
+        done = found.select("_all", *keys, "n", F.inline(F.transform(F.filter("_places", at_end), lambda p: F.struct(
+            p["i"].alias("i"), p["side"].alias("side"), p["part"].alias("part"),
+            F.when(own(p) == 0, F.col("_least")).otherwise(F.col("_most")).alias("_value")))))
         settled = done if settled is None else settled.unionByName(done)
         groups = [*groups, bin_column]
         # Ranks go on from the start of the bin.
-        wanted = found.filter(~is_one).select(*groups, "n", F.transform("_places", lambda p: F.struct(
-            p["i"].alias("i"), p["side"].alias("side"), (p["rank"] - F.col("_before")).alias("rank"), p["part"].alias("part"))).alias("_places"))
+        wanted = found.select(*groups, "n", F.transform(F.filter("_places", lambda p: ~at_end(p)), lambda p: F.struct(
+            p["i"].alias("i"), p["side"].alias("side"), own(p).alias("rank"), p["part"].alias("part"))).alias("_places"),
+        ).filter(F.size("_places") > 0)
+        if wanted.isEmpty():
+            break
     side = lambda i, name: F.max(F.when((F.col("i") == i) & (F.col("side") == name), F.col("_value")))
     part = lambda i: F.max(F.when(F.col("i") == i, F.col("part")))
     return settled.groupBy("_all", *keys, "n").agg(F.array(*[
