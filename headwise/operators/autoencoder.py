@@ -3,7 +3,7 @@ import numpy as np
 
 # Layer widths for ten features, and training parameters.
 LAYERS = [10, 40, 20, 40, 10]
-NOISE_STD, MASK_RATIO, LEARNING_RATE, BATCH_ROWS, EPOCHS = 0.08, 0.2, 0.0012, 1024, 4
+NOISE_STD, MASK_RATIO, LEARNING_RATE, EPOCHS = 0.08, 0.2, 0.0012, 4
 _DECAY1, _DECAY2, _TINY = 0.9, 0.999, 1e-8
 
 
@@ -59,26 +59,39 @@ def gradient(flat, corrupted, clean):
     return float(np.mean(gap ** 2)), np.concatenate(grads[::-1])
 
 
-class Trainer:
-    """Adam over minibatches, starting from shared weights and moments."""
+# Increment and multipliers of the SplitMix64 generator.
+_GAMMA, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
-    def __init__(self, flat, seed, moments=None, steps=0):
+
+def _uniform(keys, shape, seed):
+    """Numbers in (0, 1) that depend on the row's key, the place in the row and the seed only."""
+    # The seed is spread first, so neighbouring seeds draw unrelated numbers.
+    start = (int(seed) * _MIX1 + _GAMMA) % (1 << 64)
+    places = np.arange(1, shape[1] + 1, dtype=np.uint64) * np.uint64(_GAMMA)
+    z = (keys.astype(np.int64).view(np.uint64) ^ np.uint64(start))[:, None] + places[None, :]
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(_MIX1)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(_MIX2)
+    z ^= z >> np.uint64(31)
+    return ((z >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+
+def corrupt(x, keys, seed):
+    """``x`` with Gaussian noise and masked entries; a row's draw depends on its key, so on no order or partition."""
+    first, second, mask = (_uniform(keys, x.shape, 3 * seed + i) for i in range(3))
+    noise = np.sqrt(-2.0 * np.log(first)) * np.cos(2.0 * np.pi * second)
+    return (x + NOISE_STD * noise) * (mask > MASK_RATIO)
+
+
+class Adam:
+    """Weights and moments; one step per gradient."""
+
+    def __init__(self, flat):
         self.flat = np.array(flat, dtype=float)
-        self.rng = np.random.default_rng(seed)
-        self.m, self.v = moments or (np.zeros_like(self.flat), np.zeros_like(self.flat))
-        self.t = steps
-        self.rows, self.loss = 0, 0.0
-
-    def train(self, x):
-        order = self.rng.permutation(len(x))
-        for start in range(0, len(x), BATCH_ROWS):
-            clean = x[order[start:start + BATCH_ROWS]]
-            kept = self.rng.random(clean.shape) > MASK_RATIO
-            corrupted = (clean + self.rng.normal(0.0, NOISE_STD, clean.shape)) * kept
-            self.loss, g = gradient(self.flat, corrupted, clean)
-            self.t += 1
-            self.m = _DECAY1 * self.m + (1 - _DECAY1) * g
-            self.v = _DECAY2 * self.v + (1 - _DECAY2) * g * g
-            m, v = self.m / (1 - _DECAY1 ** self.t), self.v / (1 - _DECAY2 ** self.t)
-            self.flat = self.flat - LEARNING_RATE * m / (np.sqrt(v) + _TINY)
-        self.rows += len(x)
+        self.m, self.v, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+
+    def step(self, g):
+        self.t += 1
+        self.m = _DECAY1 * self.m + (1 - _DECAY1) * g
+        self.v = _DECAY2 * self.v + (1 - _DECAY2) * g * g
+        m, v = self.m / (1 - _DECAY1 ** self.t), self.v / (1 - _DECAY2 ** self.t)
+        self.flat = self.flat - LEARNING_RATE * m / (np.sqrt(v) + _TINY)

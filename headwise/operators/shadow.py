@@ -20,9 +20,9 @@ FEATURES = [
 MIN_ROWS = 256
 MODEL_NAME = "denoising_autoencoder_v1"
 
-# Rows are trained on in shards by a hash of their id, so the result does not depend on partitions. The number
-# of shards is part of the model; a task holds one block of rows.
-SHARDS = 8
+# An epoch is this many steps. The mini-batch of a step is a fixed share of the rows, chosen by a hash of their id, so
+# it grows with the data and neither steps nor results depend on partitions. A task holds one block of rows.
+STEPS = 8
 BLOCK_ROWS = 8192
 
 
@@ -63,61 +63,53 @@ def standardise_matrix(features):
     )
 
 
-def _epoch(matrix, state, epoch, seed, shards):
-    """One local pass per shard, then a row-weighted average of weights and moments.
+def _batch_gradient(batch, weights, seed):
+    """(rows, summed loss, summed gradient) of a mini-batch, or None without rows.
 
-    A shard is read in order of id and in blocks of fixed size. Only the vectors (about 7500 numbers per shard)
-    are shuffled, already combined on the map side, and only their average reaches the driver.
+    Every task adds up its own rows; the partial sums, a vector of about 2500 numbers per task, are added by place,
+    and only their total reaches the driver.
     """
-    weights, moments, steps = state
-    ordered = matrix.select(
-        F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", *FEATURES
-    ).repartition("shard").sortWithinPartitions("shard", "id")
-
-    def train(frames):
-        shard = trainer = held = None
-
-        def done():
-            trainer.train(held)
-            vector = np.concatenate([trainer.flat, trainer.m, trainer.v, [trainer.loss]])
-            return pd.DataFrame({"rows": [trainer.rows], "steps": [trainer.t], "vector": [vector.tolist()]})
-
+    def partial(frames):
+        total = np.zeros(len(weights) + 2)
         for frame in frames:
-            for key, part in frame.groupby("shard", sort=True):
-                if key != shard:
-                    if trainer is not None:
-                        yield done()
-                    shard, held = key, np.zeros((0, len(FEATURES)))
-                    trainer = autoencoder.Trainer(weights, [seed, epoch, int(key)], moments, steps)
-                held = np.concatenate([held, part[FEATURES].to_numpy()])
-                while len(held) > BLOCK_ROWS:
-                    trainer.train(held[:BLOCK_ROWS])
-                    held = held[BLOCK_ROWS:]
-        if trainer is not None:
-            yield done()
-
-    local = ordered.mapInPandas(train, "rows long, steps long, vector array<double>")
-    parts = local.select("rows", "steps", F.posexplode("vector").alias("i", "w"))
-    average = parts.groupBy("i").agg(
-        (F.sum(F.col("w") * F.col("rows")) / F.sum("rows")).alias("w"), F.max("steps").alias("steps"))
-    rows = average.orderBy("i").collect()
-    *values, loss = [r["w"] for r in rows]
-    flat, m, v = np.split(np.array(values), 3)
-    return (flat, (m, v), rows[0]["steps"]), loss
-
-
-def shadow_autoencoder(matrix, weights=None, epochs=autoencoder.EPOCHS, seed=7, shards=SHARDS):
+            x, keys = frame[FEATURES].to_numpy(dtype=float), frame["key"].to_numpy()
+            for at in range(0, len(x), BLOCK_ROWS):
+                block = x[at:at + BLOCK_ROWS]
+                loss, grad = autoencoder.gradient(weights, autoencoder.corrupt(block, keys[at:at + BLOCK_ROWS], seed), block)
+                total += len(block) * np.concatenate([[1.0, loss], grad])
+        if total[0]:
+            yield pd.DataFrame({"sums": [total]})
+
+    parts = batch.select("key", *FEATURES).mapInPandas(partial, "sums array<double>")
+    sums = parts.select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    if not len(sums):
+        return None
+    rows, loss, *grad = sums.sort_values("i")["x"]
+    return rows, loss, np.array(grad)
+
+
+def shadow_autoencoder(matrix, weights=None, epochs=autoencoder.EPOCHS, seed=7, steps=STEPS):
     """Train over all rows of a standardised matrix and score each row.
 
-    Returns (rows with ``err``, weights, last loss). ``weights`` of an earlier
-    run give a warm start; the optimiser's moments go on from epoch to epoch.
+    Returns (rows with ``err``, weights, mean loss of the last epoch). ``weights`` of an earlier run give a warm start.
+    Training is batch-synchronous: each step sums the gradient of its mini-batch over all tasks and moves the weights
+    once. The matrix is written once, in a folder per step, and each epoch reads every row once. Noise and masks are
+    drawn from a row's id, so weights are equal for any number of partitions, up to the rounding of sums.
     """
     if weights is None or len(weights) != len(autoencoder.initial_weights()):
         weights = autoencoder.initial_weights(seed)
-    state, loss = (np.asarray(weights, dtype=float), None, 0), 0.0
+    learner, loss = autoencoder.Adam(weights), 0.0
+    keyed = matrix.withColumn("key", F.xxhash64("id"))
+    stored = write_and_read(keyed.withColumn("step", F.pmod("key", F.lit(steps)).cast("int")), "shadow-matrix", ["step"])
     for epoch in range(max(1, epochs)):
-        state, loss = _epoch(matrix, state, epoch, seed, shards)
-    weights = state[0]
+        seen = lost = 0.0
+        for step in range(steps):
+            sums = _batch_gradient(stored.where(F.col("step") == step), learner.flat, seed + epoch)
+            if sums:
+                learner.step(sums[2] / sums[0])
+                seen, lost = seen + sums[0], lost + sums[1]
+        loss = lost / seen if seen else 0.0
+    weights = learner.flat
 
     identity = ["id", "observed_ts", "route_id", "stop_id", "score"]
 
@@ -128,7 +120,7 @@ def shadow_autoencoder(matrix, weights=None, epochs=autoencoder.EPOCHS, seed=7,
             yield out
 
     schema = "id long, observed_ts timestamp, route_id string, stop_id string, online_score double, err double"
-    return matrix.mapInPandas(score, schema), weights, loss
+    return stored.select(*identity, *FEATURES).mapInPandas(score, schema), weights, loss
 
 
 # Names of the published telemetry, here and in ``run_shadow``.

@@ -218,8 +218,25 @@ def test_autoencoder_gradient_and_learning():
         assert grad[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
     data = rng.normal(size=(4096, 2)) @ rng.normal(size=(2, 10))
     data = (data - data.mean(0)) / data.std(0)
-    trainer = autoencoder.Trainer(flat, 1)
-    before = autoencoder.row_errors(flat, data).mean()
-    for _ in range(60):
-        trainer.train(data)
-    assert autoencoder.row_errors(trainer.flat, data).mean() < 0.3 * before and math.isfinite(trainer.loss)
+    learner = autoencoder.Adam(flat)
+    before, keys = autoencoder.row_errors(flat, data).mean(), np.arange(len(data))
+    for step in range(240):
+        part = slice(step % 4 * 1024, step % 4 * 1024 + 1024)
+        loss, grad = autoencoder.gradient(learner.flat, autoencoder.corrupt(data[part], keys[part], step // 4), data[part])
+        learner.step(grad)
+    assert autoencoder.row_errors(learner.flat, data).mean() < 0.3 * before and math.isfinite(loss)
+
+
+def test_corruption_depends_on_keys_only():
+    rng = np.random.default_rng(3)
+    x, keys = np.ones((20_000, 10)), rng.integers(-2**63, 2**63 - 1, 20_000)
+    whole = autoencoder.corrupt(x, keys, 5)
+    order = rng.permutation(len(x))
+    np.testing.assert_array_equal(autoencoder.corrupt(x[order], keys[order], 5), whole[order])
+    kept = whole[whole != 0]
+    assert (whole == 0).mean() == pytest.approx(0.2, abs=0.005)
+    assert kept.mean() == pytest.approx(1, abs=0.002) and kept.std() == pytest.approx(0.08, abs=0.002)
+    # Other seeds and neighbouring places draw other numbers.
+    other = autoencoder.corrupt(x, keys, 6)
+    assert abs(np.corrcoef(whole.ravel(), other.ravel())[0, 1]) < 0.01
+    assert abs(np.corrcoef(whole[:, 0], whole[:, 1])[0, 1]) < 0.03

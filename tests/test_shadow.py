@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from headwise.operators import shadow
+from headwise.operators import autoencoder, shadow
 from headwise.operators.filters import scored
 
 
@@ -46,7 +46,34 @@ def test_training_telemetry_and_warm_start(scores):
 
 def test_training_does_not_depend_on_partitions(scores):
     features = shadow.shadow_features(rows_for(scores, 900))
-    runs = [shadow.shadow_autoencoder(shadow.standardise_matrix(features.repartition(n)), None, 2) for n in (1, 8)]
-    np.testing.assert_allclose(runs[0][1], runs[1][1], rtol=1e-6, atol=1e-9)
+    runs = [shadow.shadow_autoencoder(shadow.standardise_matrix(features.repartition(n)), None, 2) for n in (1, 8, 64)]
     errors = [{r.id: r.err for r in run[0].collect()} for run in runs]
-    assert all(abs(errors[0][i] - errors[1][i]) < 1e-6 for i in errors[0])
+    for weights, found in zip((run[1] for run in runs[1:]), errors[1:]):
+        np.testing.assert_allclose(runs[0][1], weights, rtol=1e-6, atol=1e-9)
+        assert found.keys() == errors[0].keys() and all(abs(errors[0][i] - found[i]) < 1e-6 for i in found)
+
+
+def test_training_equals_steps_on_one_machine(scores):
+    matrix = shadow.standardise_matrix(shadow.shadow_features(rows_for(scores, 700)))
+    _, weights, loss = shadow.shadow_autoencoder(matrix, None, 2, seed=4, steps=3)
+    held = matrix.withColumn("key", F.xxhash64("id")).toPandas()
+    x, keys = held[shadow.FEATURES].to_numpy(), held["key"].to_numpy()
+    learner = autoencoder.Adam(autoencoder.initial_weights(4))
+    for epoch in range(2):
+        losses = []
+        for step in range(3):
+            mine = keys % 3 == step
+            one, grad = autoencoder.gradient(learner.flat, autoencoder.corrupt(x[mine], keys[mine], 4 + epoch), x[mine])
+            learner.step(grad)
+            losses.append(one * mine.sum())
+    np.testing.assert_allclose(weights, learner.flat, rtol=1e-6, atol=1e-9)
+    assert abs(loss - sum(losses) / len(x)) < 1e-9
+
+
+def test_steps_without_rows_are_left_out(scores):
+    matrix = shadow.standardise_matrix(shadow.shadow_features(rows_for(scores, 2)))
+    rows, weights, loss = shadow.shadow_autoencoder(matrix, None, 1, steps=5)
+    assert rows.count() == 2 and np.isfinite(weights).all() and np.isfinite(loss)
+    empty, weights, loss = shadow.shadow_autoencoder(matrix.limit(0), None, 1, steps=2)
+    assert empty.count() == 0 and loss == 0.0
+    np.testing.assert_array_equal(weights, autoencoder.initial_weights(7))
