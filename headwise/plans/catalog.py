@@ -622,13 +622,17 @@ def _(spark, folder):
 
 @query("heatmap_collection")
 def _(spark, folder):
-    """The collection is decoded again, so that values are compared."""
+    """The tiles' documents are decoded again, so that every property is compared."""
     served = _served(spark, folder)
     rows = serve.heatmap(served, star_tables.stops(spark, folder), WEEK)
-    document = geo.feature_collection(rows.select("feature"), serve.run_stamp(_newest(served)))
-    get = lambda path: F.get_json_object("collection", path)
-    ids = F.from_json(get("$.features[*].properties.stop_id"), "array<string>")
-    return document.select(get("$.type").alias("type"), get("$.timestamp").alias("timestamp"), F.explode(ids).alias("stop_id"))
+    tiles = geo.feature_collections(rows.select("lon", "lat", "feature"), serve.run_stamp(_newest(served)))
+    event = ", ".join(f"{name}: {kind}" for name, kind in (
+        ("stop_id", "string"), ("stop_name", "string"), ("route_id", "string"), ("anomaly_score", "double"), ("residual", "double"),
+        ("headway_sec", "double"), ("predicted_headway_sec", "double"), ("observed_ts_utc", "string"), ("event_ts_utc", "string")))
+    kind = f"type string, timestamp string, features array<struct<geometry: struct<coordinates: array<double>>, properties: struct<{event}>>>"
+    document = tiles.select(F.from_json("collection", kind).alias("d"))
+    each = document.select("d.type", "d.timestamp", F.explode("d.features").alias("f"))
+    return each.select("type", "timestamp", F.col("f.geometry.coordinates")[0].alias("lon"), F.col("f.geometry.coordinates")[1].alias("lat"), "f.properties.*")
 
 
 @query("rewrite_scores")

@@ -485,8 +485,10 @@ ORACLES = {
                        WHERE observed_ts >= (SELECT max(observed_ts) FROM raw) - INTERVAL 24 HOUR) GROUP BY 1)"""),
     "station_layer": _with("SELECT stop_id, stop_name, lon, lat FROM stops"),
     "heatmap_collection": _with(
-        """SELECT 'FeatureCollection' AS type, strftime((SELECT max(observed_ts) FROM raw), '%Y-%m-%dT%H:%M:%SZ') AS timestamp, stop_id
-           FROM top1 JOIN stops USING (stop_id)""", _WEEK_TOP1),
+        f"""SELECT 'FeatureCollection' AS type, strftime((SELECT max(observed_ts) FROM raw), '%Y-%m-%dT%H:%M:%SZ') AS timestamp,
+             lon, lat, stop_id, stop_name, route_id, coalesce(anomaly_score, 0.0) AS anomaly_score, coalesce(residual, 0.0) AS residual,
+             headway_sec, predicted_headway_sec, observed_ts_utc, event_ts_utc
+           FROM (SELECT *, {_pack('observed_ts', 'observed_ts_')}, {_pack('event_ts', 'event_ts_')} FROM top1 JOIN stops USING (stop_id))""", _WEEK_TOP1),
     "rewrite_scores": _with(
         """SELECT id, CASE WHEN fresh THEN predicted_headway_sec END AS predicted_headway_sec,
              CASE WHEN fresh THEN residual END AS residual, CASE WHEN fresh THEN anomaly_score ELSE 0.0 END AS anomaly_score

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import math
 
 import pytest
@@ -101,10 +102,35 @@ def test_geojson(spark):
         assert '"coordinates":[-73.5,40.25]' in t and '"headway_sec":null' in t
         assert '"anomaly_score":0.0' in t and '"stop_name":null' in t
     stations = geo.station_feature(df.select("stop_id", "stop_name", "lon", "lat").limit(1))
-    document = geo.feature_collection(stations, F.lit("t0")).first().collection
+    document = geo.feature_collections(stations, F.lit("t0")).first().collection
     assert document.startswith('{"type":"FeatureCollection","timestamp":"t0","features":[{"type":"Feature"')
 
 
+def test_tiles_hold_every_feature_once_and_stay_small(spark):
+    # 300 stops around a city, 200 at one place, some far away, outside the map or without a place.
+    places = [(-73.9 + (i % 20) * 0.01, 40.7 + (i // 20) * 0.01) for i in range(300)] + [(2.35, 48.85)] * 200
+    places += [(180.0, 90.0), (-180.0, -90.0), (400.0, -400.0), (None, None), (151.2, -33.9)]
+    rows = spark.createDataFrame([(f"s{i}", f"n{i}", *p) for i, p in enumerate(places)], "stop_id string, stop_name string, lon double, lat double")
+    features = geo.station_feature(rows)
+    tiled = geo.feature_tiles(features, limit=40).collect()
+    assert sorted(r.stop_id for r in tiled) == sorted(f"s{i}" for i in range(len(places)))
+    sizes = {}
+    for r in tiled:
+        sizes[r.tile_level, r.tile, r.part] = sizes.get((r.tile_level, r.tile, r.part), 0) + 1
+    assert max(sizes.values()) <= 40
+    # Only the crowded place is cut into parts; no two tiles of different depth overlap.
+    assert {(r.lon, r.lat) for r in tiled if r.part} == {(2.35, 48.85)}
+    tiles = {(level, tile) for level, tile, _ in sizes}
+    assert not any((up, tile >> 2 * (level - up)) in tiles for level, tile in tiles for up in range(level))
+    # A tile is the largest that fits: the cell around it holds more than the limit.
+    for level, tile in tiles:
+        around = sum(n for (deep, code, _), n in sizes.items() if deep >= level > 0 and code >> 2 * (deep - level + 1) == tile >> 2)
+        assert level == 0 or around > 40
+    documents = geo.feature_collections(features, F.lit("t0"), limit=40).collect()
+    assert sum(len(json.loads(d.collection)["features"]) for d in documents) == len(places) == sum(d.n_features for d in documents)
+    assert geo.feature_collections(features.limit(0), F.lit("t0")).count() == 0
+
+
 def test_parameters():
     assert [window_seconds(w) for w in ("15m", " 2H ", "abc", "")] == [900, 7200, 900, 900]
     assert window_seconds("x", default_minutes=60) == 3600
