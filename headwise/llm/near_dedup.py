@@ -247,8 +247,9 @@ def open_pairs(lists, joined, pairs, sets, matches, similarity):
     Two members that match the same pivot, of this list or another one, stand in the pivot's cluster (see
     :func:`close_clusters`) and are left to it; what is not recognised by the ``CORES`` least pivots of both is
     compared. Of the others, each is in turn a pivot with a cluster of its own, unless it is in an earlier
-    cluster; then only its matches outside that cluster are pairs. Members take their turns by number, so that
-    the same ones become pivots in all lists. So even where nearly all members match each other without being
+    cluster; then only its matches outside that cluster are pairs. A cluster takes only members between which
+    something is open: what is joined already gives no rows. Members take their turns by number, so that the same
+    ones become pivots in all lists. So even where nearly all members match each other without being
     joined, the pairs stay few.
     """
     component = F.coalesce("component", "node")
@@ -306,21 +307,31 @@ def open_pairs(lists, joined, pairs, sets, matches, similarity):
                     together |= (t_cores == core).any(axis=1)
                 return ~together & (t_parts != q_parts[k])
 
+            opens = [None] * len(q_nodes)
             for k in range(len(q_nodes)):
-                open_to = apart(k)
-                if not open_to.any():
+                opens[k] = apart(k) if opens[k] is None else opens[k]
+                if not opens[k].any():
                     continue
                 hits = alike(k, t_signs, t_sizes)
                 if covered[k] < 0:
-                    if not (hits & open_to).any():
+                    if not (hits & opens[k]).any():
                         continue
-                    mine = alike(k, q_signs, q_sizes)
-                    covered[mine & (covered < 0)] = k
+                    mine = np.flatnonzero(alike(k, q_signs, q_sizes) & (covered < 0))
+                    covered[mine] = k
                     reached[k] = hits
-                    add(int(q_nodes[k]), t_nodes[hits], True)
-                    add(int(q_nodes[k]), q_nodes[mine], True)
+                    # The cluster settles what is open between its own and what it reaches; others need no place in it.
+                    needed = np.zeros(len(t_nodes), bool)
+                    for q in mine:
+                        opens[q] = apart(q) if opens[q] is None else opens[q]
+                        wanted = hits & opens[q]
+                        if wanted.any():
+                            needed |= wanted
+                            add(int(q_nodes[k]), q_nodes[q:q + 1], True)
+                    add(int(q_nodes[k]), t_nodes[needed], True)
                 else:
-                    add(int(q_nodes[k]), t_nodes[hits & ~reached[covered[k]] & open_to], False)
+                    add(int(q_nodes[k]), t_nodes[hits & ~reached[covered[k]] & opens[k]], False)
+                # Members before k take no further turn.
+                opens[k] = None
         columns = list(zip(*[(a, b, star) for (a, b), star in found.items()])) or [[], [], []]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
