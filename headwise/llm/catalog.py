@@ -126,28 +126,38 @@ ORACLES = {
         ), covered AS (
             SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM repeated) GROUP BY rid
         ), lines AS (
-            SELECT rid, count(*) - count(DISTINCT line) AS n
+            SELECT rid, count(*) AS all_lines, count(*) - count(DISTINCT line) AS n
             FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM w)
             WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid
         ), counts AS (
             SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
                    CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
-                   coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+                   coalesce(l.n, 0) AS n_dup_lines, coalesce(l.all_lines, 0) AS n_lines, coalesce(c.n, 0) AS n_repeat_words
             FROM w LEFT JOIN lines l ON l.rid = w.rid LEFT JOIN covered c ON c.rid = w.rid
         ), judged AS (
-            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
-        ), hosts AS (
-            SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM judged GROUP BY source
+            SELECT *, n_words < 50 AS f1, 100 * n_repeat_words > 50 * n_words AS f2, 100 * n_symbols > 10 * n_words AND n_words > 0 AS f3,
+                   100 * n_dup_lines > 30 * n_lines AS f4, word_chars < 2 * n_words OR word_chars > 10 * n_words AS f5 FROM counts
+        ), failed AS (
+            SELECT source, count(*) AS n, unnest(range(1, 6)) AS rule, unnest([count(*) FILTER (f1), count(*) FILTER (f2),
+                   count(*) FILTER (f3), count(*) FILTER (f4), count(*) FILTER (f5)]) AS bad FROM judged GROUP BY source
         ), moments AS (
-            SELECT sum(bad) / sum(n) AS mean, avg((bad / n) * (bad / n)) - avg(bad / n) * avg(bad / n) AS spread, avg(1 / n) AS noise FROM hosts
+            SELECT rule, sum(bad) / sum(n) AS mean, avg((bad / n) * (bad / n)) - avg(bad / n) * avg(bad / n) AS spread, avg(1 / n) AS noise
+            FROM failed GROUP BY rule
         ), prior AS (
-            SELECT mean, CASE WHEN spread - mean * (1 - mean) * noise > 0
+            SELECT rule, mean, CASE WHEN spread - mean * (1 - mean) * noise > 0
                 THEN least(greatest(mean * (1 - mean) / (spread - mean * (1 - mean) * noise) - 1, 1), 1000) ELSE 1000 END AS weight
             FROM moments
+        ), posterior AS (
+            SELECT source, rule, mean, n + weight + 1 AS m, (bad + mean * weight) / (n + weight) AS rate FROM failed JOIN prior USING (rule)
+        ), sure AS (
+            SELECT source, rule, mean, rate - 3 * sqrt(greatest(rate * (1 - rate), 0) / m) AS least FROM posterior
+        ), hosts AS (
+            SELECT source, bool_or(least > (1 + mean) / 2) AS whole, bool_or(rule = 3 AND least > mean) AS h3,
+                   bool_or(rule = 4 AND least > mean) AS h4, bool_or(rule = 5 AND least > mean) AS h5 FROM sure GROUP BY source
         )
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT base_failed AND NOT (bad + mean * weight) / (n + weight) > 0.8 AS kept
-        FROM judged j JOIN hosts h ON h.source IS NOT DISTINCT FROM j.source, prior""",
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
+               NOT (f1 OR f2 OR whole OR (f3 AND h3) OR (f4 AND h4) OR (f5 AND h5)) AS kept
+        FROM judged j JOIN hosts h ON h.source IS NOT DISTINCT FROM j.source""",
     "op7_warc": """
         WITH digests AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages

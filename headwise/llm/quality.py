@@ -7,8 +7,14 @@ SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\f\r"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host goes when its shrunken rate of failing documents is above this.
-MAX_HOST_RATE = 0.8
+#: Failures that weigh by the host only: symbols and repeated lines in per cent of words and lines, letters per word.
+MAX_SYMBOL_PERCENT = 10
+MAX_DUP_LINE_PERCENT = 30
+WORD_LENGTHS = (2, 10)
+#: Rules of which the failures are summed per host.
+RULES = ("short", "repeats", "symbols", "dup_lines", "word_length")
+#: Standard deviations by which a host's posterior rate must be above a limit.
+SURE = 3.0
 #: Bounds of the prior's weight, in documents.
 PRIOR_WEIGHT = (1.0, 1000.0)
 
@@ -30,6 +36,7 @@ def rule_counts(docs):
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     ).withColumns({
         "n_words": F.size("_words").cast("long"),
+        "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_m": F.greatest(F.size("_words") - 2, F.lit(0)),
     })
@@ -51,46 +58,74 @@ def rule_counts(docs):
                    lambda x, y: F.least(F.lit(3).cast("long"), F.coalesce(y - x, F.lit(3).cast("long")))),
         F.lit(0).cast("long"), lambda total, x: total + x,
     )
-    return starts.withColumn("n_repeat_words", covered).drop("_r").withColumn(
-        "base_failed",
-        (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-    )
+    counted = starts.withColumn("n_repeat_words", covered).drop("_r")
+    return counted.withColumns(failures()).withColumn("base_failed", F.col("short_failed") | F.col("repeats_failed"))
+
+
+def failures():
+    """Whether a document fails each rule, by its counts; one without words fails no other rule than ``short``."""
+    words, (least, most) = F.col("n_words"), WORD_LENGTHS
+    return {
+        "short_failed": words < MIN_WORDS,
+        "repeats_failed": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * words,
+        "symbols_failed": (100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * words) & (words > 0),
+        "dup_lines_failed": 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"),
+        "word_length_failed": (F.col("word_chars") < least * words) | (F.col("word_chars") > most * words),
+    }
+
 
+def _prior(total, rule):
+    """Mean and weight of a rule's beta prior by the method of moments over all hosts."""
+    if not total["n"]:
+        return 0.0, PRIOR_WEIGHT[1]
+    mean = total[f"{rule}_bad"] / total["n"]
+    within = mean * (1 - mean)
+    between = total[f"{rule}_square"] - total[f"{rule}_mean"] ** 2 - within * total["noise"]
+    weight = within / between - 1 if between > 0 else PRIOR_WEIGHT[1]
+    return mean, min(max(weight, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
 
-def host_verdicts(judged, max_rate=MAX_HOST_RATE):
-    """One row per host: rows, failures, shrunken failure rate and verdict.
 
-    The prior is a beta distribution whose mean and weight come from the rates
-    of all hosts by the method of moments. A null host is a host of its own.
+def host_verdicts(judged, sure=SURE):
+    """One row per host: host_docs, and per rule the shrunken rate and ``<rule>_high``; host_failed.
+
+    Each rule has a beta prior of its own, whose mean is the rate of the corpus and whose weight comes from how
+    much more the hosts' rates differ than chance makes them; alike hosts are drawn to the corpus rate. A rule is
+    high on a host when its posterior rate less ``sure`` deviations is above the corpus rate, and the host fails
+    as a whole when that is above the middle between the corpus rate and all of its documents. A null host is a
+    host of its own.
     """
     hosts = write_and_read(judged.groupBy("host").agg(
-        F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failures"),
-    ), "hosts")
-    rate = F.col("host_failures") / F.col("host_docs")
+        F.count(F.lit(1)).alias("host_docs"), *[F.count_if(f"{r}_failed").alias(f"{r}_bad") for r in RULES]), "hosts")
+    rates = {r: F.col(f"{r}_bad") / F.col("host_docs") for r in RULES}
     total = hosts.agg(
-        F.sum("host_failures").alias("bad"), F.sum("host_docs").alias("n"),
-        F.avg(rate * rate).alias("square"), F.avg(rate).alias("rate"), F.avg(1 / F.col("host_docs")).alias("noise"),
-    ).first()
-    mean, weight = 0.0, PRIOR_WEIGHT[1]
-    if total["n"]:
-        mean = total["bad"] / total["n"]
-        within = mean * (1 - mean)
-        between = total["square"] - total["rate"] ** 2 - within * total["noise"]
-        if between > 0:
-            weight = min(max(within / between - 1, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
-    shrunk = (F.col("host_failures") + F.lit(mean * weight)) / (F.col("host_docs") + F.lit(weight))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_failed", F.col("host_rate") > max_rate)
-
-
-def host_quality(docs, host="source", max_rate=MAX_HOST_RATE):
+        F.sum("host_docs").alias("n"), F.avg(1 / F.col("host_docs")).alias("noise"),
+        *[F.sum(f"{r}_bad").alias(f"{r}_bad") for r in RULES], *[F.avg(x).alias(f"{r}_mean") for r, x in rates.items()],
+        *[F.avg(x * x).alias(f"{r}_square") for r, x in rates.items()]).first()
+    columns, whole = {}, F.lit(False)
+    for rule in RULES:
+        mean, weight = _prior(total, rule)
+        rows = F.col("host_docs") + F.lit(weight)
+        rate = (F.col(f"{rule}_bad") + F.lit(mean * weight)) / rows
+        surely = rate - F.lit(sure) * F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.0)) / (rows + 1))
+        columns |= {f"{rule}_rate": rate, f"{rule}_high": surely > F.lit(mean)}
+        whole = whole | (surely > F.lit((1 + mean) / 2))
+    return hosts.select("host", "host_docs", *[c.alias(n) for n, c in columns.items()], whole.alias("host_failed"))
+
+
+def host_quality(docs, host="source", sure=SURE):
     """Judge documents by their own counts and by the record of their host.
 
-    Returns doc_id, host, the counts, base_failed, the host's columns and kept. Repeated rows are judged
-    and returned one by one; an empty table gives an empty result. The counts are written once, so both the
-    sums per host and the join back read a slim table.
+    A document goes if it fails a base rule (too short, repeated windows), if it fails a rule that its host fails
+    more often than the corpus does, or if its host fails as a whole. Returns doc_id, host, the counts and failures,
+    base_failed, the host's columns and kept. Repeated rows are judged and returned one by one; null texts have no
+    words; an empty table gives an empty result. The counts are written once, so both the sums per host and the
+    join back read a slim table.
     """
     slim = fields(docs, "doc_id", "text", host).toDF("doc_id", "text", "host")
     judged = write_and_read(rule_counts(slim).drop("text"), "quality")
-    hosts = host_verdicts(judged, max_rate)
+    hosts = host_verdicts(judged, sure)
     joined = judged.join(hosts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host")), "left")
-    return joined.drop("_host").withColumn("kept", ~(F.col("base_failed") | F.col("host_failed")))
+    by_host = F.col("host_failed")
+    for rule in RULES:
+        by_host = by_host | (F.col(f"{rule}_failed") & F.col(f"{rule}_high"))
+    return joined.drop("_host").withColumn("kept", ~(F.col("base_failed") | by_host))

@@ -259,6 +259,26 @@ def test_bad_hosts_take_their_documents_along(spark):
     assert quality.host_quality(brute.documents(spark, [])).count() == 0
 
 
+def test_rules_weigh_where_a_host_stands_out(spark):
+    """Symbol junk goes on a host full of it and stays on ordinary ones; clean documents stay on both."""
+    good = " ".join(f"word{i}" for i in range(60))
+    junk, doubled = good + " ##########", good + "\nsame\nsame\nsame"
+    hosts = {f"h{i}": [good] * 57 + [junk] * 2 + [doubled] for i in range(20)}
+    hosts["symbols"], hosts["lines"] = [good] * 40 + [junk] * 20, [good] * 30 + [doubled] * 30
+    hosts["tiny"], hosts["lost"] = [junk], [doubled] * 60 + [good] * 3
+    docs = None
+    for name, texts in hosts.items():
+        part = brute.documents(spark, texts, source=name)
+        docs = part if docs is None else docs.union(part)
+    found = quality.host_quality(docs).groupBy("host", "symbols_failed", "dup_lines_failed", "base_failed").agg(
+        F.collect_set("kept").alias("kept")).collect()
+    kept = {(r.host, r.symbols_failed, r.dup_lines_failed): r.kept for r in found}
+    assert not any(r.base_failed for r in found)
+    gone = {("symbols", True, False), ("lines", False, True), ("lost", False, True), ("lost", False, False)}
+    assert {k for k, v in kept.items() if v == [False]} == gone
+    assert all(v in ([True], [False]) for v in kept.values()) and len(kept) == 20 * 3 + 2 + 2 + 1 + 2
+
+
 @pytest.mark.parametrize("text", ["", None])
 def test_sha_of_nothing(spark, text):
     row = substring.remove_repeats(brute.documents(spark, [text])).select(F.sha2("kept_text", 256).alias("sha")).first()
