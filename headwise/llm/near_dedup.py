@@ -451,23 +451,18 @@ def near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY):
 
     # One pair per member first; then only what these links have not joined.
     nearest = write_and_read(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "nearest")
-    links = write_and_read(confirm(nearest, texts, shingle, similarity), "links")
-    joined = components(links)
+    joined = components(confirm(nearest, texts, shingle, similarity))
     others = apart(pairs.join(nearest, ["a", "b"], "left_anti"), joined)
-    links = links.union(write_and_read(confirm(others, texts, shingle, similarity), "links"))
-    joined = components(links)
+    joined = merge_components(joined, write_and_read(confirm(others, texts, shingle, similarity), "links"))
     # Then what pivots cannot tell: members of long lists away from their pivot, and the clusters of pivots.
     more = write_and_read(open_pairs(lists, joined, pairs, sets, enough, similarity), "open")
     if not more.isEmpty():
         texts = texts.union(fetch(nodes_of(more).join(nodes_of(pairs), "node", "left_anti")))
         undirected = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = apart(undirected.join(pairs, ["a", "b"], "left_anti"), joined)
-        links = links.union(write_and_read(confirm(fresh, texts, shingle, similarity), "links"))
-        joined = components(links)
+        joined = merge_components(joined, write_and_read(confirm(fresh, texts, shingle, similarity), "links"))
     stars = pairs.union(more).filter("star").select("a", "b").distinct()
-    closing = write_and_read(close_clusters(stars, joined, texts, shingle, similarity), "links")
-    if not closing.isEmpty():
-        joined = components(links.union(closing))
+    joined = merge_components(joined, write_and_read(close_clusters(stars, joined, texts, shingle, similarity), "links"))
 
     named = sets.select("key", "node", F.col("least.doc_id").alias("own"))
     linked = joined.join(named, "node")
@@ -483,24 +478,44 @@ def near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY):
     return found.select(doc_id, "digest", "n_shingles", component_id, (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def _are_stars(links):
+    """Whether no node (b) hangs on two others (a), or on one that hangs itself."""
+    ends = links.select(F.inline(F.array(
+        F.struct(F.col("a").alias("node"), F.lit(0).alias("hangs")), F.struct(F.col("b").alias("node"), F.lit(1).alias("hangs")))))
+    open_nodes = ends.groupBy("node").agg(F.sum("hangs").alias("up"), F.count(F.lit(1)).alias("n")).filter("up > 0 and n > 1")
+    return open_nodes.count() == 0
+
+
 def components(nodes_links):
-    """(node, component): the least node reachable over undirected links (a, b).
+    """(node, component): the least node reachable over undirected links (a, b), for all but the least ones.
 
-    Alternates large-star and small-star steps, which link neighbours to their least neighbour; the number of
-    rounds grows with the logarithm of the longest path. Every round is written, so none repeats another.
+    Alternates large-star and small-star steps, which link neighbours to their least neighbour, until only stars
+    are left; the number of rounds grows with the logarithm of the longest path. Every round is written, so none
+    repeats another.
     """
     links = write_and_read(nodes_links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links")
-    before = None
-    while not links.isEmpty():
+    while not _are_stars(links):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b")
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(down, "b").select(
             F.inline(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))))
         links = write_and_read(small.filter("a < b").distinct(), "links")
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
     return links.select(F.col("b").alias("node"), F.col("a").alias("component"))
+
+
+def merge_components(joined, links):
+    """``joined``, the (node, component) of earlier links, after more of them.
+
+    Only links between different components take part, as links of these; without one nothing is done.
+    """
+    for side in "ab":
+        own = joined.select(F.col("node").alias(side), F.col("component").alias("_to"))
+        links = links.join(own, side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
+    merged = components(links)
+    if merged.isEmpty():
+        return joined
+    further = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    moved = joined.join(further, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return write_and_read(moved.union(merged), "components")

@@ -156,6 +156,20 @@ def test_components_join_long_chains(spark):
     assert near_dedup.components(links.limit(0)).count() == 0
 
 
+def test_components_go_on_from_earlier_ones(spark):
+    """Links in portions give the components that all of them give at once."""
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(240)] + [(7, 7)]
+    want = brute.groups(pairs, range(300))
+    frame = lambda part: spark.createDataFrame(part, "a long, b long")
+    joined = near_dedup.components(frame(pairs[:80]))
+    for part in (pairs[80:160], [], pairs[:40], pairs[160:]):
+        joined = near_dedup.merge_components(joined, frame(part))
+    found = {r.node: r.component for r in joined.collect()}
+    assert joined.count() == len(found)
+    assert found == {n: c for n, c in want.items() if n != c}
+
+
 def items(spark, texts):
     return spark.createDataFrame([(i, t, "x") for i, t in texts], "item_id long, text string, digest string")
 
