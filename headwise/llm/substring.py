@@ -9,6 +9,7 @@ The corpus is packed into chunks of documents. Hashes are sorted within a chunk,
 differences; answers come back as bits in the same order. So a passage that every document holds costs one
 entry per chunk, and no task ever sees all places of a passage.
 """
+import itertools
 import math
 
 import numpy as np
@@ -34,17 +35,23 @@ ADDED = T.StructType([
 
 
 def pack_chunks(docs, chunk_bytes=CHUNK_BYTES):
-    """Documents in chunks: chunk, n_docs, n_words, body. Within a chunk they stand by doc_id, nulls first."""
+    """Documents in chunks: chunk, n_docs, n_words, body. Within a chunk they stand by doc_id and text, nulls first.
+
+    Chunks are named by their partition and place in it, so a repeated task or run over the same files names them alike.
+    """
     def run(batches):
-        import uuid
+        from pyspark import TaskContext
+
+        names = (f"{TaskContext.get().partitionId():010d}-{n:08d}" for n in itertools.count())
 
         def chunk(rows):
             table = pa.Table.from_batches(rows).combine_chunks()
-            table = table.take(pc.sort_indices(table, [("doc_id", "ascending")], null_placement="at_start"))
+            table = table.take(pc.sort_indices(
+                table, [("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start"))
             texts = [grams.encode(t) for t in table.column("text").to_pylist()]
             n_words = sum(int(grams.word_hashes(texts[a:b], grams.SPACED)[1][-1]) for a, b in grams.slabs(list(map(len, texts))))
             return pa.RecordBatch.from_pylist([{
-                "chunk": uuid.uuid4().hex, "n_docs": table.num_rows, "n_words": n_words, "body": packed.pack_table(table),
+                "chunk": next(names), "n_docs": table.num_rows, "n_words": n_words, "body": packed.pack_table(table),
             }], schema=CHUNKS)
 
         held, size = [], 0
@@ -242,8 +249,8 @@ def remove_repeats(docs, chunk_bytes=CHUNK_BYTES, bucket_entries=BUCKET_ENTRIES)
     Returns the columns of ``docs`` (doc_id and text among them) and n_words, n_removed, removed_spans (starts
     and ends of the maximal repeats by turns, in words) and kept_text (the other words, joined by one space).
     Columns of these names in ``docs`` are replaced. Null and empty texts have no words and keep "". Documents
-    that share a doc_id are told apart by chunk and place; a null doc_id comes before all others. An empty
-    table gives an empty result.
+    that share a doc_id count in the order of the input's partitions and chunks, within one by text, which is the
+    same in every run over the same files; a null doc_id comes before all others. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.drop(*ADDED.names)

@@ -293,6 +293,13 @@ def test_rules_weigh_where_a_host_stands_out(spark):
     assert all(v in ([True], [False]) for v in kept.values()) and len(kept) == 20 * 3 + 2 + 2 + 1 + 2
 
 
+def test_rows_of_one_id_keep_their_order_between_runs(spark):
+    """Which of several rows of one doc_id is the first does not change from run to run."""
+    docs = brute.documents(spark, [(i // 8, t) for i, t in enumerate(passages(9, 40))]).repartition(4, "text")
+    runs = [sorted((r.doc_id, r.text, r.n_removed) for r in substring.remove_repeats(docs, chunk_bytes=2000).collect()) for _ in range(2)]
+    assert runs[0] == runs[1] and any(n for _, _, n in runs[0])
+
+
 @pytest.mark.parametrize("text", ["", None])
 def test_sha_of_nothing(spark, text):
     row = substring.remove_repeats(brute.documents(spark, [text])).select(F.sha2("kept_text", 256).alias("sha")).first()
