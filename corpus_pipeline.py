@@ -27,13 +27,17 @@ def one_of_each_group(spark, docs, sf_dir):
 
 def first_passages(spark, docs, sf_dir):
     """Texts without the passages that stand earlier elsewhere; a document that loses all its words goes."""
-    packed = docs.select("doc_id", "text", F.struct("*").alias("_row"))
+    # The other columns go along as one, so that none clashes; the text only once.
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", *([F.struct(*others).alias("_row")] if others else []))
     found = substring.remove_repeats(packed).filter("n_removed = 0 or n_removed < n_words")
-    row = F.col("_row").withField("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    changed = F.col("n_removed") > 0
+    columns = {c: F.col(c) if c == "doc_id" else F.col(f"_row.`{c}`") for c in docs.columns if c != "text"}
+    columns["text"] = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast(
-            docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars")))
-    return found.select(row.alias("_row")).select("_row.*")
+        columns["n_chars"] = F.when(changed, F.char_length("kept_text").cast(
+            docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def without_leaks(spark, docs, sf_dir):

@@ -2,30 +2,39 @@
 
 The network reads a text as windows of ``SPAN`` bytes, once from each side, labels every byte, and pools the
 label probabilities of all bytes of the document. It is trained here, in numpy, by backpropagation through
-time on a bounded sample of labelled documents; inference runs in the tasks over whole texts, many windows
-at a time.
+time: on a bounded sample first, then by gradients that the tasks sum over all labelled documents. Inference runs
+in the tasks over whole texts, many windows at a time.
 """
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from headwise.llm import grams
-from headwise.llm.common import fields
+from headwise.llm.common import fields, write_and_read
+from headwise.operators.quantiles import exact_quantiles
 
 SPAN = 64
 HIDDEN = 8
-#: Bounds of what is learned from: documents per language, and windows of each.
+#: Bounds of what training begins with: documents per language, and windows of each.
 SAMPLE_DOCS = 300
 SAMPLE_WINDOWS = 4
 EPOCHS = 8
 BATCH = 256
 RATE = 0.02
+#: Steps over all labelled documents, the rate of the first, windows worked on at once, and the unit of sums.
+REFINE_STEPS = 64
+REFINE_RATE = 0.02
+REFINE_BATCH = 1024
+GRADIENT_UNIT = 2.0 ** 44
 #: Windows that are read at once.
 SLAB = 2048
 #: :func:`keep_known` rejects scores below this share of a low quantile of what labelled documents have at a length (bytes).
 MARGIN = 0.8
 QUANTILE = 0.0025
 LENGTHS = (1, 8, 16, 32, 64, 128, 256, 512, 1024, 2048)
+CUTS = sorted({*LENGTHS, *(2 * n for n in LENGTHS)})
 UNKNOWN = "und"
 
 
@@ -51,15 +60,15 @@ class Network:
         self.parameters += [normal(2 * hidden, n_labels), np.zeros(n_labels, np.float32)]
 
     def _direction(self, side, steps, keep):
-        """States after each step for one direction; with ``keep`` also what the backward pass needs."""
-        table, gates, candidate = self.parameters[3 * side: 3 * side + 3]
+        """States after each step for one direction, (positions, states, windows); with ``keep`` also what the backward pass needs."""
+        table, gates, candidate = (p.T.copy() for p in self.parameters[3 * side: 3 * side + 3])
         n, h = steps.shape[1], self.hidden
-        state, states, kept = np.zeros((n, h), np.float32), np.empty((len(steps), n, h), np.float32), []
+        state, states, kept = np.zeros((h, n), table.dtype), np.empty((len(steps), h, n), table.dtype), []
         for t in range(len(steps)):
-            x = table[steps[t]]
-            zr = _sigmoid(x[:, : 2 * h] + state @ gates)
-            z, r = zr[:, :h], zr[:, h:]
-            c = np.tanh(x[:, 2 * h:] + (r * state) @ candidate)
+            x = table.take(steps[t], axis=1)
+            zr = _sigmoid(x[: 2 * h] + gates @ state)
+            z, r = zr[:h], zr[h:]
+            c = np.tanh(x[2 * h:] + candidate @ (r * state))
             if keep:
                 kept.append((state, z, r, c))
             state = state + z * (c - state)
@@ -67,47 +76,53 @@ class Network:
         return states, kept
 
     def forward(self, steps, keep=False):
-        """Label probabilities of every position: ``steps`` is (positions, windows) of bytes."""
+        """Label probabilities of every position as (positions, labels, windows): ``steps`` is (positions, windows) of bytes."""
         ahead, kept_ahead = self._direction(0, steps, keep)
         back, kept_back = self._direction(1, steps[::-1], keep)
-        both = np.concatenate((ahead, back[::-1]), axis=2)
-        logits = both @ self.parameters[6] + self.parameters[7]
-        logits -= logits.max(axis=2, keepdims=True)
-        odds = np.exp(logits)
-        return odds / odds.sum(axis=2, keepdims=True), both, kept_ahead, kept_back
-
-    def gradients(self, steps, mask, labels):
-        """Mean cross entropy of the positions and its gradient, backwards through all steps."""
+        both = np.concatenate((ahead, back[::-1]), axis=1)
+        odds = self.parameters[6].T @ both
+        odds += self.parameters[7][:, None]
+        odds -= odds.max(axis=1, keepdims=True)
+        np.exp(odds, out=odds)
+        odds /= odds.sum(axis=1, keepdims=True)
+        return odds, both, kept_ahead, kept_back
+
+    def gradients(self, steps, mask, labels, weights=None):
+        """Cross entropy of the positions and its gradient, backwards through all steps.
+
+        The mean of the positions, or with ``weights``, one of each window, their weighted sum.
+        """
         odds, both, kept_ahead, kept_back = self.forward(steps, keep=True)
-        weight = (mask / mask.sum()).astype(np.float32)
-        picked = np.take_along_axis(odds, np.broadcast_to(labels[None, :, None], (*steps.shape, 1)), 2)[..., 0]
-        loss = -(np.log(np.maximum(picked, 1e-9)) * weight).sum()
-        error = odds * weight[..., None]
-        error[:, np.arange(len(labels)), labels] -= weight
-        out = [None] * 6 + [np.einsum("tnh,tnl->hl", both, error), error.sum((0, 1))]
-        into = error @ self.parameters[6].T
+        weight = (mask / mask.sum() if weights is None else mask * weights).astype(np.float32)
+        place = np.arange(len(labels))
+        loss = -(np.log(np.maximum(odds[:, labels, place], 1e-9)) * weight).sum()
+        error = odds * weight[:, None, :]
+        error[:, labels, place] -= weight
+        out = [None] * 6 + [(both @ error.transpose(0, 2, 1)).sum(axis=0), error.sum(axis=(0, 2))]
+        into = self.parameters[6] @ error
         h = self.hidden
-        out[0:3] = self._backward(0, steps, into[..., :h], kept_ahead)
-        out[3:6] = self._backward(1, steps[::-1], into[::-1, :, h:], kept_back)
+        out[0:3] = self._backward(0, steps, into[:, :h], kept_ahead)
+        out[3:6] = self._backward(1, steps[::-1], into[::-1, h:], kept_back)
         return loss, out
 
     def _backward(self, side, steps, into, kept):
         table, gates, candidate = self.parameters[3 * side: 3 * side + 3]
         h = self.hidden
-        d_table, d_gates, d_candidate = (np.zeros_like(p) for p in (table, gates, candidate))
-        carried = np.zeros((steps.shape[1], h), np.float32)
+        d_gates, d_candidate = np.zeros_like(gates), np.zeros_like(candidate)
+        carried = np.zeros((h, steps.shape[1]), gates.dtype)
+        d_inputs = np.empty((3 * h, *steps.shape), gates.dtype)
         for t in range(len(steps) - 1, -1, -1):
             state, z, r, c = kept[t]
             d = carried + into[t]
             d_c = d * z * (1 - c * c)
-            d_rs = d_c @ candidate.T
-            d_z = d * (c - state) * z * (1 - z)
-            d_r = d_rs * state * r * (1 - r)
-            d_zr = np.concatenate((d_z, d_r), axis=1)
-            carried = d * (1 - z) + d_rs * r + d_zr @ gates.T
-            d_gates += state.T @ d_zr
-            d_candidate += (r * state).T @ d_c
-            np.add.at(d_table, steps[t], np.concatenate((d_zr, d_c), axis=1))
+            d_rs = candidate @ d_c
+            d_zr = np.concatenate((d * (c - state) * z * (1 - z), d_rs * state * r * (1 - r)))
+            carried = d * (1 - z) + d_rs * r + gates @ d_zr
+            d_gates += state @ d_zr.T
+            d_candidate += (r * state) @ d_c.T
+            d_inputs[: 2 * h, t], d_inputs[2 * h:, t] = d_zr, d_c
+        flat = steps.ravel()
+        d_table = np.stack([np.bincount(flat, row.ravel(), minlength=256) for row in d_inputs], axis=1).astype(table.dtype)
         return d_table, d_gates, d_candidate
 
 
@@ -122,43 +137,80 @@ def _windows(texts, span=SPAN):
     return data.reshape(-1, span).T, np.arange(span)[:, None] < left[None, :], owner
 
 
+def _adam(parameters):
+    """A function that moves ``parameters`` along gradients, at most of length 1, by a rate."""
+    means = [np.zeros_like(p) for p in parameters]
+    squares = [np.zeros_like(p) for p in parameters]
+    step = 0
+
+    def move(gradients, rate):
+        nonlocal step
+        step += 1
+        size = np.sqrt(sum(float((g * g).sum()) for g in gradients))
+        scale = min(1.0, 1.0 / (size + 1e-9))
+        for p, g, m, s in zip(parameters, gradients, means, squares):
+            g = g * np.float32(scale)
+            m += 0.1 * (g - m)
+            s += 0.001 * (g * g - s)
+            p -= (rate * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
+
+    return move
+
+
 def train(texts, labels, n_labels, epochs=EPOCHS, seed=7, hidden=HIDDEN):
     """Fit a network to labelled texts with Adam; the result depends on its arguments alone."""
     steps, mask, owner = _windows(texts)
     answers = np.asarray(labels)[owner]
     network, rng = Network(n_labels, hidden, seed), np.random.default_rng(seed)
-    means = [np.zeros_like(p) for p in network.parameters]
-    squares = [np.zeros_like(p) for p in network.parameters]
-    step = 0
+    move = _adam(network.parameters)
     for epoch in range(epochs):
         order = rng.permutation(len(owner))
-        rate = RATE * (1 - epoch / epochs)
         for start in range(0, len(order), BATCH):
             part = order[start: start + BATCH]
-            step += 1
-            _, gradients = network.gradients(steps[:, part], mask[:, part], answers[part])
-            size = np.sqrt(sum(float((g * g).sum()) for g in gradients))
-            scale = min(1.0, 1.0 / (size + 1e-9))
-            for p, g, m, s in zip(network.parameters, gradients, means, squares):
-                g = g * np.float32(scale)
-                m += 0.1 * (g - m)
-                s += 0.001 * (g * g - s)
-                p -= (rate * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
+            move(network.gradients(steps[:, part], mask[:, part], answers[part])[1], RATE * (1 - epoch / epochs))
     return network
 
 
-def document_odds(network, texts, n_labels):
-    """Mean label probabilities over all bytes of each text; zeros for an empty one."""
+def _pooled(network, texts):
+    """Sums of the label probabilities over the bytes of each window, and the text of each window."""
     steps, mask, owner = _windows(texts)
-    total = np.zeros((len(texts), n_labels))
+    pooled = np.zeros((len(owner), len(network.parameters[7])))
     for start in range(0, len(owner), SLAB):
         part = slice(start, start + SLAB)
         odds, *_ = network.forward(steps[:, part])
-        pooled = np.einsum("tnl,tn->nl", odds, mask[:, part].astype(np.float32))
-        np.add.at(total, owner[part], pooled)
+        pooled[part] = np.einsum("tln,tn->nl", odds, mask[:, part].astype(np.float32))
+    return pooled, owner
+
+
+def document_odds(network, texts, n_labels):
+    """Mean label probabilities over all bytes of each text; zeros for an empty one."""
+    pooled, owner = _pooled(network, texts)
+    total = np.zeros((len(texts), n_labels))
+    np.add.at(total, owner, pooled)
     return total / np.maximum([[len(t)] for t in texts], 1)
 
 
+def _odds_and_marks(network, texts, n_labels):
+    """:func:`document_odds`, and the scores of every text cut to each of ``CUTS`` bytes; null where it is shorter."""
+    pooled, owner = _pooled(network, texts)
+    total, lengths = np.zeros((len(texts), n_labels)), np.array([len(t) for t in texts], np.int64)
+    np.add.at(total, owner, pooled)
+    ends = np.concatenate((np.zeros((1, n_labels)), np.cumsum(pooled, axis=0)))
+    first = np.searchsorted(owner, np.arange(len(texts)))
+    marks = np.full((len(texts), len(CUTS)), np.nan)
+    for k, cut in enumerate(CUTS):
+        longer = np.flatnonzero(lengths >= cut)
+        if not len(longer):
+            continue
+        if cut % SPAN:
+            odds = document_odds(network, [texts[i][:cut] for i in longer], n_labels)
+        else:
+            # Whole windows: a cut text has the same ones.
+            odds = (ends[first[longer] + cut // SPAN] - ends[first[longer]]) / cut
+        marks[longer, k] = odds.max(axis=1)
+    return total / np.maximum(lengths, 1)[:, None], marks
+
+
 def held_out(doc_id):
     """Documents that training never sees."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
@@ -171,17 +223,20 @@ def _excerpts(pieces, chars):
     return F.when(F.char_length("text") <= pieces * chars, F.col("text")).otherwise(F.concat(*runs))
 
 
-def training_sample(docs, per_label=SAMPLE_DOCS, unseen=False, pieces=SAMPLE_WINDOWS, chars=SPAN):
+def _labelled(docs):
+    """Labelled documents that are learned from: lang, doc_id and text."""
+    return fields(docs, "doc_id", "text", "lang").filter("lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
+
+
+def training_sample(docs, per_label=SAMPLE_DOCS, pieces=SAMPLE_WINDOWS, chars=SPAN):
     """At most ``per_label`` labelled documents of every language, the ones with the least digest of doc_id and text.
 
     Of each text ``pieces`` runs of ``chars`` characters come along, from anywhere in it. Languages are few, so the
-    sample is bounded, and all documents and places have the same chance to be in it. With ``unseen`` the sample is
-    of held-out ones.
+    sample is bounded, and all documents and places have the same chance to be in it. Training begins with it.
     """
-    known = fields(docs, "doc_id", "text", "lang").filter("lang is not null and text is not null").filter(held_out(F.col("doc_id")) == unseen)
     # A language may hold most rows: each part of it yields its least first, with partial aggregation.
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
-    taken = known.select("lang", chance.alias("chance"), _excerpts(pieces, chars).alias("text"))
+    taken = _labelled(docs).select("lang", chance.alias("chance"), _excerpts(pieces, chars).alias("text"))
     rates = taken.groupBy("lang").count().collect()
     limits = {r["lang"]: int(2 ** 63 * min(1.0, 2.0 * per_label / r["count"])) - 1 for r in rates}
     limit = F.lit(-1)
@@ -195,60 +250,142 @@ def training_sample(docs, per_label=SAMPLE_DOCS, unseen=False, pieces=SAMPLE_WIN
 
 
 def learn(docs, per_label=SAMPLE_DOCS):
-    """(network, languages) learned from the labelled documents, or (None, []) without any."""
-    return _fit(training_sample(docs, per_label))
-
+    """(network, languages) learned from all labelled documents, or (None, []) without any.
 
-def _fit(sample):
+    A bounded sample gives the weights to begin with; then every byte of every labelled text goes into them
+    (:func:`refine`).
+    """
+    sample = training_sample(docs, per_label)
     languages = list(sample)
     texts = [grams.encode(t) for lang in languages for t in sample[lang]]
     labels = [i for i, lang in enumerate(languages) for _ in sample[lang]]
-    return (train(texts, labels, len(languages)), languages) if texts else (None, [])
+    if not texts:
+        return None, []
+    return refine(docs, train(texts, labels, len(languages)), languages, per_label), languages
+
+
+def _all_gradients(rows, network, languages, weights):
+    """Gradients of the weighted cross entropy over all bytes of ``rows`` (lang, text), summed over the tasks.
+
+    Sums are integers, so they do not depend on how the rows are cut.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((network, {lang: i for i, lang in enumerate(languages)}, weights))
+
+    def run(batches):
+        network, index, weights = shared.value
+        total = [np.zeros(p.shape) for p in network.parameters]
+        for batch in batches:
+            langs, column = (batch.column(c).to_pylist() for c in ("lang", "text"))
+            for a, b in grams.slabs([len(t) for t in column]):
+                steps, mask, owner = _windows([grams.encode(t) for t in column[a:b]])
+                labels = np.array([index[lang] for lang in langs[a:b]], np.int64)[owner]
+                share = np.array([weights[lang] for lang in langs[a:b]])[owner]
+                # Weights of single bytes are tiny: what is summed in a slab is relative to its largest one.
+                unit = share.max() if len(share) else 1.0
+                for start in range(0, len(owner), REFINE_BATCH):
+                    part = slice(start, start + REFINE_BATCH)
+                    _, found = network.gradients(steps[:, part], mask[:, part], labels[part], share[part] / unit)
+                    for whole, g in zip(total, found):
+                        whole += g * unit
+        flat = np.concatenate([g.ravel() for g in total])
+        amounts = np.rint(flat * GRADIENT_UNIT).astype(np.int64)
+        places = np.flatnonzero(amounts)
+        yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array(amounts[places])], names=["place", "amount"])
+
+    sums = rows.select("lang", "text").mapInArrow(run, "place int, amount long").groupBy("place").agg(F.sum("amount").alias("amount")).toArrow()
+    shared.unpersist()
+    flat = np.zeros(sum(p.size for p in network.parameters))
+    flat[sums.column("place").to_numpy()] = sums.column("amount").to_numpy() / GRADIENT_UNIT
+    cuts = np.cumsum([p.size for p in network.parameters])[:-1]
+    return [part.reshape(p.shape).astype(np.float32) for part, p in zip(np.split(flat, cuts), network.parameters)]
+
+
+def refine(docs, network, languages, per_label=SAMPLE_DOCS, steps=REFINE_STEPS, rate=REFINE_RATE):
+    """The network after batch-synchronous steps that together take every byte of all labelled texts once.
+
+    Each step has a share of the documents, chosen by digest: tasks sum the gradients of its texts, the sums are added
+    and the weights move once, by Adam. Languages weigh as in the sample, by ``per_label`` documents at most. Only sums,
+    as many as there are weights, come to the driver.
+    """
+    share = F.pmod(F.xxhash64("doc_id", "text", F.lit("share")), F.lit(steps)).cast("int")
+    # Written by share, so that a step reads no other.
+    rows = write_and_read(_labelled(docs).filter("text != ''").select("lang", "text", share.alias("share")), "labelled", ["share"])
+    counted = rows.groupBy("share", "lang").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()
+    network = copy.deepcopy(network)
+    move = _adam(network.parameters)
+    for k in sorted({r["share"] for r in counted}):
+        found = {r["lang"]: (min(r["n"], per_label), r["bytes"]) for r in counted if r["share"] == k}
+        whole = sum(n for n, _ in found.values())
+        weights = {lang: n / whole / size for lang, (n, size) in found.items()}
+        move(_all_gradients(rows.filter(F.col("share") == k), network, languages, weights), rate * (1 - k / steps))
+    return network
 
 
-def least_scores(network, languages, samples, margin=MARGIN):
+def least_scores(judged, margin=MARGIN):
     """Scores below which a text of at least each of ``LENGTHS`` bytes is unlike all labelled documents.
 
-    These are ``margin`` times a low quantile of the scores of the labelled texts, cut to that length and to twice of
-    it: few bytes tell little. The quantile leaves out the few texts whose labels contradict each other.
+    These are ``margin`` times a low quantile of the scores of all labelled texts with a letter, cut to that length and to
+    twice of it: few bytes tell little. The quantile is exact; it leaves out the few texts whose labels contradict each
+    other. ``judged`` has ``_labelled``, ``_score`` and ``_marks``. A length that no labelled text has goes by the next
+    shorter one; without any everything passes.
     """
-    texts = [grams.encode(t) for sample in samples for texts in sample.values() for t in texts if any(map(str.isalpha, t))]
-    least, scores = 1.0, []
+    def mark(cut):
+        return F.col("_marks")[CUTS.index(cut)]
+
+    cut = F.array(*[F.struct(F.lit(n).alias("length"), score.alias("score")) for n in LENGTHS
+                    for score in (mark(n), F.when(mark(n).isNotNull(), F.coalesce(mark(2 * n), F.col("_score"))))])
+    rows = judged.filter("_labelled and _marks is not null").select(F.inline(cut)).filter("score is not null")
+    found = {r["length"]: r["quantiles"][0] for r in exact_quantiles(rows, ["length"], "score", [QUANTILE]).collect()}
     # From the longest: a shorter text never needs a higher score.
+    least, scores = 1.0, []
     for n in reversed(LENGTHS):
-        cut = [t[:most] for t in texts if len(t) >= n for most in (n, 2 * n)]
-        if cut:
-            least = min(least, margin * float(np.quantile(document_odds(network, cut, len(languages)).max(axis=1), QUANTILE)))
-        scores.append(least if texts else 0.0)
-    return scores[::-1]
+        if n in found:
+            least = min(least, margin * found[n])
+        scores.append(least if n in found else None)
+    known = 0.0
+    for i, score in enumerate(scores := scores[::-1]):
+        scores[i] = known = known if score is None else score
+    return scores
 
 
-def identify(docs, network, languages, columns=("lang_pred", "score")):
+def identify(docs, network, languages, columns=("lang_pred", "score"), marks=None):
     """The columns of ``docs`` (text among them) with predicted language and score.
 
     Null texts and texts without a letter are ``und`` with score 0, as all are if no language was learned.
-    The prediction depends on the text alone; input columns of the two names are replaced.
+    The prediction depends on the text alone; input columns of the two names are replaced. ``marks`` names a further
+    column: the scores of the text cut to each of ``CUTS`` bytes, null without a language.
     """
-    docs = docs.drop(*columns)
+    docs = docs.drop(*columns, *([marks] if marks else []))
     shared = docs.sparkSession.sparkContext.broadcast((network, languages))
 
     def run(batches):
         network, languages = shared.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            predicted, scores = [UNKNOWN] * len(column), [0.0] * len(column)
+            predicted, scores, cut = [UNKNOWN] * len(column), [0.0] * len(column), [None] * len(column)
             known = [i for i, t in enumerate(column) if t and languages and any(map(str.isalpha, t))]
             texts = [grams.encode(column[i]) for i in known]
             for a, b in grams.slabs([len(t) for t in texts]):
-                odds = document_odds(network, texts[a:b], len(languages))
+                if marks:
+                    odds, found = _odds_and_marks(network, texts[a:b], len(languages))
+                    for i, row in zip(known[a:b], found.tolist()):
+                        cut[i] = [None if x != x else x for x in row]
+                else:
+                    odds = document_odds(network, texts[a:b], len(languages))
                 for i, row in zip(known[a:b], odds):
                     best = int(row.argmax())
                     predicted[i], scores[i] = languages[best], min(1.0, float(row[best]))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(predicted, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names, *columns])
+            added = [pa.array(predicted, pa.string()), pa.array(scores, pa.float64())]
+            names = [*columns]
+            if marks:
+                added.append(pa.array(cut, pa.list_(pa.float64())))
+                names.append(marks)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
 
     added = [T.StructField(columns[0], T.StringType()), T.StructField(columns[1], T.DoubleType())]
+    if marks:
+        added.append(T.StructField(marks, T.ArrayType(T.DoubleType())))
     schema = T.StructType([*docs.schema.fields, *added])
     return docs.mapInArrow(run, schema)
 
@@ -256,16 +393,16 @@ def identify(docs, network, languages, columns=("lang_pred", "score")):
 def keep_known(docs, per_label=SAMPLE_DOCS, margin=MARGIN):
     """Only documents whose language is recognised, with their own columns.
 
-    Null texts, texts without a letter and those below :func:`least_scores` go. Without any labelled document
-    there is nothing to recognise, and all texts with a letter stay.
+    Null texts, texts without a letter and those below :func:`least_scores` go. The network and these scores come from
+    all labelled documents. Without any labelled document there is nothing to recognise, and all texts with a letter stay.
     """
-    sample = training_sample(docs, per_label)
-    network, languages = _fit(sample)
+    network, languages = learn(docs, per_label)
     if network is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    judged = identify(docs, network, languages, columns=("_lang_pred", "_score"))
-    unseen = training_sample(docs, per_label, unseen=True, pieces=1, chars=2 * LENGTHS[-1])
+    labelled = F.col("lang").isNotNull() if "lang" in docs.columns else F.lit(False)
+    judged = write_and_read(identify(
+        docs.withColumn("_labelled", labelled), network, languages, ("_lang_pred", "_score"), "_marks"), "judged")
     needed = F.lit(0.0)
-    for n, score in zip(LENGTHS, least_scores(network, languages, (sample, unseen), margin)):
+    for n, score in zip(LENGTHS, least_scores(judged, margin)):
         needed = F.when(F.octet_length("text") >= n, F.lit(score)).otherwise(needed)
-    return judged.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= needed)).drop("_lang_pred", "_score")
+    return judged.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= needed)).select(*docs.columns)

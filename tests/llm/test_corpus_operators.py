@@ -231,6 +231,58 @@ def test_sample_is_bounded_and_leaves_out_the_held_out(spark):
     assert sample == again
 
 
+def labelled_texts(spark, n=60):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("abcdefgh" if i % 3 else "mnopqrst") for _ in range(40 + 7 * i)), "de" if i % 3 else "en") for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows
+
+
+def test_every_labelled_text_is_learned_from(spark):
+    docs, rows = labelled_texts(spark)
+    start = language.Network(2, hidden=4)
+    seen = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    steps, mask, owner = language._windows([r[1].encode() for r in seen])
+    size = {lang: sum(len(r[1]) for r in seen if r[2] == lang) for lang in ("de", "en")}
+    n = {lang: sum(r[2] == lang for r in seen) for lang in size}
+    weights = {lang: n[lang] / len(seen) / size[lang] for lang in size}
+    _, want = start.gradients(
+        steps, mask, np.array([r[2] == "en" for r in seen], int)[owner], np.array([weights[r[2]] for r in seen])[owner])
+    labelled = language._labelled(docs)
+    got = language._all_gradients(labelled, start, ["de", "en"], weights)
+    for g, w in zip(got, want):
+        np.testing.assert_allclose(g, w, atol=1e-5)
+    networks = [language.refine(d, start, ["de", "en"], steps=4) for d in (docs, docs.repartition(5))]
+    for p, q in zip(*(m.parameters for m in networks)):
+        np.testing.assert_allclose(p, q, atol=1e-3)
+
+
+def test_a_text_outside_the_sample_changes_the_network(spark):
+    docs, _ = labelled_texts(spark)
+    sample = language.training_sample(docs, per_label=3)
+    taken = {t for texts in sample.values() for t in texts}
+    other = docs.filter("length(text) between 200 and 250").filter(~F.col("text").isin(list(taken))).filter(
+        ~language.held_out(F.col("doc_id"))).first()
+    changed = docs.withColumn("text", F.when(F.col("doc_id") == other.doc_id, F.concat("text", F.lit("zzzz" * 40))).otherwise(F.col("text")))
+    assert language.training_sample(changed, per_label=3) == sample
+    networks = [language.learn(d, per_label=3)[0] for d in (docs, changed)]
+    assert any(not np.array_equal(p, q) for p, q in zip(*(n.parameters for n in networks)))
+
+
+def test_thresholds_come_from_all_labelled_texts(spark):
+    docs, rows = labelled_texts(spark)
+    network, languages = language.learn(docs, per_label=2)
+    judged = language.identify(docs.withColumn("_labelled", F.lit(True)), network, languages, ("_lang_pred", "_score"), "_marks")
+    least, want = 1.0, []
+    for n in reversed(language.LENGTHS):
+        cut = [r[1].encode()[:most] for r in rows if len(r[1]) >= n for most in (n, 2 * n)]
+        if cut:
+            least = min(least, language.MARGIN * float(np.quantile(language.document_odds(network, cut, 2).max(axis=1), language.QUANTILE)))
+            want.append(least)
+    got = language.least_scores(judged)
+    np.testing.assert_allclose(got[: len(want)], want[::-1], atol=1e-6)
+    assert set(got[len(want):]) == {got[len(want) - 1]}
+
+
 def check_plan(counts, capacity):
     rows, used = packing.plan_sequences(counts, capacity)
     sequences, ranks = {}, {}
