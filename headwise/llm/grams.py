@@ -6,7 +6,7 @@ there are.
 """
 import numpy as np
 
-SLAB_BYTES = 512 << 10
+SLAB_BYTES = 256 << 10
 
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93

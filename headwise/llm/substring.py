@@ -116,6 +116,14 @@ class _Chunk:
         return starts, index, k[new], c[new], starts[order][new]
 
 
+def _rows(batches):
+    """The rows of all batches, one at a time: a chunk is given back before the next one is read."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+            pa.default_memory_pool().release_unused()
+
+
 def _cut(values, bits, buckets):
     """Ranges of ascending ``values`` by their topmost bits."""
     edges = np.arange(1, buckets, dtype=np.uint64) << np.uint64(bits - int(math.log2(buckets)))
@@ -131,13 +139,12 @@ def _joined_bits(answers):
 
 def _probe_entries(bits, buckets):
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = _Chunk(row["body"], bits)
-                yield pa.RecordBatch.from_pylist([{
-                    "bucket": b, "chunk": row["chunk"], "n": stop - start,
-                    "body": packed.pack_sorted(chunk.probes[start:stop]) + chunk.flags[start:stop].tobytes(),
-                } for b, start, stop in _cut(chunk.probes, bits, buckets)], schema=ENTRIES)
+        for row in _rows(batches):
+            chunk = _Chunk(row["body"], bits)
+            yield pa.RecordBatch.from_pylist([{
+                "bucket": b, "chunk": row["chunk"], "n": stop - start,
+                "body": packed.pack_sorted(chunk.probes[start:stop]) + chunk.flags[start:stop].tobytes(),
+            } for b, start, stop in _cut(chunk.probes, bits, buckets)], schema=ENTRIES)
     return run
 
 
@@ -169,17 +176,16 @@ def _match_probes(table):
 
 def _window_entries(bits, buckets):
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = _Chunk(row["body"], bits)
-                _, _, keys, checks, firsts = chunk.candidates(_joined_bits(row["hits"]))
-                ids = chunk.table.column("doc_id").cast(pa.int64()).fill_null(NULL_ID).to_numpy()
-                docs = ids[np.searchsorted(chunk.first, firsts, side="right") - 1] if len(firsts) else ids[:0]
-                yield pa.RecordBatch.from_pylist([{
-                    "bucket": b, "chunk": row["chunk"], "n": stop - start,
-                    "body": b"".join(len(x).to_bytes(4, "little") + x for x in (
-                        packed.pack_sorted(keys[start:stop]), packed.pack(checks[start:stop]), packed.pack(docs[start:stop]))),
-                } for b, start, stop in _cut(keys, 64, buckets)], schema=ENTRIES)
+        for row in _rows(batches):
+            chunk = _Chunk(row["body"], bits)
+            _, _, keys, checks, firsts = chunk.candidates(_joined_bits(row["hits"]))
+            ids = chunk.table.column("doc_id").cast(pa.int64()).fill_null(NULL_ID).to_numpy()
+            docs = ids[np.searchsorted(chunk.first, firsts, side="right") - 1] if len(firsts) else ids[:0]
+            yield pa.RecordBatch.from_pylist([{
+                "bucket": b, "chunk": row["chunk"], "n": stop - start,
+                "body": b"".join(len(x).to_bytes(4, "little") + x for x in (
+                    packed.pack_sorted(keys[start:stop]), packed.pack(checks[start:stop]), packed.pack(docs[start:stop]))),
+            } for b, start, stop in _cut(keys, 64, buckets)], schema=ENTRIES)
     return run
 
 
@@ -210,36 +216,35 @@ def _remove(schema, bits):
     names = [f.name for f in schema]
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = _Chunk(row["body"], bits)
-                starts, index, keys, _, firsts = chunk.candidates(_joined_bits(row["hits"]))
-                later = np.zeros(len(keys), bool)
-                answers = _joined_bits(row["later"])
-                later[: len(answers)] = answers
-                repeated = starts[later[index] | (starts != firsts[index])] if len(starts) else starts
-                edges = np.zeros(len(chunk.hashes) + 1, np.int64)
-                np.add.at(edges, repeated, 1)
-                np.add.at(edges, repeated + WINDOW, -1)
-                gone = np.cumsum(edges)[:-1] > 0
-                kept, spans, removed = [], [], []
-                for i, text in enumerate(chunk.texts):
-                    a, b = chunk.first[i], chunk.first[i + 1]
-                    tokens, mask = text.split(), gone[a:b]
-                    n = int(mask.sum())
-                    if n:
-                        turns = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-                        spans.append(turns.astype(np.int64).tolist())
-                        tokens = [t for t, m in zip(tokens, mask.tolist()) if not m]
-                    else:
-                        spans.append([])
-                    removed.append(n)
-                    kept.append(b" ".join(tokens).decode("utf-8", "surrogatepass"))
-                table = chunk.table
-                columns = [table.column(f) for f in names[: -len(ADDED)]]
-                arrays = [*columns, pa.array(chunk.counts, pa.int64()), pa.array(removed, pa.int64()),
-                          pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.string())]
-                yield from pa.table(arrays, names=names).to_batches()
+        for row in _rows(batches):
+            chunk = _Chunk(row["body"], bits)
+            starts, index, keys, _, firsts = chunk.candidates(_joined_bits(row["hits"]))
+            later = np.zeros(len(keys), bool)
+            answers = _joined_bits(row["later"])
+            later[: len(answers)] = answers
+            repeated = starts[later[index] | (starts != firsts[index])] if len(starts) else starts
+            edges = np.zeros(len(chunk.hashes) + 1, np.int64)
+            np.add.at(edges, repeated, 1)
+            np.add.at(edges, repeated + WINDOW, -1)
+            gone = np.cumsum(edges)[:-1] > 0
+            kept, spans, removed = [], [], []
+            for i, text in enumerate(chunk.texts):
+                a, b = chunk.first[i], chunk.first[i + 1]
+                tokens, mask = text.split(), gone[a:b]
+                n = int(mask.sum())
+                if n:
+                    turns = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
+                    spans.append(turns.astype(np.int64).tolist())
+                    tokens = [t for t, m in zip(tokens, mask.tolist()) if not m]
+                else:
+                    spans.append([])
+                removed.append(n)
+                kept.append(b" ".join(tokens).decode("utf-8", "surrogatepass"))
+            table = chunk.table
+            columns = [table.column(f) for f in names[: -len(ADDED)]]
+            arrays = [*columns, pa.array(chunk.counts, pa.int64()), pa.array(removed, pa.int64()),
+                      pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.string())]
+            yield from pa.table(arrays, names=names).to_batches()
     return run
 
 

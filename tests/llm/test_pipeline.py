@@ -89,3 +89,15 @@ def test_run_applies_all_stages_to_empty_documents(spark, tmp_path):
     spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert corpus_pipeline.ORACLE_SQL is None and json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_a_text_goes_through_passages_once(spark, monkeypatch):
+    docs = brute.documents(spark, ["one text of a few words", None]).withColumnRenamed("source", "a.b")
+    seen = []
+    real = corpus_pipeline.substring.remove_repeats
+    monkeypatch.setattr(corpus_pipeline.substring, "remove_repeats", lambda packed: seen.append(packed.schema) or real(packed))
+    out = corpus_pipeline.first_passages(spark, docs, FOLDER)
+    assert out.columns == docs.columns and out.count() == 2
+    assert "text" not in seen[0]["_row"].dataType.fieldNames()
+    plain = corpus_pipeline.first_passages(spark, docs.select("doc_id", "text"), FOLDER)
+    assert plain.columns == ["doc_id", "text"] and plain.count() == 2
