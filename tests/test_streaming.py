@@ -186,3 +186,16 @@ def test_an_idle_key_is_forgotten(spark, tmp_path):
     assert [r.prev_arrival for r in spark.read.parquet(out).collect()] == [None] * 3
     state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "last_arrivals").load()
     assert [r.stop_id for r in state.select("user_map_key.stop_id").collect()] == ["s"]
+
+
+def test_window_state_is_cut_by_time(spark, scores, tmp_path):
+    # One micro-batch of four days: no key of the state may hold them all.
+    rows = scores([
+        {"stop_id": f"s{i % 3}", "observed_ts": START + timedelta(minutes=10 * i), "predicted_headway_sec": 90.0} for i in range(576)])
+    rows.coalesce(1).write.parquet(str(tmp_path / "days"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "days"))
+    _, checkpoint = runs.drain_with_checkpoint(
+        summaries.stream_window_parts(stream, "15 minutes", "5 minutes", buckets=2), "t-spans")
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "panes").load()
+    held = [r.n for r in state.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(held) > 20 and max(held) <= (16 * 15 + 15) // 5
