@@ -65,24 +65,24 @@ class AdaptiveWindow:
         self.ticks = ticks
 
     def add(self, value):
-        self.buckets.append([1, value, 0.0])
-        self._merge_runs()
+        buckets = self.buckets
+        buckets.append([1, value, 0.0])
+        if len(buckets) > DRIFT_RUN and buckets[-1 - DRIFT_RUN][0] == 1:
+            self._merge_runs()
         self.ticks += 1
         return self.ticks % DRIFT_CHECK_EVERY == 0 and self._shrink()
 
     def _merge_runs(self):
-        """Keep at most DRIFT_RUN buckets of each size by merging the two oldest."""
-        end = len(self.buckets)
-        while end > 0:
-            size = self.buckets[end - 1][0]
-            start = end
-            while start > 0 and self.buckets[start - 1][0] == size:
+        """Keep at most DRIFT_RUN buckets of each size by merging the two oldest. Sizes never grow towards the newest."""
+        buckets = self.buckets
+        end = len(buckets)
+        while end > DRIFT_RUN and buckets[end - 1 - DRIFT_RUN][0] == buckets[end - 1][0]:
+            size, start = buckets[end - 1][0], end - 1 - DRIFT_RUN
+            while start > 0 and buckets[start - 1][0] == size:
                 start -= 1
-            if end - start <= DRIFT_RUN:
-                return
-            (n, s, d), (m, t, e) = self.buckets[start], self.buckets[start + 1]
+            (n, s, d), (m, t, e) = buckets[start], buckets[start + 1]
             gap = s / n - t / m
-            self.buckets[start:start + 2] = [[n + m, s + t, d + e + gap * gap * n * m / (n + m)]]
+            buckets[start:start + 2] = [[n + m, s + t, d + e + gap * gap * n * m / (n + m)]]
             end = start + 1
 
     def _shrink(self):
@@ -93,22 +93,23 @@ class AdaptiveWindow:
         return dropped
 
     def _has_cut(self):
-        n = sum(b[0] for b in self.buckets)
+        n = sum([b[0] for b in self.buckets])
         if n < 2 * DRIFT_SIDE_MIN:
             return False
-        total = sum(b[1] for b in self.buckets)
+        total = sum([b[1] for b in self.buckets])
         mean = total / n
-        variance = sum(b[2] + b[0] * (b[1] / b[0] - mean) ** 2 for b in self.buckets) / n
+        variance = sum([d + c * (a / c - mean) ** 2 for c, a, d in self.buckets]) / n
         log_term = math.log(2.0 * n / DRIFT_DELTA)
+        share, sqrt = 2.0 / 3.0, math.sqrt
         n0 = s0 = 0.0
         for count, amount, _ in self.buckets[:-1]:
-            n0, s0 = n0 + count, s0 + amount
+            n0 += count
+            s0 += amount
             n1 = n - n0
             if n0 < DRIFT_SIDE_MIN or n1 < DRIFT_SIDE_MIN:
                 continue
             inverse = 1.0 / n0 + 1.0 / n1
-            bound = math.sqrt(2.0 * inverse * variance * log_term) + 2.0 / 3.0 * inverse * log_term
-            if abs(s0 / n0 - (total - s0) / n1) > bound:
+            if abs(s0 / n0 - (total - s0) / n1) > sqrt(2.0 * inverse * variance * log_term) + share * inverse * log_term:
                 return True
         return False
 
@@ -210,19 +211,65 @@ class RouteSequence:
 
         Order within a row: predict, residual, drift test and reset, regression learning.
         """
-        out = {k: [] for k in ("seq", "epoch", "epoch_seq", "predicted_headway_sec", "residual", "drifted")}
-        for features, target in zip(x.tolist(), y.tolist()):
-            guess = self.regression.predict(features) or target
+        add, sqrt, copysign = self.window.add, math.sqrt, math.copysign
+        guesses, misses, drifts = [], [], []
+        model = self.regression
+        n, bias = model.n, model.bias
+        (a0, a1, a2), (q0, q1, q2), (w0, w1, w2) = model.mean, model.m2, model.weight
+        # The steps of PassiveAggressive on plain numbers: a route's rows pass here one by one.
+        z0 = z1 = z2 = 0.0
+        for (x0, x1, x2), target in zip(x.tolist(), y.tolist()):
+            if n:
+                z0 = (x0 - a0) / sqrt(q0 / n) if q0 > 0 else 0.0
+                z1 = (x1 - a1) / sqrt(q1 / n) if q1 > 0 else 0.0
+                z2 = (x2 - a2) / sqrt(q2 / n) if q2 > 0 else 0.0
+            else:
+                z0 = z1 = z2 = 0.0
+            guess = (bias + sum((w0 * z0, w1 * z1, w2 * z2))) or target
             miss = target - guess
-            drifted = self.window.add(min(abs(miss) / RESIDUAL_SPAN, 1.0))
-            for name, value in zip(out, (self.seen, self.epoch, self.epoch_seq, guess, miss, drifted)):
-                out[name].append(value)
-            self.seen += 1
-            self.epoch_seq += 1
+            drifted = add(min(abs(miss) / RESIDUAL_SPAN, 1.0))
+            guesses.append(guess)
+            misses.append(miss)
+            drifts.append(drifted)
             if drifted:
-                self.regression = PassiveAggressive()
-                self.epoch, self.epoch_seq = self.epoch + 1, 0
-            self.regression.learn(features, target)
+                n, bias = 0, 0.0
+                a0 = a1 = a2 = q0 = q1 = q2 = w0 = w1 = w2 = 0.0
+            n += 1
+            delta = x0 - a0
+            a0 += delta / n
+            q0 += delta * (x0 - a0)
+            delta = x1 - a1
+            a1 += delta / n
+            q1 += delta * (x1 - a1)
+            delta = x2 - a2
+            a2 += delta / n
+            q2 += delta * (x2 - a2)
+            z0 = (x0 - a0) / sqrt(q0 / n) if q0 > 0 else 0.0
+            z1 = (x1 - a1) / sqrt(q1 / n) if q1 > 0 else 0.0
+            z2 = (x2 - a2) / sqrt(q2 / n) if q2 > 0 else 0.0
+            error = target - (bias + sum((w0 * z0, w1 * z1, w2 * z2)))
+            loss = max(0.0, abs(error) - PA_TOLERANCE)
+            norm = sum((z0 * z0, z1 * z1, z2 * z2))
+            step = copysign(min(PA_LIMIT, loss / norm) if norm > 0 else min(PA_LIMIT, loss), error)
+            w0 += step * z0
+            w1 += step * z1
+            w2 += step * z2
+            bias += step
+        model.n, model.bias = n, bias
+        model.mean, model.m2, model.weight = [a0, a1, a2], [q0, q1, q2], [w0, w1, w2]
+        drifted = np.array(drifts, dtype=bool)
+        place = np.arange(len(drifts))
+        before = np.cumsum(drifted) - drifted
+        # Rows since the last drift: a row with a drift still counts to the epoch that it ends.
+        since = np.maximum.accumulate(np.concatenate(([-1], np.where(drifted, place, -1))))[:-1]
+        epoch_seq = np.where(since >= 0, place - since - 1, self.epoch_seq + place)
+        out = {
+            "seq": self.seen + place, "epoch": self.epoch + before, "epoch_seq": epoch_seq,
+            "predicted_headway_sec": guesses, "residual": misses, "drifted": drifted}
+        if len(drifts):
+            self.epoch_seq = 0 if drifts[-1] else int(epoch_seq[-1]) + 1
+        self.seen += len(drifts)
+        self.epoch += int(drifted.sum())
         return out
 
     def to_json(self):

@@ -240,3 +240,23 @@ def test_corruption_depends_on_keys_only():
     other = autoencoder.corrupt(x, keys, 6)
     assert abs(np.corrcoef(whole.ravel(), other.ravel())[0, 1]) < 0.01
     assert abs(np.corrcoef(whole[:, 0], whole[:, 1])[0, 1]) < 0.03
+
+
+def test_inlined_sequence_equals_the_step_classes():
+    x, y = headways(4000, seed=3, shift=2500)
+    y[1200:1800] += 3000.0
+    model, window, want = PassiveAggressive(), AdaptiveWindow(), []
+    for features, target in zip(x.tolist(), y.tolist()):
+        guess = model.predict(features) or target
+        drifted = window.add(min(abs(target - guess) / 3600.0, 1.0))
+        want.append((guess, drifted))
+        if drifted:
+            model = PassiveAggressive()
+        model.learn(features, target)
+    route, got = RouteSequence(), []
+    for part in np.array_split(np.arange(len(y)), 5):
+        out = route.advance(x[part], y[part])
+        got += list(zip(out["predicted_headway_sec"], out["drifted"].tolist()))
+        route = RouteSequence.from_json(route.to_json())
+    assert got == want and sum(d for _, d in want) >= 2
+    assert (route.regression.weight, route.regression.bias, route.regression.n) == (model.weight, model.bias, model.n)
