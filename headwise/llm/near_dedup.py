@@ -374,12 +374,19 @@ def close_clusters(stars, joined, texts, size, similarity):
     ``stars`` has pivots as ``a`` and the nodes that match them as ``b``; either may be the lesser number.
     Only as many links as join the components of a block are returned.
     """
-    clusters = stars.select(F.col("a").alias("pivot"), F.col("b").alias("node")).union(
-        stars.select(F.col("a").alias("pivot"), F.col("a").alias("node"))).distinct()
-    members = clusters.join(joined, "node", "left").select(
-        "pivot", "node", F.coalesce("component", "node").alias("component"))
-    core = members.filter("pivot = node").select("pivot", F.col("component").alias("core"))
-    members = write_and_read(members.join(core, "pivot"), "clusters")
+    # One row per node, with all its pivots: its component is looked up once, and of the members only those of
+    # clusters that are not one component are joined.
+    held = write_and_read(
+        stars.select(F.col("a").alias("pivot"), F.col("b").alias("node")).union(
+            stars.select(F.col("a").alias("pivot"), F.col("a").alias("node")))
+        .groupBy("node").agg(F.collect_set("pivot").alias("pivots")).join(joined, "node", "left")
+        .select("node", "pivots", F.coalesce("component", "node").alias("component")), "clusters")
+    members = held.select(F.explode("pivots").alias("pivot"), "node", "component")
+    mixed = members.groupBy("pivot").agg(
+        F.min("component").alias("_least"), F.max("component").alias("_most"),
+        F.max(F.when(F.col("pivot") == F.col("node"), F.col("component"))).alias("core")
+    ).filter("_least != _most").select("pivot", "core")
+    members = write_and_read(members.join(mixed, "pivot"), "open-clusters")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(table):
@@ -405,10 +412,7 @@ def close_clusters(stars, joined, texts, size, similarity):
                     found.append((nodes[0][i], nodes[1][k]))
         return pa.table([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], []))], schema=schema)
 
-    # The texts of members go along only for clusters that are not one component.
-    mixed = members.filter("component != core").select("pivot").distinct()
-    members = members.join(mixed, "pivot").join(texts, "node")
-    return _blocks(members, "pivot", ["text"], CLUSTER_ROWS).applyInArrow(compare, "a long, b long")
+    return _blocks(members.join(texts, "node"), "pivot", ["text"], CLUSTER_ROWS).applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY):
