@@ -10,8 +10,8 @@ full sets.
 
 Sets that are equal are one node from the start. In a long posting list each member is compared with the
 least member, its pivot; the members that match a pivot are its cluster. What the confirmed links do not join is
-compared again: members away from their pivot with the whole list, and clusters within themselves, block by
-block and on full sets. Two members that have any cluster in common, from whichever list, are left to it: of a
+compared again: clusters within themselves, block by block and on full sets, then members away from their pivot
+with the whole list. Two members that have any cluster in common, from whichever list, are left to it: of a
 group of near copies nearly all stand in the cluster of its least member, so its other lists add no pairs. So a
 group of copies costs a pair per member, and no link is lost.
 """
@@ -38,6 +38,8 @@ BLOCK_ROWS = 2048
 #: Clusters of a member, least pivots first, by which pairs in a common cluster are recognised.
 CORES = 4
 CLUSTER_ROWS = 512
+#: Members of a list with something open, beyond which they are one cluster.
+STAR_ROWS = 256
 NULL_ID = -(1 << 63)
 _COORDINATE_BASE = 0x2545F4914F6CDD1D
 
@@ -249,8 +251,10 @@ def open_pairs(lists, joined, pairs, sets, matches, similarity):
     compared. Of the others, each is in turn a pivot with a cluster of its own, unless it is in an earlier
     cluster; then only its matches outside that cluster are pairs. A cluster takes only members between which
     something is open: what is joined already gives no rows. Members take their turns by number, so that the same
-    ones become pivots in all lists. So even where nearly all members match each other without being
-    joined, the pairs stay few.
+    ones become pivots in all lists. Where more than ``STAR_ROWS`` members of a list have something open, pivots
+    would take most of these members each: they are one cluster instead, around the least of them that is of the
+    commonest component. Lists of one group mostly have the same centre and share its cluster. So even where nearly
+    all members match each other without being joined, there is no more than a pair per member of a long list.
     """
     component = F.coalesce("component", "node")
     stars = pairs.filter("star").select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.lit(True).alias("near"))
@@ -287,8 +291,6 @@ def open_pairs(lists, joined, pairs, sets, matches, similarity):
             q_signs, t_signs = _signatures(query.column("signature")), _signatures(target.column("signature"))
             q_nodes, q_parts, q_sizes = (query.column(c).to_numpy() for c in ("node", "part", "n_shingles"))
             t_nodes, t_parts, t_sizes = (target.column(c).to_numpy() for c in ("node", "part", "n_shingles"))
-            covered = np.full(len(q_nodes), -1)
-            reached = {}
 
             def add(node, others, star):
                 for other in others.tolist():
@@ -307,31 +309,31 @@ def open_pairs(lists, joined, pairs, sets, matches, similarity):
                     together |= (t_cores == core).any(axis=1)
                 return ~together & (t_parts != q_parts[k])
 
-            opens = [None] * len(q_nodes)
+            # Of each query: the targets that match it, and those of them that are open.
+            hits, wanted = (np.zeros((len(q_nodes), len(t_nodes)), bool) for _ in range(2))
             for k in range(len(q_nodes)):
-                opens[k] = apart(k) if opens[k] is None else opens[k]
-                if not opens[k].any():
-                    continue
-                hits = alike(k, t_signs, t_sizes)
+                opens = apart(k)
+                if opens.any():
+                    hits[k] = alike(k, t_signs, t_sizes)
+                    wanted[k] = hits[k] & opens
+            asks, asked = wanted.any(axis=1), wanted.any(axis=0)
+            nodes, first = np.unique(np.concatenate((q_nodes[asks], t_nodes[asked])), return_index=True)
+            if len(nodes) > STAR_ROWS:
+                parts = np.concatenate((q_parts[asks], t_parts[asked]))[first]
+                names, times = np.unique(parts, return_counts=True)
+                add(int(nodes[parts == names[times.argmax()]][0]), nodes, True)
+                asks[:] = False
+            covered = np.full(len(q_nodes), -1)
+            for k in np.flatnonzero(asks):
                 if covered[k] < 0:
-                    if not (hits & opens[k]).any():
-                        continue
-                    mine = np.flatnonzero(alike(k, q_signs, q_sizes) & (covered < 0))
+                    mine = np.flatnonzero(asks & (covered < 0) & alike(k, q_signs, q_sizes))
                     covered[mine] = k
-                    reached[k] = hits
                     # The cluster settles what is open between its own and what it reaches; others need no place in it.
-                    needed = np.zeros(len(t_nodes), bool)
-                    for q in mine:
-                        opens[q] = apart(q) if opens[q] is None else opens[q]
-                        wanted = hits & opens[q]
-                        if wanted.any():
-                            needed |= wanted
-                            add(int(q_nodes[k]), q_nodes[q:q + 1], True)
-                    add(int(q_nodes[k]), t_nodes[needed], True)
+                    settled = wanted[mine] & hits[k]
+                    add(int(q_nodes[k]), q_nodes[mine[settled.any(axis=1)]], True)
+                    add(int(q_nodes[k]), t_nodes[settled.any(axis=0)], True)
                 else:
-                    add(int(q_nodes[k]), t_nodes[hits & ~reached[covered[k]] & opens[k]], False)
-                # Members before k take no further turn.
-                opens[k] = None
+                    add(int(q_nodes[k]), t_nodes[wanted[k] & ~hits[covered[k]]], False)
         columns = list(zip(*[(a, b, star) for (a, b), star in found.items()])) or [[], [], []]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -458,15 +460,19 @@ def near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY):
     joined = components(confirm(nearest, texts, shingle, similarity))
     others = apart(pairs.join(nearest, ["a", "b"], "left_anti"), joined)
     joined = merge_components(joined, write_and_read(confirm(others, texts, shingle, similarity), "links"))
-    # Then what pivots cannot tell: members of long lists away from their pivot, and the clusters of pivots.
+    # Then what pivots cannot tell: first the clusters of pivots, so that the members of a group are mostly one component
+    # before those of long lists that are away from their pivot are compared; last the clusters that these add to.
+    stars = pairs.filter("star").select("a", "b")
+    joined = merge_components(joined, write_and_read(close_clusters(stars, joined, texts, shingle, similarity), "links"))
     more = write_and_read(open_pairs(lists, joined, pairs, sets, enough, similarity), "open")
     if not more.isEmpty():
         texts = texts.union(fetch(nodes_of(more).join(nodes_of(pairs), "node", "left_anti")))
         undirected = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = apart(undirected.join(pairs, ["a", "b"], "left_anti"), joined)
         joined = merge_components(joined, write_and_read(confirm(fresh, texts, shingle, similarity), "links"))
-    stars = pairs.union(more).filter("star").select("a", "b").distinct()
-    joined = merge_components(joined, write_and_read(close_clusters(stars, joined, texts, shingle, similarity), "links"))
+        added = more.filter("star").select("a", "b")
+        stars = stars.join(added.select("a").distinct(), "a", "left_semi").union(added).distinct()
+        joined = merge_components(joined, write_and_read(close_clusters(stars, joined, texts, shingle, similarity), "links"))
 
     named = sets.select("key", "node", F.col("least.doc_id").alias("own"))
     linked = joined.join(named, "node")

@@ -136,6 +136,42 @@ def test_open_pairs_leave_no_match_without_a_common_centre(spark):
     assert not matching - met
 
 
+def test_open_pairs_of_a_long_list_are_a_row_per_member(spark):
+    """Many members apart from each other and from a component of many: one cluster in which every match meets."""
+    rng, n = np.random.default_rng(13), 600
+    base = rng.integers(0, 256, 4 * near_dedup.COORDINATES + near_dedup.COUNTED).astype(np.uint8)
+    bodies = []
+    for _ in range(n):
+        low, counted = base[: 4 * near_dedup.COORDINATES].view(np.uint32).copy(), base[4 * near_dedup.COORDINATES:].copy()
+        share = rng.uniform(0.1, 0.2)
+        for part, most in ((low, 2 ** 32), (counted, 256)):
+            changed = rng.random(len(part)) < share
+            part[changed] = rng.integers(0, most, changed.sum(), dtype=np.uint64).astype(part.dtype)
+        bodies.append((low, counted))
+    needed = near_dedup.needed_matches(80, near_dedup.COORDINATES + near_dedup.COUNTED)
+    part = {node: 1 if node % 2 and node > 1 else node for node in range(n)}
+    stacked = [np.array(side) for side in zip(*bodies)]
+    open_ = {(a, int(b)) for a in range(n) for b in np.flatnonzero(near_dedup._matches(stacked, bodies[a]) >= needed)
+             if a < b and part[a] != part[int(b)]}
+    sets = spark.createDataFrame(
+        [(node, 100, bytearray(low.tobytes() + counted.tobytes())) for node, (low, counted) in enumerate(bodies)],
+        "node long, n_shingles long, signature binary")
+    # Three lists of the same group.
+    lists = spark.createDataFrame([(t, node, n, 0) for t in range(3) for node in range(n)], "token long, node long, n long, pivot long")
+    joined = spark.createDataFrame([(a, b) for a, b in part.items() if a != b], "node long, component long")
+    pairs = spark.createDataFrame([], "a long, b long, star boolean")
+    found = [tuple(r) for r in near_dedup.open_pairs(lists, joined, pairs, sets, needed, 80).collect()]
+    clusters = {}
+    for a, b, star in found:
+        if star:
+            clusters.setdefault(a, {a}).add(b)
+    met = {(min(a, b), max(a, b)) for a, b, _ in found}
+    for cluster in clusters.values():
+        met |= {(a, b) for a in cluster for b in cluster if a < b}
+    assert len(open_) > 10 * n and not open_ - met
+    assert len(found) < n
+
+
 def test_near_duplicates_awkward_rows(spark):
     rows = near_dedup.near_duplicates(brute.documents(spark, brute.awkward())).collect()
     assert len(rows) == len(brute.awkward())
