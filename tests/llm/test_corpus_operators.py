@@ -175,6 +175,29 @@ def test_network_gradients_are_those_of_the_loss():
             assert abs((above - below) / 2e-4 - g[at]) < 1e-4
 
 
+def test_network_sums_do_not_depend_on_earlier_batches():
+    """Arrays are used again: a smaller batch after a larger one gives what it gives alone."""
+    rng = np.random.default_rng(1)
+    network = language.Network(2, hidden=4)
+    steps, labels = rng.integers(0, 256, (8, 6)).astype(np.uint8), rng.integers(0, 2, 6)
+    parts = [network.gradients(steps[:, a:b], np.ones((8, b - a), bool), labels[a:b], np.ones(b - a))[1] for a, b in ((0, 6), (0, 2), (2, 6))]
+    for whole, *two in zip(*parts):
+        np.testing.assert_allclose(whole, sum(two), atol=1e-4)
+
+
+def test_rejected_languages_are_looked_up_without_their_texts(spark, monkeypatch):
+    written = []
+    write = language.write_and_read
+    monkeypatch.setattr(language, "write_and_read", lambda df, label, *a, **k: written.append((label, df.columns)) or write(df, label, *a, **k))
+    docs, rows = labelled_texts(spark)
+    odd = [(5, None, "de"), (5, "12 34", "de"), (None, "12 34", None), (None, rows[7][1], None), (7, rows[7][1], "en")]
+    kept = language.keep_known(docs.union(spark.createDataFrame(odd, docs.schema))).collect()
+    assert [c for label, c in written if label == "judged" and "text" in c] == [] and "judged" in dict(written)
+    assert all(any(map(str.isalpha, r.text or "")) for r in kept)
+    assert sum(r.text == rows[7][1] for r in kept) in (0, 3)
+    assert len(kept) >= len(rows) // 2
+
+
 @pytest.fixture(scope="module")
 def learned(spark):
     return language.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), per_label=150)
