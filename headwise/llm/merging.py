@@ -11,9 +11,10 @@ import heapq
 import json
 import os
 import re
-from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 _NONE = np.int32(2**31 - 1)
@@ -26,6 +27,13 @@ BATCH_SYMBOLS = 1 << 20
 # Fixed value: the published split pattern of the lower-case vocabulary.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPLIT_LINES = regex.compile(r"\n|" + _SPLIT)
+# What a byte (UTF-8) makes of a chunk: 0 where letters (U+00C0 to U+024F among them), digits and ASCII signs but "'" stand,
+# 1 where the pattern is needed, 2 where the library is. Of "<" and the bytes C3, C4 and C9 the next byte tells more.
+_KINDS = bytes(
+    0 if b == 10 or 0x21 <= b < 0x7F and b not in (39, 60) or 0x80 <= b < 0xC0 or 0xC5 <= b < 0xC9 else 2 if b == 0 or b > 0xC9 else 1
+    for b in range(256))
+# Classes of lower-cased bytes: letters 0, digits 1, signs 2, ends of chunks 3.
+_CLASSES = bytes(3 if b == 10 else 1 if 48 <= b < 58 else 0 if 97 <= b < 123 or b >= 128 else 2 for b in range(256))
 
 
 def byte_letters():
@@ -46,9 +54,9 @@ class _PairTable:
             if not len(left):
                 break
             slots = self._slots(keys[left], factor)
-            owner = np.full(1 << self.BITS, -1, np.int32)
+            owner = np.full(1 << self.BITS, _NONE, np.int32)
             owner[slots] = left
-            held = np.where(owner >= 0, keys[np.maximum(owner, 0)], np.uint32(0))
+            held = np.where(owner != _NONE, keys[np.minimum(owner, len(keys) - 1)], np.uint32(0))
             self.tables.append((factor, held, owner))
             left = left[owner[slots] != left]
         if len(left):
@@ -59,11 +67,20 @@ class _PairTable:
 
     def ranks(self, left, right):
         keys = (left.astype(np.uint32) << np.uint32(16)) | right.astype(np.uint32)
-        found = np.full(len(keys), _NONE, np.int32)
+        found = places = None
         for factor, held, owner in self.tables:
             slots = self._slots(keys, factor)
-            same = np.flatnonzero((held[slots] == keys) & (owner[slots] >= 0))
-            found[same] = owner[slots[same]]
+            owners, same = owner.take(slots), held.take(slots) == keys
+            ranks = np.where(same, owners, _NONE)
+            if found is None:
+                found, places = ranks, np.arange(len(keys))
+            else:
+                found[places] = ranks
+            # A key goes to the next table only if another has its slot.
+            on = np.flatnonzero(~same & (owners != _NONE))
+            if not len(on):
+                break
+            places, keys = places[on], keys[on]
         return found
 
 
@@ -88,6 +105,8 @@ class Merger:
         if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids beyond 16 bits")
         self.pairs = _PairTable((self.left.astype(np.uint32) << np.uint32(16)) | self.right.astype(np.uint32))
+        # Ranks of what merging begins with: letters, by a byte and the next one, 256 more for the last of a sequence.
+        self.begin = self.pairs.ranks(np.repeat(self.inner, 512), np.tile(np.concatenate((self.inner, self.final)), 256))
         born = np.full(1 << 16, -1, np.int64)
         born[self.made] = np.arange(len(merges))
         if (np.maximum(born[self.left], born[self.right]) >= np.arange(len(merges))).any():
@@ -125,22 +144,52 @@ class Merger:
 
     @staticmethod
     def _apart_by_kind(chunks):
-        """Chunks without line feeds of simple characters, and all others."""
-        data = np.frombuffer(b"\n".join([*chunks, b""]), np.uint8)
-        after = np.append(data[1:], np.uint8(0))
-        # UTF-8 of U+0000, "<|", I with dot above, and U+0250 on.
-        odd = (data == 0) | ((data == 60) & (after == 124)) | ((data == 0xC4) & (after == 0xB0)) | ((data == 0xC9) & (after >= 0x90)) | (data > 0xC9)
-        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
-        which = np.zeros(len(chunks), bool)
-        which[np.searchsorted(ends, np.flatnonzero(odd), side="right")] = True
-        return [c for c, w in zip(chunks, which.tolist()) if not w], [c for c, w in zip(chunks, which.tolist()) if w]
+        """Chunks of letters, digits and ASCII signs; others without line feeds of simple characters; and all others."""
+        body = b"\n".join([*chunks, b""])
+        kind, data = np.frombuffer(body.translate(_KINDS), np.uint8), np.frombuffer(body, np.uint8)
+        ends = np.flatnonzero(data == 10)
+        if len(ends) != len(chunks):
+            ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1) - 1
+        which = np.zeros(len(chunks), np.uint8)
+        places = np.flatnonzero(kind)
+        kind, here, after = kind[places], data[places], np.append(data, np.uint8(0))[places + 1]
+        # Signs between letters of two bytes, "<|", I with dot above, and U+0250 on.
+        kind[(here == 0xC3) & (after != 0x97) & (after != 0xB7)] = 0
+        kind[(here == 60) & (after == 124) | (here == 0xC4) & (after == 0xB0) | (here == 0xC9) & (after >= 0x90)] = 2
+        kind[(here == 60) & (after != 124) | (here == 0xC4) & (after != 0xB0) | (here == 0xC9) & (after < 0x90)] = 0
+        owner = np.searchsorted(ends, places)
+        which[owner[kind == 1]] = 1
+        which[owner[kind == 2]] = 2
+        apart = [], [], []
+        for c, w in zip(chunks, which.tolist()):
+            apart[w].append(c)
+        return apart
+
+    @staticmethod
+    def _split_plain(chunks):
+        """Data, lengths of the pre-tokens and pre-tokens of each chunk for the first kind: what they are made of tells where to cut."""
+        lines = b"\n".join([*chunks, b""]).decode().lower().encode()
+        data, kind = np.frombuffer(lines, np.uint8), np.frombuffer(lines.translate(_CLASSES), np.uint8)
+        cuts = np.ones(len(data) + 1, bool)
+        np.not_equal(kind[1:], kind[:-1], out=cuts[1:-1])
+        cuts[:-1] |= kind & 1 == 1
+        cuts = np.flatnonzero(cuts)
+        inside = kind[cuts[:-1]] != 3
+        lengths = np.diff(cuts)[inside]
+        lines_before = np.cumsum(~inside)[inside]
+        return data[kind != 3], lengths, np.bincount(lines_before, minlength=len(chunks))
 
     def split(self, chunks):
         """The chunks in the order in which they are split: data, ends of the pre-tokens in it, pre-tokens of each chunk.
 
         Special strings stand as pre-tokens of one byte whose ids come in ``fixed`` (place among the pre-tokens -> id).
         """
-        simple, other = self._apart_by_kind(chunks) if self.simple else ([], chunks)
+        plain, simple, other = self._apart_by_kind(chunks) if self.simple else ([], [], chunks)
+        try:
+            plain_data, plain_lengths, plain_counts = self._split_plain(plain)
+        except UnicodeDecodeError:
+            plain, simple = [], plain + simple
+            plain_data, plain_lengths, plain_counts = self._split_plain(plain)
         lines = b"\n".join(simple).decode("utf-8", "replace").lower()
         body = "\0".join(_SPLIT_LINES.findall(lines)).encode() + b"\0" if simple else b""
         data = np.frombuffer(body, np.uint8)
@@ -152,6 +201,7 @@ class Merger:
         lengths = (stops - begins)[filled]
         data = data[(data != 0) & (data != 10)]
         counts = np.bincount(chunk_of, minlength=len(simple)) if simple else np.zeros(0, np.int64)
+        data, lengths, counts = (np.concatenate(x) for x in ((plain_data, data), (plain_lengths, lengths), (plain_counts, counts)))
         fixed, more, sizes, extra = {}, [], [], []
         for chunk in other:
             pieces = self.pieces(chunk)
@@ -163,7 +213,7 @@ class Merger:
             extra.append(len(pieces))
         sizes = np.fromiter(map(len, more), np.int64, len(more))
         data = np.concatenate((data, np.frombuffer(b"".join(more), np.uint8)))
-        return simple + other, data, np.concatenate((lengths, sizes)), np.concatenate((counts, np.array(extra, np.int64))), fixed
+        return plain + simple + other, data, np.concatenate((lengths, sizes)), np.concatenate((counts, np.array(extra, np.int64))), fixed
 
     def merge(self, data, lengths, fixed=()):
         """Ids of all pre-tokens, one after another, and how many each has; ``fixed`` ones (place -> id) keep their id."""
@@ -183,18 +233,21 @@ class Merger:
         return ids, counts
 
     def _merge_batch(self, data, lengths):
-        symbols = self.inner[data]
+        symbols, letters = self.inner[data], data.astype(np.int32)
         ends = np.cumsum(lengths)
-        filled = lengths > 0
-        symbols[ends[filled] - 1] = self.final[data[ends[filled] - 1]]
+        last = ends[lengths > 0] - 1
+        symbols[last] = self.final[data[last]]
+        letters[last] += 256
+        ranks = np.full(len(data), _NONE, np.int32)
+        ranks[:-1] = self.begin[(letters[:-1] % 256 << 9) + letters[1:]]
+        ranks[last] = _NONE
         owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         finished = []
         for i in np.flatnonzero(lengths > LONG):
             merged = self._merge_long(symbols[ends[i] - lengths[i]: ends[i]])
             finished.append((np.full(len(merged), i, np.int32), merged))
         short = lengths[owner] <= LONG
-        symbols, owner = symbols[short], owner[short]
-        ranks = self._all_ranks(symbols, owner)
+        symbols, owner, ranks = symbols[short], owner[short], ranks[short]
         while len(symbols):
             starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             sizes = np.diff(np.concatenate((starts, [len(owner)])))
@@ -233,9 +286,6 @@ class Merger:
         ranks[(after == places) | (owner[places] != owner[after])] = _NONE
         return ranks
 
-    def _all_ranks(self, symbols, owner):
-        return self._ranks_at(symbols, owner, np.arange(len(symbols)))
-
     def _merge_long(self, symbols):
         """The same for one long sequence: places are held by rank, and neighbours as links."""
         n = len(symbols)
@@ -287,25 +337,30 @@ class ChunkIds:
         self.merger, self.counts_only, self.remembered = merger, counts_only, remembered
         self.recent, self.older = {}, {}
 
-    def chunks(self, body):
-        """What a text (UTF-8) is cut into: words where white space only separates, else the text itself."""
-        return body.split() if self.merger.by_words else [body] if body else []
-
-    def values(self, chunks):
-        """The values of all chunks, in order."""
-        found = list(map(self.recent.get, chunks, repeat(-1)))
-        missing = [c for c, v in zip(chunks, found) if v == -1]
+    def _chunks(self, bodies):
+        """What the texts (UTF-8) are cut into, words where white space only separates, and the place of each text's first."""
+        texts = pa.array(bodies, pa.large_binary())
+        if not self.merger.by_words:
+            return texts, np.arange(len(bodies) + 1)
+        words = pc.ascii_split_whitespace(texts.view(pa.large_string()))
+        return words.flatten().view(pa.large_binary()), words.offsets.to_numpy()
+
+    def _values(self, chunks):
+        """The values of all chunks, in order; each different one is looked up once."""
+        coded = chunks.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.recent.get, distinct))
+        missing = [c for c, v in zip(distinct, found) if v is None]
         if missing:
-            distinct = list(set(missing))
-            new = dict(zip(distinct, map(self.older.get, distinct)))
+            new = dict(zip(missing, map(self.older.get, missing)))
             new.update(self._encode([c for c, v in new.items() if v is None]))
-            late = map(new.__getitem__, missing)
-            found = [next(late) if v == -1 else v for v in found]
+            late = iter(new.values())
+            found = [next(late) if v is None else v for v in found]
             if len(self.recent) + len(new) > self.remembered:
                 self.older, self.recent = self.recent, new
             else:
                 self.recent.update(new)
-        return found
+        return pa.array(found, pa.int64() if self.counts_only else pa.large_binary()).take(coded.indices)
 
     def _encode(self, chunks):
         order, data, lengths, pieces, fixed = self.merger.split(chunks)
@@ -318,16 +373,14 @@ class ChunkIds:
 
     def counts_of(self, bodies):
         """The number of ids of each text."""
-        chunks = [self.chunks(b) for b in bodies]
-        values = np.array(self.values([c for cs in chunks for c in cs]), np.int64)
-        ends = np.concatenate(([0], np.cumsum(values)))[np.concatenate(([0], np.cumsum([len(cs) for cs in chunks])))]
-        return np.diff(ends)
+        chunks, first = self._chunks(bodies)
+        return np.diff(np.concatenate(([0], np.cumsum(self._values(chunks).to_numpy())))[first])
 
     def ids_of(self, bodies):
         """The ids of each text as little-endian bytes."""
-        chunks = [self.chunks(b) for b in bodies]
-        values, at, result = self.values([c for cs in chunks for c in cs]), 0, []
-        for cs in chunks:
-            result.append(b"".join(values[at: at + len(cs)]))
-            at += len(cs)
-        return result
+        chunks, first = self._chunks(bodies)
+        values = self._values(chunks)
+        _, places, data = values.buffers()
+        ends = np.frombuffer(places, np.int64)[values.offset:][first].tolist() if len(values) else [0] * len(first)
+        data = memoryview(data or b"")
+        return [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]

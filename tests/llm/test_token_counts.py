@@ -42,6 +42,48 @@ def test_ids_are_those_of_the_library(path, remembered):
         assert counts.counts_of(bodies[part]).tolist() == [len(w) // 4 for w in want[part]]
 
 
+def test_invalid_bytes_count_as_replaced():
+    bodies = [b"ab\xc3 \xc3", b"plain \xff\xfe words", "a\u00d7b \u023a\u023e \u00f7".encode(), b" lead <b <|> trail \n\n"]
+    want = [np.array(library(WORDS).encode(b.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() for b in bodies]
+    assert ChunkIds(Merger(WORDS)).ids_of(bodies) == want
+    assert [ChunkIds(Merger(WORDS)).ids_of([b])[0] for b in bodies] == want
+
+
+def test_words_are_looked_up_once_and_plain_ones_split_without_the_pattern(monkeypatch):
+    from headwise.llm import merging
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    class Pattern:
+        given = ""
+
+        def findall(self, lines):
+            Pattern.given += lines
+            return split.findall(lines)
+
+    split = merging._SPLIT_LINES
+    monkeypatch.setattr(merging, "_SPLIT_LINES", Pattern())
+    ids, text = ChunkIds(Merger(WORDS)), "Same words, 12 (or 13) größer; don't! " * 500 + "end"
+    ids.recent = Counted()
+    assert ids.ids_of([text.encode()] * 3) == 3 * [np.array(library(WORDS).encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert Counted.asked == len(set(text.split()))
+    assert Pattern.given.split() == ["don't!"]
+
+
+def test_pairs_that_share_a_slot_keep_their_ranks():
+    merger = Merger(WORDS)
+    assert np.array_equal(merger.pairs.ranks(merger.left, merger.right), np.arange(len(merger.left)))
+    known = set(zip(merger.left.tolist(), merger.right.tolist()))
+    others = np.random.default_rng(3).integers(0, 49_000, (2, 50_000)).astype(np.int32)
+    found = merger.pairs.ranks(*others) != 2**31 - 1
+    assert found.tolist() == [pair in known for pair in zip(*others.tolist())]
+
+
 def test_long_sequences_merge_as_short_ones(monkeypatch):
     from headwise.llm import merging
     merger, rng = Merger(WORDS), random.Random(2)
