@@ -71,9 +71,11 @@ class Network:
         """Fill ``states``, (positions, states, windows), with those after each step; with ``keep`` return the gates and candidates."""
         table, gates, candidate = (p.T.copy() for p in self.parameters[3 * side: 3 * side + 3])
         n, h = steps.shape[1], self.hidden
-        # A gate is (1 + tanh(x / 2)) / 2.
-        table[: 2 * h] *= 0.5
-        gates *= 0.5
+        # A gate is 1 / (1 + exp(-x)), a candidate 2 / (1 + exp(-2 x)) - 1, its tanh: exponentials cost less.
+        table[: 2 * h] *= -1
+        table[2 * h:] *= -2
+        gates *= -1
+        candidate *= -2
         # Worked on in place, step by step, so that they stay in the cache.
         x, sums, reset, moved = (np.empty((rows * h, n), table.dtype) for rows in (3, 2, 1, 1))
         kept = _room(f"kept {side}", (len(steps), 3 * h, n), table.dtype) if keep else None
@@ -84,12 +86,15 @@ class Network:
             table.take(index, axis=1, out=x, mode="clip")
             zr, c = x[: 2 * h], x[2 * h:]
             zr += np.matmul(gates, state, out=sums)
-            np.tanh(zr, out=zr)
-            zr *= 0.5
-            zr += 0.5
+            np.exp(zr, out=zr)
+            zr += 1
+            np.divide(1, zr, out=zr)
             np.multiply(zr[h:], state, out=reset)
             c += np.matmul(candidate, reset, out=moved)
-            np.tanh(c, out=c)
+            np.exp(c, out=c)
+            c += 1
+            np.divide(2, c, out=c)
+            c -= 1
             np.subtract(c, state, out=moved)
             moved *= zr[:h]
             state = np.add(state, moved, out=states[t])
@@ -99,8 +104,10 @@ class Network:
         """Label probabilities of every position as (positions, labels, windows): ``steps`` is (positions, windows) of bytes."""
         h = self.hidden
         both = _room("both", (len(steps), 2 * h, steps.shape[1]), self.parameters[0].dtype)
-        kept_ahead = self._direction(0, steps, both[:, :h], keep)
-        kept_back = self._direction(1, steps[::-1], both[::-1, h:], keep)
+        # An exponential beyond the range is infinite, and its gate 0.
+        with np.errstate(over="ignore"):
+            kept_ahead = self._direction(0, steps, both[:, :h], keep)
+            kept_back = self._direction(1, steps[::-1], both[::-1, h:], keep)
         odds = self.parameters[6].T @ both
         odds += self.parameters[7][:, None]
         odds -= odds.max(axis=1, keepdims=True)
@@ -108,21 +115,23 @@ class Network:
         odds /= odds.sum(axis=1, keepdims=True)
         return odds, both, kept_ahead, kept_back
 
-    def gradients(self, steps, mask, labels, weights=None):
-        """Cross entropy of the positions and its gradient, backwards through all steps.
+    def gradients(self, steps, mask, labels, weights=None, loss=True):
+        """Cross entropy of the positions (None without ``loss``) and its gradient, backwards through all steps.
 
         The mean of the positions, or with ``weights``, one of each window, their weighted sum.
         """
         odds, both, kept_ahead, kept_back = self.forward(steps, keep=True)
         weight = (mask / mask.sum() if weights is None else mask * weights).astype(np.float32)
-        place = np.arange(len(labels))
-        loss = -(np.log(np.maximum(odds[:, labels, place], 1e-9)) * weight).sum()
-        error = odds * weight[:, None, :]
-        error[:, labels, place] -= weight
+        loss = -(np.log(np.maximum(odds[:, labels, np.arange(len(labels))], 1e-9)) * weight).sum() if loss else None
+        error = odds
+        error -= labels == np.arange(odds.shape[1])[:, None]
+        error *= weight[:, None, :]
         out = [None] * 6 + [(both @ error.transpose(0, 2, 1)).sum(axis=0), error.sum(axis=(0, 2))]
         into = np.matmul(self.parameters[6], error, out=_room("into", both.shape, error.dtype))
         # Places of equal bytes side by side, and where each byte's begin.
         order, times = np.argsort(steps, axis=None, kind="stable"), np.bincount(steps.ravel(), minlength=256)
+        # In arrays of 3 * hidden rows of a position.
+        order += order // steps.shape[1] * ((3 * self.hidden - 1) * steps.shape[1])
         seen = np.flatnonzero(times)
         runs = order, seen, (np.cumsum(times) - times)[seen]
         h = self.hidden
@@ -135,36 +144,36 @@ class Network:
         h, n = self.hidden, into.shape[2]
         d_gates, d_candidate = np.zeros_like(gates), np.zeros_like(candidate)
         d, spare, d_rs, reset = (np.empty((h, n), gates.dtype) for _ in range(4))
-        carried, slope, first = np.zeros((h, n), gates.dtype), np.empty((3 * h, n), gates.dtype), np.zeros((h, n), gates.dtype)
-        d_inputs = _room("d_inputs", (3 * h, len(into), n), gates.dtype)
+        carried, first = np.zeros((h, n), gates.dtype), np.zeros((h, n), gates.dtype)
+        d_inputs = _room("d_inputs", (len(into), 3 * h, n), gates.dtype)
         for t in range(len(into) - 1, -1, -1):
             state = states[t - 1] if t else first
             np.add(carried, into[t], out=d)
             z, r, c = kept[t][:h], kept[t][h: 2 * h], kept[t][2 * h:]
-            # Slopes: of gates g - g * g, of candidates 1 - c * c.
-            np.multiply(kept[t], kept[t], out=slope)
-            np.subtract(kept[t][: 2 * h], slope[: 2 * h], out=slope[: 2 * h])
-            np.subtract(1, slope[2 * h:], out=slope[2 * h:])
-            d_x = d_inputs[:, -1 - t if side else t]
+            d_x = d_inputs[-1 - t if side else t]
             d_z, d_r, d_c = d_x[:h], d_x[h: 2 * h], d_x[2 * h:]
+            # The slope of a candidate is 1 - c * c, that of a gate g * (1 - g).
             np.multiply(d, z, out=spare)
-            np.multiply(spare, slope[2 * h:], out=d_c)
+            np.subtract(d, spare, out=carried)
+            np.multiply(c, c, out=d_c)
+            np.subtract(1, d_c, out=d_c)
+            d_c *= spare
+            np.subtract(c, state, out=d_z)
+            d_z *= z
+            d_z *= carried
             np.matmul(candidate, d_c, out=d_rs)
+            d_rs *= r
             np.multiply(r, state, out=reset)
             d_candidate += reset @ d_c.T
-            np.subtract(d, spare, out=carried)
-            np.subtract(c, state, out=spare)
-            np.multiply(d, spare, out=d_z)
-            np.multiply(d_rs, state, out=d_r)
-            d_x[: 2 * h] *= slope[: 2 * h]
-            d_rs *= r
+            np.subtract(state, reset, out=d_r)
+            d_r *= d_rs
             carried += d_rs
             carried += np.matmul(gates, d_x[: 2 * h], out=spare)
             d_gates += state @ d_x[: 2 * h].T
         order, seen, starts = runs
         d_table, in_order = np.zeros_like(table), _room("in order", order.shape, gates.dtype)
-        for column, row in zip(d_table.T, d_inputs.reshape(3 * h, -1)):
-            column[seen] = np.add.reduceat(row.take(order, out=in_order, mode="clip"), starts)
+        for k, column in enumerate(d_table.T):
+            column[seen] = np.add.reduceat(d_inputs.ravel()[k * n:].take(order, out=in_order, mode="clip"), starts)
         return d_table, d_gates, d_candidate
 
 
@@ -179,6 +188,13 @@ def _windows(texts, span=SPAN):
     return data.reshape(-1, span).T, np.arange(span)[:, None] < left[None, :], owner
 
 
+def _parts(n, most):
+    """Slices of ``n`` windows, equal but for one and of about ``most``, a quarter more at most: a small rest would cost nearly as much as a full part."""
+    count = max(1, -(-4 * n // (5 * most)))
+    size = -(-n // count)
+    return [slice(start, start + size) for start in range(0, n, size)] if n else []
+
+
 def _adam(parameters):
     """A function that moves ``parameters`` along gradients, at most of length 1, by a rate."""
     means = [np.zeros_like(p) for p in parameters]
@@ -209,7 +225,7 @@ def train(texts, labels, n_labels, epochs=EPOCHS, seed=7, hidden=HIDDEN):
         order = rng.permutation(len(owner))
         for start in range(0, len(order), BATCH):
             part = order[start: start + BATCH]
-            move(network.gradients(steps[:, part], mask[:, part], answers[part])[1], RATE * (1 - epoch / epochs))
+            move(network.gradients(steps[:, part], mask[:, part], answers[part], loss=False)[1], RATE * (1 - epoch / epochs))
     return network
 
 
@@ -217,8 +233,7 @@ def _pooled(network, texts):
     """Sums of the label probabilities over the bytes of each window, and the text of each window."""
     steps, mask, owner = _windows(texts)
     pooled = np.zeros((len(owner), len(network.parameters[7])))
-    for start in range(0, len(owner), SLAB):
-        part = slice(start, start + SLAB)
+    for part in _parts(len(owner), SLAB):
         odds, *_ = network.forward(steps[:, part])
         pooled[part] = np.einsum("tln,tn->nl", odds, mask[:, part].astype(np.float32))
     return pooled, owner
@@ -324,9 +339,8 @@ def _all_gradients(rows, network, languages, weights):
                 share = np.array([weights[lang] for lang in langs[a:b]])[owner]
                 # Weights of single bytes are tiny: what is summed in a slab is relative to its largest one.
                 unit = share.max() if len(share) else 1.0
-                for start in range(0, len(owner), REFINE_BATCH):
-                    part = slice(start, start + REFINE_BATCH)
-                    _, found = network.gradients(steps[:, part], mask[:, part], labels[part], share[part] / unit)
+                for part in _parts(len(owner), REFINE_BATCH):
+                    _, found = network.gradients(steps[:, part], mask[:, part], labels[part], share[part] / unit, loss=False)
                     for whole, g in zip(total, found):
                         whole += g * unit
         flat = np.concatenate([g.ravel() for g in total])
@@ -352,7 +366,8 @@ def refine(docs, network, languages, per_label=SAMPLE_DOCS, steps=REFINE_STEPS,
     share = F.pmod(F.xxhash64("doc_id", "text", F.lit("share")), F.lit(steps)).cast("int")
     # Written by share, so that a step reads no other.
     rows = write_and_read(_labelled(docs).filter("text != ''").select(
-        "lang", "text", F.octet_length("text").cast("long").alias("bytes"), share.alias("share")), "labelled", ["share"], compression="zstd")
+        "lang", "text", F.octet_length("text").cast("long").alias("bytes"), share.alias("share")), "labelled", ["share"],
+        compression="zstd", **{"parquet.enable.dictionary": "false"})
     counted = rows.groupBy("share", "lang").agg(
         F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).collect()
     network = copy.deepcopy(network)

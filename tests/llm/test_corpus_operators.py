@@ -185,6 +185,35 @@ def test_network_sums_do_not_depend_on_earlier_batches():
         np.testing.assert_allclose(whole, sum(two), atol=1e-4)
 
 
+def test_gates_are_logistic_and_candidates_tanh_also_far_from_zero():
+    rng = np.random.default_rng(2)
+    network = language.Network(3, hidden=4)
+    steps = rng.integers(0, 256, (5, 7)).astype(np.uint8)
+    for scale in (1, 300):
+        network.parameters[0] = network.parameters[0] * np.float32(scale)
+        table, gates, candidate = (p.astype(np.float64) for p in network.parameters[:3])
+        state, want = np.zeros((7, 4)), []
+        for row in steps:
+            z, r = np.split((1 + np.tanh((table[row][:, :8] + state @ gates) / 2)) / 2, 2, axis=1)
+            state = state + z * (np.tanh(table[row][:, 8:] + (r * state) @ candidate) - state)
+            want.append(state.T)
+        with np.errstate(over="raise", invalid="raise"):
+            _, both, *_ = network.forward(steps)
+        np.testing.assert_allclose(both[:, :4], want, atol=1e-5)
+
+
+def test_a_small_rest_of_windows_is_no_batch_of_its_own(monkeypatch):
+    network, seen, forward = language.Network(2, hidden=4), [], language.Network.forward
+    monkeypatch.setattr(language.Network, "forward", lambda self, steps, keep=False: seen.append(steps.shape[1]) or forward(self, steps, keep))
+    texts = [b"some words " * 20_000, b"", b"x"]
+    odds = language.document_odds(network, texts, 2)
+    assert sum(seen) == -(-220_000 // language.SPAN) + 1 and len(seen) == 2
+    parts = language._parts(10_001, 100)
+    assert parts[0].start == 0 and parts[-1].stop >= 10_001 and all(a.stop == b.start for a, b in zip(parts, parts[1:]))
+    assert max(p.stop - p.start for p in parts) <= 125 and language._parts(0, 100) == []
+    np.testing.assert_allclose(odds[2], language.document_odds(network, [b"x"], 2)[0], atol=1e-6)
+
+
 def test_rejected_languages_are_looked_up_without_their_texts(spark, monkeypatch):
     written = []
     write = language.write_and_read
