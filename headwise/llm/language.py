@@ -37,6 +37,10 @@ QUANTILE = 0.0025
 LENGTHS = (1, 8, 16, 32, 64, 128, 256, 512, 1024, 2048)
 CUTS = sorted({*LENGTHS, *(2 * n for n in LENGTHS)})
 UNKNOWN = "und"
+#: Positions, at most, whose gradients are summed at once.
+BLOCK = 4
+#: Exponentials of up to this are far from the end of the range of single precision.
+MOST_EXPONENT = 60
 
 
 #: Arrays that a process uses again from batch to batch: new ones of that size cost more than what is computed in them.
@@ -71,14 +75,12 @@ class Network:
         """Fill ``states``, (positions, states, windows), with those after each step; with ``keep`` return the gates and candidates."""
         table, gates, candidate = (p.T.copy() for p in self.parameters[3 * side: 3 * side + 3])
         n, h = steps.shape[1], self.hidden
-        # A gate is 1 / (1 + exp(-x)), a candidate 2 / (1 + exp(-2 x)) - 1, its tanh: exponentials cost less.
-        table[: 2 * h] *= -1
-        table[2 * h:] *= -2
-        gates *= -1
-        candidate *= -2
+        # A gate is (1 + tanh(x / 2)) / 2: that costs less than an exponential and a division.
+        table[: 2 * h] *= 0.5
+        gates *= 0.5
         # Worked on in place, step by step, so that they stay in the cache.
         x, sums, reset, moved = (np.empty((rows * h, n), table.dtype) for rows in (3, 2, 1, 1))
-        kept = _room(f"kept {side}", (len(steps), 3 * h, n), table.dtype) if keep else None
+        kept = _room(f"kept {side}", (len(steps), 3 * h, n), table.dtype)[::-1 if side else 1] if keep else None
         state, index = np.zeros((h, n), table.dtype), np.empty(n, np.intp)
         for t in range(len(steps)):
             index[:] = steps[t]
@@ -86,15 +88,12 @@ class Network:
             table.take(index, axis=1, out=x, mode="clip")
             zr, c = x[: 2 * h], x[2 * h:]
             zr += np.matmul(gates, state, out=sums)
-            np.exp(zr, out=zr)
-            zr += 1
-            np.divide(1, zr, out=zr)
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
             np.multiply(zr[h:], state, out=reset)
             c += np.matmul(candidate, reset, out=moved)
-            np.exp(c, out=c)
-            c += 1
-            np.divide(2, c, out=c)
-            c -= 1
+            np.tanh(c, out=c)
             np.subtract(c, state, out=moved)
             moved *= zr[:h]
             state = np.add(state, moved, out=states[t])
@@ -104,13 +103,14 @@ class Network:
         """Label probabilities of every position as (positions, labels, windows): ``steps`` is (positions, windows) of bytes."""
         h = self.hidden
         both = _room("both", (len(steps), 2 * h, steps.shape[1]), self.parameters[0].dtype)
-        # An exponential beyond the range is infinite, and its gate 0.
-        with np.errstate(over="ignore"):
-            kept_ahead = self._direction(0, steps, both[:, :h], keep)
-            kept_back = self._direction(1, steps[::-1], both[::-1, h:], keep)
-        odds = self.parameters[6].T @ both
-        odds += self.parameters[7][:, None]
-        odds -= odds.max(axis=1, keepdims=True)
+        kept_ahead = self._direction(0, steps, both[:, :h], keep)
+        kept_back = self._direction(1, steps[::-1], both[::-1, h:], keep)
+        weights, shift = self.parameters[6:]
+        odds = np.matmul(weights.T, both, out=_room("odds", (len(steps), len(shift), steps.shape[1]), both.dtype))
+        odds += shift[:, None]
+        # States lie between -1 and 1: only large weights need care that no exponential overflows.
+        if not np.abs(weights).sum(axis=0).max() + np.abs(shift).max() < MOST_EXPONENT:
+            odds -= odds.max(axis=1, keepdims=True)
         np.exp(odds, out=odds)
         odds /= odds.sum(axis=1, keepdims=True)
         return odds, both, kept_ahead, kept_back
@@ -121,60 +121,78 @@ class Network:
         The mean of the positions, or with ``weights``, one of each window, their weighted sum.
         """
         odds, both, kept_ahead, kept_back = self.forward(steps, keep=True)
-        weight = (mask / mask.sum() if weights is None else mask * weights).astype(np.float32)
+        weight = mask.astype(np.float32)
+        weight *= 1 / mask.sum() if weights is None else weights.astype(np.float32)
         loss = -(np.log(np.maximum(odds[:, labels, np.arange(len(labels))], 1e-9)) * weight).sum() if loss else None
         error = odds
-        error -= labels == np.arange(odds.shape[1])[:, None]
+        error -= (labels == np.arange(odds.shape[1])[:, None]).astype(error.dtype)
         error *= weight[:, None, :]
         out = [None] * 6 + [(both @ error.transpose(0, 2, 1)).sum(axis=0), error.sum(axis=(0, 2))]
-        into = np.matmul(self.parameters[6], error, out=_room("into", both.shape, error.dtype))
-        # Places of equal bytes side by side, and where each byte's begin.
-        order, times = np.argsort(steps, axis=None, kind="stable"), np.bincount(steps.ravel(), minlength=256)
-        # In arrays of 3 * hidden rows of a position.
-        order += order // steps.shape[1] * ((3 * self.hidden - 1) * steps.shape[1])
-        seen = np.flatnonzero(times)
-        runs = order, seen, (np.cumsum(times) - times)[seen]
         h = self.hidden
-        out[0:3] = self._backward(0, runs, into[:, :h], both[:, :h], kept_ahead)
-        out[3:6] = self._backward(1, runs, into[::-1, h:], both[::-1, h:], kept_back)
+        runs = self._runs(steps)
+        out[0:3] = self._backward(0, runs, error, both[:, :h], kept_ahead)
+        out[3:6] = self._backward(1, runs, error[::-1], both[::-1, h:], kept_back)
         return loss, out
 
-    def _backward(self, side, runs, into, states, kept):
+    def _runs(self, steps):
+        """For each block of positions: places of equal bytes side by side, these bytes, and where each byte's begin.
+
+        Blocks are equal and so small that the gradients of their inputs are still in the cache when they are summed.
+        """
+        length, n = steps.shape
+        size = max(k for k in range(1, BLOCK + 1) if length % k == 0)
+        runs = []
+        for block in steps.reshape(-1, size * n):
+            order, times = np.argsort(block, kind="stable"), np.bincount(block, minlength=256)
+            # In arrays of 3 * hidden rows of a position.
+            order += order // n * ((3 * self.hidden - 1) * n)
+            seen = np.flatnonzero(times)
+            runs.append((order, seen, (np.cumsum(times) - times)[seen]))
+        return runs
+
+    def _backward(self, side, runs, error, states, kept):
+        """Gradients of a direction's weights; those of the inputs take the places of ``kept``, which are in the cache."""
         table, gates, candidate = self.parameters[3 * side: 3 * side + 3]
-        h, n = self.hidden, into.shape[2]
-        d_gates, d_candidate = np.zeros_like(gates), np.zeros_like(candidate)
+        h, n = self.hidden, error.shape[2]
+        labels = self.parameters[6][h * side: h * side + h]
+        d_table, d_gates, d_candidate = np.zeros_like(table.T), np.zeros_like(gates), np.zeros_like(candidate)
+        # By position.
+        d_inputs, size = kept[::-1] if side else kept, len(error) // len(runs)
+        in_order, sums = np.empty(size * n, gates.dtype), np.empty(table.T.shape, gates.dtype)
         d, spare, d_rs, reset = (np.empty((h, n), gates.dtype) for _ in range(4))
         carried, first = np.zeros((h, n), gates.dtype), np.zeros((h, n), gates.dtype)
-        d_inputs = _room("d_inputs", (len(into), 3 * h, n), gates.dtype)
-        for t in range(len(into) - 1, -1, -1):
+        for t in range(len(error) - 1, -1, -1):
             state = states[t - 1] if t else first
-            np.add(carried, into[t], out=d)
+            np.matmul(labels, error[t], out=d)
+            d += carried
             z, r, c = kept[t][:h], kept[t][h: 2 * h], kept[t][2 * h:]
-            d_x = d_inputs[-1 - t if side else t]
-            d_z, d_r, d_c = d_x[:h], d_x[h: 2 * h], d_x[2 * h:]
             # The slope of a candidate is 1 - c * c, that of a gate g * (1 - g).
             np.multiply(d, z, out=spare)
             np.subtract(d, spare, out=carried)
-            np.multiply(c, c, out=d_c)
-            np.subtract(1, d_c, out=d_c)
-            d_c *= spare
-            np.subtract(c, state, out=d_z)
-            d_z *= z
-            d_z *= carried
-            np.matmul(candidate, d_c, out=d_rs)
+            # z * (c - state) is what the step added to the state.
+            np.subtract(states[t], state, out=z)
+            z *= carried
+            c *= c
+            np.subtract(1, c, out=c)
+            c *= spare
+            np.matmul(candidate, c, out=d_rs)
             d_rs *= r
             np.multiply(r, state, out=reset)
-            d_candidate += reset @ d_c.T
-            np.subtract(state, reset, out=d_r)
-            d_r *= d_rs
+            d_candidate += reset @ c.T
+            np.subtract(state, reset, out=r)
+            r *= d_rs
             carried += d_rs
-            carried += np.matmul(gates, d_x[: 2 * h], out=spare)
-            d_gates += state @ d_x[: 2 * h].T
-        order, seen, starts = runs
-        d_table, in_order = np.zeros_like(table), _room("in order", order.shape, gates.dtype)
-        for k, column in enumerate(d_table.T):
-            column[seen] = np.add.reduceat(d_inputs.ravel()[k * n:].take(order, out=in_order, mode="clip"), starts)
-        return d_table, d_gates, d_candidate
+            d_gate = kept[t][: 2 * h]
+            carried += np.matmul(gates, d_gate, out=spare)
+            d_gates += state @ d_gate.T
+            if t % size == 0:
+                block = len(runs) - 1 - t // size if side else t // size
+                order, seen, starts = runs[block]
+                inputs = d_inputs[block * size: (block + 1) * size].reshape(-1)
+                for k, row in enumerate(sums):
+                    np.add.reduceat(inputs[k * n:].take(order, out=in_order, mode="clip"), starts, out=row[: len(seen)])
+                d_table[:, seen] += sums[:, : len(seen)]
+        return d_table.T, d_gates, d_candidate
 
 
 def _windows(texts, span=SPAN):
@@ -185,7 +203,7 @@ def _windows(texts, span=SPAN):
     lengths = np.array([len(t) for t in texts], np.int64)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     left = np.minimum(lengths[owner] - place * span, span)
-    return data.reshape(-1, span).T, np.arange(span)[:, None] < left[None, :], owner
+    return data.reshape(-1, span).T.copy(), np.arange(span)[:, None] < left[None, :], owner
 
 
 def _parts(n, most):

@@ -185,6 +185,35 @@ def test_network_sums_do_not_depend_on_earlier_batches():
         np.testing.assert_allclose(whole, sum(two), atol=1e-4)
 
 
+def test_gradients_of_inputs_take_the_places_of_gates_and_are_summed_by_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    network = language.Network(3, hidden=4)
+    steps, labels = rng.integers(97, 123, (12, 400)).astype(np.uint8), rng.integers(0, 3, 400)
+    found = []
+    for block in (1, 4, 5, 12):
+        monkeypatch.setattr(language, "BLOCK", block, raising=False)
+        monkeypatch.setattr(language, "_ROOMS", {})
+        found.append(network.gradients(steps, np.ones((12, 400)), labels, np.ones(400))[1])
+        # Gates and candidates of two directions, their states, and what is put out.
+        assert sum(map(len, language._ROOMS.values())) <= 4 * 12 * 400 * (2 * 3 * 4 + 2 * 4 + 3)
+    for one, *others in zip(*found):
+        for other in others:
+            np.testing.assert_allclose(one, other, rtol=1e-4, atol=1e-3)
+
+
+def test_odds_of_large_weights_are_finite():
+    rng = np.random.default_rng(5)
+    network = language.Network(3, hidden=4)
+    steps = rng.integers(0, 256, (5, 7)).astype(np.uint8)
+    for scale in (1, 20, 1000):
+        network.parameters[6] = network.parameters[6] * np.float32(scale)
+        with np.errstate(over="raise", invalid="raise"):
+            odds, both, *_ = network.forward(steps)
+        x = network.parameters[6].T.astype(np.float64) @ both
+        want = np.exp(x - x.max(axis=1, keepdims=True))
+        np.testing.assert_allclose(odds, want / want.sum(axis=1, keepdims=True), atol=1e-4)
+
+
 def test_gates_are_logistic_and_candidates_tanh_also_far_from_zero():
     rng = np.random.default_rng(2)
     network = language.Network(3, hidden=4)
