@@ -201,6 +201,22 @@ def test_gradients_of_inputs_take_the_places_of_gates_and_are_summed_by_blocks(m
             np.testing.assert_allclose(one, other, rtol=1e-4, atol=1e-3)
 
 
+def test_both_forms_of_the_gates_give_the_same(monkeypatch):
+    rng = np.random.default_rng(6)
+    network = language.Network(3, hidden=4)
+    steps, labels = rng.integers(0, 256, (8, 50)).astype(np.uint8), rng.integers(0, 3, 50)
+    for scale in (1, 300):
+        network.parameters[0] = network.parameters[0] * np.float32(scale)
+        found = []
+        for wide in (False, True):
+            monkeypatch.setattr(language, "WIDE", wide)
+            with np.errstate(over="raise", invalid="raise"):
+                odds = network.forward(steps)[0].copy()
+                found.append([odds, *network.gradients(steps, np.ones((8, 50)), labels, np.ones(50))[1]])
+        for one, other in zip(*found):
+            np.testing.assert_allclose(one, other, rtol=1e-3, atol=1e-3)
+
+
 def test_odds_of_large_weights_are_finite():
     rng = np.random.default_rng(5)
     network = language.Network(3, hidden=4)
