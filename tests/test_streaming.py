@@ -153,6 +153,23 @@ def test_windows_close_once_over_many_micro_batches(spark, scores, tmp_path):
     assert got == {r.w.start: (r.n, r.stops, r.pairs) for r in want.collect()}
 
 
+def test_every_ten_second_window_is_counted(spark, scores, tmp_path):
+    rows = scores([
+        {"observed_ts": START + timedelta(seconds=23 * i + (i * 29) % 50), "stop_id": f"s{i % 7}", "route_id": f"R{i % 3}",
+         "predicted_headway_sec": 1.0, "anomaly_score": (i % 8) / 8} for i in range(180)
+    ])
+    path = str(tmp_path / "raw")
+    for i in range(3):
+        rows.where((F.col("id") >= 60 * i) & (F.col("id") < 60 * i + 60)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = {r.window_start: (r.scored_rows, r.anomalies_count, r.stations_total, r.trains_active)
+           for r in summaries.drain_window_summary(stream, buckets=3).collect()}
+    want = rows.groupBy(F.window("observed_ts", "15 minutes", "10 seconds").alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("anomaly_score") >= 0.6).alias("anomalies"),
+        F.count_distinct("stop_id").alias("stops"), F.count_distinct("route_id", "stop_id").alias("pairs"))
+    assert got == {r.w.start: (r.n, r.anomalies, r.stops, r.pairs) for r in want.collect()}
+
+
 def one_arrival(spark, path, poll, arrival, stop="s"):
     at = START + timedelta(seconds=30 * poll)
     spark.createDataFrame(
